@@ -2,8 +2,8 @@
 
 Every document has a 60-bit hash of its doc_id. A source that is to give t words, of S it has, gives every
 document floor(t / S) times and, once more, the documents below a hash threshold. The threshold is found from
-histograms: sum words by source and 8-bit hash bucket, find the bucket in which the running sum passes the
-budget, and refine that bucket alone by the next 8 bits, until a bucket holds one hash. No sort of documents
+histograms: sum words by source and 12-bit hash bucket, find the bucket in which the running sum passes the
+budget, and refine that bucket alone by the next 12 bits, until a bucket holds one hash. No sort of documents
 takes place, and a source's documents never meet in one task: each level is a sum with map-side partial sums.
 
 Defined results: null text has no words; the null source is a source of its own and comes last; documents with
@@ -17,13 +17,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_TIMES = 2
 #: Up to so many sources, the table of a row for each source is broadcast; beyond, it is shuffled.
 MOST_BROADCAST = 50_000
-HASH_DIGITS = 14
-LEVEL_DIGITS = 2
+HASH_DIGITS = 15
+LEVEL_DIGITS = 3
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         found = found.where(F.col("below") + F.col("upto") > F.col("budget"))
         found = found.groupBy("e.source", "e.budget", "e.below").agg(F.min(F.struct("b", "upto", "words")).alias("f"))
         edge = found.select("source", "budget", F.col("f.b").alias("prefix"), (F.col("below") + F.col("f.upto") - F.col("f.words")).alias("below"), F.col("f.words").alias("words"))
-        edge = edge.persist(StorageLevel.MEMORY_AND_DISK)
+        edge = cut(edge)
     # At the last level a bucket is one hash. It is taken if the budget is nearer to the sum with it.
     closer = (F.col("below") + F.col("words") - F.col("budget")) < (F.col("budget") - F.col("below"))
     edge = edge.select(F.col("source").alias("_e"), F.col("prefix").alias("at"), closer.alias("with_it"))

@@ -59,7 +59,7 @@ ORACLE_SQL = {
     "op2_mixing": r"""
         WITH docs AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                   substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 14) AS h
+                   substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h
             FROM documents),
         sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
         weighed AS (

@@ -1,14 +1,16 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models.
+"""Toxicity by class-conditional Kneser-Ney models.
 
-Two interpolated Kneser-Ney models, of toxic and of ordinary text, share their lowest order: the word counts of
-the whole corpus. A word that a class has hardly seen gets its probability from those shared counts in both
-models, so rare words cancel out of the comparison. A text's evidence is its length-normalised log-likelihood
-ratio, over the whole text and over its most toxic stretches of 1, 4 and 16 words; a logistic curve, fitted on
-labelled rows that the counts left out, turns the four into a probability.
+Two interpolated Kneser-Ney models, of toxic and of ordinary text, back off from a word after the word before it
+to the word, then to the word's first 6 and first 4 bytes, whose continuation counts are the distinct words that
+begin so, and last to the word counts of the whole corpus, which both classes share. An expression that a class
+has hardly seen gets its probability from its beginning and from those shared counts, alike in both models, so
+rare words cancel out of the comparison. A text's evidence is its length-normalised log-likelihood ratio, over
+the whole text and over its most toxic stretches of 1, 4 and 16 words; a logistic curve, fitted on labelled rows
+that the counts left out, turns the four into a probability.
 
 Words are hashed into 2**WORD_BITS slots and word pairs into 2**PAIR_BITS, so what is collected and broadcast is
-bounded whatever the size of the corpus: about 14 MB for each class. Word pairs seen once in a class count for
-the lower orders alone. At most MOST_LABELS labelled rows are learnt from.
+bounded whatever the size of the corpus: about 14 MB for each class. Word pairs seen less than
+LEAST_PAIR times in a class count for the lower orders alone. At most MOST_LABELS labelled rows are learnt from.
 
 Defined results: null and empty texts, and texts without words, have no evidence and get the curve's value
 there. With no labels, or labels of one class, every score is 0. Rows that repeat are scored one by one;
@@ -26,25 +28,36 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, label_sample, logistic, map_arrow, mixed, row_blocks, text_bytes, word_hashes
+from .common import LOWER, WORD, crc_mod, label_sample, logistic, map_arrow, mixed, prefix_hash, row_blocks, span_hash, text_bytes, words
 
 WORD_BITS, PAIR_BITS = 18, 20
 MOST_LABELS = 20_000
-#: What is taken off counts of 1, 2 and more: a word or pair that a class has once says nothing of the class.
-DISCOUNTS = (0.0, 1.0, 1.5, 1.5)
+#: A count c is discounted to c - 1 - DOUBT * sqrt(c), at least 0: what a class has only a few times, which may be
+#: chance, says nothing of the class.
+DOUBT = 1.5
+#: The part of the lowest order that both classes take from the corpus's counts, and the least discounted pair.
+SHARED = 0.5
+LEAST_PAIR = 5
+#: Lengths in bytes of the beginnings of words.
+BEGINNINGS = (6, 4)
+#: The most that one word can say for either class.
+MOST_RATIO = 6.0
 STRETCHES = (1, 4, 16)
 FOLDS, HELD_OUT, CURVE_FOLD = 4, 2, 3
 THRESHOLD = 0.3
 
 
-def _slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The slot of each word and of the word before it (0: none), and where each row's words begin."""
-    h, first = word_hashes(data, offsets)
-    word = ((h >> np.uint64(64 - WORD_BITS)).astype(np.int64)) | 1
-    before = np.concatenate([[0], word[:-1]]) if len(word) else word
-    begins = first[:-1][np.diff(first) > 0]
-    before[begins] = 0
-    return word, before, first
+def _slots(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The slots of each word and of its beginnings, the slot of the word before it (0: none), and where each row's
+    words begin."""
+    data = LOWER[data]
+    starts, ends = words(data, offsets, WORD)
+    prefix = prefix_hash(data)
+    levels = [(span_hash(prefix, starts, np.minimum(ends, starts + n)) >> np.uint64(64 - WORD_BITS)).astype(np.int64) | 1 for n in (1 << 40, *BEGINNINGS)]
+    first = np.searchsorted(starts, offsets)
+    before = np.concatenate([[0], levels[0][:-1]]) if len(starts) else levels[0]
+    before[first[:-1][np.diff(first) > 0]] = 0
+    return levels, before, first
 
 
 def pair_slot(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -56,25 +69,25 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(batch.column("text"))
         label = batch.column("label").to_numpy(zero_copy_only=False)
         for a, b in row_blocks(offsets):
-            word, before, first = _slots(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            levels, before, first = _slots(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             cls = np.repeat(label[a:b], np.diff(first)).astype(np.int64)
-            key, n = np.unique((cls << 2 * WORD_BITS) | (before << WORD_BITS) | word, return_counts=True)
-            mask = (1 << WORD_BITS) - 1
-            v, w = key >> WORD_BITS & mask, key & mask
-            yield pa.RecordBatch.from_arrays([pa.array((key >> 2 * WORD_BITS).astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(w.astype(np.int32)), pa.array(pair_slot(v, w).astype(np.int32)), pa.array(n.astype(np.int64))], ["cls", "v", "w", "slot", "n"])
+            _, at, n = np.unique((cls << 2 * WORD_BITS) | (before << WORD_BITS) | levels[0], return_index=True, return_counts=True)
+            columns = [cls[at], before[at], *(x[at] for x in levels), pair_slot(before[at], levels[0][at])]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in columns), pa.array(n.astype(np.int64))], ["cls", "v", "w", "w1", "w2", "slot", "n"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << WORD_BITS, np.int64)
+    total = np.zeros((1 + len(BEGINNINGS), 1 << WORD_BITS), np.int64)
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         for a, b in row_blocks(offsets):
-            h, _ = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            total += np.bincount((h >> np.uint64(64 - WORD_BITS)).astype(np.int64) | 1, minlength=len(total))
-    (at,) = np.nonzero(total)
+            levels, _, _ = _slots(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for k, slots in enumerate(levels):
+                total[k] += np.bincount(slots, minlength=total.shape[1])
+    at = np.flatnonzero(total)
     for k in range(0, len(at), 65536):
         part = at[k : k + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total.ravel()[part])], ["w", "n"])
 
 
 def _dense(rows: DataFrame, key: str, value: str, size: int, cls: int | None = None) -> np.ndarray:
@@ -88,24 +101,30 @@ def _dense(rows: DataFrame, key: str, value: str, size: int, cls: int | None = N
 
 
 def _discounted(counts: np.ndarray) -> np.ndarray:
-    return counts - np.array(DISCOUNTS, np.float32)[np.minimum(counts, 3).astype(np.int64)]
+    return np.maximum(counts - 1 - DOUBT * np.sqrt(counts), 0)
 
 
 class KneserNey:
-    """One class: P(w | v) = (c(v w) - D) / c(v) + rest(v) * Pcont(w), where rest(v) is what the discounts took off
-    v's pairs, and Pcont(w) = (N1+(. w) - D) / N1+(. .) + rest * shared(w)."""
-
-    def __init__(self, pairs: np.ndarray, seen: np.ndarray, taken: np.ndarray, contexts: np.ndarray, shared: np.ndarray):
-        total, kept = float(contexts.sum()), _discounted(contexts)
-        self.lowest = ((kept + (total - kept.sum()) * shared) / total if total else shared).astype(np.float32)
-        self.pairs = _discounted(pairs).astype(np.float32)
+    """One class: P(w | v) = kept(v w) / c(v) + (1 - kept(v .) / c(v)) * P(w), where kept is what the discount leaves
+    of a count. P(w) mixes the class's discounted continuation counts N1+(. w) with P(b) * shared(w) / shared(b) for
+    the beginning b of w, and so on down to the shared counts."""
+
+    def __init__(self, pairs: np.ndarray, seen: np.ndarray, kept: np.ndarray, contexts: list[np.ndarray], shared: np.ndarray):
+        self.own = [_discounted(x) / max(1.0, float(_discounted(x).sum())) for x in contexts]
+        self.shared = shared
+        self.pairs = np.where(pairs >= LEAST_PAIR, _discounted(pairs), 0).astype(np.float32)
         has = seen > 0
         self.scale = np.divide(1, seen, out=np.zeros_like(seen), where=has).astype(np.float32)
-        self.rest = np.divide(taken, seen, out=np.ones_like(seen), where=has).astype(np.float32)
+        self.rest = 1 - np.divide(kept, seen, out=np.zeros_like(seen), where=has).astype(np.float32)
 
-    def log(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        direct = np.minimum(self.pairs[pair_slot(before, word)] * self.scale[before], 1)
-        return np.log(direct + self.rest[before] * self.lowest[word])
+    def log(self, before: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+        p = None
+        for own, shared, slots in zip(self.own[::-1], self.shared[::-1], levels[::-1]):
+            here = shared[slots]
+            p = (1 - SHARED) * own[slots] + SHARED * (here if p is None else p * here / above)
+            above = here
+        direct = np.minimum(self.pairs[pair_slot(before, levels[0])] * self.scale[before], 1)
+        return np.log(direct + self.rest[before] * p)
 
 
 class Model:
@@ -115,16 +134,16 @@ class Model:
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
         out = np.zeros((rows, 1 + len(STRETCHES)))
-        word, before, first = _slots(data, offsets)
-        if not len(word):
+        levels, before, first = _slots(data, offsets)
+        if not len(before):
             return out
-        ratio = (self.toxic.log(before, word) - self.ordinary.log(before, word)).astype(np.float64)
+        ratio = np.clip((self.toxic.log(before, levels) - self.ordinary.log(before, levels)).astype(np.float64), -MOST_RATIO, MOST_RATIO)
         running = np.concatenate([[0], np.cumsum(ratio)])
         n = np.diff(first)
         some = np.flatnonzero(n)
         out[some, 0] = (running[first[1:]] - running[first[:-1]])[some] / n[some]
         begins = np.repeat(first[:-1], n)
-        at = np.arange(len(word))
+        at = np.arange(len(before))
         for k, width in enumerate(STRETCHES, 1):
             mean = (running[1:] - running[np.maximum(begins, at - width + 1)]) / width
             out[some, k] = np.maximum.reduceat(mean, first[:-1][some])
@@ -138,16 +157,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> M
     spark = docs.sparkSession
     sample = label_sample(labels, "toxic", most_labels, FOLDS, HELD_OUT).persist(StorageLevel.MEMORY_AND_DISK)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    pairs = map_arrow(known.where(F.col("fold") != CURVE_FOLD).select("text", "label"), _count_pairs, "cls int, v int, w int, slot int, n long")
-    pairs = pairs.groupBy("cls", "v", "w", "slot").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    words = map_arrow(docs.select("text"), _count_words, "w int, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    pairs = map_arrow(known.where(F.col("fold") != CURVE_FOLD).select("text", "label"), _count_pairs, "cls int, v int, w int, w1 int, w2 int, slot int, n long")
+    pairs = pairs.groupBy("cls", "v", "w", "w1", "w2", "slot").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = map_arrow(docs.select("text"), _count_words, "w int, n long").groupBy("w").agg(F.sum("n").alias("n"))
     size = 1 << WORD_BITS
-    shared = _dense(words, "w", "n", size) + np.float32(1)
-    shared /= shared.sum()
-    by_v = pairs.groupBy("cls", "v").agg(F.sum("n").alias("n"), F.sum(F.element_at(F.array(*map(F.lit, DISCOUNTS)), F.least("n", F.lit(3)).cast("int") + 1)).alias("t")).persist(StorageLevel.MEMORY_AND_DISK)
-    by_w = pairs.groupBy("cls", "w").agg(F.count("*").alias("t"))
-    by_slot = pairs.where("n > 1").groupBy("cls", "slot").agg(F.sum("n").alias("n"))
-    sides = [KneserNey(_dense(by_slot, "slot", "n", 1 << PAIR_BITS, c), _dense(by_v, "v", "n", size, c), _dense(by_v, "v", "t", size, c), _dense(by_w, "w", "t", size, c), shared) for c in (1, 0)]
+    shared = _dense(counted, "w", "n", (1 + len(BEGINNINGS)) * size).reshape(-1, size) + np.float32(1)
+    shared /= shared.sum(1, keepdims=True)
+    by_v = pairs.groupBy("cls", "v").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") >= LEAST_PAIR, F.greatest(F.col("n") - 1 - DOUBT * F.sqrt("n"), F.lit(0.0))).otherwise(0.0)).alias("t")).persist(StorageLevel.MEMORY_AND_DISK)
+    by_w = pairs.groupBy("cls", "w", "w1", "w2").agg(F.count("*").alias("t")).persist(StorageLevel.MEMORY_AND_DISK)
+    by_level = [by_w.groupBy("cls", "w").agg(F.sum("t").alias("t")), *(by_w.groupBy("cls", x).agg(F.count("*").alias("t")) for x in ("w1", "w2"))]
+    by_slot = pairs.where(F.col("n") >= LEAST_PAIR).groupBy("cls", "slot").agg(F.sum("n").alias("n"))
+    sides = [KneserNey(_dense(by_slot, "slot", "n", 1 << PAIR_BITS, c), _dense(by_v, "v", "n", size, c), _dense(by_v, "v", "t", size, c), [_dense(x, x.columns[1], "t", size, c) for x in by_level], shared) for c in (1, 0)]
     model = Model(*sides)
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
 
