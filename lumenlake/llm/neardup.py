@@ -5,12 +5,12 @@ sigma scatters the shingles, and coordinate k is the smallest value that pi, shi
 one of them. Coordinates are banded (BANDS of ROWS); documents of one band value are candidates.
 
 Equal sets are one class from the start, so exact copies cost one row each. In each bucket every class is
-compared with the bucket's smallest class only; links are confirmed on the full sets. What is left is settled
-exactly: a class that isn't linked to its bucket's smallest one is compared with the others that aren't, and,
+compared with one of the bucket only, its leader; links are confirmed on the full sets. What is left is settled
+exactly: a class that isn't linked to its bucket's leader is compared with the others that aren't, and,
 if it comes near it (a distance of at most twice the threshold's), with those linked to it that the triangle inequality of
 Jaccard distances allows, unless they are in one component already. A 4-bit sketch of the signature screens
-pairs far below the threshold before their sets are fetched. Buckets with many such classes are split by the
-other bands first, in which true links agree as well. No pairs are capped or sampled.
+pairs below the threshold by 4 standard deviations before they leave the bucket and their sets are fetched. No
+pairs are capped or sampled.
 
 With 28 bands of 5 rows a link of similarity 0.85 misses all bands once in 10**7. Defined results: null and empty
 texts have no shingles, link with nothing and are their own component; a null doc_id links with nothing, has no
@@ -33,9 +33,9 @@ from .common import NOT_SPACE, IdFilter, components, cut, map_arrow, mixed, row_
 
 SLOT_BITS = 20
 BANDS, ROWS = 28, 5
-HASHES = BANDS * ROWS
-SKETCH = 9  # longs of 16 four-bit coordinates
-MANY = 32
+#: The first BANDS * ROWS coordinates are banded; all of them make the sketch.
+HASHES = 280
+SKETCH = -(-HASHES // 16)  # longs of 16 four-bit coordinates
 
 
 def near_percent(percent: int) -> int:
@@ -43,10 +43,10 @@ def near_percent(percent: int) -> int:
     return max(0, 2 * percent - 100)
 
 
-def least_equal(percent: int) -> int:
-    """Pairs with fewer equal 4-bit coordinates aren't compared: over 5 standard deviations below near_percent()."""
-    p = near_percent(percent) / 100 * 15 / 16 + 1 / 16
-    return int(HASHES * p - 5.3 * (HASHES * p * (1 - p)) ** 0.5)
+def least_equal(percent: int, deviations: float) -> int:
+    """How many 4-bit coordinates of two sketches are equal at a similarity, less so many standard deviations."""
+    p = percent / 100 * 15 / 16 + 1 / 16
+    return int(HASHES * p - deviations * (HASHES * p * (1 - p)) ** 0.5)
 
 
 @lru_cache(maxsize=1)
@@ -101,7 +101,7 @@ def _signer(width: int):
                 signed = np.stack([signature(s) if len(s) else np.zeros(HASHES, np.int32) for s in sets]).astype(np.uint64)
                 bands = np.repeat(salts[None], b - a, 0)
                 for r in range(ROWS):
-                    bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + signed[:, r::ROWS])
+                    bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + signed[:, r : BANDS * ROWS : ROWS])
                 nibbles = np.zeros((b - a, SKETCH * 16), np.uint64)
                 nibbles[:, :HASHES] = mixed(signed) & np.uint64(15)
                 sketch = np.bitwise_or.reduce(nibbles.reshape(b - a, SKETCH, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), 2)
@@ -150,12 +150,15 @@ class _Linker:
         self.reps = reps
         signed = rows.join(reps.select("k1", "k2", F.col("n").alias("_n"), F.col("rep").alias("doc_id")), ["doc_id", "k1", "k2"]).where("n = _n").select(F.col("doc_id").alias("id"), "n", "k1", "k2", "bands", "sketch")
         signed = signed.persist(StorageLevel.MEMORY_AND_DISK)
-        spread = signed.select("id", "n", F.explode("bands").alias("b"))
-        leaders = spread.groupBy("b").agg(F.min("id").alias("leader"), F.count("*").alias("c")).where("c > 1").select("b", "leader")
-        members = cut(spread.join(leaders, "b").select("b", "id", "leader").distinct())
+        spread = signed.select("id", F.explode("bands").alias("b"))
+        shared = cut(spread.join(spread.groupBy("b").agg(F.count("*").alias("c")).where("c > 1"), "b").select("b", "id", "c").distinct())
+        # A bucket's leader is the class that shares buckets with most others, so the one most of its group is near to.
+        weight = shared.groupBy("id").agg(F.sum("c").alias("weight"))
+        leaders = shared.join(weight, "id").groupBy("b").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("m")).select("b", (-F.col("m.i")).alias("leader"))
+        members = cut(shared.join(leaders, "b").select("b", "id", "leader"))
         # The sketches and sets of the classes that share a bucket with another.
         inside = cut(members.select("id").distinct())
-        sketches = cut(signed.join(inside, "id", "left_semi").select("id", "n", "k1", "k2", "sketch"))
+        sketches = cut(signed.join(inside, "id", "left_semi").select("id", "n", "k1", "k2", "bands", "sketch").dropDuplicates(["id"]))
         wanted = self.docs.sparkSession.sparkContext.broadcast(IdFilter.of(inside, "id"))
         sets = map_arrow(self.docs, _set_maker(self.width, wanted), "id long, k1 long, k2 long, shingles array<long>")
         sets = sets.join(sketches.select("id", "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"]).select("id", "shingles").persist(StorageLevel.MEMORY_AND_DISK)
@@ -177,7 +180,7 @@ class _Linker:
     def screen(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with sizes, without those that can't come near."""
         one, two = (self.sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-        close = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {near_percent(self.percent)} * greatest(na, nb) and {_equal_nibbles('sa', 'sb')} >= {least_equal(self.percent)}")
+        close = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {near_percent(self.percent)} * greatest(na, nb) and {_equal_nibbles('sa', 'sb')} >= {least_equal(near_percent(self.percent), 5.0)}")
         return close.select("a", "b", "na", "nb")
 
     def compare(self, pairs: DataFrame) -> DataFrame:
@@ -193,25 +196,16 @@ class _Linker:
         own = F.col("id") == F.col("leader")
         state = state.select("b", "id", F.coalesce("component", "id").alias("c"), F.when(own, 1.0).otherwise(F.coalesce("j", F.lit(0.0))).alias("j"), (own | F.coalesce("linked", F.lit(False))).alias("linked"))
         far = state.where("not linked")
-        counts = far.groupBy("b").agg(F.count("*").alias("many"))
         # Only buckets with a class that its leader doesn't link.
-        state = cut(state.join(counts, "b"))
+        state = cut(state.join(far.select("b").distinct(), "b", "left_semi"))
         if state.isEmpty():
             return state.select(F.col("id").alias("a"), F.col("id").alias("b"))
-        open_ = state.join(self.sketches.select("id", "n", "sketch"), "id")
-        few = open_.where(f"many <= {MANY}")
-        wide = open_.where(f"many > {MANY}")
-        other = state.where(f"many > {MANY}").select("id", F.col("b").alias("b2")).distinct()
-        wide = wide.join(other, "id").where("b <> b2").withColumn("b", F.xxhash64("b", "b2"))
-        pairs = None
-        for part in (few, wide):
-            y = part.where("not linked").select("b", *(F.col(x).alias(f"y_{x}") for x in ("id", "c", "j", "n", "sketch")))
-            x = part.select("b", *(F.col(x).alias(f"x_{x}") for x in ("id", "c", "j", "n", "sketch", "linked")))
-            allowed = f"y_id <> x_id and y_c <> x_c and (not x_linked and y_id < x_id or x_linked and y_j >= {near_percent(self.percent) / 100 - 1e-4} and x_j <= y_j + {1 - self.percent / 100 + 1e-4})"
-            close = f"100 * least(x_n, y_n) >= {self.percent} * greatest(x_n, y_n) and {_equal_nibbles('x_sketch', 'y_sketch')} >= {least_equal(self.percent)}"
-            found = y.join(x, "b").where(f"{allowed} and {close}").select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-            pairs = found if pairs is None else pairs.unionByName(found)
-        return pairs.distinct()
+        rows = state.join(self.sketches.select("id", "n", "sketch", "bands"), "id")
+        y = rows.where("not linked").select("b", *(F.col(x).alias(f"y_{x}") for x in ("id", "c", "j", "n", "sketch", "bands")))
+        x = rows.select("b", *(F.col(x).alias(f"x_{x}") for x in ("id", "c", "j", "n", "sketch", "bands", "linked")))
+        allowed = f"y_id <> x_id and y_c <> x_c and (not x_linked and y_id < x_id or x_linked and y_j >= {near_percent(self.percent) / 100 - 1e-4} and x_j <= y_j + {1 - self.percent / 100 + 1e-4})"
+        close = f"100 * least(x_n, y_n) >= {self.percent} * greatest(x_n, y_n) and {_equal_nibbles('x_sketch', 'y_sketch')} >= {least_equal(self.percent, 4.3)}"
+        return y.join(x, "b").where(f"{allowed} and {close}").select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
