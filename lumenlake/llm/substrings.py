@@ -12,7 +12,7 @@ Round 2 doubles the offset for whole runs: runs of one anchor rank whose whole c
 their windows, and are decided. A representative of each goes on where its anchor has undecided runs.
 Round 3 doubles the offset for the single windows of undecided runs: each is the pair (name of its first HALF
 bytes, name of the next HALF), Spark sorts the pairs with their positions, and neighbours of one pair repeat.
-Names are 64-bit fingerprints, so a window's pair has 128 bits.
+Names are fingerprints of 64 bits; a window's pair keeps 96.
 
 Equal windows of one batch travel as one row, so a passage that a third of all documents share doesn't send a third
 of all rows to one key. Nothing that grows with the corpus comes to the driver but bitmaps of a fixed largest size.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, SharedTable, cut, map_arrow, prefix_hash, shuffle_size, span_hash, text_bytes
+from .common import IdFilter, SharedTable, cut, map_arrow, mixed, prefix_hash, shuffle_size, span_hash, text_bytes
 
 LENGTH = 400
 PLACE_BITS = 24
@@ -83,16 +83,16 @@ def _sampler(length: int):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            parts: list[list] = [[] for _ in range(6)]
+            parts: list[list] = [[] for _ in range(7)]
             for k, data in _texts(batch):
                 if len(data) < length:
                     continue
                 anchor, whole, first, last = runs(data, length)
-                n = len(first)
-                for part, x in zip(parts, (np.full(n, ids[k] if ids[k] is not None else -1), np.full(n, text_name(data)), anchor.view(np.int64), whole.view(np.int64), first, last)):
+                n, doc, name = len(first), ids[k] if ids[k] is not None else -1, text_name(data)
+                for part, x in zip(parts, (np.full(n, doc), np.full(n, name), np.full(n, text_key(doc, name)), anchor.view(np.int64), whole.view(np.int64), first.astype(np.int32), last.astype(np.int32))):
                     part.append(x)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["doc", "name", "g", "u", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["doc", "name", "key", "g", "u", "lo", "hi"])
 
     return sample
 
@@ -114,52 +114,55 @@ def _split_texts(wanted, whole: bool):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            ask = wanted.value.probably(ids.fill_null(-1))
             if not whole:
-                batch, ask = batch.filter(pa.array(ask)), ask[ask]
+                batch = batch.filter(pa.array(wanted.value.probably(ids.fill_null(-1))))
                 ids = batch.column("doc_id")
             if not batch.num_rows:
                 continue
-            names, n_bytes, digests = [], [], []
-            for k, data in _texts(batch):
-                names.append(text_name(data))
-                n_bytes.append(len(data))
-                digests.append(None if ask[k] else hashlib.sha256(data.tobytes()).hexdigest())
+            docs, parts = ids.fill_null(-1).to_pylist(), list(_texts(batch))
+            names = [text_name(data) for _, data in parts]
+            keys = pa.array([text_key(d, n) for d, n in zip(docs, names)], pa.int64())
+            ask = wanted.value.probably(keys) if whole else np.ones(len(names), bool)
+            digests = [None if a else hashlib.sha256(data.tobytes()).hexdigest() for a, (_, data) in zip(ask, parts)]
             texts = batch.column("text")
             texts = pa.array([t if a else None for t, a in zip(texts.to_pylist(), ask)], pa.string()) if whole else texts
-            yield pa.RecordBatch.from_arrays([ids.fill_null(-1), pa.array(names, pa.int64()), texts, pa.array(n_bytes, pa.int64()), pa.array(digests, pa.string()), ids], ["doc", "name", "text", "n_bytes", "digest", "doc_id"])
+            columns = [pa.array(docs, pa.int64()), pa.array(names, pa.int64()), keys, texts, pa.array([len(data) for _, data in parts], pa.int64()), pa.array(digests, pa.string()), ids]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "name", "key", "text", "n_bytes", "digest", "doc_id"])
 
     return split
 
 
-TEXTS = "doc long, name long, text string, n_bytes long, digest string, doc_id long"
+TEXTS = "doc long, name long, key long, text string, n_bytes long, digest string, doc_id long"
 
 
 def _windows(length: int, most: int = 1 << 17):
     """Single windows of undecided runs as (n1, n2, n, known, places): equal ones of a batch in one row. known:
-    one of them is of a decided run, so all repeat. places: doc, name and first byte of the undecided ones."""
+    one of them is of a decided run, so all repeat. places: text_key() and first byte of the undecided
+    ones. Of the second name 32 bits are enough."""
     half = length // 2
 
     def emit(parts: list) -> pa.RecordBatch:
-        n1, n2, doc, name, at, known = (np.concatenate(x) for x in zip(*parts))
+        n1, n2, text, at, known = (np.concatenate(x) for x in zip(*parts))
+        n2 = (n2 >> np.uint64(32)).astype(np.int32)
         order = np.lexsort((n2, n1))
         n1, n2, known = n1[order], n2[order], known[order]
         first = np.flatnonzero(np.concatenate([[True], (n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1])]))
-        places = np.stack([doc[order], name[order], at[order]], 1)[~known]
-        ends = np.concatenate([np.cumsum(~known)[first] - ~known[first], [len(places)]]) * 24
-        binary = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(places.astype(np.int64).tobytes())])
+        places = np.zeros(int((~known).sum()), PLACE)
+        places["text"], places["at"] = text[order][~known], at[order][~known]
+        ends = np.concatenate([np.cumsum(~known)[first] - ~known[first], [len(places)]]) * PLACE.itemsize
+        binary = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(places.tobytes())])
         n = np.diff(np.concatenate([first, [len(n1)]]))
-        return pa.RecordBatch.from_arrays([pa.array(n1[first].view(np.int64)), pa.array(n2[first].view(np.int64)), pa.array(n), pa.array(np.maximum.reduceat(known.astype(np.int8), first) > 0), binary], ["n1", "n2", "n", "known", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(n1[first].view(np.int64)), pa.array(n2[first]), pa.array(n.astype(np.int32)), pa.array(np.maximum.reduceat(known.astype(np.int8), first) > 0), binary], ["n1", "n2", "n", "known", "places"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             docs, names = batch.column("doc").to_pylist(), batch.column("name").to_pylist()
             for (k, data), (lo, hi, known) in zip(_texts(batch), _spans(batch.column("spans"))):
-                prefix = prefix_hash(data)
+                prefix, text = prefix_hash(data), text_key(docs[k], names[k])
                 for a, b, is_known in zip(lo.tolist(), hi.tolist(), known.tolist()):
                     at = np.arange(a, b + 1)
-                    parts.append((span_hash(prefix, at, at + half), span_hash(prefix, at + half, at + length), np.full(len(at), docs[k]), np.full(len(at), names[k]), at, np.full(len(at), is_known)))
+                    parts.append((span_hash(prefix, at, at + half), span_hash(prefix, at + half, at + length), np.full(len(at), text), at, np.full(len(at), is_known)))
                     held += len(at)
                 if held >= most:
                     yield emit(parts)
@@ -192,9 +195,17 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rows.slice(rows.num_rows - 1) if settled is None else None
         if keep.any():
             packed = b"".join(rows["places"].filter(pa.array(keep)).to_pylist())
-            places = np.frombuffer(packed, np.int64).reshape(-1, 3)
+            places = np.frombuffer(packed, PLACE)
             if len(places):
-                yield pa.RecordBatch.from_arrays([pa.array(places[:, k].copy()) for k in range(3)], ["doc", "name", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(places["text"].copy()), pa.array(places["at"].copy())], ["key", "at"])
+
+
+PLACE = np.dtype([("text", "<i8"), ("at", "<i4")])
+
+
+def text_key(doc: int, name: int) -> int:
+    """One number for a document's id and its text's name."""
+    return int(mixed(np.array([doc, name], np.int64).view(np.uint64))[0:1].view(np.int64)[0] ^ name)
 
 
 def _cutter(length: int):
@@ -217,38 +228,39 @@ def _cutter(length: int):
     return finish
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, name, lo, hi): windows lo to hi of a document repeat. doc is doc_id (-1: null), name its text's."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[SharedTable]]:
+    """(key, lo, hi): windows lo to hi of the text of a text_key() repeat; and the tables that it reads, to be deleted
+    when it has been used."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sampled = SharedTable(map_arrow(docs, _sampler(length), "doc long, name long, g long, u long, lo long, hi long"))
-    try:
-        # Round 1: anchors that occur twice.
-        twice = cut(sampled.df.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
-        likely = sc.broadcast(IdFilter.of(twice, "g"))
-        rows = cut(map_arrow(sampled.df, _only("g", likely), sampled.df.schema).join(twice, "g"))
-    finally:
-        sampled.delete()
+    sampled = SharedTable(map_arrow(docs, _sampler(length), "doc long, name long, key long, g long, u long, lo int, hi int"))
+    # Round 1: anchors that occur twice.
+    twice = cut(sampled.df.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
+    likely = sc.broadcast(IdFilter.of(twice, "g"))
+    rows = SharedTable(map_arrow(sampled.df, _only("g", likely), sampled.df.schema).join(twice, "g"))
+    sampled.delete()
     # Round 2: whole runs of one anchor.
-    by_run = cut(rows.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc", "name", "lo", "hi")).alias("r")))
-    decided = rows.join(by_run.where("n > 1").select("g", "u"), ["g", "u"], "left_semi").select("doc", "name", "lo", "hi")
-    undecided = by_run.groupBy("g").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("alone")).where("alone > 0").select("g")
-    active = cut(by_run.join(undecided, "g", "left_semi").select("r.*", (F.col("n") > 1).alias("known")))
+    by_run = SharedTable(rows.df.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc", "name", "lo", "hi")).alias("r")))
+    decided = rows.df.join(by_run.df.where("n > 1").select("g", "u"), ["g", "u"], "left_semi").select("key", "lo", "hi")
+    undecided = by_run.df.groupBy("g").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("alone")).where("alone > 0").select("g")
+    active = cut(by_run.df.join(undecided, "g", "left_semi").select("r.*", (F.col("n") > 1).alias("known")))
     # Round 3: single windows.
     spans = active.groupBy("doc", "name").agg(F.collect_list(F.struct("lo", "hi", "known")).alias("spans"))
     wanted = sc.broadcast(IdFilter.of(active.select("doc"), "doc"))
     texts = map_arrow(docs, _split_texts(wanted, False), TEXTS).select("doc", "name", "text")
-    windows = map_arrow(texts.join(spans, ["doc", "name"]), _windows(length), "n1 long, n2 long, n long, known boolean, places binary")
+    windows = map_arrow(texts.join(spans, ["doc", "name"]), _windows(length), "n1 long, n2 int, n int, known boolean, places binary")
     pairs = windows.repartition(shuffle_size(docs.sparkSession), "n1", "n2").sortWithinPartitions("n1", "n2")
-    found = map_arrow(pairs, _neighbours, "doc long, name long, at long")
-    return decided.unionByName(found.select("doc", "name", F.col("at").alias("lo"), F.col("at").alias("hi")))
+    found = map_arrow(pairs, _neighbours, "key long, at int")
+    return decided.unionByName(found.select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))), [rows, by_run]
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what is left."""
-    found = repeated_spans(docs, length)
-    spans = cut(found.groupBy("doc", "name").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(spans.select("doc"), "doc"))
+    found, tables = repeated_spans(docs, length)
+    spans = cut(found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    for t in tables:
+        t.delete()
+    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(spans.select("key"), "key"))
     rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _split_texts(wanted, True), TEXTS)
-    joined = rows.join(spans, ["doc", "name"], "left").select("doc_id", "n_bytes", "digest", "text", "spans")
+    joined = rows.join(spans, "key", "left").select("doc_id", "n_bytes", "digest", "text", "spans")
     return map_arrow(joined, _cutter(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
