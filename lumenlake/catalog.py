@@ -32,10 +32,10 @@ MANIFEST = f"""{G}, mf AS (SELECT image_id, 'images/' || split || '/' || lpad(CA
 POSITIVES = f"""{MANIFEST}, pos AS (
     SELECT a.image_id || '__' || b.image_id AS pair_id, a.image_id AS image_id_1, b.image_id AS image_id_2, a.group_id AS group_id_1, b.group_id AS group_id_2, a.category AS category_1, b.category AS category_2, a.split, 1 AS label
     FROM mf a JOIN mf b ON a.split = b.split AND a.group_id = b.group_id AND a.image_id < b.image_id)"""
-FP = """t AS (SELECT doc_id, source, sha256(text) AS exact_hash, list_transform(regexp_split_to_array(lower(text), '\\s+'), x -> CAST('0x' || substr(md5(x), 1, 2) AS INTEGER) % 64) AS bucket FROM documents),
-    c AS (SELECT doc_id, source, exact_hash, list_transform(range(64), k -> len(list_filter(bucket, b -> b = k))) AS counts FROM t),
+FP = """t AS (SELECT doc_id, source, sha256(text) AS exact_hash, list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda x: CAST('0x' || substr(md5(x), 1, 2) AS INTEGER) % 64) AS bucket FROM documents),
+    c AS (SELECT doc_id, source, exact_hash, list_transform(range(64), lambda k: len(list_filter(bucket, lambda b: b = k))) AS counts FROM t),
     f AS (SELECT doc_id, exact_hash, CASE WHEN CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 2 = 0 THEN 'a' ELSE 'b' END AS dataset,
-                 array_to_string(list_transform(counts, x -> CASE WHEN x > (list_sort(counts)[32] + list_sort(counts)[33]) / 2.0 THEN '1' ELSE '0' END), '') AS bits FROM c)"""
+                 array_to_string(list_transform(counts, lambda x: CASE WHEN x > (list_sort(counts)[32] + list_sort(counts)[33]) / 2.0 THEN '1' ELSE '0' END), '') AS bits FROM c)"""
 NEAR = f"""{FP}, np AS (SELECT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2, a.dataset AS d1, b.dataset AS d2, CAST(hamming(a.bits, b.bits) AS BIGINT) AS distance FROM f a JOIN f b ON a.doc_id < b.doc_id AND a.exact_hash <> b.exact_hash AND hamming(a.bits, b.bits) BETWEEN 1 AND 5)"""
 ANNOTATIONS = f"""{IMAGES}, gl AS (SELECT image_id, label FROM g),
     an AS (SELECT query_id, own_category AS query_category, image_id, product_id, category AS candidate_category, rank,
@@ -279,8 +279,8 @@ def category_eval(spark, d):
 
 
 @query(f"""WITH {G}, tr AS (
-        SELECT 'flip' AS transform, image_id, product_id, list_transform(v, (x, i) -> CASE WHEN i <= 8 THEN -x ELSE x END) AS t FROM g UNION ALL SELECT 'scale', image_id, product_id, list_transform(v, x -> x * 3.0::DOUBLE) FROM g
-        UNION ALL SELECT 'zero', image_id, product_id, list_transform(v, (x, i) -> CASE WHEN i > 32 THEN 0::DOUBLE ELSE x END) FROM g UNION ALL SELECT 'shift', image_id, product_id, list_transform(v, x -> x + 0.05::DOUBLE) FROM g UNION ALL SELECT 'swap', image_id, product_id, list_reverse(v) FROM g),
+        SELECT 'flip' AS transform, image_id, product_id, list_transform(v, lambda x, i: CASE WHEN i <= 8 THEN -x ELSE x END) AS t FROM g UNION ALL SELECT 'scale', image_id, product_id, list_transform(v, lambda x: x * 3.0::DOUBLE) FROM g
+        UNION ALL SELECT 'zero', image_id, product_id, list_transform(v, lambda x, i: CASE WHEN i > 32 THEN 0::DOUBLE ELSE x END) FROM g UNION ALL SELECT 'shift', image_id, product_id, list_transform(v, lambda x: x + 0.05::DOUBLE) FROM g UNION ALL SELECT 'swap', image_id, product_id, list_reverse(v) FROM g),
     pp AS (SELECT transform, tr.image_id, tr.product_id AS own, g.product_id, max(list_cosine_similarity(t, v)) AS sim FROM tr, g GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY transform, image_id ORDER BY sim DESC, product_id) AS rank FROM pp),
     q AS (SELECT transform, image_id, min(CASE WHEN product_id = own AND rank <= 10 THEN rank END) AS fr FROM r GROUP BY 1, 2)
@@ -477,7 +477,7 @@ def contrastive_loss(spark, d):
     return geometry.mean_contrastive_loss(_distances(spark, d))
 
 
-@query(f"""WITH {G}, x AS (SELECT image_id, v[1:10] AS l, label FROM g) SELECT round(avg(ln(list_sum(list_transform(l, a -> exp(a - list_max(l))))) + list_max(l) - l[label + 1]), 6) AS cross_entropy, round(avg(CAST(list_position(l, list_max(l)) - 1 = label AS DOUBLE)), 6) AS accuracy FROM x""")
+@query(f"""WITH {G}, x AS (SELECT image_id, v[1:10] AS l, label FROM g) SELECT round(avg(ln(list_sum(list_transform(l, lambda a: exp(a - list_max(l))))) + list_max(l) - l[label + 1]), 6) AS cross_entropy, round(avg(CAST(list_position(l, list_max(l)) - 1 = label AS DOUBLE)), 6) AS accuracy FROM x""")
 def classification_metrics(spark, d):
     """The first ten coordinates as logits of the ten labels."""
     rows = _gallery(spark, d).select(F.slice("embedding", 1, 10).alias("l"), "label")

@@ -52,7 +52,7 @@ def negatives(manifest: DataFrame, kind: str, n: int, seed: int = 2026, factor:
         raise ValueError(f"unknown kind of negatives: {kind}")
     rows = None
     for _ in range(7):
-        rows = _drawn(manifest, kind, factor * n + 64, seed).orderBy("draw").limit(n)
+        rows = _drawn(manifest, kind, factor * n + 64, seed).orderBy("draw").limit(n).persist()
         if rows.count() == n:
             return rows
         factor *= 2

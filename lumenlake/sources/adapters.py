@@ -34,17 +34,17 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, dataset (parity of the source number), exact_hash, bits (a string of 64) and fp (the same as a long): a
     bit is 1 where a token bucket's count is above the median of all buckets."""
-    d = read(spark, sf_dir, "documents")
-    tokens = F.split(F.lower("text"), r"\s+")
-    bucket = F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 2), 16, 10).cast("int") % BITS))
-    slots = F.expr(f"sequence(0, {BITS - 1})")
-    counts = F.transform(slots, lambda s: F.size(F.filter(F.col("bucket"), lambda b: b == s)))
-    rows = d.select("doc_id", F.sha2("text", 256).alias("exact_hash"), F.when(F.regexp_extract("source", r"(\d+)", 1).cast("int") % 2 == 0, "a").otherwise("b").alias("dataset"), bucket.alias("bucket"))
-    rows = rows.withColumn("counts", counts)
-    ordered = F.array_sort("counts")
-    median = (F.element_at(ordered, BITS // 2) + F.element_at(ordered, BITS // 2 + 1)) / 2.0
-    rows = rows.withColumn("median", median)
-    bits = F.array_join(F.transform("counts", lambda c: F.when(c > F.col("median"), "1").otherwise("0")), "")
-    rows = rows.withColumn("bits", bits)
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("exact_hash"), F.when(F.regexp_extract("source", r"(\d+)", 1).cast("int") % 2 == 0, "a").otherwise("b").alias("dataset"), "text")
+    # A document's tokens are counted where they are read: at most a row for each bucket is shuffled.
+    token = d.select("doc_id", "exact_hash", "dataset", F.explode(F.split(F.lower("text"), r"\s+")).alias("token"))
+    bucket = (F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 2), 16, 10).cast("int") % BITS).alias("bucket")
+    counted = token.select("doc_id", "exact_hash", "dataset", bucket).groupBy("doc_id", "exact_hash", "dataset", "bucket").agg(F.count("*").alias("n"))
+    rows = counted.groupBy("doc_id", "exact_hash", "dataset").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
+    # A lambda over an array of one element binds a value that is used more than once.
+    counts = F.transform(F.expr(f"sequence(0, {BITS - 1})"), lambda k: F.coalesce(F.col("m")[k], F.lit(0)))
+    with_order = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), F.array_sort(c).alias("o")))
+    with_median = F.transform(with_order, lambda x: F.struct(x["c"].alias("c"), ((F.element_at(x["o"], BITS // 2) + F.element_at(x["o"], BITS // 2 + 1)) / 2.0).alias("median")))
+    bits = F.transform(with_median, lambda x: F.array_join(F.transform(x["c"], lambda n: F.when(n > x["median"], "1").otherwise("0")), ""))[0]
+    rows = rows.select("doc_id", "dataset", "exact_hash", bits.alias("bits"))
     high, low = (F.conv(F.substring("bits", k, 32), 2, 10).cast("long") for k in (1, 33))
     return rows.select("doc_id", "dataset", "exact_hash", "bits", F.shiftleft(high, 32).bitwiseOR(low).alias("fp"))
