@@ -35,7 +35,9 @@ def _blocks(gallery: DataFrame, columns: list[str]) -> Iterator[pd.DataFrame]:
     rows = gallery.select(*columns, "embedding")
     for k in range(count):
         block = rows if count == 1 else rows.where(F.pmod(F.xxhash64("image_id"), F.lit(count)) == k)
-        yield block.toPandas()
+        found = block.toPandas()
+        if len(found):
+            yield found
 
 
 def _best(queries: DataFrame, gallery: DataFrame, k: int, pooled: bool, exclude_self: bool) -> DataFrame:
