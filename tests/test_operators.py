@@ -153,3 +153,62 @@ def test_model_choice(spark):
         analysis.select_model(r.withColumn("split", F.lit("test"))).collect()
     c = analysis.compare_models(spark.createDataFrame([(0.0, 0.5)], "top1 double, mrr double"), spark.createDataFrame([(0.2, 0.4)], "top1 double, mrr double"))
     assert {x.metric: (x.relative, x.verdict) for x in c.collect()} == {"top1": (None, "improved"), "mrr": (-0.2, "regressed")}
+
+
+def png(path, pixels):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    h, w, c = pixels.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\x00" + row.astype(np.uint8).tobytes() for row in pixels)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def test_images(spark, tmp_path):
+    import numpy as np
+
+    from lumenlake.operators import images
+    from lumenlake.sources import io
+
+    (tmp_path / "a").mkdir()
+    r = np.random.default_rng(1)
+    noise = r.integers(0, 255, (40, 50, 3))
+    for name, p in {"black": np.zeros((32, 32, 3)), "white": np.full((32, 32, 1), 255), "noise": noise, "clear": np.zeros((32, 32, 4))}.items():
+        png(tmp_path / "a" / f"{name}.png", p)
+    (tmp_path / "a" / "noise2.png").write_bytes((tmp_path / "a" / "noise.png").read_bytes())
+    (tmp_path / "a" / "bad.png").write_bytes(b"not an image")
+    loaded = images.read_images(spark, str(tmp_path))
+    name = lambda o: o.rsplit("/", 1)[1].split(".")[0]
+    q = {name(x.origin): x for x in images.quality(loaded).collect()}
+    assert q["black"].reasons == ["near_black"] and q["white"].reasons == ["near_white"] and q["clear"].reasons == ["near_white"]
+    assert q["noise"].status == "valid" and q["bad"].status == "invalid" and (q["noise"].width, q["noise"].height) == (50, 40)
+    h = {name(x.origin): x.perceptual_hash for x in images.fingerprints(loaded).collect()}
+    assert h["noise"] == h["noise2"] and h["bad"] is None
+    e = images.encode(loaded, lambda x: x.mean((2, 3)), 16, 3).collect()
+    assert len(e) == 5 and all(len(x.embedding) == 3 for x in e)
+    files = io.content_hashes(io.list_images(spark, str(tmp_path), True))
+    assert files.count() == 6 and files.select("exact_hash").distinct().count() == 5 and io.changed_files(files, files).count() == 0
+    assert files.where("relative_path = 'a/black.png'").count() == 1
+
+
+def test_manifest_files(spark, tmp_path):
+    from lumenlake.sources import io
+
+    (tmp_path / "m.csv").write_text("image_id,image_path,group_id,category,category_id,split,source,color\ni1, x.png ,g1,Ring,4,train,dataset1,red\ni2,/y.png,g1,Ring,4,train,dataset1,\n")
+    rows = io.read_manifest(spark, str(tmp_path / "m.csv"), "/data").orderBy("image_id").collect()
+    assert [x.image_path for x in rows] == ["/data/x.png", "/y.png"] and rows[0].metadata == {"color": "red"} and rows[1].metadata == {}
+    (tmp_path / "bad.csv").write_text("image_id,image_path\n1,2\n")
+    with pytest.raises(ValueError, match="lacks columns"):
+        io.read_manifest(spark, str(tmp_path / "bad.csv"))
+
+
+def test_streaming(spark, small, tmp_path):
+    from lumenlake.streaming.serving import serve
+
+    ask(spark, [1.0, 0.0]).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("query_id long, embedding array<double>").parquet(str(tmp_path / "in"))
+    serve(stream, small, str(tmp_path / "out"), str(tmp_path / "c"), 2, once=True).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
