@@ -109,7 +109,7 @@ def failure_classes(annotations: DataFrame, least: int = 2) -> DataFrame:
 def upper_median(c: str) -> Column:
     """The element at place len // 2 (from 0) of the sorted values."""
     values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
 def compare_models(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
