@@ -5,8 +5,8 @@ to the word, then to the word's first 6 and first 4 bytes, whose continuation co
 begin so, and last to the word counts of the whole corpus, which both classes share. An expression that a class
 has hardly seen gets its probability from its beginning and from those shared counts, alike in both models, so
 rare words cancel out of the comparison. A text's evidence is its length-normalised log-likelihood ratio, over
-the whole text and over its most toxic stretches of 1, 4 and 16 words; a logistic curve, fitted on labelled rows
-that the counts left out, turns the four into a probability.
+the whole text and over its most toxic stretches of 1, 4 and 16 words, and how many words speak strongly for the
+toxic model; a logistic curve, fitted on labelled rows that the counts left out, turns them into a probability.
 
 Words are hashed into 2**WORD_BITS slots and word pairs into 2**PAIR_BITS, so what is collected and broadcast is
 bounded whatever the size of the corpus: about 14 MB for each class. Word pairs seen less than
@@ -37,12 +37,14 @@ MOST_LABELS = 20_000
 DOUBT = 1.5
 #: The part of the lowest order that both classes take from the corpus's counts, and the least discounted pair.
 SHARED = 0.5
-LEAST_PAIR = 5
+LEAST_PAIR = 20
 #: Lengths in bytes of the beginnings of words.
 BEGINNINGS = (6, 4)
 #: The most that one word can say for either class.
 MOST_RATIO = 6.0
 STRETCHES = (1, 4, 16)
+#: Words whose own ratio reaches these values are counted.
+STRONG = (1.5, 2.5)
 FOLDS, HELD_OUT, CURVE_FOLD = 4, 2, 3
 THRESHOLD = 0.3
 
@@ -129,11 +131,11 @@ class KneserNey:
 
 class Model:
     def __init__(self, toxic: KneserNey, ordinary: KneserNey):
-        self.toxic, self.ordinary, self.curve = toxic, ordinary, np.zeros(len(STRETCHES) + 2)
+        self.toxic, self.ordinary, self.curve = toxic, ordinary, np.zeros(len(STRETCHES) + len(STRONG) + 2)
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
-        out = np.zeros((rows, 1 + len(STRETCHES)))
+        out = np.zeros((rows, 1 + len(STRETCHES) + len(STRONG)))
         levels, before, first = _slots(data, offsets)
         if not len(before):
             return out
@@ -147,6 +149,8 @@ class Model:
         for k, width in enumerate(STRETCHES, 1):
             mean = (running[1:] - running[np.maximum(begins, at - width + 1)]) / width
             out[some, k] = np.maximum.reduceat(mean, first[:-1][some])
+        for k, least in enumerate(STRONG, 1 + len(STRETCHES)):
+            out[some, k] = np.log1p(np.add.reduceat((ratio >= least).astype(np.int64), first[:-1][some]))
         return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -156,7 +160,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> Model | None:
     spark = docs.sparkSession
     sample = label_sample(labels, "toxic", most_labels, FOLDS, HELD_OUT).persist(StorageLevel.MEMORY_AND_DISK)
+    # Exact copies are learnt from once.
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    known = known.join(known.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
     pairs = map_arrow(known.where(F.col("fold") != CURVE_FOLD).select("text", "label"), _count_pairs, "cls int, v int, w int, w1 int, w2 int, slot int, n long")
     pairs = pairs.groupBy("cls", "v", "w", "w1", "w2", "slot").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
     counted = map_arrow(docs.select("text"), _count_words, "w int, n long").groupBy("w").agg(F.sum("n").alias("n"))
