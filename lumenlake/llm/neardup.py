@@ -204,8 +204,10 @@ class _Linker:
         y = rows.where("not linked").select("b", *(F.col(x).alias(f"y_{x}") for x in ("id", "c", "j", "n", "sketch", "bands")))
         x = rows.select("b", *(F.col(x).alias(f"x_{x}") for x in ("id", "c", "j", "n", "sketch", "bands", "linked")))
         allowed = f"y_id <> x_id and y_c <> x_c and (not x_linked and y_id < x_id or x_linked and y_j >= {near_percent(self.percent) / 100 - 1e-4} and x_j <= y_j + {1 - self.percent / 100 + 1e-4})"
-        close = f"100 * least(x_n, y_n) >= {self.percent} * greatest(x_n, y_n) and {_equal_nibbles('x_sketch', 'y_sketch')} >= {least_equal(self.percent, 4.3)}"
-        return y.join(x, "b").where(f"{allowed} and {close}").select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+        close = f"100 * least(x_n, y_n) >= {self.percent} * greatest(x_n, y_n) and {_equal_nibbles('x_sketch', 'y_sketch')} >= {least_equal(self.percent, 4.0)}"
+        # A pair counts in the first band that it shares: a bucket of another band would settle it the same way.
+        first = "array_position(x_bands, b) = array_position(zip_with(x_bands, y_bands, (p, q) -> p = q), true)"
+        return y.join(x, "b").where(f"{allowed} and {close} and {first}").select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
