@@ -12,7 +12,8 @@ Round 2 doubles the offset for whole runs: runs of one anchor rank whose whole c
 their windows, and are decided. A representative of each goes on where its anchor has undecided runs.
 Round 3 doubles the offset for the single windows of undecided runs: each is the pair (name of its first HALF
 bytes, name of the next HALF), Spark sorts the pairs with their positions, and neighbours of one pair repeat.
-Names are fingerprints of 64 bits; a window's pair keeps 96.
+Names are fingerprints of 64 bits, and a window's pair keeps the 128 of both: windows behind one passage that many
+documents share have one first name, so the second alone tells them apart.
 
 Equal windows of one batch travel as one row, so a passage that a third of all documents share doesn't send a third
 of all rows to one key. Nothing that grows with the corpus comes to the driver but bitmaps of a fixed largest size.
@@ -138,12 +139,11 @@ TEXTS = "doc long, name long, key long, text string, n_bytes long, digest string
 def _windows(length: int, most: int = 1 << 17):
     """Single windows of undecided runs as (n1, n2, n, known, places): equal ones of a batch in one row. known:
     one of them is of a decided run, so all repeat. places: text_key() and first byte of the undecided
-    ones. Of the second name 32 bits are enough."""
+    ones."""
     half = length // 2
 
     def emit(parts: list) -> pa.RecordBatch:
         n1, n2, text, at, known = (np.concatenate(x) for x in zip(*parts))
-        n2 = (n2 >> np.uint64(32)).astype(np.int32)
         order = np.lexsort((n2, n1))
         n1, n2, known = n1[order], n2[order], known[order]
         first = np.flatnonzero(np.concatenate([[True], (n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1])]))
@@ -152,7 +152,7 @@ def _windows(length: int, most: int = 1 << 17):
         ends = np.concatenate([np.cumsum(~known)[first] - ~known[first], [len(places)]]) * PLACE.itemsize
         binary = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(places.tobytes())])
         n = np.diff(np.concatenate([first, [len(n1)]]))
-        return pa.RecordBatch.from_arrays([pa.array(n1[first].view(np.int64)), pa.array(n2[first]), pa.array(n.astype(np.int32)), pa.array(np.maximum.reduceat(known.astype(np.int8), first) > 0), binary], ["n1", "n2", "n", "known", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(n1[first].view(np.int64)), pa.array(n2[first].view(np.int64)), pa.array(n.astype(np.int32)), pa.array(np.maximum.reduceat(known.astype(np.int8), first) > 0), binary], ["n1", "n2", "n", "known", "places"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, li
     spans = active.groupBy("doc", "name").agg(F.collect_list(F.struct("lo", "hi", "known")).alias("spans"))
     wanted = sc.broadcast(IdFilter.of(active.select("doc"), "doc"))
     texts = map_arrow(docs, _split_texts(wanted, False), TEXTS).select("doc", "name", "text")
-    windows = map_arrow(texts.join(spans, ["doc", "name"]), _windows(length), "n1 long, n2 int, n int, known boolean, places binary")
+    windows = map_arrow(texts.join(spans, ["doc", "name"]), _windows(length), "n1 long, n2 long, n int, known boolean, places binary")
     pairs = windows.repartition(shuffle_size(docs.sparkSession), "n1", "n2").sortWithinPartitions("n1", "n2")
     found = map_arrow(pairs, _neighbours, "key long, at int")
     return decided.unionByName(found.select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))), [rows, by_run]

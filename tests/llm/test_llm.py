@@ -122,6 +122,30 @@ def test_repeated_substrings(spark, corpus):
     assert substrings.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_windows_behind_a_shared_passage_need_their_whole_second_name(spark):
+    """Two windows with one first half whose second halves have names alike in their upper 32 bits don't repeat."""
+    from lumenlake.llm.common import mixed, powers_for
+
+    r = np.random.default_rng(11)
+    passage = r.integers(97, 123, 350)
+    tails = r.integers(97, 123, (400_000, 50))
+    up = powers_for(200)[0]
+    start = ((passage[200:].astype(np.uint64) + np.uint64(1)) * up[:150]).sum(dtype=np.uint64)
+    sums = np.full(len(tails), start)
+    for k in range(50):
+        sums += (tails[:, k].astype(np.uint64) + np.uint64(1)) * up[150 + k]
+    name = mixed(sums + np.uint64(200) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+    order = np.argsort(name, kind="stable")
+    same = np.flatnonzero(name[order][1:] == name[order][:-1])
+    assert len(same)
+    rows = []
+    for p in same:
+        a, b = ((passage.tolist() + tails[k].tolist()) for k in (order[p], order[p + 1]))
+        rows += [(2 * len(rows), bytes(a).decode()), (2 * len(rows) + 1, bytes(b).decode())]
+    got = [tuple(x) for x in substrings.remove_repeats(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_repeats(rows, 400)
+
+
 def test_decontamination(spark, corpus):
     docs, rows = corpus
     items = [(1, " ".join(words(80, 2).split()[5:30])), (2, "Two, WORDS"), (3, None), (4, ""), (5, "absent thing"), (12, " ".join(words(80, 2).split()[20:60]))]
