@@ -8,9 +8,12 @@ rare words cancel out of the comparison. A text's evidence is its length-normali
 the whole text and over its most toxic stretches of 1, 4 and 16 words, and how many words speak strongly for the
 toxic model; a logistic curve, fitted on labelled rows that the counts left out, turns them into a probability.
 
-Words are hashed into 2**WORD_BITS slots and word pairs into 2**PAIR_BITS, so what is collected and broadcast is
-bounded whatever the size of the corpus: about 14 MB for each class. Word pairs seen less than
-LEAST_PAIR times in a class count for the lower orders alone. At most MOST_LABELS labelled rows are learnt from.
+Words, their beginnings and word pairs are named by 64-bit hashes, so none share a count. The corpus's counts are
+rows, one for each distinct word of all documents, and stay distributed. Where neither class has a word (a beginning),
+its shared count is the same factor of both probabilities and drops out of their ratio, so scoring needs the counts of
+the labelled rows' words alone: they are looked up among the corpus's and go to the executors as sorted arrays, whose
+size is bounded by that of at most MOST_LABELS labelled rows. Word pairs seen less than LEAST_PAIR times in a class
+count for the lower orders alone.
 
 Defined results: null and empty texts, and texts without words, have no evidence and get the curve's value
 there. With no labels, or labels of one class, every score is 0. Rows that repeat are scored one by one;
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WORD, crc_mod, label_sample, logistic, map_arrow, mixed, prefix_hash, row_blocks, span_hash, text_bytes, words
 
-WORD_BITS, PAIR_BITS = 18, 20
 MOST_LABELS = 20_000
+#: Stands for no word before a row's first.
+NONE = np.uint64(0)
 #: A count c is discounted to c - 1 - DOUBT * sqrt(c), at least 0: what a class has only a few times, which may be
 #: chance, says nothing of the class.
 DOUBT = 1.5
@@ -49,21 +53,33 @@ FOLDS, HELD_OUT, CURVE_FOLD = 4, 2, 3
 THRESHOLD = 0.3
 
 
-def _slots(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The slots of each word and of its beginnings, the slot of the word before it (0: none), and where each row's
+def _names(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The hash of each word and of its beginnings, that of the word before it (NONE: none), and where each row's
     words begin."""
     data = LOWER[data]
     starts, ends = words(data, offsets, WORD)
     prefix = prefix_hash(data)
-    levels = [(span_hash(prefix, starts, np.minimum(ends, starts + n)) >> np.uint64(64 - WORD_BITS)).astype(np.int64) | 1 for n in (1 << 40, *BEGINNINGS)]
+    levels = [span_hash(prefix, starts, np.minimum(ends, starts + n)) for n in (1 << 40, *BEGINNINGS)]
     first = np.searchsorted(starts, offsets)
-    before = np.concatenate([[0], levels[0][:-1]]) if len(starts) else levels[0]
-    before[first[:-1][np.diff(first) > 0]] = 0
+    before = np.concatenate([[NONE], levels[0][:-1]]) if len(starts) else levels[0]
+    before[first[:-1][np.diff(first) > 0]] = NONE
     return levels, before, first
 
 
-def pair_slot(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (mixed((before.astype(np.uint64) << np.uint64(WORD_BITS)) | word.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def pair_name(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each of x stands in sorted keys; len(keys) if it doesn't."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, at, len(keys))
+
+
+def _longs(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(x.view(np.int64)) for x in columns]
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,75 +87,161 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(batch.column("text"))
         label = batch.column("label").to_numpy(zero_copy_only=False)
         for a, b in row_blocks(offsets):
-            levels, before, first = _slots(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            cls = np.repeat(label[a:b], np.diff(first)).astype(np.int64)
-            _, at, n = np.unique((cls << 2 * WORD_BITS) | (before << WORD_BITS) | levels[0], return_index=True, return_counts=True)
-            columns = [cls[at], before[at], *(x[at] for x in levels), pair_slot(before[at], levels[0][at])]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in columns), pa.array(n.astype(np.int64))], ["cls", "v", "w", "w1", "w2", "slot", "n"])
+            levels, before, first = _names(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            toxic = np.repeat(label[a:b], np.diff(first)) > 0
+            _, at, back = np.unique(pair_name(before, levels[0]), return_index=True, return_inverse=True)
+            n = [np.bincount(back[x], minlength=len(at)).astype(np.int64) for x in (toxic, ~toxic)]
+            yield pa.RecordBatch.from_arrays(_longs(before[at], levels[0][at], *n), ["v", "w", "toxic", "ordinary"])
+
 
+def _count_words(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(w, w1, w2, n): words with their beginnings, as often as they occur; up to `most` at once."""
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((1 + len(BEGINNINGS), 1 << WORD_BITS), np.int64)
+    def emit(parts: list) -> Iterator[pa.RecordBatch]:
+        levels = [np.concatenate(x) for x in zip(*parts)]
+        _, at, n = np.unique(levels[0], return_index=True, return_counts=True)
+        for k in range(0, len(at), 65536):
+            some = at[k : k + 65536]
+            yield pa.RecordBatch.from_arrays(_longs(*(x[some] for x in levels), n[k : k + 65536].astype(np.int64)), ["w", "w1", "w2", "n"])
+
+    parts, held = [], 0
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
         for a, b in row_blocks(offsets):
-            levels, _, _ = _slots(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            for k, slots in enumerate(levels):
-                total[k] += np.bincount(slots, minlength=total.shape[1])
-    at = np.flatnonzero(total)
-    for k in range(0, len(at), 65536):
-        part = at[k : k + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total.ravel()[part])], ["w", "n"])
+            levels, _, _ = _names(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            parts.append(levels)
+            held += len(levels[0])
+            if held >= most:
+                yield from emit(parts)
+                parts, held = [], 0
+    if held:
+        yield from emit(parts)
+
+
+WORDS = "w long, w1 long, w2 long, n long"
 
 
-def _dense(rows: DataFrame, key: str, value: str, size: int, cls: int | None = None) -> np.ndarray:
-    """A column of sums as an array by slot; at most `size` rows come to the driver, as Arrow."""
-    if cls is not None:
-        rows = rows.where(F.col("cls") == cls)
-    found = rows.select(key, F.col(value).cast("float").alias(value)).toArrow()
-    out = np.zeros(size, np.float32)
-    out[found[key].to_numpy()] = found[value].to_numpy()
-    return out
+def word_counts(docs: DataFrame) -> DataFrame:
+    """One row for each distinct word: its hash, those of its beginnings, and how often it occurs."""
+    rows = map_arrow(docs.select("text"), _count_words, WORDS)
+    return rows.groupBy("w").agg(F.first("w1").alias("w1"), F.first("w2").alias("w2"), F.sum("n").alias("n"))
+
+
+def _shared(counts: DataFrame, keys: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """How often the corpus has each of some words and beginnings, and how many words it has in all."""
+    sent = counts.sparkSession.sparkContext.broadcast(pickle.dumps(keys))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pickle.loads(sent.value)
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            for k, (mine, name) in enumerate(zip(held, ("w", "w1", "w2"))):
+                at = place(mine, batch.column(name).to_numpy().view(np.uint64))
+                some, back = np.unique(at, return_inverse=True)
+                sums = np.zeros(len(some), np.int64)
+                np.add.at(sums, back, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), *_longs(some, sums)], ["level", "at", "n"])
+
+    found = map_arrow(counts, look, "level int, at long, n long").groupBy("level", "at").agg(F.sum("n").alias("n")).toArrow()
+    level, at, n = (found[c].to_numpy() for c in ("level", "at", "n"))
+    out = []
+    for k, mine in enumerate(keys):
+        sums = np.zeros(len(mine) + 1, np.int64)
+        sums[at[level == k]] = n[level == k]
+        out.append(sums)
+    return [x[:-1] for x in out], int(out[0].sum())
 
 
 def _discounted(counts: np.ndarray) -> np.ndarray:
     return np.maximum(counts - 1 - DOUBT * np.sqrt(counts), 0)
 
 
+def _pairs_kept(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts >= LEAST_PAIR, _discounted(counts), 0)
+
+
+class Vocabulary:
+    """The words, beginnings, contexts and pairs of the labelled rows, as sorted names, with the corpus's counts."""
+
+    def __init__(self, v: np.ndarray, w: np.ndarray, spelt: list[np.ndarray]):
+        """v, w: the distinct pairs; spelt: the distinct words with their beginnings."""
+        order = np.argsort(pair_name(v, w))
+        self.pairs = pair_name(v, w)[order]
+        self.contexts, self.v = np.unique(v[order], return_inverse=True)
+        self.order, words_at = order, np.argsort(spelt[0])
+        self.levels = [spelt[0][words_at]]
+        self.w = place(self.levels[0], w[order])
+        #: Of each word (beginning), its next shorter beginning.
+        self.up: list[np.ndarray] = []
+        longer, rest = np.arange(len(words_at)), [x[words_at] for x in spelt[1:]]
+        for k, x in enumerate(rest):
+            keys, at, back = np.unique(x[longer], return_index=True, return_inverse=True)
+            self.levels.append(keys)
+            self.up.append(back)
+            longer = longer[at]
+
+
 class KneserNey:
     """One class: P(w | v) = kept(v w) / c(v) + (1 - kept(v .) / c(v)) * P(w), where kept is what the discount leaves
     of a count. P(w) mixes the class's discounted continuation counts N1+(. w) with P(b) * shared(w) / shared(b) for
-    the beginning b of w, and so on down to the shared counts."""
-
-    def __init__(self, pairs: np.ndarray, seen: np.ndarray, kept: np.ndarray, contexts: list[np.ndarray], shared: np.ndarray):
-        self.own = [_discounted(x) / max(1.0, float(_discounted(x).sum())) for x in contexts]
-        self.shared = shared
-        self.pairs = np.where(pairs >= LEAST_PAIR, _discounted(pairs), 0).astype(np.float32)
-        has = seen > 0
-        self.scale = np.divide(1, seen, out=np.zeros_like(seen), where=has).astype(np.float32)
-        self.rest = 1 - np.divide(kept, seen, out=np.zeros_like(seen), where=has).astype(np.float32)
-
-    def log(self, before: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-        p = None
-        for own, shared, slots in zip(self.own[::-1], self.shared[::-1], levels[::-1]):
-            here = shared[slots]
-            p = (1 - SHARED) * own[slots] + SHARED * (here if p is None else p * here / above)
-            above = here
-        direct = np.minimum(self.pairs[pair_slot(before, levels[0])] * self.scale[before], 1)
-        return np.log(direct + self.rest[before] * p)
+    the beginning b of w, and so on down to the shared counts. What the vocabulary doesn't have gets the last number of
+    each array."""
+
+    def __init__(self, known: Vocabulary, n: np.ndarray, shared: list[np.ndarray], total: int):
+        n = n[known.order].astype(np.float64)
+        kept = _pairs_kept(n)
+        size = len(known.contexts)
+        seen, left = np.bincount(known.v, n, size), np.bincount(known.v, kept, size)
+        per = np.divide(1, seen, out=np.zeros(size), where=seen > 0)
+        self.direct = np.append(kept * per[known.v], 0).astype(np.float32)
+        self.rest = np.append(1 - left * per, 1).astype(np.float32)
+        counts = [np.bincount(known.w[n > 0], minlength=len(known.levels[0]))]
+        for up, keys in zip(known.up, known.levels[1:]):
+            counts.append(np.bincount(up[counts[-1] > 0], minlength=len(keys)))
+        own = [_discounted(x.astype(np.float64)) for x in counts]
+        own = [x / max(1.0, float(x.sum())) for x in own]
+        shared = [np.maximum(x, 1).astype(np.float64) for x in shared]
+        p = [(1 - SHARED) * own[-1] + SHARED * shared[-1] / max(1, total)]
+        for k in range(len(own) - 2, -1, -1):
+            up = known.up[k]
+            p.insert(0, (1 - SHARED) * own[k] + SHARED * p[0][up] * shared[k] / shared[k + 1][up])
+        self.p = [np.append(x, 0).astype(np.float64) for x in p]
+
+    def log(self, pair: np.ndarray, before: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return np.log(self.direct[pair] + self.rest[before] * p)
 
 
 class Model:
-    def __init__(self, toxic: KneserNey, ordinary: KneserNey):
+    def __init__(self, known: Vocabulary, toxic: KneserNey, ordinary: KneserNey):
+        self.pairs, self.contexts, self.levels = known.pairs, known.contexts, known.levels
         self.toxic, self.ordinary, self.curve = toxic, ordinary, np.zeros(len(STRETCHES) + len(STRONG) + 2)
 
+    def ratios(self, levels: list[np.ndarray], before: np.ndarray) -> np.ndarray:
+        """What each word says for the toxic class."""
+        names, at, back = np.unique(levels[0], return_index=True, return_inverse=True)
+        p = np.ones((2, len(names)))
+        open_ = np.arange(len(names))
+        # The longest beginning that a class has decides; what both multiply it by beyond that is the same.
+        for k, keys in enumerate(self.levels):
+            found = place(keys, levels[k][at[open_]])
+            here = found < len(keys)
+            for side, model in zip(p, (self.toxic, self.ordinary)):
+                side[open_[here]] = model.p[k][found[here]]
+            open_ = open_[~here]
+        pair = np.full(len(back), len(self.pairs))
+        ask = np.flatnonzero(place(self.levels[0], names)[back] < len(self.levels[0]))
+        pair[ask] = place(self.pairs, pair_name(before[ask], levels[0][ask]))
+        context, where = np.unique(before, return_inverse=True)
+        context = place(self.contexts, context)[where]
+        return self.toxic.log(pair, context, p[0][back]) - self.ordinary.log(pair, context, p[1][back])
+
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
         out = np.zeros((rows, 1 + len(STRETCHES) + len(STRONG)))
-        levels, before, first = _slots(data, offsets)
+        levels, before, first = _names(data, offsets)
         if not len(before):
             return out
-        ratio = np.clip((self.toxic.log(before, levels) - self.ordinary.log(before, levels)).astype(np.float64), -MOST_RATIO, MOST_RATIO)
+        ratio = np.clip(self.ratios(levels, before), -MOST_RATIO, MOST_RATIO)
         running = np.concatenate([[0], np.cumsum(ratio)])
         n = np.diff(first)
         some = np.flatnonzero(n)
@@ -161,20 +263,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> M
     spark = docs.sparkSession
     sample = label_sample(labels, "toxic", most_labels, FOLDS, HELD_OUT).persist(StorageLevel.MEMORY_AND_DISK)
     # Exact copies are learnt from once.
+    once = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    sample = sample.join(once.select("doc_id"), "doc_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    known = known.join(known.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
-    pairs = map_arrow(known.where(F.col("fold") != CURVE_FOLD).select("text", "label"), _count_pairs, "cls int, v int, w int, w1 int, w2 int, slot int, n long")
-    pairs = pairs.groupBy("cls", "v", "w", "w1", "w2", "slot").agg(F.sum("n").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
-    counted = map_arrow(docs.select("text"), _count_words, "w int, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    size = 1 << WORD_BITS
-    shared = _dense(counted, "w", "n", (1 + len(BEGINNINGS)) * size).reshape(-1, size) + np.float32(1)
-    shared /= shared.sum(1, keepdims=True)
-    by_v = pairs.groupBy("cls", "v").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") >= LEAST_PAIR, F.greatest(F.col("n") - 1 - DOUBT * F.sqrt("n"), F.lit(0.0))).otherwise(0.0)).alias("t")).persist(StorageLevel.MEMORY_AND_DISK)
-    by_w = pairs.groupBy("cls", "w", "w1", "w2").agg(F.count("*").alias("t")).persist(StorageLevel.MEMORY_AND_DISK)
-    by_level = [by_w.groupBy("cls", "w").agg(F.sum("t").alias("t")), *(by_w.groupBy("cls", x).agg(F.count("*").alias("t")) for x in ("w1", "w2"))]
-    by_slot = pairs.where(F.col("n") >= LEAST_PAIR).groupBy("cls", "slot").agg(F.sum("n").alias("n"))
-    sides = [KneserNey(_dense(by_slot, "slot", "n", 1 << PAIR_BITS, c), _dense(by_v, "v", "n", size, c), _dense(by_v, "v", "t", size, c), [_dense(x, x.columns[1], "t", size, c) for x in by_level], shared) for c in (1, 0)]
-    model = Model(*sides)
+    counting = known.where(F.col("fold") != CURVE_FOLD).select("text", "label")
+    pairs = map_arrow(counting, _count_pairs, "v long, w long, toxic long, ordinary long").groupBy("v", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    spelt = word_counts(counting).select("w", "w1", "w2").toArrow()
+    names = lambda rows, *of: [rows[c].to_numpy().view(np.uint64) for c in of]
+    known_words = Vocabulary(*names(pairs, "v", "w"), names(spelt, "w", "w1", "w2"))
+    shared, total = _shared(word_counts(docs), known_words.levels)
+    model = Model(known_words, *(KneserNey(known_words, pairs[c].to_numpy(), shared, total) for c in ("toxic", "ordinary")))
     sent = spark.sparkContext.broadcast(pickle.dumps(model))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

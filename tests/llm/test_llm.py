@@ -248,6 +248,34 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.toxicity(docs, labels.where("false")).collect()} == {0.0}
 
 
+def test_toxicity_keeps_words_apart(spark):
+    """A clean word whose hash begins like a toxic word's isn't taken for it."""
+    from lumenlake.llm.common import word_hashes
+
+    def hashes(w):
+        data = np.frombuffer(" ".join(w).encode(), np.uint8)
+        return word_hashes(data, np.array([0, len(data)]))[0]
+
+    names = ["q%dz" % k for k in range(900_000)]
+    slots = hashes(names) >> np.uint64(47)
+    alike = {w: [names[k] for k in np.flatnonzero(slots == h >> np.uint64(47))] for w, h in zip(("awful", "nasty", "vile"), hashes(["awful", "nasty", "vile"]))}
+    assert all(alike.values())
+
+    def bad(w, r):
+        for p in r.choice(len(w), 3, replace=False):
+            w[p] = r.choice(["awful", "nasty", "vile"])
+        return " ".join(w)
+
+    docs, labels, truth = labelled(spark, 240, bad)
+    clean = [r.text for r in docs.orderBy("doc_id").collect() if truth.get(r.doc_id) == 0][:30]
+    more = [(10_000 + k, t + " " + " ".join(x[k % len(x)] for x in alike.values())) for k, t in enumerate(clean)]
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs.unionByName(documents(spark, more)), labels).collect()}
+    assert sum(got[i] for i, _ in more) <= 3
+    # Every distinct word has a count of its own.
+    many = documents(spark, [(k, " ".join(names[k * 30_000 : (k + 1) * 30_000])) for k in range(10)])
+    assert toxicity.word_counts(many).count() == 300_000
+
+
 def test_quality(spark):
     docs, labels, truth = labelled(spark, 240, lambda w, r: " | ".join(x.upper() for x in w))
     network = quality.fit(docs, labels, steps=150)
