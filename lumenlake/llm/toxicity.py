@@ -12,8 +12,9 @@ Words, their beginnings and word pairs are named by 64-bit hashes, so none share
 rows, one for each distinct word of all documents, and stay distributed. Where neither class has a word (a beginning),
 its shared count is the same factor of both probabilities and drops out of their ratio, so scoring needs the counts of
 the labelled rows' words alone: they are looked up among the corpus's and go to the executors as sorted arrays, whose
-size is bounded by that of at most MOST_LABELS labelled rows. Word pairs seen less than LEAST_PAIR times in a class
-count for the lower orders alone.
+size is bounded by that of at most MOST_LABELS labelled rows. Every pair and every continuation counts, less
+the usual discount that the class's counts of one and two give; a second, wary pair of models discounts rare ones more,
+and the curve weighs the evidence of both.
 
 Defined results: null and empty texts, and texts without words, have no evidence and get the curve's value
 there. With no labels, or labels of one class, every score is 0. Rows that repeat are scored one by one;
@@ -23,7 +24,8 @@ labels that repeat count once, the largest first. Extra columns are ignored.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,13 @@ from .common import LOWER, WORD, crc_mod, label_sample, logistic, map_arrow, mix
 MOST_LABELS = 20_000
 #: Stands for no word before a row's first.
 NONE = np.uint64(0)
-#: A count c is discounted to c - 1 - DOUBT * sqrt(c), at least 0: what a class has only a few times, which may be
-#: chance, says nothing of the class.
+#: The least and the largest discount of a count.
+DISCOUNTS = (0.1, 0.95)
+#: The wary models discount a count c to c - 1 - DOUBT * sqrt(c), at least 0: what a class has only a few times may be
+#: chance.
 DOUBT = 1.5
-#: The part of the lowest order that both classes take from the corpus's counts, and the least discounted pair.
+#: The part of the lowest order that both classes take from the corpus's counts.
 SHARED = 0.5
-LEAST_PAIR = 20
 #: Lengths in bytes of the beginnings of words.
 BEGINNINGS = (6, 4)
 #: The most that one word can say for either class.
@@ -49,6 +52,7 @@ MOST_RATIO = 6.0
 STRETCHES = (1, 4, 16)
 #: Words whose own ratio reaches these values are counted.
 STRONG = (1.5, 2.5)
+N_EVIDENCE = 1 + len(STRETCHES) + len(STRONG)
 FOLDS, HELD_OUT, CURVE_FOLD = 4, 2, 3
 THRESHOLD = 0.3
 
@@ -143,6 +147,7 @@ def _shared(counts: DataFrame, keys: list[np.ndarray]) -> tuple[list[np.ndarray]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), *_longs(some, sums)], ["level", "at", "n"])
 
     found = map_arrow(counts, look, "level int, at long, n long").groupBy("level", "at").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
     level, at, n = (found[c].to_numpy() for c in ("level", "at", "n"))
     out = []
     for k, mine in enumerate(keys):
@@ -152,12 +157,22 @@ def _shared(counts: DataFrame, keys: list[np.ndarray]) -> tuple[list[np.ndarray]
     return [x[:-1] for x in out], int(out[0].sum())
 
 
-def _discounted(counts: np.ndarray) -> np.ndarray:
+def discount(counts: np.ndarray) -> float:
+    """Kneser and Ney's discount: n1 / (n1 + 2 n2), where n1 counts occur once and n2 twice."""
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return float(np.clip(once / max(1, once + 2 * twice), *DISCOUNTS))
+
+
+def usual(counts: np.ndarray) -> np.ndarray:
+    return np.maximum(counts - discount(counts), 0)
+
+
+def doubted(counts: np.ndarray) -> np.ndarray:
     return np.maximum(counts - 1 - DOUBT * np.sqrt(counts), 0)
 
 
-def _pairs_kept(counts: np.ndarray) -> np.ndarray:
-    return np.where(counts >= LEAST_PAIR, _discounted(counts), 0)
+#: A class is modelled once with each.
+DISCOUNTED = (usual, doubted)
 
 
 class Vocabulary:
@@ -187,18 +202,21 @@ class KneserNey:
     the beginning b of w, and so on down to the shared counts. What the vocabulary doesn't have gets the last number of
     each array."""
 
-    def __init__(self, known: Vocabulary, n: np.ndarray, shared: list[np.ndarray], total: int):
-        n = n[known.order].astype(np.float64)
-        kept = _pairs_kept(n)
+    def __init__(self, known: Vocabulary, n: np.ndarray, shared: list[np.ndarray], total: int, discounted: Callable[[np.ndarray], np.ndarray]):
+        once, at = np.unique(n, return_index=True)
+        #: What the discount leaves of each count.
+        self.kept = np.zeros(int(n.max(initial=0)) + 1, np.float32)
+        self.kept[once] = discounted(n.astype(np.float64))[at]
+        kept = self.kept[n]
         size = len(known.contexts)
         seen, left = np.bincount(known.v, n, size), np.bincount(known.v, kept, size)
         per = np.divide(1, seen, out=np.zeros(size), where=seen > 0)
-        self.direct = np.append(kept * per[known.v], 0).astype(np.float32)
+        self.per = np.append(per, 0).astype(np.float32)
         self.rest = np.append(1 - left * per, 1).astype(np.float32)
         counts = [np.bincount(known.w[n > 0], minlength=len(known.levels[0]))]
         for up, keys in zip(known.up, known.levels[1:]):
             counts.append(np.bincount(up[counts[-1] > 0], minlength=len(keys)))
-        own = [_discounted(x.astype(np.float64)) for x in counts]
+        own = [discounted(x.astype(np.float64)) for x in counts]
         own = [x / max(1.0, float(x.sum())) for x in own]
         shared = [np.maximum(x, 1).astype(np.float64) for x in shared]
         p = [(1 - SHARED) * own[-1] + SHARED * shared[-1] / max(1, total)]
@@ -207,47 +225,56 @@ class KneserNey:
             p.insert(0, (1 - SHARED) * own[k] + SHARED * p[0][up] * shared[k] / shared[k + 1][up])
         self.p = [np.append(x, 0).astype(np.float64) for x in p]
 
-    def log(self, pair: np.ndarray, before: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return np.log(self.direct[pair] + self.rest[before] * p)
+    def log(self, n: np.ndarray, before: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """n: how often the class has each word after the word before it."""
+        return np.log(self.kept[n] * self.per[before] + self.rest[before] * p)
 
 
 class Model:
-    def __init__(self, known: Vocabulary, toxic: KneserNey, ordinary: KneserNey):
+    def __init__(self, known: Vocabulary, counts: list[np.ndarray], sides: list[tuple[KneserNey, KneserNey]]):
+        #: How often the toxic and the ordinary rows have each pair; the last is that of no pair.
+        self.counts = [np.append(n, 0).astype(np.min_scalar_type(int(n.max(initial=0)))) for n in counts]
         self.pairs, self.contexts, self.levels = known.pairs, known.contexts, known.levels
-        self.toxic, self.ordinary, self.curve = toxic, ordinary, np.zeros(len(STRETCHES) + len(STRONG) + 2)
+        #: Toxic and ordinary, with each discount.
+        self.sides, self.curve = sides, np.zeros(len(sides) * N_EVIDENCE + 1)
 
-    def ratios(self, levels: list[np.ndarray], before: np.ndarray) -> np.ndarray:
-        """What each word says for the toxic class."""
+    def ratios(self, levels: list[np.ndarray], before: np.ndarray) -> list[np.ndarray]:
+        """What each word says for the toxic class, with each discount."""
         names, at, back = np.unique(levels[0], return_index=True, return_inverse=True)
-        p = np.ones((2, len(names)))
+        p = np.ones((len(self.sides), 2, len(names)))
         open_ = np.arange(len(names))
         # The longest beginning that a class has decides; what both multiply it by beyond that is the same.
         for k, keys in enumerate(self.levels):
             found = place(keys, levels[k][at[open_]])
             here = found < len(keys)
-            for side, model in zip(p, (self.toxic, self.ordinary)):
-                side[open_[here]] = model.p[k][found[here]]
+            for own, models in zip(p, self.sides):
+                for x, model in zip(own, models):
+                    x[open_[here]] = model.p[k][found[here]]
             open_ = open_[~here]
         pair = np.full(len(back), len(self.pairs))
         ask = np.flatnonzero(place(self.levels[0], names)[back] < len(self.levels[0]))
         pair[ask] = place(self.pairs, pair_name(before[ask], levels[0][ask]))
         context, where = np.unique(before, return_inverse=True)
         context = place(self.contexts, context)[where]
-        return self.toxic.log(pair, context, p[0][back]) - self.ordinary.log(pair, context, p[1][back])
+        n, m = (x[pair] for x in self.counts)
+        return [toxic.log(n, context, x[back]) - ordinary.log(m, context, y[back]) for (toxic, ordinary), (x, y) in zip(self.sides, p)]
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
-        out = np.zeros((rows, 1 + len(STRETCHES) + len(STRONG)))
         levels, before, first = _names(data, offsets)
         if not len(before):
-            return out
-        ratio = np.clip(self.ratios(levels, before), -MOST_RATIO, MOST_RATIO)
+            return np.zeros((rows, len(self.sides) * N_EVIDENCE))
+        return np.hstack([self.weigh(np.clip(x, -MOST_RATIO, MOST_RATIO), first) for x in self.ratios(levels, before)])
+
+    @staticmethod
+    def weigh(ratio: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(first) - 1, N_EVIDENCE))
         running = np.concatenate([[0], np.cumsum(ratio)])
         n = np.diff(first)
         some = np.flatnonzero(n)
         out[some, 0] = (running[first[1:]] - running[first[:-1]])[some] / n[some]
         begins = np.repeat(first[:-1], n)
-        at = np.arange(len(before))
+        at = np.arange(len(ratio))
         for k, width in enumerate(STRETCHES, 1):
             mean = (running[1:] - running[np.maximum(begins, at - width + 1)]) / width
             out[some, k] = np.maximum.reduceat(mean, first[:-1][some])
@@ -259,6 +286,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
+def _packed(model: Model | None) -> bytes:
+    return zlib.compress(pickle.dumps(model), 1)
+
+
+def _unpacked(data: bytes) -> Model | None:
+    return pickle.loads(zlib.decompress(data))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> Model | None:
     spark = docs.sparkSession
     sample = label_sample(labels, "toxic", most_labels, FOLDS, HELD_OUT).persist(StorageLevel.MEMORY_AND_DISK)
@@ -267,16 +302,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> M
     sample = sample.join(once.select("doc_id"), "doc_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     counting = known.where(F.col("fold") != CURVE_FOLD).select("text", "label")
-    pairs = map_arrow(counting, _count_pairs, "v long, w long, toxic long, ordinary long").groupBy("v", "w").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    pairs = map_arrow(counting, _count_pairs, "v long, w long, toxic long, ordinary long").groupBy("v", "w").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("ordinary").cast("int").alias("ordinary")).toArrow()
     spelt = word_counts(counting).select("w", "w1", "w2").toArrow()
     names = lambda rows, *of: [rows[c].to_numpy().view(np.uint64) for c in of]
     known_words = Vocabulary(*names(pairs, "v", "w"), names(spelt, "w", "w1", "w2"))
     shared, total = _shared(word_counts(docs), known_words.levels)
-    model = Model(known_words, *(KneserNey(known_words, pairs[c].to_numpy(), shared, total) for c in ("toxic", "ordinary")))
-    sent = spark.sparkContext.broadcast(pickle.dumps(model))
+    counts = [pairs[c].to_numpy()[known_words.order] for c in ("toxic", "ordinary")]
+    del pairs, spelt
+    model = Model(known_words, counts, [tuple(KneserNey(known_words, n, shared, total, f) for n in counts) for f in DISCOUNTED])
+    sent = spark.sparkContext.broadcast(_packed(model))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pickle.loads(sent.value)
+        held = _unpacked(sent.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for a, b in row_blocks(offsets):
@@ -284,6 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> M
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a), pa.array(list(found), pa.list_(pa.float64()))], ["label", "x"])
 
     left = map_arrow(known.where(F.col("fold") == CURVE_FOLD).select("text", "label"), weigh, "label int, x array<double>").toArrow()
+    sent.destroy()
     y = left["label"].to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return None
@@ -296,11 +334,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> M
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score, predicted of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    sent = docs.sparkSession.sparkContext.broadcast(_packed(model))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pickle.loads(sent.value)
+        held = _unpacked(sent.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for a, b in row_blocks(offsets):

@@ -276,6 +276,25 @@ def test_toxicity_keeps_words_apart(spark):
     assert toxicity.word_counts(many).count() == 300_000
 
 
+def test_toxicity_hears_rare_pairs(spark):
+    """Expressions of ordinary words, each seen less than 20 times in the toxic rows, are found."""
+    r, docs, labels = np.random.default_rng(6), [], []
+    for k in range(480):
+        w, toxic = ["word%d" % x for x in r.integers(100, 250, 60)], k % 4 == 0
+        for x, p in zip(r.choice(24, 4, replace=False), (3, 17, 31, 45)):
+            w[p : p + 2] = ["word%d" % y for y in ((x, x + 50) if toxic else (x + 50, x))]
+            # Both words also stand alone, so that each follows as many words in either class.
+            w[p + 4], w[p + 7], w[p + 9], w[p + 11] = ("word%d" % y for y in (x, x + 50, x, x + 50))
+        docs.append((k, " ".join(w)))
+        labels.append((k, 1, int(toxic)))
+    got = toxicity.toxicity(documents(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [(r.doc_id % 4 == 0, r.predicted) for r in got if r.held_out]
+    assert np.mean([p for toxic, p in held if toxic]) > 0.8
+    assert np.mean([p for toxic, p in held if not toxic]) < 0.1
+    rare = np.array([1.0] * 30 + [2.0] * 10 + [9.0])
+    assert toxicity.discount(rare) == 30 / 50 and (toxicity.usual(rare) > 0).all()
+
+
 def test_quality(spark):
     docs, labels, truth = labelled(spark, 240, lambda w, r: " | ".join(x.upper() for x in w))
     network = quality.fit(docs, labels, steps=150)
