@@ -11,14 +11,16 @@ A long conversation is cut into segments of SEGMENT turns, each decoded by itsel
 hot conversation; repeated rows of one turn collapse before they meet and are given back afterwards.
 
 Defined results: null text is an empty turn; a null role is unknown and is recovered like any other; a null
-conv_id is a conversation of its own; rows that repeat a turn each get the turn's result. Extra columns are
-ignored.
+conv_id is a conversation of its own; rows that repeat a turn each get the turn's result. Roles, boundaries and
+texts are the parser's: a turn whose beginning it misses is part of the one before, and a line inside a text that looks
+like a marker opens a turn. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ NAMES = {
     "user": ("user", "human", "q", "question", "customer", "client", "prompter"),
     "assistant": ("assistant", "ai", "a", "answer", "bot", "agent", "model", "gpt"),
 }
+NO_TURN = {"turn": None, "role": None, "copies": 1}
 ROLE_OF = {name: role for role, names in NAMES.items() for name in names}
 MARKER = re.compile(r"^\s*(?:(?:#{1,4}|\*\*|[-–>])\s*)?(?:<\|(?:im_start\|>)?|\[|\()?\s*([A-Za-z]{1,14})\s*(?:\|>|\]|\))?\s*(?:\*\*)?\s*(:|-(?=\s)|(?<=[\]>)])|$)\s*(?:\*\*)?[ \t]*")
 #: How the query's transcripts are written: what stands before a turn of each role.
@@ -109,9 +112,11 @@ class RoleModel:
         return out
 
     def turns(self, transcript: str) -> list[tuple[str, str]]:
-        """(role, text without markers) of each turn."""
-        if not transcript:
-            return []
+        """(role, text without markers) of each turn; an empty transcript has none."""
+        return self.read(transcript) if transcript else []
+
+    def read(self, transcript: str) -> list[tuple[str, str]]:
+        """The same of a transcript that has a turn: if it is empty, so is the turn."""
         lines, out = transcript.split("\n"), []
         for line, state in zip(lines, self.decode(lines)):
             if state < len(ROLES):
@@ -174,8 +179,9 @@ def segments(conversations: DataFrame) -> DataFrame:
 
 
 def recover(conversations: DataFrame, model: RoleModel | None = None) -> DataFrame:
-    """One row for each turn of the table, from a transcript of its segment whose roles are hidden:
-    conv_id, turn, role (as given), recovered (by the model), text, rendered (canonical)."""
+    """The turns that the parser finds in each segment's transcript, matched by position with the table's: conv_id,
+    turn, role (as given), recovered, text, rendered (canonical). Turns of the table beyond those found have null for
+    the last three; found ones beyond the table's have null for turn and role."""
     sent = conversations.sparkSession.sparkContext.broadcast(model or fit(conversations))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +190,13 @@ def recover(conversations: DataFrame, model: RoleModel | None = None) -> DataFra
             conv = batch.column("conv_id").cast(pa.string()).to_pylist()
             for k, (c, cut, turns) in enumerate(zip(conv, batch.column("segment").to_pylist(), batch.column("turns").to_pylist())):
                 style, unmarked = _plan(c, len(turns), cut)
-                transcript, states = write_transcript([(t["role"], t["text"]) for t in turns], style, unmarked)
-                lines = transcript.split("\n")
-                guess = sent.value.decode(lines)
-                starts = np.flatnonzero(states < len(ROLES))
-                # A turn whose beginning the model missed belongs to the turn before it, and so has its role.
-                for t, role in zip(turns, (ROLES[g % len(ROLES)] for g in guess[starts])):
+                transcript, _ = write_transcript([(t["role"], t["text"]) for t in turns], style, unmarked)
+                # What the parser finds, by position: the table has no say in boundaries, roles or texts.
+                found = sent.value.read(transcript)
+                for t, (role, text) in zip_longest(turns, found, fillvalue=(None, None)):
+                    t = t if isinstance(t, dict) else NO_TURN
                     index.append(k)
-                    for name, value in (("turn", t["turn"]), ("role", t["role"]), ("recovered", role), ("text", t["text"]), ("rendered", render(role, t["text"])), ("copies", t["copies"])):
+                    for name, value in (("turn", t["turn"]), ("role", t["role"]), ("recovered", role), ("text", text), ("rendered", render(role, text) if role else None), ("copies", t["copies"])):
                         out[name].append(value)
             kinds = [pa.int64(), *[pa.string()] * 4, pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array(index, pa.int64())), *(pa.array(x, kind) for x, kind in zip(out.values(), kinds))], ["conv_id", *out])

@@ -332,6 +332,21 @@ def test_chat(spark):
     assert found == {1: [("user", "hello there\nmore"), ("assistant", "hi"), ("user", "bye?")], 2: [], 3: []}
 
 
+def test_chat_recovers_what_the_parser_finds(spark):
+    """A marker-like line inside a text opens a turn, and texts are those of the transcript without its markers."""
+    rows = [(c, t, ("user", "assistant")[t % 2], "say %d %d" % (c, t)) for c in range(60) for t in range(6)]
+    texts = ["\n one", "two\nUser: not a turn\nmore", "three\n\n"]
+    rows += [(500, t, ("user", "assistant")[t % 2], x) for t, x in enumerate(texts)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.fit(table)
+    transcript, _ = chat.write_transcript([(r, x) for c, _, r, x in rows if c == 500], *chat._plan("500", 3, 0))
+    want = model.turns(transcript)
+    got = [x for x in chat.recover(table, model).collect() if x.conv_id == 500]
+    assert len(want) == 4 and sorted((x.recovered, x.text) for x in got) == sorted(want)
+    assert sorted((x.turn is None, x.turn) for x in got) == [(False, 0), (False, 1), (False, 2), (True, None)]
+    assert all(x.rendered == chat.render(x.recovered, x.text) for x in got)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
