@@ -6,10 +6,10 @@ one of them. Coordinates are banded (BANDS of ROWS); documents of one band value
 
 Equal sets are one class from the start, so exact copies cost one row each. In each bucket every class is
 compared with one of the bucket only, its leader; links are confirmed on the full sets. What is left is settled
-exactly: a class that isn't linked to its bucket's leader is compared with the others that aren't, and,
+too: a class that isn't linked to its bucket's leader is compared with the others that aren't, and,
 if it comes near it (a distance of at most twice the threshold's), with those linked to it that the triangle inequality of
 Jaccard distances allows, unless they are in one component already. A 4-bit sketch of the signature screens
-pairs below the threshold by 4 standard deviations before they leave the bucket and their sets are fetched. No
+pairs below the threshold by 5 standard deviations before they leave the bucket and their sets are fetched. No
 pairs are capped or sampled.
 
 With 28 bands of 5 rows a link of similarity 0.85 misses all bands once in 10**7. Defined results: null and empty
@@ -204,7 +204,7 @@ class _Linker:
         y = rows.where("not linked").select("b", *(F.col(x).alias(f"y_{x}") for x in ("id", "c", "j", "n", "sketch", "bands")))
         x = rows.select("b", *(F.col(x).alias(f"x_{x}") for x in ("id", "c", "j", "n", "sketch", "bands", "linked")))
         allowed = f"y_id <> x_id and y_c <> x_c and (not x_linked and y_id < x_id or x_linked and y_j >= {near_percent(self.percent) / 100 - 1e-4} and x_j <= y_j + {1 - self.percent / 100 + 1e-4})"
-        close = f"100 * least(x_n, y_n) >= {self.percent} * greatest(x_n, y_n) and {_equal_nibbles('x_sketch', 'y_sketch')} >= {least_equal(self.percent, 4.0)}"
+        close = f"100 * least(x_n, y_n) >= {self.percent} * greatest(x_n, y_n) and {_equal_nibbles('x_sketch', 'y_sketch')} >= {least_equal(self.percent, 5.0)}"
         # A pair counts in the first band that it shares: a bucket of another band would settle it the same way.
         first = "array_position(x_bands, b) = array_position(zip_with(x_bands, y_bands, (p, q) -> p = q), true)"
         return y.join(x, "b").where(f"{allowed} and {close} and {first}").select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()

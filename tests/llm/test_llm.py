@@ -96,6 +96,17 @@ def test_near_groups_of_a_chain_and_a_large_family(spark):
     assert got == label
 
 
+def test_left_over_pairs_within_five_deviations_are_compared(spark):
+    """214 of 280 equal sketch coordinates are 4.6 standard deviations below what 0.85 gives."""
+    linker = neardup._Linker(documents(spark, []), 85, 3)
+    far = [0x1111111111111111] * 4 + [0x11] + [0] * (neardup.SKETCH - 5)
+    linker.sketches = spark.createDataFrame([(1, 100, [0] * neardup.SKETCH, [7]), (2, 100, [0] * neardup.SKETCH, [7]), (3, 100, far, [7])], "id long, n long, sketch array<long>, bands array<long>")
+    members = spark.createDataFrame([(7, k, 1) for k in (1, 2, 3)], "b long, id long, leader long")
+    tried = spark.createDataFrame([(1, k, 100, 100, 10) for k in (2, 3)], "a long, b long, na long, nb long, both long")
+    label = spark.createDataFrame([], "id long, component long")
+    assert [tuple(r) for r in linker.left_over(members, tried, label).collect()] == [(2, 3)]
+
+
 def brute_repeats(rows, length):
     seen = {}
     for _, t in rows:
