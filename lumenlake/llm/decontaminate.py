@@ -11,7 +11,8 @@ broadcast is bounded whatever the size of the benchmark.
 
 Defined results: A-Z count as a-z; words are runs of digits, letters a-z and anything beyond ASCII. Null or
 empty texts have no words, hit nothing and contain nothing. An item of fewer words than the window is one
-window; an item without words has none. Items with one text are items of their own. With an empty benchmark
+window; an item without words has none. The windows of an item without item_id count as hit, only its id is missing
+from item_ids. Items with one text are items of their own. With an empty benchmark
 nothing is hit. Rows that repeat are judged one by one. Extra columns are ignored, or kept by clean().
 """
 
@@ -51,7 +52,7 @@ def _run_hash(h: np.ndarray, n: int) -> np.ndarray:
 class Windows:
     """The distinct windows of a block of items, as word hashes, with the items that have each."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+    def __init__(self, items: list[tuple[str | None, np.ndarray]], window: int):
         rows: dict[bytes, tuple[np.ndarray, set[int]]] = {}
         self.names = [name for name, _ in items]
         for k, (_, h) in enumerate(items):
@@ -74,7 +75,7 @@ class Windows:
 def read_items(items: DataFrame, window: int, most_words: int = MOST_WORDS) -> Iterator[Windows]:
     """The benchmark in blocks. The driver holds one block at a time."""
     block, held = [], 0
-    for row in items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").toLocalIterator():
+    for row in items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").toLocalIterator():
         data, offsets = text_bytes(pa.array([row.text]))
         h, _ = _hashes(None, 0, 1, data, offsets)
         block.append((row.item_id, h))
@@ -167,7 +168,7 @@ def _scanner(tests: list, text: str, keep: bool):
                     more, _, items, run, run_at = _judge(h, starts, windows)
                     hit |= more
                     for k, found in enumerate(items):
-                        names[k] += [windows.names[x] for x in found]
+                        names[k] += [windows.names[x] for x in found if windows.names[x] is not None]
                     best, best_at = np.where(run > best, run, best), np.where(run > best, run_at, best_at)
                 n_hit = np.add.reduceat(np.concatenate([hit, [False]]).astype(np.int64), starts[:-1]) * (np.diff(starts) > 0) if rows else np.zeros(0, np.int64)
                 part = batch.slice(first, rows)

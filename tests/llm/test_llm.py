@@ -184,6 +184,15 @@ def test_decontamination(spark, corpus):
     assert decontaminate.find_leaks(docs.where("false"), table).count() == 0
 
 
+def test_decontamination_counts_items_without_id(spark, corpus):
+    docs, _ = corpus
+    passage = " ".join(words(80, 2).split()[5:30])
+    table = spark.createDataFrame([(None, passage), (None, "Two, WORDS"), (3, " ".join(words(80, 2).split()[5:20]))], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.leak_report(docs, table).collect()}
+    assert got[4] == got[5] == (25, 1, True) and got[8] == got[9] == (2, 0, True) and got[1] == (0, 0, False)
+    assert {r.doc_id for r in decontaminate.clean(docs, table).collect()}.isdisjoint({4, 5, 8, 9})
+
+
 def test_mixing(spark, corpus):
     docs, rows = corpus
     got = mixing.mix(docs).collect()
