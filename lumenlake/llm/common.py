@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,21 +18,43 @@ BLOCK_BYTES = 2 << 20
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a temporary one serves
+    a session of one machine (tests); on a cluster it is an error."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lumenlake-")
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
+    """Cuts lineage with a reliable checkpoint in the shared folder. Its files go with the session, or, where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, once nothing refers to them."""
+    root = shared_folder(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lumenlake-checkpoint-"))
+        sc.setCheckpointDir(root)
     return df.checkpoint()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with batches of at most BATCH_ROWS rows, so that very long texts don't add up."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    """mapInArrow; the function gets batches of at most BATCH_ROWS rows, so that what it makes of texts doesn't add up.
+    (Spark's own batches are bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch.)"""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(b.slice(k, BATCH_ROWS) for b in batches for k in range(0, max(1, b.num_rows), BATCH_ROWS))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,51 +182,101 @@ def shuffle_size(spark: SparkSession) -> int:
 
 class IdFilter:
     """A bitmap over hashed 64-bit values: `probably` never misses one that it was made from. Its size is bounded;
-    over a table too large for it, it lets more rows through and an exact join after it does more of the work."""
-
-    MOST_BITS = 26
+    over a table too large for it, it lets more rows through and an exact join after it does more of the work.
+    Tasks send it in pieces of 4 kB, merged by aggregation, so the driver gets the bits and nothing else."""
 
-    def __init__(self, bits: int, slots: np.ndarray):
-        self.bits, self.bitmap = bits, np.zeros(1 << bits, bool)
-        self.bitmap[slots] = True
+    MOST_BITS = 28
 
-    @staticmethod
-    def slots(values: np.ndarray, bits: int) -> np.ndarray:
-        return (mixed(values.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    def __init__(self, bits: int, pieces: dict[int, bytes]):
+        self.bits, self.bitmap = bits, np.zeros(1 << bits - 3, np.uint8)
+        for k, piece in pieces.items():
+            self.bitmap[k * 4096 : (k + 1) * 4096] = np.frombuffer(piece, np.uint8)[: len(self.bitmap)]
 
     @classmethod
     def of(cls, df: DataFrame, column: str) -> IdFilter:
         """df is read twice."""
         bits = max(16, min(cls.MOST_BITS, (16 * max(1, df.count())).bit_length()))
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                values = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(cls.slots(values, bits)))], ["slot"])
-
-        return cls(bits, map_arrow(df.select(F.col(column).cast("long")), pick, "slot long").distinct().toArrow()["slot"].to_numpy())
+        slot = F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), 64 - bits)
+        slots = df.where(F.col(column).isNotNull()).select((slot / 32768).cast("long").alias("k"), (slot % 32768).alias("at"))
+        pieces = slots.groupBy("k").agg(F.bitmap_construct_agg("at").alias("piece"))
+        return cls(bits, {r.k: bytes(r.piece) for r in pieces.toLocalIterator()})
 
     def probably(self, column: pa.Array) -> np.ndarray:
         """For each value of an Arrow column of longs; null never."""
-        values = column.fill_null(0).to_numpy(zero_copy_only=False)
-        return self.bitmap[self.slots(values, self.bits)] & ~np.asarray(column.is_null())
+        slot = xxhash64_longs(column.fill_null(0).to_numpy(zero_copy_only=False)) >> np.uint64(64 - self.bits)
+        found = self.bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+        return found.astype(bool) & ~np.asarray(column.is_null())
+
+
+def xxhash64_longs(values: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's xxhash64() of longs: XXH64 of their eight bytes."""
+    one, two, three, four, five = (np.uint64(p) for p in XXH64_PRIMES)
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    x = values.astype(np.int64).view(np.uint64)
+    h = np.uint64(seed) + five + np.uint64(8) ^ turned(x * two, 31) * one
+    h = turned(h, 27) * one + four
+    h = (h ^ (h >> np.uint64(33))) * two
+    h = (h ^ (h >> np.uint64(29))) * three
+    return h ^ (h >> np.uint64(32))
+
+
+#: The primes of XXH64.
+XXH64_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
 
 class SharedTable:
-    """A table written as Parquet to the shared folder, for as long as it is needed."""
+    """A table written as Parquet to the shared folder, for as long as it is needed: a with block deletes it."""
 
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
-        sc = spark.sparkContext
-        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lumenlake-shared-")
-        self.path = f"{root.rstrip('/')}/lumenlake-{uuid.uuid4().hex}"
+        self.path = f"{shared_folder(spark)}/lumenlake-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def delete(self) -> None:
-        sc = self.df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(self.df.sparkSession, self.path)
+
+    def __enter__(self) -> DataFrame:
+        return self.df
+
+    def __exit__(self, *_) -> None:
+        self.delete()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, such that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A table of so many longs at most is broadcast (under 100 MB as a hash table); a larger one is joined by shuffles.
+MOST_BROADCAST = 2_000_000
+
+
+def keep_rows(docs: DataFrame, state: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that `state` keeps, all their columns. state gets docs with the columns row_id and row_text
+    (doc_id as long, and a hash of the text: what names a row) and gives (row_id, row_text, kept): true for one or more
+    of the rows of that name. Of rows alike in both, one stays."""
+    i, t = fresh(docs, "row_id"), fresh(docs, "row_text")
+    named = docs.withColumns({i: F.col("doc_id").cast("long"), t: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    found = state(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("row_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row_text")))
+    once = found.groupBy("row_id", "row_text").agg(F.max("kept").alias("kept"), F.count("*").alias("copies")).where("not kept or copies > 1")
+    once = cut(once.select(F.xxhash64("row_id", "row_text").alias("_key"), F.col("row_id").alias("_id"), F.col("row_text").alias("_text"), "kept"))
+    key = fresh(docs, "row_key")
+    named = named.withColumn(key, F.xxhash64(i, t))
+    same = lambda x: (F.col(key) == x["_key"]) & F.col(i).eqNullSafe(x["_id"]) & (F.col(t) == x["_text"])
+    sent = F.broadcast(once) if once.count() <= MOST_BROADCAST else once
+    single = named.join(sent, same(once), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    again = once.where("kept")
+    if again.isEmpty():
+        return single
+    # Of rows alike, the one of the smallest hash over all columns.
+    rows = named.join(F.broadcast(again) if again.count() <= MOST_BROADCAST else again, same(again), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = rows.groupBy(i, t).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))).alias("whole"))
+    return single.unionByName(rows.select("whole.*"))
 
 
 def components(edges: DataFrame) -> DataFrame:

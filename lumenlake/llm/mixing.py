@@ -14,7 +14,7 @@ target 0. The document at the threshold is taken if that brings the source neare
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -28,11 +28,15 @@ HASH_DIGITS = 15
 LEVEL_DIGITS = 3
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): words `[^\\x20\\x09-\\x0D]+` of each text; h: hex digits of an MD5 of doc_id."""
+def _measures() -> list[tuple[str, Column]]:
     n_words = F.expr(r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0)").cast("long")
     h = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, HASH_DIGITS)
-    return docs.select("doc_id", "source", n_words.alias("size"), h.alias("h"))
+    return [("size", n_words), ("h", h)]
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, h): words `[^\\x20\\x09-\\x0D]+` of each text; h: hex digits of an MD5 of doc_id."""
+    return docs.select("doc_id", "source", *(x.alias(n) for n, x in _measures()))
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_TIMES) -> DataFrame:
@@ -56,15 +60,14 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     return rows.select("source", "source_size", F.round(target, 6).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """One row for each document: doc_id, size, source, source_size, target, taken, times."""
-    rows = sizes(docs).persist(StorageLevel.MEMORY_AND_DISK)
+def limits(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """One row for each source of sizes(): source, source_size, target, times, at, with_it. A document of hash h is
+    taken `times` times, and once more if h < at, or h = at and with_it."""
     bins = rows.groupBy("source", F.substring("h", 1, LEVEL_DIGITS).alias("b")).agg(F.sum("size").alias("words"))
     goals = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share)
     goals = goals.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    goals = goals.withColumn("budget", F.col("target") - F.col("times") * F.col("source_size"))
-    goals = goals.persist(StorageLevel.MEMORY_AND_DISK)
-    small = F.broadcast if goals.count() <= MOST_BROADCAST else (lambda df: df)
+    goals = cut(goals.withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")))
+    small = _sender(goals)
     # The boundary bucket of each source so far: its prefix, and the words that stand before it.
     edge = goals.select("source", "budget", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("below"))
     for level in range(HASH_DIGITS // LEVEL_DIGITS):
@@ -81,16 +84,42 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     closer = (F.col("below") + F.col("words") - F.col("budget")) < (F.col("budget") - F.col("below"))
     edge = edge.select(F.col("source").alias("_e"), F.col("prefix").alias("at"), closer.alias("with_it"))
     goals = goals.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left")
-    goals = goals.select(F.col("source").alias("_g"), "source_size", "target", "times", "at", "with_it")
-    extra = F.when(F.col("at").isNull(), F.col("times") < F.lit(0)).otherwise((F.col("h") < F.col("at")) | (F.col("with_it") & (F.col("h") == F.col("at"))))
-    out = rows.join(small(goals), F.col("source").eqNullSafe(F.col("_g"))).withColumn("times", F.col("times") + extra.cast("int"))
+    return cut(goals.select("source", "source_size", "target", "times", "at", "with_it"))
+
+
+def _sender(goals: DataFrame):
+    return F.broadcast if goals.count() <= MOST_BROADCAST else (lambda df: df)
+
+
+def _times(h: str) -> Column:
+    """How often a row with a hash and its source's limits is taken."""
+    extra = F.when(F.col("_at").isNull(), F.lit(False)).otherwise((F.col(h) < F.col("_at")) | (F.col("_with_it") & (F.col(h) == F.col("_at"))))
+    return F.col("_times") + extra.cast("int")
+
+
+def _marked(goals: DataFrame) -> DataFrame:
+    return goals.select(F.col("source").alias("_g"), "source_size", "target", F.col("times").alias("_times"), F.col("at").alias("_at"), F.col("with_it").alias("_with_it"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """One row for each document: doc_id, size, source, source_size, target, taken, times."""
+    rows = sizes(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    goals = limits(rows, weights, share)
+    out = rows.join(_sender(goals)(_marked(goals)), F.col("source").eqNullSafe(F.col("_g"))).withColumn("times", _times("h"))
     return out.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """The documents of the mix, repeated as often as it takes them, and how often that is.
+    """The documents of the mix, repeated as often as it takes them, each with its number (repeat: 1, 2).
 
-    A document that the mix takes twice is two rows; a document without words, or not taken, is none."""
-    taken = mix(docs, weights, share).where("times > 0 and size > 0").select(F.col("doc_id").alias("_id"), F.col("times").alias("_times")).groupBy("_id").agg(F.max("_times").alias("_times"))
-    rows = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times")
+    A row's own source and hash say how often it is taken, so rows of one doc_id in two sources are judged by their
+    own source, and no join on doc_id is needed. A document without words, or not taken, is no row. An input column
+    called repeat is replaced; other columns are kept, whatever their names."""
+    rows = sizes(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    goals = limits(rows, weights, share)
+    rows.unpersist()
+    kept = [c for c in docs.columns if c.lower() != "repeat"]
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), F.col("source").alias("_source"), *(x.alias(f"_{n}") for n, x in _measures()))
+    out = whole.join(_sender(goals)(_marked(goals)), F.col("_source").eqNullSafe(F.col("_g"))).withColumn("_times", _times("_h")).where("_times > 0 and _size > 0")
+    out = out.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.select("_row.*", "repeat")

@@ -4,18 +4,23 @@ A document is its set of shingles. Two fixed permutations of D slots give all HA
 sigma scatters the shingles, and coordinate k is the smallest value that pi, shifted circularly by k, gives to
 one of them. Coordinates are banded (BANDS of ROWS); documents of one band value are candidates.
 
-Equal sets are one class from the start, so exact copies cost one row each. In each bucket every class is
-compared with one of the bucket only, its leader; links are confirmed on the full sets. What is left is settled
-too: a class that isn't linked to its bucket's leader is compared with the others that aren't, and,
-if it comes near it (a distance of at most twice the threshold's), with those linked to it that the triangle inequality of
-Jaccard distances allows, unless they are in one component already. A 4-bit sketch of the signature screens
-pairs below the threshold by 5 standard deviations before they leave the bucket and their sets are fetched. No
-pairs are capped or sampled.
+Equal sets are one class from the start, so exact copies cost one row each. In each bucket every class is compared
+with one of the bucket only, its leader; links are confirmed on the full sets, and a sketch of the signature leaves out
+pairs 5 standard deviations below what could matter. That joins most of a family in one component.
+
+What is left is settled exactly, and without listing pairs of a family. A leader's group are the classes compared with
+it. Let D(x) be the shingles in which x differs from its leader L, and r(x) how many of L's it lacks. Then x and y share
+|L| - r(x) - r(y) + |D(x) & D(y)| shingles, so a link of two classes of a group asks for a known number of common
+differences, at least one if either isn't linked to L (it follows from the threshold). By the prefix filter it is
+enough to look at each class's rarest differences, rarest in its group first: classes of different components that share one
+of them, and could still reach the number, are compared on their full sets. Classes edited independently of each other
+share next to none, so the work follows the number of classes and not of pairs.
 
 With 28 bands of 5 rows a link of similarity 0.85 misses all bands once in 10**7. Defined results: null and empty
 texts have no shingles, link with nothing and are their own component; a null doc_id links with nothing, has no
-component and is kept; rows that repeat a doc_id with the same text share one result. Extra columns are ignored,
-or kept by keep_representatives().
+component and is kept; rows that repeat a doc_id are judged by their texts, and those with the same text share one
+result, of which keep_representatives() keeps one row. Extra columns, whatever their names, are ignored, or kept by
+keep_representatives().
 """
 
 from __future__ import annotations
@@ -29,13 +34,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, IdFilter, components, cut, map_arrow, mixed, row_blocks, text_bytes, word_hashes
+from .common import NOT_SPACE, IdFilter, SharedTable, components, cut, keep_rows, map_arrow, mixed, row_blocks, text_bytes, word_hashes
 
 SLOT_BITS = 20
 BANDS, ROWS = 28, 5
 #: The first BANDS * ROWS coordinates are banded; all of them make the sketch.
 HASHES = 280
 SKETCH = -(-HASHES // 16)  # longs of 16 four-bit coordinates
+#: So many of a leader's pairs at most are compared with one copy of its set.
+PART = 256
 
 
 def near_percent(percent: int) -> int:
@@ -89,6 +96,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
+def _sums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set: two sums of hashes, which name it together with its size, and one number for all three."""
+    k1 = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+    k2 = np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64)
+    n = np.array([len(s) for s in sets], np.uint64)
+    return k1.view(np.int64), k2.view(np.int64), mixed(k1 ^ mixed(k2 + mixed(n))).view(np.int64)
+
+
 def _signer(width: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -97,7 +112,7 @@ def _signer(width: int):
             for a, b in row_blocks(offsets):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 n = np.array([len(s) for s in sets], np.int64)
-                sums = np.array([(mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2)
+                k1, k2, name = _sums(sets)
                 signed = np.stack([signature(s) if len(s) else np.zeros(HASHES, np.int32) for s in sets]).astype(np.uint64)
                 bands = np.repeat(salts[None], b - a, 0)
                 for r in range(ROWS):
@@ -107,11 +122,15 @@ def _signer(width: int):
                 sketch = np.bitwise_or.reduce(nibbles.reshape(b - a, SKETCH, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), 2)
                 rows = np.arange(b - a + 1)
                 lists = [pa.ListArray.from_arrays(pa.array((rows * x.shape[1]).astype(np.int32)), pa.array(x.ravel().view(np.int64))) for x in (bands, sketch)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), pa.array(sums[:, 0].copy().view(np.int64)), pa.array(sums[:, 1].copy().view(np.int64)), *lists], ["doc_id", "n", "k1", "k2", "bands", "sketch"])
+                own = [batch.column(c).slice(a, b - a) for c in ("doc_id", "row_text")]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x) for x in (n, k1, k2, name)), *lists], ["doc_id", "row_text", "n", "k1", "k2", "id", "bands", "sketch"])
 
     return sign
 
 
+SIGNED = "doc_id long, row_text long, n long, k1 long, k2 long, id long, bands array<long>, sketch array<long>"
+
+
 def _set_maker(width: int, wanted):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +140,7 @@ def _set_maker(width: int, wanted):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                sums = np.array([(mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sums[:, 0].copy().view(np.int64)), pa.array(sums[:, 1].copy().view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "k1", "k2", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(_sums(sets)[2]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "id", "shingles"])
 
     return make
 
@@ -138,41 +156,48 @@ def _equal_nibbles(a: str, b: str) -> str:
 
 
 class _Linker:
+    """Finds the components of docs (doc_id, text, row_text). A class of equal sets goes by `id`, a 64-bit name of
+    its size and two sums of hashes."""
+
     def __init__(self, docs: DataFrame, percent: int, width: int):
-        self.docs, self.percent, self.width = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, width
+        self.docs, self.percent, self.width = docs, percent, width
 
     def classes(self) -> DataFrame:
-        """(doc_id, n, k1, k2, component) with one component for each class of equal sets."""
-        rows = map_arrow(self.docs, _signer(self.width), "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>").persist(StorageLevel.MEMORY_AND_DISK)
-        self.rows = rows
-        reps = rows.where("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-        reps = reps.persist(StorageLevel.MEMORY_AND_DISK)
-        self.reps = reps
-        signed = rows.join(reps.select("k1", "k2", F.col("n").alias("_n"), F.col("rep").alias("doc_id")), ["doc_id", "k1", "k2"]).where("n = _n").select(F.col("doc_id").alias("id"), "n", "k1", "k2", "bands", "sketch")
-        signed = signed.persist(StorageLevel.MEMORY_AND_DISK)
+        """(id, root, component) of each class of equal sets: a class that stands for all that its links reach, and the
+        smallest doc_id of those."""
+        self.rows = rows = map_arrow(self.docs, _signer(self.width), SIGNED).persist(StorageLevel.MEMORY_AND_DISK)
+        known = rows.where("n > 0 and doc_id is not null")
+        reps = known.groupBy("id").agg(F.min("doc_id").alias("rep")).persist(StorageLevel.MEMORY_AND_DISK)
+        # Signature and set of a class are those of the row with its smallest doc_id.
+        signed = known.join(reps.select("id", F.col("rep").alias("doc_id")), ["id", "doc_id"], "left_semi")
+        signed = signed.select("id", "doc_id", "n", "bands", "sketch").dropDuplicates(["id"]).persist(StorageLevel.MEMORY_AND_DISK)
         spread = signed.select("id", F.explode("bands").alias("b"))
         shared = cut(spread.join(spread.groupBy("b").agg(F.count("*").alias("c")).where("c > 1"), "b").select("b", "id", "c").distinct())
         # A bucket's leader is the class that shares buckets with most others, so the one most of its group is near to.
         weight = shared.groupBy("id").agg(F.sum("c").alias("weight"))
-        leaders = shared.join(weight, "id").groupBy("b").agg(F.max(F.struct("weight", (-F.col("id")).alias("i"))).alias("m")).select("b", (-F.col("m.i")).alias("leader"))
-        members = cut(shared.join(leaders, "b").select("b", "id", "leader"))
+        leaders = shared.join(weight, "id").groupBy("b").agg(F.max(F.struct("weight", "id")).alias("m")).select("b", F.col("m.id").alias("leader"))
+        pairs = cut(shared.join(leaders, "b").where("id <> leader").select("leader", "id").distinct())
         # The sketches and sets of the classes that share a bucket with another.
-        inside = cut(members.select("id").distinct())
-        sketches = cut(signed.join(inside, "id", "left_semi").select("id", "n", "k1", "k2", "bands", "sketch").dropDuplicates(["id"]))
-        wanted = self.docs.sparkSession.sparkContext.broadcast(IdFilter.of(inside, "id"))
-        sets = map_arrow(self.docs, _set_maker(self.width, wanted), "id long, k1 long, k2 long, shingles array<long>")
-        sets = sets.join(sketches.select("id", "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id"]).select("id", "shingles").persist(StorageLevel.MEMORY_AND_DISK)
-        self.sets, self.sketches = sets, sketches
-
-        tried = cut(self.compare(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()))
-        links = tried.where(self.linked()).select("a", "b")
-        label = components(links)
-        rest = cut(self.left_over(members, tried, label))
-        if not rest.isEmpty():
-            more = cut(self.compare(rest)).where(self.linked()).select("a", "b")
-            label = components(links.unionByName(more))
-        found = reps.join(label, reps.rep == label.id, "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
-        return found
+        inside = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
+        self.sketches = cut(signed.join(inside, "id", "left_semi").select("id", "doc_id", "n", "sketch"))
+        signed.unpersist()
+        wanted = self.docs.sparkSession.sparkContext.broadcast(IdFilter.of(self.sketches.select("doc_id"), "doc_id"))
+        sets = map_arrow(self.docs.select("doc_id", "text"), _set_maker(self.width, wanted), "doc_id long, id long, shingles array<long>")
+        sets = sets.join(self.sketches.select("id", "doc_id"), ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
+        with SharedTable(sets) as self.sets:
+            tried = cut(self.compare(pairs.select(F.col("leader").alias("a"), F.col("id").alias("b"))))
+            links = tried.where(self.linked()).select("a", "b")
+            label = components(links)
+            rest = cut(self.left_over(pairs, tried, label))
+            if not rest.isEmpty():
+                more = cut(self.compare(rest)).where(self.linked()).select("a", "b")
+                label = components(links.unionByName(more))
+        # From the classes' names to their smallest doc_id.
+        joined = label.join(reps, "id")
+        least = joined.groupBy("component").agg(F.min("rep").alias("least"))
+        label = joined.join(least, "component").select(F.col("id").alias("_id"), F.col("component").alias("root"), "least")
+        found = reps.join(label, reps.id == F.col("_id"), "left")
+        return cut(found.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("least", "rep").alias("component")))
 
     def linked(self) -> str:
         return f"100 * both >= {self.percent} * (na + nb - both)"
@@ -183,43 +208,88 @@ class _Linker:
         close = pairs.join(one, "a").join(two, "b").where(f"100 * least(na, nb) >= {near_percent(self.percent)} * greatest(na, nb) and {_equal_nibbles('sa', 'sb')} >= {least_equal(near_percent(self.percent), 5.0)}")
         return close.select("a", "b", "na", "nb")
 
+    def with_sets(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b, ...) with their sets xa and xb. The set of an a with many pairs goes out in several copies, one
+        for each PART pairs, so no task gets more than PART pairs of one a."""
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).drop("parts")
+        one = self.sets.join(parts, self.sets.id == parts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("xa"))
+        two = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
+        return dealt.join(two, "b").join(one, ["a", "part"]).drop("part")
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, na, nb, both) with the size of the intersection of the full sets."""
-        one, two = (self.sets.select(F.col("id").alias(x), F.col("shingles").alias(f"x{x}")) for x in "ab")
-        full = self.screen(pairs).join(two, "b").join(one, "a")
+        full = self.with_sets(cut(self.screen(pairs)))
         return full.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("both"))
 
-    def left_over(self, members: DataFrame, tried: DataFrame, label: DataFrame) -> DataFrame:
-        """Pairs that share a bucket, are in two components and weren't excluded by their distance to its leader."""
-        share = tried.select(F.col("a").alias("leader"), F.col("b").alias("id"), (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("j"), F.expr(self.linked()).alias("linked"))
-        state = members.join(share, ["leader", "id"], "left").join(label.select("id", "component"), "id", "left")
-        own = F.col("id") == F.col("leader")
-        state = state.select("b", "id", F.coalesce("component", "id").alias("c"), F.when(own, 1.0).otherwise(F.coalesce("j", F.lit(0.0))).alias("j"), (own | F.coalesce("linked", F.lit(False))).alias("linked"))
-        far = state.where("not linked")
-        # Only buckets with a class that its leader doesn't link.
-        state = cut(state.join(far.select("b").distinct(), "b", "left_semi"))
-        if state.isEmpty():
-            return state.select(F.col("id").alias("a"), F.col("id").alias("b"))
-        rows = state.join(self.sketches.select("id", "n", "sketch", "bands"), "id")
-        y = rows.where("not linked").select("b", *(F.col(x).alias(f"y_{x}") for x in ("id", "c", "j", "n", "sketch", "bands")))
-        x = rows.select("b", *(F.col(x).alias(f"x_{x}") for x in ("id", "c", "j", "n", "sketch", "bands", "linked")))
-        allowed = f"y_id <> x_id and y_c <> x_c and (not x_linked and y_id < x_id or x_linked and y_j >= {near_percent(self.percent) / 100 - 1e-4} and x_j <= y_j + {1 - self.percent / 100 + 1e-4})"
-        close = f"100 * least(x_n, y_n) >= {self.percent} * greatest(x_n, y_n) and {_equal_nibbles('x_sketch', 'y_sketch')} >= {least_equal(self.percent, 5.0)}"
-        # A pair counts in the first band that it shares: a bucket of another band would settle it the same way.
-        first = "array_position(x_bands, b) = array_position(zip_with(x_bands, y_bands, (p, q) -> p = q), true)"
-        return y.join(x, "b").where(f"{allowed} and {close} and {first}").select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    def differences(self, pairs: DataFrame, tried: DataFrame, label: DataFrame) -> DataFrame:
+        """(leader, id, c, linked, nl, n, lacks, d): for each class of the groups that aren't settled yet, how it differs
+        from the group's leader: how many shingles of the leader it lacks, and all in which the two differ. c is its
+        component, so far."""
+        share = tried.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.expr(self.linked()).alias("linked"))
+        state = pairs.join(share, ["leader", "id"], "left").join(label.select("id", "component"), "id", "left")
+        state = cut(state.select("leader", "id", F.coalesce("component", "id").alias("c"), F.coalesce("linked", F.lit(False)).alias("linked")))
+        # A group is settled if all are linked to the leader or in one component.
+        open_ = state.groupBy("leader").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("linked").alias("all")).where("low <> high and not all").select("leader")
+        full = self.with_sets(state.join(open_, "leader", "left_semi").select(F.col("leader").alias("a"), F.col("id").alias("b"), "c", "linked"))
+        lacks, has = F.array_except("xa", "xb"), F.array_except("xb", "xa")
+        return full.select(F.col("a").alias("leader"), F.col("b").alias("id"), "c", "linked", F.size("xa").alias("nl"), F.size("xb").alias("n"), F.size(lacks).alias("lacks"), F.concat(lacks, has).alias("d"))
+
+    def left_over(self, pairs: DataFrame, tried: DataFrame, label: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes of one group and two components that may be linked, one of them not linked to the
+        group's leader."""
+        p = self.percent
+        least = f"{p}L * (x.n + y.n) - {100 + p}L * (x.nl - x.lacks - y.lacks)"  # times (100 + p): differences that x and y share if they are linked
+        rows = cut(self.differences(pairs, tried, label))
+        # What a class shares at least with one that isn't linked to the leader, and with any other of its group.
+        far = f"greatest(1, ceil(({p}L * (n - nl) + {100 + p}L * lacks) / {100 + p}))"
+        size = f"least(greatest(nl, ceil({p} * n / 100)), floor(100 * n / {p}))"
+        any_ = f"greatest(1, ceil(({p}L * (n + {size}) - {100 + p}L * (nl - lacks - greatest(0, nl - {size}))) / {100 + p}))"
+        rows = rows.select("leader", "id", "c", "linked", "nl", "n", "lacks", "d", F.size("d").alias("s"), F.expr(far).cast("long").alias("far"), F.expr(any_).cast("long").alias("any"))
+        rows = rows.where("s > 0")
+        spread = rows.select("leader", "id", F.explode("d").alias("e"))
+        often = spread.groupBy("leader", "e").agg(F.count("*").alias("f")).where("f > 1")
+        common = spread.join(often, ["leader", "e"]).groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("common"))
+        rows = cut(rows.drop("d").join(common, ["leader", "id"]))
+        # A class's differences in order of rarity: those that it has alone come first, and can't be shared.
+        place = "s - size(common)"
+        rows = rows.withColumn("common", F.expr(f"transform(common, (v, k) -> struct(v.e as e, cast({place} + k as long) as at))"))
+
+        def prefix(need: str) -> DataFrame:
+            at = F.explode(F.expr(f"filter(common, v -> v.at <= s - {need})")).alias("v")
+            return rows.select("leader", "id", "c", "linked", "nl", "n", "lacks", "s", at).select("leader", "id", "c", "linked", "nl", "n", "lacks", "s", "v.e", "v.at")
+
+        y, x = prefix("any").where("not linked").alias("y"), prefix("far").alias("x")
+        able = f"{100 + p}L * least(x.s - x.at, y.s - y.at) >= {least} and 100 * least(x.n, y.n) >= {p} * greatest(x.n, y.n)"
+        found = y.join(x, F.expr(f"x.leader = y.leader and x.e = y.e and x.c <> y.c and (x.linked or y.id < x.id) and {able}"))
+        return found.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
+
+
+def _judged(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(doc_id, row_text, n, root, component) of each row of docs (doc_id, text, row_text)."""
+    linker = _Linker(docs.select("doc_id", "text", "row_text"), percent, width)
+    found = linker.classes()
+    rows = linker.rows.select("doc_id", "row_text", "n", "id").join(found, "id", "left")
+    # An empty text, and a row without doc_id, is a component of its own.
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "row_text", "n", "root", F.when(F.col("doc_id").isNotNull(), component).alias("component"))
 
 
 def near_groups(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept. Links: 100 * shared >= percent * all."""
-    linker = _Linker(docs, percent, width)
-    found = linker.classes()
-    rows = linker.rows.select("doc_id", "n", "k1", "k2").join(found, ["n", "k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
+    rows = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row_text")), percent, width)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("component").isNull() | (F.col("component") == F.col("doc_id"))).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """The rows of docs with the smallest doc_id of their component, all their columns."""
-    kept = near_groups(docs, percent, width).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    """Of each component the row with the smallest doc_id, all columns of docs. Where a doc_id repeats, rows that are
+    alike count as one, and of the texts of a component's smallest doc_id the one with the smallest hash stays. A row
+    without shingles, or without doc_id, is a component of its own."""
+
+    def state(rows: DataFrame) -> DataFrame:
+        found = _judged(rows, percent, width)
+        first = found.where("component = doc_id and n > 0").groupBy("root").agg(F.min("row_text").alias("first"))
+        kept = F.col("component").isNull() | (F.col("n") == 0) | (F.col("component") == F.col("doc_id")) & (F.col("row_text") == F.col("first"))
+        return found.join(cut(first), "root", "left").select(F.col("doc_id").alias("row_id"), "row_text", F.coalesce(kept, F.lit(False)).alias("kept"))
+
+    return keep_rows(docs, state)

@@ -96,15 +96,73 @@ def test_near_groups_of_a_chain_and_a_large_family(spark):
     assert got == label
 
 
-def test_left_over_pairs_within_five_deviations_are_compared(spark):
-    """214 of 280 equal sketch coordinates are 4.6 standard deviations below what 0.85 gives."""
-    linker = neardup._Linker(documents(spark, []), 85, 3)
-    far = [0x1111111111111111] * 4 + [0x11] + [0] * (neardup.SKETCH - 5)
-    linker.sketches = spark.createDataFrame([(1, 100, [0] * neardup.SKETCH, [7]), (2, 100, [0] * neardup.SKETCH, [7]), (3, 100, far, [7])], "id long, n long, sketch array<long>, bands array<long>")
-    members = spark.createDataFrame([(7, k, 1) for k in (1, 2, 3)], "b long, id long, leader long")
-    tried = spark.createDataFrame([(1, k, 100, 100, 10) for k in (2, 3)], "a long, b long, na long, nb long, both long")
-    label = spark.createDataFrame([], "id long, component long")
-    assert [tuple(r) for r in linker.left_over(members, tried, label).collect()] == [(2, 3)]
+def test_left_over_classes_are_settled_by_their_differences(spark):
+    """A family around its leader: most are linked to it, some only to each other, some to none. No pair is lost, and
+    classes that share no difference aren't compared."""
+    r, base, rows = np.random.default_rng(12), words(200, 60).split(), []
+    for k in range(150):
+        w = list(base)
+        for p in r.choice(200, int(r.integers(0, 4)), replace=False):
+            w[p] = f"edit{k}_{p}"
+        rows.append((k, " ".join(w)))
+    far = [list(base) for _ in range(6)]
+    for g, w in enumerate(far):
+        for p in r.choice(200, 14, replace=False):
+            w[p] = f"far{g}_{p}"
+        for m in range(4):
+            v = list(w)
+            v[m] = f"more{g}_{m}"
+            rows.append((1000 + 10 * g + m, " ".join(v)))
+    docs = documents(spark, rows)
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    label = {i: i for i in sets}
+    for _ in range(len(sets)):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {x.doc_id: x.component_id for x in neardup.near_groups(docs, 85, 3).collect()} == label
+    # All links of one leader's group, if nothing was linked before, but for those that its leader has.
+    seen = []
+    left_over = neardup._Linker.left_over
+    try:
+        neardup._Linker.left_over = lambda self, *a: (seen.append(left_over(self, *a).count()), left_over(self, *a))[1]
+        neardup.near_groups(docs, 85, 3).collect()
+    finally:
+        neardup._Linker.left_over = left_over
+    assert seen[0] < 300, seen
+
+
+def test_stages_keep_one_row_of_each_group(spark):
+    """Repeated rows, doc_ids that repeat or lack, and columns whose names clash, row by row."""
+    rows = [(5, "x y z"), (5, "longer   copy"), (4, "longer copy"), (6, "longer    copy"), (6, "longer    copy"), (None, "x  y  z"), (None, "alone"), (None, "alone"), (7, None), (8, ""), (9, "p  q r"), (9, "p q  r")]
+    clash = "doc_id long, text string, lang string, source string, _keep long, _id long, row_id string, row_text string, row_key string, kept boolean, digest string, repeat long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 2, "a", "b", "c", False, "d", 9) for i, t in rows], clash)
+    got = exactdup.keep_first(docs)
+    assert got.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    # The longest original stays: "x  y  z" without doc_id, one of the two rows of 6, one of two texts of 9.
+    assert [x for x in found if x[0] != 9] == sorted([(None, "x  y  z"), (6, "longer    copy"), (None, "alone"), (7, None)], key=str)
+    assert sum(x[0] == 9 for x in found) == 1
+    got = neardup.keep_representatives(docs)
+    assert got.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    # Fewer words than a shingle: one shingle each. Rows without doc_id link with nothing.
+    assert [x for x in found if x[0] != 9] == sorted([(5, "x y z"), (4, "longer copy"), (None, "x  y  z"), (None, "alone"), (7, None), (8, "")], key=str)
+    assert sum(x[0] == 9 for x in found) == 1
+    # Rows of one doc_id in two sources are taken by their own source.
+    rows = [(i, words(20, i), "a" if i % 3 else "b") for i in range(60)] + [(1, words(20, 1), None), (1, words(20, 1), "c"), (2, words(20, 2), "a"), (70, "", "a"), (71, None, "b")]
+    docs = spark.createDataFrame([(*x, 5, 6, 7, "z") for x in rows], "doc_id long, text string, source string, _id long, _times long, repeat long, _row string")
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + (r.taken // r.size if r.size else 0)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "_id", "_times", "_row", "repeat"]
+    have = {}
+    for r in mixed.collect():
+        have[r.doc_id, r.source] = have.get((r.doc_id, r.source), 0) + 1
+    assert have == {k: n for k, n in want.items() if n}
+    for empty in (exactdup.keep_first(docs.where("false")), neardup.keep_representatives(docs.where("false")), mixing.mixed_documents(docs.where("false"))):
+        assert empty.count() == 0
 
 
 def brute_repeats(rows, length):
