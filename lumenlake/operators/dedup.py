@@ -1,20 +1,24 @@
 """Exact, perceptual and near duplicates of fingerprinted files.
 
-Near duplicates are found by bands: a distance of at most t leaves one of t + 1 bands of the 64 bits equal, so an
-equi-join on (band, value) finds every pair, with no comparison of all with all.
+Equal contents and equal fingerprints are classes: one row each, with a membership table beside them. Near duplicates
+are links of fingerprint classes. At a distance of at most t, of t + s bands of the 64 bits at least s are equal, so an
+equi-join on every s bands together finds every link: the keys get longer with s, and s follows the number of classes,
+so a key's bucket holds few of them whatever their number. Pairs of files are only written out where they are asked for.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.adapters import BITS
 
 
-def band_layout(threshold: int, bits: int = BITS) -> list[tuple[int, int]]:
-    """(shift, width) of threshold + 1 bands from the high bits down; the first ones take what doesn't divide."""
-    n = threshold + 1
+def band_layout(threshold: int, bits: int = BITS, equal: int = 1) -> list[tuple[int, int]]:
+    """(shift, width) of threshold + equal bands from the high bits down; the first ones take what doesn't divide."""
+    n = threshold + equal
     base, more = divmod(bits, n)
     out, at = [], bits
     for k in range(n):
@@ -28,13 +32,35 @@ def hamming(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _members() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("members")
+
+
+def exact_classes(rows: DataFrame) -> DataFrame:
+    """Contents of more than one file, with their number of files."""
+    return rows.groupBy("exact_hash").agg(F.count("*").alias("files")).where("files > 1")
+
+
+def exact_membership(rows: DataFrame) -> DataFrame:
+    """doc_id, exact_hash, files, keep_id of each file: its content's files and the smallest doc_id of them."""
+    classes = rows.groupBy("exact_hash").agg(F.count("*").alias("files"), F.min("doc_id").alias("keep_id"))
+    return rows.select("doc_id", "exact_hash").join(classes, "exact_hash").select("doc_id", "exact_hash", "files", "keep_id")
+
+
 def exact_groups(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("exact_hash").agg(F.count("*").alias("files"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("members")).where("files > 1")
+    """exact_classes() with a list of members, for a report: a row is as long as its group."""
+    return rows.groupBy("exact_hash").agg(F.count("*").alias("files"), _members()).where("files > 1")
+
+
+def perceptual_classes(rows: DataFrame) -> DataFrame:
+    """Fingerprints of more than one content."""
+    found = rows.groupBy("fp").agg(F.first("bits").alias("bits"), F.count("*").alias("files"), F.count_distinct("exact_hash").alias("contents"))
+    return found.where("files > 1 and contents > 1")
 
 
 def perceptual_groups(rows: DataFrame) -> DataFrame:
-    """One fingerprint, but not one content."""
-    found = rows.groupBy("fp").agg(F.first("bits").alias("bits"), F.count("*").alias("files"), F.count_distinct("exact_hash").alias("contents"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("members"))
+    """perceptual_classes() with a list of members, for a report."""
+    found = rows.groupBy("fp").agg(F.first("bits").alias("bits"), F.count("*").alias("files"), F.count_distinct("exact_hash").alias("contents"), _members())
     return found.where("files > 1 and contents > 1").drop("fp")
 
 
@@ -56,21 +82,57 @@ def candidates(rows: DataFrame, threshold: int, across: bool = False) -> DataFra
     return pairs.distinct()
 
 
+def near_classes(rows: DataFrame, threshold: int = 5, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Links (fp_1, fp_2, distance, and files_1, files_2 and keys of both sides) of fingerprints at distance 1 to
+    threshold, fp_1 before fp_2, and the classes (fp, keys, files). A file belongs to the class of its fp."""
+    classes = rows.groupBy("fp", *keys).agg(F.count("*").alias("files"))
+    points = classes.select("fp").distinct()
+    n = points.count()
+    equal = next((s for s in (1, 2, 3) if s * BITS // (threshold + s) >= max(1, n).bit_length()), 4)
+    bands = band_layout(threshold, BITS, equal)
+    part = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in bands]
+    sets = list(combinations(range(len(bands)), equal))
+    packed = []
+    for k, chosen in enumerate(sets):
+        value = F.lit(0).cast("long")
+        for i in chosen:
+            value = F.shiftleft(value, bands[i][1]).bitwiseOR(part[i])
+        packed.append(F.struct(F.lit(k).alias("k"), value.alias("value")))
+    spread = points.select("fp", F.inline(F.array(*packed)))
+    one, two = spread.withColumnRenamed("fp", "fp_1"), spread.withColumnRenamed("fp", "fp_2")
+    pairs = one.join(two, ["k", "value"]).where((F.col("fp_1") < F.col("fp_2")) & hamming("fp_1", "fp_2").between(1, threshold))
+    # A pair counts under the first of its sets of equal bands.
+    x = F.col("fp_1").bitwiseXOR(F.col("fp_2"))
+    same = F.array_compact(F.array(*(F.when(F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1)) == 0, F.lit(i)) for i, (at, width) in enumerate(bands))))
+    names = F.array(*(F.array(*map(F.lit, chosen)) for chosen in sets))
+    pairs = pairs.where(F.slice(same, 1, equal) == F.element_at(names, F.col("k") + 1)).select("fp_1", "fp_2", hamming("fp_1", "fp_2").cast("long").alias("distance"))
+    for side in (1, 2):
+        pairs = pairs.join(classes.select(F.col("fp").alias(f"fp_{side}"), F.col("files").alias(f"files_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in keys)), f"fp_{side}")
+    return pairs, classes
+
+
 def near_pairs(rows: DataFrame, threshold: int = 5, across: bool = False) -> DataFrame:
-    """Pairs at distance 1 to threshold whose contents differ."""
-    found = candidates(rows, threshold, across).where(F.col("distance").between(1, threshold) & (F.col("exact_hash_1") != F.col("exact_hash_2")))
-    return found.select("doc_id_1", "doc_id_2", F.col("distance").cast("long").alias("distance"))
+    """Pairs of files at distance 1 to threshold, doc_id_1 before doc_id_2, written out from the links of their classes.
+    Other fingerprints mean other contents."""
+    links, _ = near_classes(rows, threshold, ("dataset",) if across else ())
+    keys = ("fp", "dataset") if across else ("fp",)
+    if across:
+        links = links.where("dataset_1 <> dataset_2")
+    out = links.select("distance", *(f"{k}_{side}" for k in keys for side in (1, 2)))
+    for side in (1, 2):
+        out = out.join(rows.select(F.col("doc_id").alias(f"d{side}"), *(F.col(k).alias(f"{k}_{side}") for k in keys)), [f"{k}_{side}" for k in keys])
+    return out.select(F.least("d1", "d2").alias("doc_id_1"), F.greatest("d1", "d2").alias("doc_id_2"), "distance")
 
 
 def limited_pairs(rows: DataFrame, threshold: int = 5, max_candidates: int | None = None, max_pairs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """near_pairs() under limits, and what they left out: each row keeps its first max_candidates later rows, and of
     the candidates in order (doc_id_1, doc_id_2) the first max_pairs are compared. The status is partial if any is
-    left out. The window over all candidates runs only if max_pairs is set."""
+    left out."""
     found = candidates(rows, threshold)
     ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id_1").orderBy("doc_id_2")))
     kept = ranked.where(F.col("place") <= max_candidates) if max_candidates is not None else ranked
     if max_pairs is not None:
-        kept = kept.withColumn("at", F.row_number().over(Window.orderBy("doc_id_1", "doc_id_2"))).where(F.col("at") <= max_pairs)
+        kept = kept.orderBy("doc_id_1", "doc_id_2").limit(max_pairs)
     stats = found.agg(F.count("*").alias("candidates")).crossJoin(kept.agg(F.count("*").alias("compared")))
     stats = stats.select("candidates", "compared", (F.col("candidates") - F.col("compared")).alias("skipped"), F.when(F.col("candidates") > F.col("compared"), "partial").otherwise("complete").alias("status"))
     near = kept.where(F.col("distance").between(1, threshold) & (F.col("exact_hash_1") != F.col("exact_hash_2")))
@@ -78,10 +140,12 @@ def limited_pairs(rows: DataFrame, threshold: int = 5, max_candidates: int | Non
 
 
 def near_stats(rows: DataFrame, threshold: int = 5) -> DataFrame:
-    return near_pairs(rows, threshold).groupBy("distance").agg(F.count("*").alias("pairs"))
+    """How many pairs of files stand at each distance, counted from the classes."""
+    return near_classes(rows, threshold)[0].groupBy("distance").agg(F.sum(F.col("files_1") * F.col("files_2")).alias("pairs"))
 
 
 def summary(rows: DataFrame, threshold: int = 5) -> DataFrame:
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    out = count(rows, "files").crossJoin(count(exact_groups(rows), "exact_groups")).crossJoin(count(perceptual_groups(rows), "perceptual_groups"))
-    return out.crossJoin(count(near_pairs(rows, threshold), "near_pairs")).crossJoin(count(cross_groups(rows, "exact_hash"), "cross_exact_groups"))
+    out = count(rows, "files").crossJoin(count(exact_classes(rows), "exact_groups")).crossJoin(count(perceptual_classes(rows), "perceptual_groups"))
+    near = near_stats(rows, threshold).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("near_pairs"))
+    return out.crossJoin(near).crossJoin(count(cross_groups(rows, "exact_hash"), "cross_exact_groups"))

@@ -1,80 +1,89 @@
 """Exact nearest-neighbour search, product pooling, ranking and scoring.
 
-The gallery is read in blocks of bounded size. Each block goes to the executors as one matrix; every batch of
-queries is multiplied with it (a dense product in numpy) and keeps its best k of the block, and the blocks' answers
-merge. Top-k merges this way, and so do products ranked by their best image: a product of the global top k is in
-the top k of the block that holds its best image.
+Queries and gallery are dealt into blocks of bounded size by a hash of their ids, and every pair of blocks meets in
+one task on the executors, as a dense product in numpy: tile by tile of the queries, keeping the best k of the block.
+The blocks' answers merge by a window over k rows for each block. Top-k merges this way, and so do products ranked by
+their best image: a product of the global top k is in the top k of the block that holds its best image. No vectors
+come to the driver, and a task holds one block of either side and the scores of one tile.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPS, cosine_similarity, score_from_similarity
 
-#: Bytes of one gallery block as doubles.
-BLOCK_BYTES = 64 << 20
+#: Bytes of one block of vectors as doubles, and queries of one tile.
+BLOCK_BYTES = 16 << 20
+TILE = 256
+HIT = "query_id long, product_id long, image_id long, similarity double"
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    m = np.vstack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 1))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a block, each divided by its norm."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), EPS)
 
 
-def _blocks(gallery: DataFrame, columns: list[str]) -> Iterator[pd.DataFrame]:
-    """The gallery in blocks by a hash of image_id; one block at a time is on the driver."""
-    first = gallery.select(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    if not first.n:
-        return
-    count = max(1, -(-first.n * (first.d or 1) * 8 // BLOCK_BYTES))
-    rows = gallery.select(*columns, "embedding")
-    for k in range(count):
-        block = rows if count == 1 else rows.where(F.pmod(F.xxhash64("image_id"), F.lit(count)) == k)
-        found = block.toPandas()
-        if len(found):
-            yield found
+def _best_of_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k largest finite scores; of equal ones the smallest ids."""
+    k = min(k, scores.shape[1])
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    row, column = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+    order = np.lexsort((ids[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+def _meeting(k: int, pooled: bool, exclude_self: bool):
+    def meet(queries: pa.Table, gallery: pa.Table) -> pa.Table:
+        parts = []
+        if len(queries) and len(gallery):
+            images, products = (gallery[c].to_numpy() for c in ("image_id", "product_id"))
+            order = np.lexsort((images, products))
+            images, products, matrix = images[order], products[order], _matrix(gallery["vector"])[order]
+            starts = np.flatnonzero(np.concatenate([[True], products[1:] != products[:-1]]))
+            asked, ids = _matrix(queries["asked"]), queries["query_id"].to_numpy()
+            at = np.argsort(images, kind="stable")
+            for first in range(0, len(ids), TILE):
+                own = ids[first : first + TILE]
+                scores = asked[first : first + TILE] @ matrix.T
+                if exclude_self:
+                    low, high = (np.searchsorted(images[at], own, side) for side in ("left", "right"))
+                    for row in np.flatnonzero(high > low):
+                        scores[row, at[low[row] : high[row]]] = -np.inf
+                if pooled:
+                    scores = np.maximum.reduceat(scores, starts, axis=1)
+                names = products[starts] if pooled else images
+                row, column = _best_of_rows(scores, names, k)
+                product, image = (names[column], np.full(len(row), -1)) if pooled else (products[column], images[column])
+                parts.append(pa.table({"query_id": own[row], "product_id": product, "image_id": image, "similarity": scores[row, column]}))
+        kinds = pa.schema([("query_id", pa.int64()), ("product_id", pa.int64()), ("image_id", pa.int64()), ("similarity", pa.float64())])
+        return pa.concat_tables(parts).cast(kinds) if parts else kinds.empty_table()
+
+    return meet
 
 
 def _best(queries: DataFrame, gallery: DataFrame, k: int, pooled: bool, exclude_self: bool) -> DataFrame:
+    """The best k of each pair of blocks."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    sc = queries.sparkSession.sparkContext
-    schema = "query_id long, product_id long, image_id long, similarity double"
-    out = None
-    for block in _blocks(gallery, ["image_id", "product_id"]):
-        block = block.sort_values("image_id", ignore_index=True)
-        sent = sc.broadcast((_matrix(block["embedding"]), block["image_id"].to_numpy(np.int64), block["product_id"].to_numpy(np.int64)))
-
-        def ask(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            matrix, images, products = sent.value
-            codes, names = pd.factorize(products, sort=True)
-            order = np.argsort(codes, kind="stable")
-            starts = np.searchsorted(codes[order], np.arange(len(names)))
-            for batch in batches:
-                scores = _matrix(batch["embedding"]) @ matrix.T
-                ids = batch["query_id"].to_numpy(np.int64)
-                if exclude_self:
-                    scores[ids[:, None] == images[None]] = -np.inf
-                if pooled:
-                    grouped = scores[:, order]
-                    top = np.maximum.reduceat(grouped, starts, axis=1)
-                    pick = np.lexsort((np.broadcast_to(names, top.shape), -top), axis=1)[:, :k]
-                    value, product = np.take_along_axis(top, pick, 1), names[pick]
-                    image = np.full(pick.shape, -1)
-                else:
-                    pick = np.lexsort((np.broadcast_to(images, scores.shape), -scores), axis=1)[:, :k]
-                    value, product, image = np.take_along_axis(scores, pick, 1), products[pick], images[pick]
-                rows = pd.DataFrame({"query_id": np.repeat(ids, pick.shape[1]), "product_id": product.ravel(), "image_id": image.ravel(), "similarity": value.ravel()})
-                yield rows[np.isfinite(rows["similarity"])]
-
-        part = queries.select("query_id", "embedding").mapInPandas(ask, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else queries.sparkSession.createDataFrame([], schema)
+    size = lambda df: df.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0)).alias("b")).first().b
+    spark = queries.sparkSession
+    g = max(1, -(-size(gallery) // BLOCK_BYTES))
+    # At least as many meetings as tasks can run at once.
+    q = max(1, -(-size(queries) // BLOCK_BYTES), -(-spark.sparkContext.defaultParallelism // g))
+    # New columns on both sides: queries may come from the gallery itself.
+    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(q)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), (F.col("query_id") + 0).alias("query_id"), F.col("embedding").alias("asked"))
+    names = [(F.col(c) + 0).alias(c) for c in ("image_id", "product_id")]
+    right = gallery.select(F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("block_q"), F.pmod(F.xxhash64("image_id"), F.lit(g)).cast("int").alias("block_g"), *names, F.col("embedding").alias("vector"))
+    return left.groupBy("q", "g").cogroup(right.groupBy("block_q", "block_g")).applyInArrow(_meeting(k, pooled, exclude_self), HIT)
 
 
 def as_queries(gallery: DataFrame) -> DataFrame:
@@ -95,10 +104,55 @@ def top_products(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: b
 
 
 def rank_products(hits: DataFrame) -> DataFrame:
+    """Adds rank: similarity falls, then product_id rises."""
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id")
     return hits.withColumn("rank", F.row_number().over(w))
 
 
+def ranking_violations(hits: DataFrame) -> DataFrame:
+    """Hits that can't be ranked: a product twice for one query, a similarity that isn't finite, a blank product."""
+    times = F.count("*").over(Window.partitionBy("query_id", "product_id"))
+    rows = hits.withColumn("times", times)
+    bad = F.array_compact(F.array(
+        F.when(F.col("times") > 1, "repeated_product"),
+        F.when(~_finite(F.col("similarity")), "not_finite"),
+        F.when(F.col("product_id").isNull() | (F.trim(F.col("product_id").cast("string")) == ""), "blank_product"),
+    ))
+    return rows.withColumn("violations", bad).where(F.size("violations") > 0).select("query_id", "product_id", F.array_join("violations", ",").alias("violations"))
+
+
+def _finite(c):
+    return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
+def rank_valid_products(hits: DataFrame) -> DataFrame:
+    """rank_products() of hits without ranking_violations(); any is an error, raised where it is met."""
+    times = F.count("*").over(Window.partitionBy("query_id", "product_id"))
+    fine = (times == 1) & _finite(F.col("similarity")) & F.col("product_id").isNotNull() & (F.trim(F.col("product_id").cast("string")) != "")
+    return rank_products(hits.withColumn("similarity", F.when(fine, F.col("similarity")).otherwise(F.raise_error(F.lit("hits to rank need distinct products and finite similarities")))))
+
+
+def pool_hits(hits: DataFrame, k: int) -> DataFrame:
+    """Products from image hits that are scored already (query_id, image_id, product_id, similarity): each product by
+    its best image, with the ids of its hit images, best first."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "image_id")))
+    rows = hits.groupBy("query_id", "product_id").agg(F.max("similarity").alias("similarity"), order.alias("m"))
+    rows = rows.withColumn("matched_image_ids", F.transform("m", lambda x: x["image_id"])).drop("m")
+    return rank_products(rows).where(F.col("rank") <= k)
+
+
+def representative_images(hits: DataFrame) -> DataFrame:
+    """query_id, product_id, image_id: the image that stands for each found product, its best one (ties: smallest id)."""
+    return hits.groupBy("query_id", "product_id").agg(F.min_by("image_id", F.struct((-F.col("similarity")).alias("s"), "image_id")).alias("image_id"))
+
+
+def in_top_k(hits: DataFrame, k: int) -> DataFrame:
+    """query_id, image_id of the hits among the first k, without order: what a threshold at the k-th similarity keeps,
+    ties by image_id."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "image_id")
+    return hits.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k).select("query_id", "image_id")
+
+
 def with_matches(hits: DataFrame, queries: DataFrame, gallery: DataFrame, exclude_self: bool = True) -> DataFrame:
     """Adds category, and the ids of all images of each found product in order of similarity (matched_image_ids)."""
     images = gallery.select("product_id", "image_id", "category", F.col("embedding").alias("image_vector"))
