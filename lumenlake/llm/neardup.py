@@ -230,7 +230,7 @@ class _Linker:
         state = pairs.join(share, ["leader", "id"], "left").join(label.select("id", "component"), "id", "left")
         state = cut(state.select("leader", "id", F.coalesce("component", "id").alias("c"), F.coalesce("linked", F.lit(False)).alias("linked")))
         # A group is settled if all are linked to the leader or in one component.
-        open_ = state.groupBy("leader").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("linked").alias("all")).where("low <> high and not all").select("leader")
+        open_ = cut(state.groupBy("leader").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("linked").alias("all")).where("low <> high and not all").select("leader"))
         full = self.with_sets(state.join(open_, "leader", "left_semi").select(F.col("leader").alias("a"), F.col("id").alias("b"), "c", "linked"))
         lacks, has = F.array_except("xa", "xb"), F.array_except("xb", "xa")
         return full.select(F.col("a").alias("leader"), F.col("b").alias("id"), "c", "linked", F.size("xa").alias("nl"), F.size("xb").alias("n"), F.size(lacks).alias("lacks"), F.concat(lacks, has).alias("d"))

@@ -15,8 +15,9 @@ bytes, name of the next HALF), Spark sorts the pairs with their positions, and n
 Names are fingerprints of 64 bits, and a window's pair keeps the 128 of both: windows behind one passage that many
 documents share have one first name, so the second alone tells them apart.
 
-Equal windows of one batch travel as one row, so a passage that a third of all documents share doesn't send a third
-of all rows to one key. Nothing that grows with the corpus comes to the driver but bitmaps of a fixed largest size.
+Equal runs and equal windows of one batch travel as one row with the list of their places, so a passage that a third
+of all documents share doesn't send a third of all rows to one key. A place is named by one 64-bit key for doc_id and
+text. Nothing that grows with the corpus comes to the driver but bitmaps of a fixed largest size.
 
 Defined results: null text counts as empty; texts shorter than LENGTH keep everything, whatever repeats. Rows that
 repeat a doc_id are documents of their own (so their windows repeat), told apart by their texts; of equal rows each
@@ -80,24 +81,57 @@ def _spans(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
         yield tuple(f[a:b] for f in fields)
 
 
-def _sampler(length: int):
+RUN_PLACE = np.dtype([("text", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+RUNS = "g long, u long, n int, key long, lo int, hi int, more binary"
+
+
+def _sampler(length: int, most: int = 1 << 17):
+    """Runs of windows as (g, u, n, key, lo, hi, more): anchor, whole run, how many equal ones this row stands for, the
+    place of the first and those of the others."""
+
+    def emit(parts: list) -> pa.RecordBatch:
+        g, u, text, lo, hi = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((u, g))
+        g, u = g[order], u[order]
+        places = np.zeros(len(g), RUN_PLACE)
+        places["text"], places["lo"], places["hi"] = text[order], lo[order], hi[order]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (u[1:] != u[:-1])])
+        first = np.flatnonzero(new)
+        n = np.diff(np.concatenate([first, [len(g)]]))
+        ends = np.concatenate([[0], np.cumsum(n - 1)]) * RUN_PLACE.itemsize
+        alone = pa.array(n > 1).buffers()[1]
+        more = pa.Array.from_buffers(pa.binary(), len(first), [alone, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(places[~new].tobytes())])
+        own = places[first]
+        return pa.RecordBatch.from_arrays([pa.array(g[first].view(np.int64)), pa.array(u[first].view(np.int64)), pa.array(n.astype(np.int32)), *(pa.array(own[c].copy()) for c in ("text", "lo", "hi")), more], ["g", "u", "n", "key", "lo", "hi", "more"])
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            parts: list[list] = [[] for _ in range(7)]
             for k, data in _texts(batch):
                 if len(data) < length:
                     continue
                 anchor, whole, first, last = runs(data, length)
-                n, doc, name = len(first), ids[k] if ids[k] is not None else -1, text_name(data)
-                for part, x in zip(parts, (np.full(n, doc), np.full(n, name), np.full(n, text_key(doc, name)), anchor.view(np.int64), whole.view(np.int64), first.astype(np.int32), last.astype(np.int32))):
-                    part.append(x)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], ["doc", "name", "key", "g", "u", "lo", "hi"])
+                key = text_key(ids[k] if ids[k] is not None else -1, text_name(data))
+                parts.append((anchor, whole, np.full(len(first), key), first, last))
+                held += len(first)
+            if held >= most:
+                yield emit(parts)
+                parts, held = [], 0
+        if parts:
+            yield emit(parts)
 
     return sample
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, lo, hi) of every run that the rows stand for."""
+    for batch in batches:
+        rest = np.frombuffer(b"".join(x for x in batch.column("more").to_pylist() if x), RUN_PLACE)
+        own = [batch.column(c).to_numpy() for c in ("key", "lo", "hi")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, rest[c]])) for x, c in zip(own, ("text", "lo", "hi"))], ["key", "lo", "hi"])
+
+
 def _only(column: str, wanted):
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,31 +143,28 @@ def _only(column: str, wanted):
 
 
 def _split_texts(wanted, whole: bool):
-    """Adds a name to each text and, unless whole, leaves out rows that can't be wanted; if whole, those keep their
+    """Adds a key to each text and, unless whole, leaves out rows that can't be wanted; if whole, those keep their
     row but not their text: their result needs no more than their digest."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            docs = batch.column("doc_id").fill_null(-1).to_pylist()
+            keys = pa.array([text_key(d, text_name(data)) for d, (_, data) in zip(docs, _texts(batch))], pa.int64())
+            ask = wanted.value.probably(keys)
             if not whole:
-                batch = batch.filter(pa.array(wanted.value.probably(ids.fill_null(-1))))
-                ids = batch.column("doc_id")
-            if not batch.num_rows:
+                some = pa.array(ask)
+                if ask.any():
+                    yield pa.RecordBatch.from_arrays([keys.filter(some), batch.column("text").filter(some)], ["key", "text"])
                 continue
-            docs, parts = ids.fill_null(-1).to_pylist(), list(_texts(batch))
-            names = [text_name(data) for _, data in parts]
-            keys = pa.array([text_key(d, n) for d, n in zip(docs, names)], pa.int64())
-            ask = wanted.value.probably(keys) if whole else np.ones(len(names), bool)
-            digests = [None if a else hashlib.sha256(data.tobytes()).hexdigest() for a, (_, data) in zip(ask, parts)]
-            texts = batch.column("text")
-            texts = pa.array([t if a else None for t, a in zip(texts.to_pylist(), ask)], pa.string()) if whole else texts
-            columns = [pa.array(docs, pa.int64()), pa.array(names, pa.int64()), keys, texts, pa.array([len(data) for _, data in parts], pa.int64()), pa.array(digests, pa.string()), ids]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "name", "key", "text", "n_bytes", "digest", "doc_id"])
+            parts = [data for _, data in _texts(batch)]
+            digests = [None if a else hashlib.sha256(data.tobytes()).hexdigest() for a, data in zip(ask, parts)]
+            texts = pa.array([t if a else None for t, a in zip(batch.column("text").to_pylist(), ask)], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, texts, pa.array([len(data) for data in parts], pa.int64()), pa.array(digests, pa.string()), batch.column("doc_id")], ["key", "text", "n_bytes", "digest", "doc_id"])
 
     return split
 
 
-TEXTS = "doc long, name long, key long, text string, n_bytes long, digest string, doc_id long"
+TEXTS = "key long, text string, n_bytes long, digest string, doc_id long"
 
 
 def _windows(length: int, most: int = 1 << 17):
@@ -157,9 +188,9 @@ def _windows(length: int, most: int = 1 << 17):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            docs, names = batch.column("doc").to_pylist(), batch.column("name").to_pylist()
+            keys = batch.column("key").to_pylist()
             for (k, data), (lo, hi, known) in zip(_texts(batch), _spans(batch.column("spans"))):
-                prefix, text = prefix_hash(data), text_key(docs[k], names[k])
+                prefix, text = prefix_hash(data), keys[k]
                 for a, b, is_known in zip(lo.tolist(), hi.tolist(), known.tolist()):
                     at = np.arange(a, b + 1)
                     parts.append((span_hash(prefix, at, at + half), span_hash(prefix, at + half, at + length), np.full(len(at), text), at, np.full(len(at), is_known)))
@@ -233,22 +264,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, li
     when it has been used."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sampled = SharedTable(map_arrow(docs, _sampler(length), "doc long, name long, key long, g long, u long, lo int, hi int"))
-    # Round 1: anchors that occur twice.
-    twice = cut(sampled.df.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
-    likely = sc.broadcast(IdFilter.of(twice, "g"))
-    rows = SharedTable(map_arrow(sampled.df, _only("g", likely), sampled.df.schema).join(twice, "g"))
-    sampled.delete()
+    with SharedTable(map_arrow(docs, _sampler(length), RUNS)) as sampled:
+        # Round 1: anchors that occur twice.
+        twice = cut(sampled.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"))
+        likely = sc.broadcast(IdFilter.of(twice, "g"))
+        rows = SharedTable(map_arrow(sampled, _only("g", likely), sampled.schema).join(twice, "g"))
     # Round 2: whole runs of one anchor.
-    by_run = SharedTable(rows.df.groupBy("g", "u").agg(F.count("*").alias("n"), F.min(F.struct("doc", "name", "lo", "hi")).alias("r")))
-    decided = rows.df.join(by_run.df.where("n > 1").select("g", "u"), ["g", "u"], "left_semi").select("key", "lo", "hi")
+    by_run = SharedTable(rows.df.groupBy("g", "u").agg(F.sum("n").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("r")))
+    decided = map_arrow(rows.df.join(by_run.df.where("n > 1").select("g", "u"), ["g", "u"], "left_semi").select("key", "lo", "hi", "more"), _places, "key long, lo int, hi int")
     undecided = by_run.df.groupBy("g").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("alone")).where("alone > 0").select("g")
     active = cut(by_run.df.join(undecided, "g", "left_semi").select("r.*", (F.col("n") > 1).alias("known")))
     # Round 3: single windows.
-    spans = active.groupBy("doc", "name").agg(F.collect_list(F.struct("lo", "hi", "known")).alias("spans"))
-    wanted = sc.broadcast(IdFilter.of(active.select("doc"), "doc"))
-    texts = map_arrow(docs, _split_texts(wanted, False), TEXTS).select("doc", "name", "text")
-    windows = map_arrow(texts.join(spans, ["doc", "name"]), _windows(length), "n1 long, n2 long, n int, known boolean, places binary")
+    spans = active.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "known")).alias("spans"))
+    wanted = sc.broadcast(IdFilter.of(active.select("key"), "key"))
+    texts = map_arrow(docs, _split_texts(wanted, False), "key long, text string")
+    texts = texts.join(spans, "key")
+    windows = map_arrow(texts, _windows(length), "n1 long, n2 long, n int, known boolean, places binary")
     pairs = windows.repartition(shuffle_size(docs.sparkSession), "n1", "n2").sortWithinPartitions("n1", "n2")
     found = map_arrow(pairs, _neighbours, "key long, at int")
     return decided.unionByName(found.select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))), [rows, by_run]
@@ -257,9 +288,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, li
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what is left."""
     found, tables = repeated_spans(docs, length)
-    spans = cut(found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    for t in tables:
-        t.delete()
+    try:
+        spans = cut(found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    finally:
+        for t in tables:
+            t.delete()
     wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.of(spans.select("key"), "key"))
     rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _split_texts(wanted, True), TEXTS)
     joined = rows.join(spans, "key", "left").select("doc_id", "n_bytes", "digest", "text", "spans")
