@@ -7,13 +7,16 @@ states, and each run of lines from one beginning to the next becomes a turn, ren
 ``<|role|>`` newline, text, newline ``<|end|>``. The model's probabilities are counts with add-one smoothing over
 transcripts whose roles are known: at most MOST_TRAINING conversations, chosen by a hash.
 
-A long conversation is cut into segments of SEGMENT turns, each decoded by itself, so no task ever holds a whole
-hot conversation; repeated rows of one turn collapse before they meet and are given back afterwards.
-
-Defined results: null text is an empty turn; a null role is unknown and is recovered like any other; a null
-conv_id is a conversation of its own; rows that repeat a turn each get the turn's result. Roles, boundaries and
-texts are the parser's: a turn whose beginning it misses is part of the one before, and a line inside a text that looks
-like a marker opens a turn. Extra columns are ignored.
+A long conversation is cut into segments of SEGMENT turns, so no task ever holds a whole hot conversation. Segments
+overlap: each is decoded together with the CONTEXT turns before and after it, and keeps the turns that begin among its
+own lines, so the state at its edges is that of the conversation. Repeated rows of one turn collapse before they meet
+and are given back afterwards; a segment of more than MOST_ROWS different rows (many texts for one turn) is dealt by a hash.
+
+Defined results: null text is an empty turn; a null role, or one of no known name, is unknown and is recovered as one of
+ROLES; a row with a null conv_id or a null turn is a conversation of its own; rows that repeat a turn each get the
+turn's result. Roles, boundaries and texts are the parser's: a turn whose beginning it misses is part of the one before, and a
+line inside a text that looks like a marker opens a turn. Extra columns are ignored. The model is fitted on at most
+MOST_TRAINING conversations, which recover() marks (trained), so that others tell how well it does.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-ROLES = ("system", "user", "assistant")
-SEGMENT = 64
+ROLES = ("system", "user", "assistant", "tool")
+SEGMENT, CONTEXT = 64, 8
+#: So many different rows of a segment, at most, are decoded together.
+MOST_ROWS = 256
 MOST_TRAINING = 400
 STEP = 10_000
 #: Names that mark a speaker, by role.
@@ -38,17 +43,18 @@ NAMES = {
     "system": ("system", "instructions", "context"),
     "user": ("user", "human", "q", "question", "customer", "client", "prompter"),
     "assistant": ("assistant", "ai", "a", "answer", "bot", "agent", "model", "gpt"),
+    "tool": ("tool", "function", "observation", "result"),
 }
 NO_TURN = {"turn": None, "role": None, "copies": 1}
 ROLE_OF = {name: role for role, names in NAMES.items() for name in names}
 MARKER = re.compile(r"^\s*(?:(?:#{1,4}|\*\*|[-–>])\s*)?(?:<\|(?:im_start\|>)?|\[|\()?\s*([A-Za-z]{1,14})\s*(?:\|>|\]|\))?\s*(?:\*\*)?\s*(:|-(?=\s)|(?<=[\]>)])|$)\s*(?:\*\*)?[ \t]*")
 #: How the query's transcripts are written: what stands before a turn of each role.
 STYLES = (
-    {"system": "System: ", "user": "User: ", "assistant": "Assistant: "},
-    {"system": "[system] ", "user": "[human] ", "assistant": "[ai] "},
-    {"system": "### Instructions:\n", "user": "### User:\n", "assistant": "### Assistant:\n"},
-    {"system": "Context: ", "user": "Q: ", "assistant": "A: "},
-    {"system": "**System:** ", "user": "**Human:** ", "assistant": "**Bot:** "},
+    {"system": "System: ", "user": "User: ", "assistant": "Assistant: ", "tool": "Tool: "},
+    {"system": "[system] ", "user": "[human] ", "assistant": "[ai] ", "tool": "[tool] "},
+    {"system": "### Instructions:\n", "user": "### User:\n", "assistant": "### Assistant:\n", "tool": "### Result:\n"},
+    {"system": "Context: ", "user": "Q: ", "assistant": "A: ", "tool": "Observation: "},
+    {"system": "**System:** ", "user": "**Human:** ", "assistant": "**Bot:** ", "tool": "**Tool:** "},
 )
 
 N_MARKS = len(ROLES) + 2
@@ -113,18 +119,19 @@ class RoleModel:
 
     def turns(self, transcript: str) -> list[tuple[str, str]]:
         """(role, text without markers) of each turn; an empty transcript has none."""
-        return self.read(transcript) if transcript else []
+        return [(role, text) for role, text, _ in self.read(transcript)] if transcript else []
 
-    def read(self, transcript: str) -> list[tuple[str, str]]:
-        """The same of a transcript that has a turn: if it is empty, so is the turn."""
+    def read(self, transcript: str) -> list[tuple[str, str, int]]:
+        """The same with the line at which each turn begins, of a transcript that has a turn: if it is empty, so is the
+        turn."""
         lines, out = transcript.split("\n"), []
-        for line, state in zip(lines, self.decode(lines)):
+        for k, (line, state) in enumerate(zip(lines, self.decode(lines))):
             if state < len(ROLES):
                 mark, end = marker(line)
-                out.append((ROLES[state], [line[end:]] if mark - 1 == state else [line]))
+                out.append((ROLES[state], [line[end:]] if mark - 1 == state else [line], k))
             else:
                 out[-1][1].append(line)
-        return [(role, "\n".join(text).strip("\n")) for role, text in out]
+        return [(role, "\n".join(text).strip("\n"), k) for role, text, k in out]
 
 
 def render(role: str, text: str) -> str:
@@ -133,81 +140,121 @@ def render(role: str, text: str) -> str:
 
 def write_transcript(turns: list[tuple[str | None, str]], style: int, unmarked: set[int] = frozenset()) -> tuple[str, np.ndarray]:
     """A transcript and its lines' true states. A turn without marker stands after a blank line."""
+    text, states, _ = written(turns, style, unmarked)
+    return text, states
+
+
+def written(turns: list[tuple[str | None, str]], style: int, unmarked: set[int] = frozenset()) -> tuple[str, np.ndarray, list[int]]:
+    """write_transcript(), and at which line each turn begins."""
     lines: list[str] = []
     states: list[int] = []
+    begins: list[int] = []
     for k, (role, text) in enumerate(turns):
         known = ROLES.index(role) if role in ROLES else None
         plain = k in unmarked or known is None
         if plain and k:
             lines.append("")
             states.append((states[-1] % len(ROLES)) + len(ROLES))
+        begins.append(len(lines))
         mine = ((STYLES[style][role] if not plain else "") + text).split("\n")
         lines += mine
         known = known if known is not None else 1
         states += [known] + [known + len(ROLES)] * (len(mine) - 1)
-    return "\n".join(lines), np.array(states, np.int64)
+    return "\n".join(lines), np.array(states, np.int64), begins
+
+
+def style_of(conv: str | None) -> int:
+    return sum((conv or "").encode()) % len(STYLES)
+
+
+def without_marker(place: int, style: int) -> bool:
+    """Whether a conversation's turn at a place (0, 1, ...) carries no marker: every seventh, never the first."""
+    return place > 0 and (place + style) % 7 == 3
 
 
-def _plan(conv: str | None, n: int, segment: int) -> tuple[int, set[int]]:
-    """Style of a conversation's transcript, and which of its turns carry no marker: every seventh, by place."""
-    style = sum((conv or "").encode()) % len(STYLES)
-    return style, {k for k in range(1, n) if (k + style + segment) % 7 == 3}
+def _training(conversations: DataFrame, most: int) -> DataFrame:
+    """conv_id of the conversations that the model is fitted on."""
+    return conversations.where("conv_id is not null and turn >= 0").select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(most)
 
 
 def fit(conversations: DataFrame, most: int = MOST_TRAINING) -> RoleModel:
+    """Learns from the first SEGMENT turns of each training conversation."""
     model = RoleModel()
     some = conversations.where("conv_id is not null and turn >= 0").where(F.col("turn") < SEGMENT)
-    chosen = some.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(most)
-    rows = some.join(F.broadcast(chosen), "conv_id").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("t"))
+    rows = some.join(F.broadcast(_training(conversations, most)), "conv_id").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("t"))
     found = rows.select(F.col("conv_id").cast("string").alias("c"), "turn", "t.role", "t.text").orderBy("conv_id", "turn").toArrow().to_pylist()
     by: dict[str, list] = {}
     for r in found:
         by.setdefault(r["c"], []).append((r["role"], r["text"] or ""))
     for conv, turns in by.items():
-        style, unmarked = _plan(conv, len(turns), 0)
-        text, states = write_transcript(turns, style, unmarked)
+        style = style_of(conv)
+        text, states = write_transcript(turns, style, {k for k in range(len(turns)) if without_marker(k, style)})
         model.learn(text.split("\n"), states)
     return model
 
 
 def segments(conversations: DataFrame) -> DataFrame:
-    """One row for each segment: conv_id, segment, turns (array of turn, role, text in order)."""
+    """One row for each segment: conv_id, segment, part, turns (array of turn, role, text, copies, own in order); own
+    tells the segment's turns from its neighbours' beside them. Segments without turns of their own are left out."""
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     once = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    cut = F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT).alias("segment")
-    return once.groupBy("conv_id", cut).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "copies"))).alias("turns"))
+    alone = F.col("conv_id").isNull() | F.col("turn").isNull()
+    place, own = F.pmod(F.col("turn"), F.lit(SEGMENT)), F.floor(F.col("turn") / SEGMENT)
+    # A row without a place is a segment of its own, named by a hash below 0 (turns are numbered from 0).
+    single = -1 - F.shiftrightunsigned(F.xxhash64("turn", "role", "text"), 1)
+    near = F.array_compact(F.array(F.struct(own.alias("segment"), F.lit(True).alias("own")), F.when(place < CONTEXT, F.struct((own - 1).alias("segment"), F.lit(False).alias("own"))), F.when(place >= SEGMENT - CONTEXT, F.struct((own + 1).alias("segment"), F.lit(False).alias("own")))))
+    where = F.when(alone, F.array(F.struct(single.alias("segment"), F.lit(True).alias("own")))).otherwise(near)
+    dealt = once.select("conv_id", "turn", "role", "text", "copies", F.inline(where))
+    # Many different rows of one segment: dealt by hash. There are few such segments, if any.
+    crowded = dealt.groupBy("conv_id", "segment").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ROWS)
+    crowded = crowded.select(F.col("conv_id").alias("_c"), F.col("segment").alias("_s"), F.ceil(F.col("n") / MOST_ROWS).alias("parts"))
+    dealt = dealt.join(crowded, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("segment") == F.col("_s")), "left")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("role", "text"), F.col("parts"))).alias("part")
+    found = dealt.groupBy("conv_id", "segment", part).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "copies", "own"))).alias("turns"))
+    return found.where(F.exists("turns", lambda t: t["own"]))
+
+
+def read_segment(model: RoleModel, conv: str | None, turns: list[dict]) -> list[tuple[dict, tuple[str | None, str | None]]]:
+    """The turns that a segment's transcript has by the model, matched with the table's by position among its own."""
+    style = style_of(conv)
+    plain = {k for k, t in enumerate(turns) if k and t["turn"] is not None and without_marker(t["turn"], style)}
+    transcript, _, begins = written([(t["role"], t["text"]) for t in turns], style, plain)
+    owned = [k for k, t in enumerate(turns) if t["own"]]
+    low = begins[owned[0]] if owned[0] else 0
+    high = begins[owned[-1] + 1] if owned[-1] + 1 < len(turns) else float("inf")
+    # What the parser finds, by position: the table has no say in boundaries, roles or texts.
+    found = [(role, text) for role, text, at in model.read(transcript) if low <= at < high]
+    return [(t if isinstance(t, dict) else NO_TURN, x) for t, x in zip_longest([turns[k] for k in owned], found, fillvalue=(None, None))]
 
 
 def recover(conversations: DataFrame, model: RoleModel | None = None) -> DataFrame:
     """The turns that the parser finds in each segment's transcript, matched by position with the table's: conv_id,
-    turn, role (as given), recovered, text, rendered (canonical). Turns of the table beyond those found have null for
-    the last three; found ones beyond the table's have null for turn and role."""
+    turn, role (as given), recovered, text, rendered (canonical), trained (whether the model was fitted on the
+    conversation). Turns of the table beyond those found have null for recovered, text and rendered; found ones beyond the
+    table's have null for turn and role."""
+    training = _training(conversations, MOST_TRAINING if model is None else 0).select(F.col("conv_id").alias("_t"))
     sent = conversations.sparkSession.sparkContext.broadcast(model or fit(conversations))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, out = [], {k: [] for k in ("turn", "role", "recovered", "text", "rendered", "copies")}
             conv = batch.column("conv_id").cast(pa.string()).to_pylist()
-            for k, (c, cut, turns) in enumerate(zip(conv, batch.column("segment").to_pylist(), batch.column("turns").to_pylist())):
-                style, unmarked = _plan(c, len(turns), cut)
-                transcript, _ = write_transcript([(t["role"], t["text"]) for t in turns], style, unmarked)
-                # What the parser finds, by position: the table has no say in boundaries, roles or texts.
-                found = sent.value.read(transcript)
-                for t, (role, text) in zip_longest(turns, found, fillvalue=(None, None)):
-                    t = t if isinstance(t, dict) else NO_TURN
+            for k, (c, turns) in enumerate(zip(conv, batch.column("turns").to_pylist())):
+                for t, (role, text) in read_segment(sent.value, c, turns):
                     index.append(k)
                     for name, value in (("turn", t["turn"]), ("role", t["role"]), ("recovered", role), ("text", text), ("rendered", render(role, text) if role else None), ("copies", t["copies"])):
                         out[name].append(value)
             kinds = [pa.int64(), *[pa.string()] * 4, pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array(index, pa.int64())), *(pa.array(x, kind) for x, kind in zip(out.values(), kinds))], ["conv_id", *out])
 
-    rows = segments(conversations)
+    rows = segments(conversations).select("conv_id", "turns")
     schema = rows.select("conv_id").schema.add("turn", "long").add("role", "string").add("recovered", "string").add("text", "string").add("rendered", "string").add("copies", "long")
     found = map_arrow(rows, parse, schema)
     # Copies are given back in steps, so that no row holds more than STEP numbers.
     found = found.withColumn("part", F.explode(F.expr(f"sequence(0, (copies - 1) div {STEP})")))
     found = found.withColumn("copy", F.explode(F.expr(f"sequence(1, least({STEP}, copies - part * {STEP}))")))
-    return found.drop("copies", "part", "copy")
+    found = found.join(F.broadcast(training), F.col("conv_id") == F.col("_t"), "left")
+    return found.select("conv_id", "turn", "role", "recovered", "text", "rendered", F.col("_t").isNotNull().alias("trained"))
 
 
 def parse_transcripts(transcripts: DataFrame, model: RoleModel, column: str = "transcript") -> DataFrame:

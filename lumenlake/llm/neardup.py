@@ -8,13 +8,14 @@ Equal sets are one class from the start, so exact copies cost one row each. In e
 with one of the bucket only, its leader; links are confirmed on the full sets, and a sketch of the signature leaves out
 pairs 5 standard deviations below what could matter. That joins most of a family in one component.
 
-What is left is settled exactly, and without listing pairs of a family. A leader's group are the classes compared with
-it. Let D(x) be the shingles in which x differs from its leader L, and r(x) how many of L's it lacks. Then x and y share
-|L| - r(x) - r(y) + |D(x) & D(y)| shingles, so a link of two classes of a group asks for a known number of common
-differences, at least one if either isn't linked to L (it follows from the threshold). By the prefix filter it is
-enough to look at each class's rarest differences, rarest in its group first: classes of different components that share one
-of them, and could still reach the number, are compared on their full sets. Classes edited independently of each other
-share next to none, so the work follows the number of classes and not of pairs.
+What is left is settled exactly, and without listing pairs of a family. A group is all that was compared with the
+leaders of one component, whether it was linked or not; one of those leaders, L, stands for it. Let D(x) be the shingles
+in which x differs from L, and r(x) how many of L's it lacks. Then x and y share |L| - r(x) - r(y) + |D(x) & D(y)|
+shingles, so a link asks for a known number of common differences, at least one if y isn't linked to L (it follows from
+the threshold), as is so for every y outside the component. By the prefix filter it is enough to look at each class's
+rarest differences, rarest among those of the outsiders first: an outsider and a class of another component that share
+one of them, and could still reach the number, are compared on their full sets. Classes edited independently of each
+other share next to none, so the work follows the number of classes and not of pairs.
 
 With 28 bands of 5 rows a link of similarity 0.85 misses all bands once in 10**7. Defined results: null and empty
 texts have no shingles, link with nothing and are their own component; a null doc_id links with nothing, has no
@@ -34,7 +35,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, IdFilter, SharedTable, components, cut, keep_rows, map_arrow, mixed, row_blocks, text_bytes, word_hashes
+from .common import MOST_BROADCAST, NOT_SPACE, IdFilter, SharedTable, components, cut, keep_rows, map_arrow, mixed, row_blocks, text_bytes, word_hashes
 
 SLOT_BITS = 20
 BANDS, ROWS = 28, 5
@@ -188,7 +189,7 @@ class _Linker:
             tried = cut(self.compare(pairs.select(F.col("leader").alias("a"), F.col("id").alias("b"))))
             links = tried.where(self.linked()).select("a", "b")
             label = components(links)
-            rest = cut(self.left_over(pairs, tried, label))
+            rest = cut(self.left_over(pairs, label))
             if not rest.isEmpty():
                 more = cut(self.compare(rest)).where(self.linked()).select("a", "b")
                 label = components(links.unionByName(more))
@@ -222,47 +223,49 @@ class _Linker:
         full = self.with_sets(cut(self.screen(pairs)))
         return full.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("both"))
 
-    def differences(self, pairs: DataFrame, tried: DataFrame, label: DataFrame) -> DataFrame:
-        """(leader, id, c, linked, nl, n, lacks, d): for each class of the groups that aren't settled yet, how it differs
-        from the group's leader: how many shingles of the leader it lacks, and all in which the two differ. c is its
-        component, so far."""
-        share = tried.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.expr(self.linked()).alias("linked"))
-        state = pairs.join(share, ["leader", "id"], "left").join(label.select("id", "component"), "id", "left")
-        state = cut(state.select("leader", "id", F.coalesce("component", "id").alias("c"), F.coalesce("linked", F.lit(False)).alias("linked")))
-        # A group is settled if all are linked to the leader or in one component.
-        open_ = cut(state.groupBy("leader").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("linked").alias("all")).where("low <> high and not all").select("leader"))
-        full = self.with_sets(state.join(open_, "leader", "left_semi").select(F.col("leader").alias("a"), F.col("id").alias("b"), "c", "linked"))
+    def differences(self, pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """(group, id, c, nl, n, lacks, d) of the groups that aren't settled yet: for each class, its component so far,
+        how many shingles of the group's leader it lacks, and all in which the two differ."""
+        name = lambda key, c: label.select(F.col("id").alias(key), F.col("component").alias(c))
+        state = pairs.join(name("leader", "_g"), "leader", "left").join(name("id", "_c"), "id", "left")
+        state = cut(state.select("leader", "id", F.coalesce("_g", "leader").alias("group"), F.coalesce("_c", "id").alias("c")))
+        # A group is settled if all of it is in the component of its leaders.
+        first = state.groupBy("group", "leader").agg(F.count("*").alias("n"), F.max((F.col("c") != F.col("group")).cast("int")).alias("open"))
+        first = cut(first.groupBy("group").agg(F.max(F.struct("n", "leader")).alias("m"), F.max("open").alias("open")).where("open = 1").select("group", F.col("m.leader").alias("a")))
+        rows = state.select("group", "id", "c").distinct().join(first, "group").where("id <> a")
+        full = self.with_sets(cut(rows.select("a", F.col("id").alias("b"), "group", "c")))
         lacks, has = F.array_except("xa", "xb"), F.array_except("xb", "xa")
-        return full.select(F.col("a").alias("leader"), F.col("b").alias("id"), "c", "linked", F.size("xa").alias("nl"), F.size("xb").alias("n"), F.size(lacks).alias("lacks"), F.concat(lacks, has).alias("d"))
+        return full.select("a", "group", F.col("b").alias("id"), "c", F.size("xa").alias("nl"), F.size("xb").alias("n"), F.size(lacks).alias("lacks"), F.concat(lacks, has).alias("d"))
 
-    def left_over(self, pairs: DataFrame, tried: DataFrame, label: DataFrame) -> DataFrame:
-        """Pairs (a, b) of classes of one group and two components that may be linked, one of them not linked to the
-        group's leader."""
+    def left_over(self, pairs: DataFrame, label: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes of one group and two components that may be linked."""
         p = self.percent
-        least = f"{p}L * (x.n + y.n) - {100 + p}L * (x.nl - x.lacks - y.lacks)"  # times (100 + p): differences that x and y share if they are linked
-        rows = cut(self.differences(pairs, tried, label))
-        # What a class shares at least with one that isn't linked to the leader, and with any other of its group.
+        rows = cut(self.differences(pairs, label))
+        # What a class shares at least with an outsider, which isn't linked to the leader, and with any other class.
         far = f"greatest(1, ceil(({p}L * (n - nl) + {100 + p}L * lacks) / {100 + p}))"
         size = f"least(greatest(nl, ceil({p} * n / 100)), floor(100 * n / {p}))"
         any_ = f"greatest(1, ceil(({p}L * (n + {size}) - {100 + p}L * (nl - lacks - greatest(0, nl - {size}))) / {100 + p}))"
-        rows = rows.select("leader", "id", "c", "linked", "nl", "n", "lacks", "d", F.size("d").alias("s"), F.expr(far).cast("long").alias("far"), F.expr(any_).cast("long").alias("any"))
-        rows = rows.where("s > 0")
-        spread = rows.select("leader", "id", F.explode("d").alias("e"))
-        often = spread.groupBy("leader", "e").agg(F.count("*").alias("f")).where("f > 1")
-        common = spread.join(often, ["leader", "e"]).groupBy("leader", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("common"))
-        rows = cut(rows.drop("d").join(common, ["leader", "id"]))
-        # A class's differences in order of rarity: those that it has alone come first, and can't be shared.
-        place = "s - size(common)"
-        rows = rows.withColumn("common", F.expr(f"transform(common, (v, k) -> struct(v.e as e, cast({place} + k as long) as at))"))
+        rows = rows.select("a", "group", "id", "c", "nl", "n", "lacks", "d", F.size("d").alias("s"), F.expr(far).cast("long").alias("far"), F.expr(any_).cast("long").alias("any"))
+        # An outsider that is linked to the leader after all.
+        direct = rows.where(f"c <> group and {100 + p}L * (nl - lacks) >= {p}L * (nl + n)").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+        outside = rows.where("c <> group")
+        often = cut(outside.select("group", F.explode("d").alias("e")).groupBy("group", "e").agg(F.count("*").alias("f")))
+        small = F.broadcast(often) if often.count() <= MOST_BROADCAST // 4 else often
+        common = rows.select("group", "id", F.explode("d").alias("e")).join(small, ["group", "e"]).groupBy("group", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("common"))
+        rows = cut(rows.drop("d", "a").join(common, ["group", "id"]))
+        # A class's differences in order of rarity: those that no outsider has come first, and can't be shared with one.
+        rows = rows.withColumn("common", F.expr("transform(common, (v, k) -> struct(v.e as e, cast(s - size(common) + k as long) as at))"))
 
         def prefix(need: str) -> DataFrame:
             at = F.explode(F.expr(f"filter(common, v -> v.at <= s - {need})")).alias("v")
-            return rows.select("leader", "id", "c", "linked", "nl", "n", "lacks", "s", at).select("leader", "id", "c", "linked", "nl", "n", "lacks", "s", "v.e", "v.at")
+            return rows.select("group", "id", "c", "nl", "n", "lacks", "s", at).select("group", "id", "c", "nl", "n", "lacks", "s", "v.e", "v.at")
 
-        y, x = prefix("any").where("not linked").alias("y"), prefix("far").alias("x")
+        y, x = prefix("any").where("c <> group").alias("y"), prefix("far").alias("x")
+        # Times (100 + p): how many differences x and y share if they are linked.
+        least = f"{p}L * (x.n + y.n) - {100 + p}L * (x.nl - x.lacks - y.lacks)"
         able = f"{100 + p}L * least(x.s - x.at, y.s - y.at) >= {least} and 100 * least(x.n, y.n) >= {p} * greatest(x.n, y.n)"
-        found = y.join(x, F.expr(f"x.leader = y.leader and x.e = y.e and x.c <> y.c and (x.linked or y.id < x.id) and {able}"))
-        return found.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
+        found = y.join(x, F.expr(f"x.group = y.group and x.e = y.e and x.c <> y.c and (x.c = x.group or y.id < x.id) and {able}"))
+        return found.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).unionByName(direct).distinct()
 
 
 def _judged(docs: DataFrame, percent: int, width: int) -> DataFrame:

@@ -46,7 +46,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.recover(_table(spark, sf_dir, "conversations"))
-    return rows.select("conv_id", "turn", "role", "recovered", F.sha2("rendered", 256).alias("rendered_sha256"))
+    return rows.select("conv_id", "turn", "role", "recovered", F.sha2("rendered", 256).alias("rendered_sha256"), "trained")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,6 +242,49 @@ def test_decontamination(spark, corpus):
     assert decontaminate.find_leaks(docs.where("false"), table).count() == 0
 
 
+def test_decontamination_finds_longest_matches_in_any_number_of_passes(spark, corpus, monkeypatch):
+    docs, rows = corpus
+    base = words(80, 2).split()
+    items = [(1, " ".join(base[5:30])), (2, " ".join(base[20:60] + ["other", *base[3:20]])), (3, "the end of it"), (4, " ".join(words(200, 3).split()[40:75])), (5, "Two, WORDS"), (6, " ".join(["again"] * 30))]
+    more = documents(spark, [(50, "again " * 500), (51, " ".join(words(200, 3).split()[30:90] + base[:70])), (51, " ".join(base[:12])), (None, " ".join(base))])
+    docs = docs.unionByName(more)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = {str(i): token.findall(x.lower()) for i, x in items}
+    one = decontaminate.find_leaks(docs, table).collect()
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    for r in one:
+        if r.longest is not None:
+            found = [t for i, t in texts if i == r.doc_id and token.findall(t.lower())[r.longest_at : r.longest_at + r.longest] == split[r.longest_item][r.longest_item_at : r.longest_item_at + r.longest]]
+            assert found, r
+    best = {}
+    for i, t in texts:
+        w = token.findall(t.lower())
+        here = 0
+        for v in split.values():
+            for a in range(len(w)):
+                for b in range(len(v)):
+                    n = 0
+                    while n < min(len(w) - a, len(v) - b) and w[a + n] == v[b + n]:
+                        n += 1
+                    if n >= min(10, len(v)):
+                        here = max(here, n)
+            if len(w) > 20000:
+                break
+        best.setdefault(i, []).append(here)
+    have = {}
+    for r in one:
+        have.setdefault(r.doc_id, []).append(r.longest or 0)
+    assert {i: sorted(x) for i, x in have.items() if i != 10} == {i: sorted(x) for i, x in best.items() if i != 10}
+    monkeypatch.setattr(decontaminate, "MOST_BLOCKS", 1)
+    many = decontaminate.find_leaks(docs, table, most_words=20).collect()
+    assert len(list(decontaminate._passes(table, 10, 20))) > 3
+    key = lambda r: (str(r.doc_id), r.n_words, r.n_hit, tuple(r.item_ids), r.longest)
+    assert sorted(map(key, many)) == sorted(map(key, one))
+    kept = decontaminate.clean(docs, table, most_words=20)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, decontaminate.clean(docs, table).collect()))
+
+
 def test_decontamination_counts_items_without_id(spark, corpus):
     docs, _ = corpus
     passage = " ".join(words(80, 2).split()[5:30])
@@ -292,6 +335,19 @@ PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></hea
 <aside>Related things</aside><footer>All rights</footer></body></html>"""
 
 
+def test_html_judges_misleading_names_by_neighbours(spark):
+    """Names that may mean either, and attributes that only mention hidden, don't take a paragraph from the article."""
+    long = "a paragraph of the article with enough words to stand as text among others"
+    page = f"""<body><nav><a href="/">Home</a></nav><article><h1>Head</h1><p>{long} one</p><div class="side note"><p>{long} two</p></div>
+    <p title="a hidden gem" data-x='hidden'>{long} three</p><p class="share">Share <a href="/x">this</a></p><p>{long} four</p><p hidden>not shown at all in any browser window today</p>
+    <p style="color:red; display: none">neither is this one shown in any browser window</p><div class="related"><a href="/a">one</a> <a href="/b">two</a></div><p>{long} five</p>
+    <div id="comments"><p>{long} by a reader</p></div></article><footer>end</footer></body>"""
+    text = htmltext.main_text(page)
+    assert text == " ".join(["Head", *(f"{long} {n}" for n in ("one", "two", "three", "four", "five"))])
+    found = {b[0]: b[5] for b in htmltext.blocks(page)}
+    assert found[f"{long} two"] and not found[f"{long} one"]
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, "u", None, "t"), (3, None, "", "t"), (4, "u", "<article><p>cut off here</p><p>and more</ar", "t"), (4, "u", "<p>" + "long plain text without an article " * 400, "t")], "page_id long, url string, html string, text string")
     got = sorted(htmltext.extract_text(pages).collect(), key=lambda r: (r.page_id, r.n_chars))
@@ -417,7 +473,8 @@ def test_chat_recovers_what_the_parser_finds(spark):
     rows += [(500, t, ("user", "assistant")[t % 2], x) for t, x in enumerate(texts)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     model = chat.fit(table)
-    transcript, _ = chat.write_transcript([(r, x) for c, _, r, x in rows if c == 500], *chat._plan("500", 3, 0))
+    style = chat.style_of("500")
+    transcript, _ = chat.write_transcript([(r, x) for c, _, r, x in rows if c == 500], style, {k for k in range(3) if chat.without_marker(k, style)})
     want = model.turns(transcript)
     got = [x for x in chat.recover(table, model).collect() if x.conv_id == 500]
     assert len(want) == 4 and sorted((x.recovered, x.text) for x in got) == sorted(want)
@@ -425,6 +482,49 @@ def test_chat_recovers_what_the_parser_finds(spark):
     assert all(x.rendered == chat.render(x.recovered, x.text) for x in got)
 
 
+def test_viterbi_is_the_best_of_all_paths():
+    from itertools import product
+
+    r = np.random.default_rng(3)
+    for trial in range(12):
+        model = chat.RoleModel()
+        model.begin, model.move, model.show = r.random(chat.N_STATES) + 0.01, r.random((chat.N_STATES, chat.N_STATES)) + 0.01, r.random((chat.N_STATES, chat.N_MARKS * 4)) + 0.01
+        lines = [["User: hi?", "", "Assistant: yes", "more", "Tool: 3", "no marker?"][k] for k in r.integers(0, 6, 4)]
+        seen, roles = chat.observe(lines), len(chat.ROLES)
+        begin, move, show = (np.log(x / x.sum(-1, keepdims=True)) for x in (model.begin, model.move, model.show))
+
+        def worth(path):
+            total = begin[path[0]] + show[path[0], seen[0]]
+            for a, b, o in zip(path, path[1:], seen[1:]):
+                total += move[a, b] + show[b, o]
+            return total
+
+        # The first line begins a turn, and a turn's later lines keep its role.
+        legal = [p for p in product(range(chat.N_STATES), repeat=4) if p[0] < roles and all(b < roles or a % roles == b % roles for a, b in zip(p, p[1:]))]
+        assert worth(tuple(model.decode(lines))) == pytest.approx(max(map(worth, legal)))
+
+
+def test_chat_segments_overlap(spark):
+    """A conversation of many segments is read as one transcript would be; other roles, null places and crowds."""
+    rows = [(c, t, ("user", "assistant")[t % 2], "say %d %d" % (c, t)) for c in range(40) for t in range(6)]
+    r = np.random.default_rng(5)
+    long = [(900, t, ("user", "assistant", "tool")[t % 3], "turn %d" % t + ("\nline two" if r.random() < 0.3 else "")) for t in range(200)]
+    crowd = [(901, 0, "user", "text %d" % k) for k in range(600)]
+    lost = [(None, 3, "user", "no conversation"), (902, None, "assistant", "no place"), (902, None, "assistant", "no place"), (903, 0, "narrator", "who says so")]
+    table = spark.createDataFrame([*rows, *long, *crowd, *lost], "conv_id long, turn long, role string, text string")
+    model = chat.fit(table)
+    style = chat.style_of("900")
+    whole, _ = chat.write_transcript([(role, x) for _, _, role, x in long], style, {k for k in range(200) if chat.without_marker(k, style)})
+    got = chat.recover(table, model).collect()
+    mine = sorted((x.turn, x.recovered, x.text) for x in got if x.conv_id == 900 and x.turn is not None)
+    assert [m[1:] for m in mine] == model.turns(whole)
+    assert sum(x.conv_id == 901 for x in got) >= 600 and sum(x.conv_id == 902 for x in got) == 2 and sum(x.conv_id is None for x in got) == 1
+    assert {x.recovered for x in got if x.conv_id == 903} <= set(chat.ROLES)
+    assert {x.recovered for x in got if x.role == "tool"} == {"tool"}
+    empty = chat.recover(table.where("false"))
+    assert empty.count() == 0 and not any(x.trained for x in got)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
