@@ -2,23 +2,28 @@
 
 Two interpolated Kneser-Ney models, of toxic and of ordinary text, back off from a word after the word before it
 to the word, then to the word's first 6 and first 4 bytes, whose continuation counts are the distinct words that
-begin so, and last to the word counts of the whole corpus, which both classes share. An expression that a class
-has hardly seen gets its probability from its beginning and from those shared counts, alike in both models, so
-rare words cancel out of the comparison. A text's evidence is its length-normalised log-likelihood ratio, over
-the whole text and over its most toxic stretches of 1, 4 and 16 words, and how many words speak strongly for the
-toxic model; a logistic curve, fitted on labelled rows that the counts left out, turns them into a probability.
+begin so, and last to the word counts of the whole corpus, which both classes share. Every order takes an absolute
+discount off its counts and hands that mass to the next. An expression that a class has hardly seen gets its
+probability from its beginning and from those shared counts, alike in both models, so rare words cancel out of the
+comparison. A class is modelled twice, with the usual discount below 1 and with one of STRONG_DISCOUNT, which leaves
+nothing of counts that may be chance.
+
+A text's evidence are its length-normalised log-likelihood ratios, over the whole text and over its most toxic
+stretches of 1, 4 and 16 words, and how many words speak strongly for the toxic model; a logistic curve, fitted on
+labelled rows that the counts left out, turns them into a probability. (A few toxic words hardly move the mean of a
+long text: by the whole text's ratio alone a fifth of the toxic rows are found, see the README.)
 
 Words, their beginnings and word pairs are named by 64-bit hashes, so none share a count. The corpus's counts are
 rows, one for each distinct word of all documents, and stay distributed. Where neither class has a word (a beginning),
 its shared count is the same factor of both probabilities and drops out of their ratio, so scoring needs the counts of
-the labelled rows' words alone: they are looked up among the corpus's and go to the executors as sorted arrays, whose
-size is bounded by that of at most MOST_LABELS labelled rows. Every pair and every continuation counts, less
-the usual discount that the class's counts of one and two give; a second, wary pair of models discounts rare ones more,
-and the curve weighs the evidence of both.
+the labelled rows' words alone: they are looked up among the corpus's and go to the executors as sorted arrays. Their
+size is bounded by that of the sample: MOST_LABELS rows, half of them of either class as far as there are so many, of at
+most MOST_BYTES bytes (longer rows don't train), one text for each doc_id and one row for each text. The curve's constant
+is set right for the classes' real odds.
 
 Defined results: null and empty texts, and texts without words, have no evidence and get the curve's value
 there. With no labels, or labels of one class, every score is 0. Rows that repeat are scored one by one;
-labels that repeat count once, the largest first. Extra columns are ignored.
+labels that repeat count once, the largest first; null labels and ids don't train. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,18 +38,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, crc_mod, label_sample, logistic, map_arrow, mixed, prefix_hash, row_blocks, span_hash, text_bytes, words
+from .common import LOWER, WORD, crc_mod, cut, logistic, map_arrow, mixed, prefix_hash, row_blocks, span_hash, text_bytes, words
 
-MOST_LABELS = 20_000
+MOST_LABELS, MOST_BYTES = 6_000, 100_000
 #: Stands for no word before a row's first.
 NONE = np.uint64(0)
 #: The least and the largest discount of a count.
 DISCOUNTS = (0.1, 0.95)
-#: The wary models discount a count c to c - 1 - DOUBT * sqrt(c), at least 0: what a class has only a few times may be
-#: chance.
-DOUBT = 1.5
-#: The part of the lowest order that both classes take from the corpus's counts.
-SHARED = 0.5
+#: What the second pair of models takes off each count.
+STRONG_DISCOUNT = 4.0
 #: Lengths in bytes of the beginnings of words.
 BEGINNINGS = (6, 4)
 #: The most that one word can say for either class.
@@ -167,12 +169,12 @@ def usual(counts: np.ndarray) -> np.ndarray:
     return np.maximum(counts - discount(counts), 0)
 
 
-def doubted(counts: np.ndarray) -> np.ndarray:
-    return np.maximum(counts - 1 - DOUBT * np.sqrt(counts), 0)
+def strong(counts: np.ndarray) -> np.ndarray:
+    return np.maximum(counts - STRONG_DISCOUNT, 0)
 
 
 #: A class is modelled once with each.
-DISCOUNTED = (usual, doubted)
+DISCOUNTED = (usual, strong)
 
 
 class Vocabulary:
@@ -198,9 +200,9 @@ class Vocabulary:
 
 class KneserNey:
     """One class: P(w | v) = kept(v w) / c(v) + (1 - kept(v .) / c(v)) * P(w), where kept is what the discount leaves
-    of a count. P(w) mixes the class's discounted continuation counts N1+(. w) with P(b) * shared(w) / shared(b) for
-    the beginning b of w, and so on down to the shared counts. What the vocabulary doesn't have gets the last number of
-    each array."""
+    of a count. P(w) does the same with the class's continuation counts N1+(. w), and hands the rest to
+    P(b) * shared(w) / shared(b) for the beginning b of w, and so on down to the shared counts. What the vocabulary
+    doesn't have gets the last number of each array."""
 
     def __init__(self, known: Vocabulary, n: np.ndarray, shared: list[np.ndarray], total: int, discounted: Callable[[np.ndarray], np.ndarray]):
         once, at = np.unique(n, return_index=True)
@@ -216,13 +218,12 @@ class KneserNey:
         counts = [np.bincount(known.w[n > 0], minlength=len(known.levels[0]))]
         for up, keys in zip(known.up, known.levels[1:]):
             counts.append(np.bincount(up[counts[-1] > 0], minlength=len(keys)))
-        own = [discounted(x.astype(np.float64)) for x in counts]
-        own = [x / max(1.0, float(x.sum())) for x in own]
         shared = [np.maximum(x, 1).astype(np.float64) for x in shared]
-        p = [(1 - SHARED) * own[-1] + SHARED * shared[-1] / max(1, total)]
-        for k in range(len(own) - 2, -1, -1):
-            up = known.up[k]
-            p.insert(0, (1 - SHARED) * own[k] + SHARED * p[0][up] * shared[k] / shared[k + 1][up])
+        p: list[np.ndarray] = []
+        for k in range(len(counts) - 1, -1, -1):
+            own, all_ = discounted(counts[k].astype(np.float64)), max(1.0, float(counts[k].sum()))
+            below = p[0][known.up[k]] * shared[k] / shared[k + 1][known.up[k]] if p else shared[k] / max(1, total)
+            p.insert(0, own / all_ + (1 - own.sum() / all_) * below)
         self.p = [np.append(x, 0).astype(np.float64) for x in p]
 
     def log(self, n: np.ndarray, before: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -294,13 +295,24 @@ def _unpacked(data: bytes) -> Model | None:
     return pickle.loads(zlib.decompress(data))
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, most_labels: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, label, fold) of the sample, and how many labelled rows of each class there are to learn from."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod("doc_id", FOLDS) != HELD_OUT))
+    rows = rows.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
+    odds = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    sides = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels // 2) for c in (0, 1)]
+    sample = sides[0].unionByName(sides[1]).withColumn("fold", crc_mod("doc_id", FOLDS).cast("int"))
+    known = docs.select("doc_id", "text").where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(sample), "doc_id")
+    known = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"), F.min("fold").alias("fold"))
+    # Exact copies are learnt from once.
+    once = known.groupBy(F.xxhash64("text").alias("h")).agg(F.min_by(F.struct("text", "label", "fold"), "doc_id").alias("r"))
+    return once.select("r.text", "r.label", "r.fold"), odds
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> Model | None:
     spark = docs.sparkSession
-    sample = label_sample(labels, "toxic", most_labels, FOLDS, HELD_OUT).persist(StorageLevel.MEMORY_AND_DISK)
-    # Exact copies are learnt from once.
-    once = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    sample = sample.join(once.select("doc_id"), "doc_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    known, odds = training_rows(docs, labels, most_labels)
+    known = cut(known)
     counting = known.where(F.col("fold") != CURVE_FOLD).select("text", "label")
     pairs = map_arrow(counting, _count_pairs, "v long, w long, toxic long, ordinary long").groupBy("v", "w").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("ordinary").cast("int").alias("ordinary")).toArrow()
     spelt = word_counts(counting).select("w", "w1", "w2").toArrow()
@@ -327,8 +339,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> M
         return None
     x = np.stack(left["x"].to_numpy())
     middle, spread = x.mean(0), x.std(0) + 1e-9
-    w = logistic((x - middle) / spread, y)
-    model.curve = np.concatenate([w[:-1] / spread, [w[-1] - (w[:-1] * middle / spread).sum()]])
+    w = logistic((x - middle) / spread, y, 3 / len(y))
+    # The sample has more toxic rows than there are; the real odds belong in the constant.
+    shift = np.log(odds[1] / odds[0]) - np.log(y.sum() / (1 - y).sum())
+    model.curve = np.concatenate([w[:-1] / spread, [w[-1] - (w[:-1] * middle / spread).sum() + shift]])
     return model
 
 

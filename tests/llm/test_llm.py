@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,6 +383,91 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.toxicity(docs, labels.where("false")).collect()} == {0.0}
 
 
+def test_toxicity_models_are_kneser_ney(spark):
+    """Counts and probabilities against a model of dictionaries, and P(w | v) adds up to 1 over the corpus's words."""
+    from collections import Counter
+
+    r = np.random.default_rng(21)
+    texts = [(" ".join("word%d" % k for k in r.zipf(1.6, 40) % 60), int(r.random() < 0.4)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in texts]), pa.array([y for _, y in texts], pa.int32())], ["text", "label"])
+    pairs = pa.Table.from_batches(list(toxicity._count_pairs(iter([batch])))).to_pandas().groupby(["v", "w"]).sum().reset_index()
+    spelt = pa.Table.from_batches(list(toxicity._count_words(iter([batch])))).to_pandas()
+    names = lambda x: x.to_numpy(np.int64).view(np.uint64)
+    known = toxicity.Vocabulary(names(pairs.v), names(pairs.w), [names(spelt[c]) for c in ("w", "w1", "w2")])
+    counts = word_counts = Counter(w for t, _ in texts for w in t.split())
+    shared, total = toxicity._shared(toxicity.word_counts(spark.createDataFrame([(t,) for t, _ in texts], "text string")), known.levels)
+    assert total == sum(counts.values()) and sorted(shared[0]) == sorted(counts.values())
+
+    def name(w, n=99):
+        data = np.frombuffer(w[:n].encode(), np.uint8)
+        return toxicity._names(data, np.array([0, len(data)]))[0][0][0]
+
+    for side, column in ((1, "toxic"), (0, "ordinary")):
+        n = pairs[column].to_numpy()[known.order]
+        c = Counter((v, w) for t, y in texts if y == side for v, w in zip([None, *t.split()], t.split()))
+        for discounted in toxicity.DISCOUNTED:
+            model = toxicity.KneserNey(known, n, shared, total, discounted)
+            left = dict(zip(c, discounted(np.array(list(c.values()), float)))) if discounted is toxicity.strong else None
+            if left is None:
+                d = toxicity.discount(n.astype(float))
+                left = {k: max(x - d, 0) for k, x in c.items()}
+            after = Counter(w for _, w in c)
+            levels, lower = [after, Counter(w[:6] for w in after), Counter({b: len({w[:6] for w in after if w[:4] == b}) for b in {w[:4] for w in after}})], {}
+            prefix = lambda w, k: w[: (99, 6, 4)[k]]
+            common = [word_counts, *(Counter() for _ in range(2))]
+            for w, x in word_counts.items():
+                common[1][w[:6]] += x
+                common[2][w[:4]] += x
+            own = [dict(zip(known.levels[k].tolist(), discounted(np.array([0.0] * 0 + [dict((int(name(b)), x) for b, x in levels[k].items()).get(int(v), 0) for v in known.levels[k]])))) for k in range(3)]
+
+            def p(w, k=0):
+                key, all_ = (prefix(w, k), k), sum(levels[k].values())
+                if key not in lower:
+                    rest = 1 - sum(own[k].values()) / all_
+                    below = common[2][prefix(w, 2)] / total if k == 2 else p(w, k + 1) * common[k][prefix(w, k)] / common[k + 1][prefix(w, k + 1)]
+                    lower[key] = own[k][int(name(prefix(w, k)))] / all_ + rest * below
+                return lower[key]
+
+            for v in [None, "word1", "word2", "word7"]:
+                mass = [sum(f(x) for (a, _), x in c.items() if a == v) for f in (lambda x: x,)][0]
+                keep = sum(left[k] for k in c if k[0] == v)
+                at = toxicity.place(known.contexts, np.array([toxicity.NONE if v is None else name(v)]))
+                total_p = 0.0
+                for w in word_counts:
+                    want = (left.get((v, w), 0) / mass + (1 - keep / mass) * p(w)) if mass else p(w)
+                    i = toxicity.place(known.levels[0], np.array([name(w)]))
+                    j = toxicity.place(known.pairs, toxicity.pair_name(np.array([toxicity.NONE if v is None else name(v)]), np.array([name(w)])))
+                    got = float(np.exp(model.log(np.append(n, 0)[j], at, model.p[0][i]))[0])
+                    assert got == pytest.approx(want, rel=1e-4)
+                    total_p += got
+                assert total_p == pytest.approx(1, rel=1e-4)
+
+
+def test_toxicity_edges(spark):
+    """An empty table, rows and labels that repeat or lack, and one class alone."""
+    def bad(w, r):
+        for p in r.choice(len(w), 3, replace=False):
+            w[p] = r.choice(["awful", "nasty", "vile"])
+        return " ".join(w)
+
+    docs, labels, truth = labelled(spark, 160, bad)
+    extra = spark.createDataFrame([(None, 1, 1), (3, None, None), (5, 1, None), (7, 1, 0), (7, 1, 0), (9999, 1, 1)], "doc_id long, quality int, toxic int")
+    again = docs.where("doc_id < 20").unionByName(documents(spark, [(7, "another text of one id " * 4), (None, "no id at all")]))
+    model = toxicity.fit(docs.unionByName(again), labels.unionByName(extra))
+    got = toxicity.score(docs.unionByName(again), model).collect()
+    assert len(got) == 163 + 22 and all(0 <= r.score <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(x) == 1 for i, x in by.items() if i not in (7, None))
+    assert toxicity.score(docs.where("false"), model).count() == 0
+    assert {r.score for r in toxicity.toxicity(docs, labels.where("toxic = 0")).collect()} == {0.0}
+    assert {r.score for r in toxicity.toxicity(docs.where("false").unionByName(docs.limit(2)), labels.where("false")).collect()} == {0.0}
+    # The bound holds for each class.
+    rows, odds = toxicity.training_rows(docs, labels, 20)
+    assert rows.count() <= 20 and max(r["count"] for r in rows.groupBy("label").count().collect()) <= 10 and sum(odds.values()) > 100
+
+
 def test_toxicity_keeps_words_apart(spark):
     """A clean word whose hash begins like a toxic word's isn't taken for it."""
     from lumenlake.llm.common import word_hashes
@@ -426,6 +512,7 @@ def test_toxicity_hears_rare_pairs(spark):
     assert np.mean([p for toxic, p in held if toxic]) > 0.8
     assert np.mean([p for toxic, p in held if not toxic]) < 0.1
     rare = np.array([1.0] * 30 + [2.0] * 10 + [9.0])
+    assert (toxicity.strong(rare) == np.array([0.0] * 40 + [5.0])).all()
     assert toxicity.discount(rare) == 30 / 50 and (toxicity.usual(rare) > 0).all()
 
 
