@@ -50,7 +50,7 @@ RECORDS = f"""{PRODUCTS}, h AS (SELECT * FROM p WHERE rank <= 10),
                  max(CASE WHEN product_id = own THEN sim END) AS positive_similarity FROM h GROUP BY ALL),
     er AS (SELECT *, top_product = own AS top1_correct, coalesce(first_rank <= 5, false) AS top5_correct, CASE WHEN top_product <> own THEN round(top_similarity - positive_similarity, 10) END AS margin FROM e)"""
 #: Pairs of the train split: positives, and negatives by the hash recipe.
-H = lambda slot: f"CAST('0x' || substr(md5('{{seed}}|' || draw || '|{slot}'), 1, 8) AS BIGINT)"
+H = lambda slot: f"CAST('0x' || substr(md5('{{seed}}|' || draw || '|{slot}'), 1, 15) AS BIGINT)"
 
 
 def _negatives_sql(kind: str, draws: str, n: str, seed: int, name: str) -> str:
@@ -257,7 +257,7 @@ def split_eval_by_category(spark, d):
 
 
 HELD = f"""{MANIFEST}, gr AS (SELECT min(category) AS category, group_id FROM mf GROUP BY group_id HAVING count(*) >= 2),
-    ho AS (SELECT category, group_id, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY CAST('0x' || substr(md5('{SEED}|' || group_id), 1, 8) AS BIGINT), group_id) <= CASE WHEN count(*) OVER (PARTITION BY category) >= 2 THEN greatest(1, round_even(count(*) OVER (PARTITION BY category) * 0.2::DOUBLE, 0)) ELSE 0 END THEN 'holdout' ELSE 'train' END AS fold FROM gr)"""
+    ho AS (SELECT category, group_id, CASE WHEN row_number() OVER (PARTITION BY category ORDER BY CAST('0x' || substr(md5('{SEED}|' || group_id), 1, 15) AS BIGINT), group_id) <= CASE WHEN count(*) OVER (PARTITION BY category) >= 2 THEN greatest(1, round_even(count(*) OVER (PARTITION BY category) * 0.2::DOUBLE, 0)) ELSE 0 END THEN 'holdout' ELSE 'train' END AS fold FROM gr)"""
 
 
 @query(f"WITH {HELD}, {LOO.replace(G + ', ', '', 1)} SELECT {LOO_MEANS} FROM m WHERE product_id IN (SELECT group_id FROM ho WHERE fold = 'holdout')")
@@ -415,7 +415,7 @@ def pair_checks(spark, d):
     return pairs.violations(p, m)
 
 
-@query(f"""WITH {HYBRID}, n AS (SELECT pair_id, label, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5('{SEED}|' || pair_id), 1, 8) AS BIGINT), pair_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM hy)
+@query(f"""WITH {HYBRID}, n AS (SELECT pair_id, label, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5('{SEED}|' || pair_id), 1, 15) AS BIGINT), pair_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM hy)
     SELECT pair_id, label, CASE WHEN k <= least(greatest(1, round_even(n * 0.2::DOUBLE, 0)), n - 1) THEN 'valid' ELSE 'train' END AS fold FROM n""")
 def label_stratified_holdout(spark, d):
     return pairs.label_holdout(_pairs(spark, d), seed=SEED).select("pair_id", "label", "fold")
@@ -426,7 +426,7 @@ def group_holdout(spark, d):
     return pairs.group_holdout(_manifest(spark, d), seed=SEED)
 
 
-@query(f"WITH {MANIFEST} SELECT image_id, category FROM mf QUALIFY row_number() OVER (PARTITION BY category ORDER BY CAST('0x' || substr(md5('{SEED}|' || image_id), 1, 8) AS BIGINT), image_id) <= 4")
+@query(f"WITH {MANIFEST} SELECT image_id, category FROM mf QUALIFY row_number() OVER (PARTITION BY category ORDER BY CAST('0x' || substr(md5('{SEED}|' || image_id), 1, 15) AS BIGINT), image_id) <= 4")
 def stratified_queries(spark, d):
     return pairs.stratified_sample(_manifest(spark, d), "image_id", "category", 4, SEED).select("image_id", "category")
 
@@ -629,7 +629,11 @@ BUCKETS = {
 }
 
 
-@query(f"WITH {RECORDS} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{b}' AS bucket, row_number() OVER (ORDER BY {o}, query_id) AS place, query_id FROM er WHERE {w}) WHERE place <= 5" for b, (w, o) in BUCKETS.items()))
+STRATIFIED = {"category_top10_failure": ("first_rank IS NULL", "coalesce(first_rank, 1000000000)"), "category_high_similarity": ("NOT top1_correct", "top_similarity DESC")}
+
+
+@query(f"WITH {RECORDS} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{b}' AS bucket, row_number() OVER (ORDER BY {o}, query_id) AS place, query_id FROM er WHERE {w}) WHERE place <= 5" for b, (w, o) in BUCKETS.items()) + "".join(
+    f" UNION ALL SELECT * FROM (SELECT '{b}' AS bucket, row_number() OVER (PARTITION BY own_category ORDER BY {o}, query_id) AS place, query_id FROM er WHERE {w}) WHERE place <= 3" for b, (w, o) in STRATIFIED.items()))
 def representative_examples(spark, d):
     return _longs(analysis.representatives(_records(spark, d)), "place")
 

@@ -78,3 +78,12 @@ def annealed_rate(rate: float, epoch: Column, epochs: int) -> Column:
 
 def is_finite(v: str | Column) -> Column:
     return F.forall(as_double(v), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def stats(v: str | Column) -> Column:
+    """low, high, mean and std of a vector's finite values, and whether it has a NaN or an infinite value."""
+    x = as_double(v)
+    fine = F.filter(x, lambda a: ~F.isnan(a) & (F.abs(a) < float("inf")))
+    mean = F.aggregate(fine, F.lit(0.0), lambda s, a: s + a) / F.nullif(F.size(fine), F.lit(0))
+    spread = F.sqrt(F.aggregate(fine, F.lit(0.0), lambda s, a: s + (a - mean) * (a - mean)) / F.nullif(F.size(fine), F.lit(0)))
+    return F.struct(F.array_min(fine).alias("low"), F.array_max(fine).alias("high"), mean.alias("mean"), spread.alias("std"), F.exists(x, lambda a: F.isnan(a)).alias("has_nan"), F.exists(x, lambda a: ~F.isnan(a) & (F.abs(a) == float("inf"))).alias("has_inf"))

@@ -39,8 +39,8 @@ def error_confusion(records: DataFrame) -> DataFrame:
     return records.where("not top1_correct").groupBy(F.col("own_category").alias("category"), "top_category").agg(F.count("*").alias("n"))
 
 
-def representatives(records: DataFrame, n: int = 5) -> DataFrame:
-    """The first n records of each bucket."""
+def representatives(records: DataFrame, n: int = 5, per_category: int = 3) -> DataFrame:
+    """The first n records of each bucket, and the first per_category of each category of the stratified ones."""
     rank, margin = F.coalesce("first_rank", F.lit(NO_RANK)), F.coalesce("margin", F.lit(float("inf")))
     buckets = {
         "top1_success": (F.col("top1_correct"), [F.desc("top_similarity")]),
@@ -52,7 +52,16 @@ def representatives(records: DataFrame, n: int = 5) -> DataFrame:
         "same_category_error": (~F.col("top1_correct") & (F.col("top_category") == F.col("own_category")), [F.desc("top_similarity")]),
         "cross_category_error": (~F.col("top1_correct") & (F.col("top_category") != F.col("own_category")), [F.desc("top_similarity")]),
     }
+    # Of each category, the first of those that aren't among ten and of those that look alike.
+    stratified = {
+        "category_top10_failure": (F.col("first_rank").isNull(), [rank.asc()]),
+        "category_high_similarity": (~F.col("top1_correct"), [F.desc("top_similarity")]),
+    }
     out = None
+    for name, (member, order) in stratified.items():
+        place = F.row_number().over(Window.partitionBy("own_category").orderBy(*order, "query_id"))
+        part = records.where(member).withColumn("place", place).where(F.col("place") <= per_category).select(F.lit(name).alias("bucket"), "place", "query_id")
+        out = part if out is None else out.unionByName(part)
     for name, (member, order) in buckets.items():
         place = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order, "query_id"))
         part = records.where(member).orderBy(*order, "query_id").limit(n).select(F.lit(name).alias("bucket"), place.alias("place"), "query_id")
@@ -96,6 +105,7 @@ def failure_classes(annotations: DataFrame, least: int = 2) -> DataFrame:
     """query_id, query_category, first_rank, in_top5, class."""
     good = F.col("relevance") >= least
     rows = annotations.groupBy("query_id", "query_category").agg(F.min(F.when(good, F.col("rank"))).alias("first_rank"), F.sum((good & (F.col("rank") <= 5)).cast("long")).alias("in_top5"))
+    # The names of the classes.
     kind = (
         F.when(F.col("first_rank").isNull(), "no_relevant_in_top10")
         .when((F.col("first_rank") == 1) & (F.col("in_top5") >= 2), "relevant_at_top1_with_additional_top5_relevance")
@@ -106,6 +116,21 @@ def failure_classes(annotations: DataFrame, least: int = 2) -> DataFrame:
     return rows.withColumn("class", kind)
 
 
+def failure_records(annotations: DataFrame, least: int = 2) -> DataFrame:
+    """failure_classes() with the relevant ranks (array), how many labels of 0 to 3 there are (array of four), the first
+    label, and how many of the first 5 and 10 are relevant. A query has ten rows, so the arrays are short."""
+    ranks = F.array_sort(F.collect_list(F.when(F.col("relevance") >= least, F.col("rank").cast("long"))))
+    labels = F.array(*(F.sum((F.col("relevance") == k).cast("long")) for k in range(4)))
+    rows = annotations.groupBy("query_id").agg(ranks.alias("relevant_ranks"), labels.alias("labels"), F.max(F.when(F.col("rank") == 1, F.col("relevance"))).alias("top1_relevance"))
+    return failure_classes(annotations, least).join(rows, "query_id").withColumn("in_top10", F.size("relevant_ranks").cast("long"))
+
+
+def set_mismatches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that only one of two tables has, with the side that has them: equal sets give no rows."""
+    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
+    return a.exceptAll(b).withColumn("only_in", F.lit("left")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("right")))
+
+
 def upper_median(c: str) -> Column:
     """The element at place len // 2 (from 0) of the sorted values."""
     values = F.array_sort(F.collect_list(c))
@@ -142,6 +167,43 @@ def recommend(stats: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.max(F.struct("stable", (-F.col("mean")).alias("m"), F.col(key).alias("key"))).alias("b")).select(F.col("b.key").alias(key), "b.stable", (-F.col("b.m")).alias("mean"))
 
 
+def early_stopping_within(epochs: DataFrame, patience: int, min_delta: float = 0.0, mode: str = "min") -> DataFrame:
+    """run, epoch, best, bad_epochs, stop: a value counts as better only if it passes the best by more than min_delta,
+    down or up by mode; the best stands until then. Each value depends on those before, so a run's history (some hundred
+    rows) is folded in one row."""
+    if not isinstance(patience, int) or isinstance(patience, bool) or patience < 1 or min_delta < 0 or mode not in ("min", "max"):
+        raise ValueError("patience must be above 0, min_delta at least 0 and mode 'min' or 'max'")
+    history = epochs.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", F.col("val_loss").alias("value")))).alias("h"))
+    better = "acc.best is null or " + ("x.value < acc.best - d" if mode == "min" else "x.value > acc.best + d").replace("d", repr(float(min_delta)))
+    step = f"named_struct('best', if({better}, x.value, acc.best), 'bad', if({better}, 0L, acc.bad + 1L))"
+    start = "named_struct('best', cast(null as double), 'bad', 0L, 'rows', cast(array() as array<struct<epoch:bigint,best:double,bad:bigint>>))"
+    fold = f"aggregate(h, {start}, (acc, x) -> transform(array({step}), s -> named_struct('best', s.best, 'bad', s.bad, 'rows', concat(acc.rows, array(named_struct('epoch', cast(x.epoch as bigint), 'best', s.best, 'bad', s.bad)))))[0], acc -> acc.rows)"
+    rows = history.select("run", F.inline(F.expr(fold)))
+    return rows.select("run", "epoch", "best", F.col("bad").alias("bad_epochs"), (F.col("bad") >= patience).alias("stop"))
+
+
+def epoch_losses(batches: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
+    """batches: keys, batch, loss, samples. Mean losses weighted by samples, over the first `most` batches of each key."""
+    rows = batches
+    if most is not None:
+        rows = rows.withColumn("_b", F.row_number().over(Window.partitionBy(*keys).orderBy("batch"))).where(F.col("_b") <= most)
+    return rows.groupBy(*keys).agg(F.count("*").alias("batches"), F.sum("samples").alias("samples"), F.try_divide(F.sum(F.col("loss") * F.col("samples")), F.sum("samples")).alias("loss"))
+
+
+def confirm_selection(results: DataFrame) -> DataFrame:
+    """results: model, split, top1, top5, mrr of valid and test. The model that validation selects, its results of both
+    splits, and whether it is the best of the test split as well."""
+    chosen = select_model(results.where("split = 'valid'"))
+    best = results.where("split = 'test'").agg(F.max(F.struct("top1", "top5", "mrr", "model")).alias("b")).select(F.col("b.model").alias("test_best"))
+    own = results.where("split = 'test'").select("model", *(F.col(c).alias(f"test_{c}") for c in ("top1", "top5", "mrr")))
+    return chosen.join(own, "model", "left").crossJoin(best).withColumn("confirmed", F.col("model") == F.col("test_best"))
+
+
+def pivoted(cells: DataFrame, row: str, column: str, value: str, columns: tuple[str, ...]) -> DataFrame:
+    """Rows (row, column, value) as a matrix with a column for each of the given values."""
+    return cells.groupBy(row).pivot(column, list(columns)).agg(F.sum(value))
+
+
 def early_stopping(epochs: DataFrame, patience: int, keys: list[str] | None = None) -> DataFrame:
     """epochs: run, epoch, val_loss. Adds the best loss so far, how many epochs it has stood, and whether to stop. A
     run's history is some hundred rows, so a window by run is bounded."""

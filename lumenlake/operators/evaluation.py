@@ -31,9 +31,10 @@ def ranked_metrics(ranking: DataFrame, totals: DataFrame, ks: tuple[int, ...] =
 
 
 def means(rows: DataFrame, keys: list[str], ks: tuple[int, ...] = K_VALUES, sets: bool = False) -> DataFrame:
-    """Means of every metric by keys, in one pass; with sets also over all rows (a null key)."""
+    """Means of every metric by keys, in one pass; with sets also over all rows (a null key). Of no rows they are 0."""
     metrics = [f"{m}{k}" for m in ("hit", "precision", "recall") for k in ks]
-    out = [F.count("*").alias("valid_queries"), *(F.round(F.avg(m), 6).alias(m) for m in metrics), F.round(F.avg("rr"), 6).alias("mrr")]
+    mean = lambda m: F.coalesce(F.round(F.avg(m), 6), F.lit(0.0))
+    out = [F.count("*").alias("valid_queries"), *(mean(m).alias(m) for m in metrics), mean("rr").alias("mrr")]
     return (rows.groupingSets([[], [F.col(k) for k in keys]], *map(F.col, keys)) if sets else rows.groupBy(*keys)).agg(*out)
 
 
@@ -118,16 +119,27 @@ def transformed(vector: str, kind: str) -> Column:
 
 
 def robustness(gallery: DataFrame, kinds: tuple[str, ...] = TRANSFORMS) -> DataFrame:
-    """Mean hits of disturbed queries that look for their own product in the whole gallery, for each transform."""
-    out = None
-    for kind in kinds:
-        asked = gallery.select(F.col("image_id").alias("query_id"), transformed("embedding", kind).alias("embedding"))
-        own = gallery.select(F.col("image_id").alias("query_id"), F.col("product_id").alias("own"))
-        ranking = top_products(asked, gallery, 10, False).join(own, "query_id").withColumn("is_positive", F.col("product_id") == F.col("own"))
-        rows = ranked_metrics(ranking, own.select("query_id", F.lit(1).alias("n_positive")))
-        part = rows.agg(F.count("*").alias("queries"), *(F.round(F.avg(f"hit{k}"), 6).alias(f"hit{k}") for k in K_VALUES), F.round(F.avg("rr"), 6).alias("mrr")).select(F.lit(kind).alias("transform"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Mean hits of disturbed queries that look for their own product in the whole gallery, for each transform: one
+    search for all of them, a query for each image and transform."""
+    n = len(kinds)
+    vectors = F.array(*(F.struct(F.lit(k).alias("t"), transformed("embedding", kind).alias("embedding")) for k, kind in enumerate(kinds)))
+    asked = gallery.select("image_id", "product_id", F.inline(vectors)).select((F.col("image_id") * n + F.col("t")).alias("query_id"), "t", F.col("product_id").alias("own"), "embedding")
+    own = asked.select("query_id", "own", F.element_at(F.array(*map(F.lit, kinds)), F.col("t") + 1).alias("transform"))
+    ranking = top_products(asked, gallery, 10, False).join(own, "query_id").withColumn("is_positive", F.col("product_id") == F.col("own"))
+    rows = ranked_metrics(ranking.drop("transform"), own.select("query_id", "transform", F.lit(1).alias("n_positive")))
+    return rows.groupBy("transform").agg(F.count("*").alias("queries"), *(F.round(F.avg(f"hit{k}"), 6).alias(f"hit{k}") for k in K_VALUES), F.round(F.avg("rr"), 6).alias("mrr"))
+
+
+def loo_images_report(gallery: DataFrame, k: int = 10) -> DataFrame:
+    """loo_images() over all and by category: queries, products with and without evaluable queries, means, how many
+    rankings are short, and the first ranks of queries that found their product."""
+    rows = loo_images(gallery, k).withColumn("category", F.col("category"))
+    sizes = gallery.groupBy("product_id").agg(F.count("*").alias("n"), F.min("category").alias("category"))
+    groups = sizes.groupingSets([[], [F.col("category")]], F.col("category")).agg(F.sum((F.col("n") > 1).cast("long")).alias("evaluated_groups"), F.sum((F.col("n") == 1).cast("long")).alias("excluded_groups"))
+    found = rows.groupingSets([[], [F.col("category")]], F.col("category")).agg(
+        F.count("*").alias("queries"), *(F.round(F.avg(f"hit{x}"), 6).alias(f"hit{x}") for x in K_VALUES), F.round(F.avg("rr"), 6).alias("mrr"), F.sum(F.col("short_ranking").cast("long")).alias("short_rankings"), F.round(F.avg("first_rank"), 6).alias("mean_first_rank")
+    )
+    return groups.join(found.withColumnRenamed("category", "_c"), F.col("category").eqNullSafe(F.col("_c")), "left").drop("_c")
 
 
 def nearest_neighbour_accuracy(gallery: DataFrame) -> DataFrame:

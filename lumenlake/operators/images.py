@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -107,13 +109,119 @@ def quality(images: DataFrame) -> DataFrame:
 
     def look(x: np.ndarray) -> dict:
         y = luminance(x)
+        if not y.size:
+            return {}
         return {"mean": float(y.mean()), "std": float(y.std()), "low": float(y.min()), "high": float(y.max()), "dark": float((y <= DARK).mean()), "bright": float((y >= BRIGHT).mean())}
 
     stats = _each(images, look, "origin string, mean double, std double, low double, high double, dark double, bright double")
     rows = images.select("origin", "width", "height", "channels").join(stats, "origin")
+    mode = F.when(F.col("width") > 0, F.element_at(F.create_map(F.lit(1), F.lit("L"), F.lit(3), F.lit("RGB"), F.lit(4), F.lit("RGBA")), F.col("channels")))
+    rows = rows.withColumn("mode", mode).withColumn("readable", F.col("mean").isNotNull()).withColumn("rgb_convertible", F.col("mode").isNotNull())
+    rows = rows.withColumn("reason", F.when(~F.col("readable"), F.when(F.col("width") < 0, "decode_error").otherwise("zero_dimension")))
+    rows = rows.withColumn("aspect_ratio", F.bround(F.try_divide("width", "height"), 4)).withColumn("total_pixels", F.col("width").cast("long") * F.col("height"))
     rows = rows.withColumn("reasons", abnormal_reasons(F.col("mean"), F.col("std"), F.col("dark"), F.col("bright")))
     status = F.when(F.col("mean").isNull(), "invalid").when(F.size("reasons") > 0, "warning").otherwise("valid")
-    return rows.select("origin", "width", "height", "channels", *(F.bround(c, 4).alias(c) for c in ("mean", "std", "low", "high", "dark", "bright")), "reasons", status.alias("status"))
+    return rows.select("origin", "width", "height", "channels", *(F.bround(c, 4).alias(c) for c in ("mean", "std", "low", "high", "dark", "bright")), "reasons", status.alias("status"), "mode", "readable", "rgb_convertible", "reason", "aspect_ratio", "total_pixels")
+
+
+def rotated(x: np.ndarray, degrees: float, fill: float = 0.0) -> np.ndarray:
+    """Turned about the centre, bilinear, size unchanged; what comes from outside is filled."""
+    h, w = x.shape[:2]
+    a, cy, cx = np.deg2rad(degrees), (h - 1) / 2, (w - 1) / 2
+    rows, columns = np.mgrid[0:h, 0:w].astype(np.float64)
+    dy, dx = rows - cy, columns - cx
+    sy, sx = cy + np.cos(a) * dy + np.sin(a) * dx, cx - np.sin(a) * dy + np.cos(a) * dx
+    y0, x0 = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    fy, fx = (sy - y0)[..., None], (sx - x0)[..., None]
+    wide = np.pad(x, ((1, 1), (1, 1), (0, 0)), constant_values=fill)
+    at = lambda i, j: wide[np.clip(i + 1, 0, h + 1), np.clip(j + 1, 0, w + 1)]
+    return ((1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x0 + 1)) + fy * ((1 - fx) * at(y0 + 1, x0) + fx * at(y0 + 1, x0 + 1))).astype(np.float32)
+
+
+def blended(x: np.ndarray, other: np.ndarray | float, factor: float) -> np.ndarray:
+    return np.clip(other + factor * (x - other), 0, 255).astype(np.float32)
+
+
+def cropped(x: np.ndarray, height: int, width: int, top: int, left: int) -> np.ndarray:
+    return x[top : top + height, left : left + width]
+
+
+#: Fixed values of the robustness variants: degrees, brightness, the part that a crop keeps, and the least side.
+TURN, BRIGHTER, KEPT, SIDE = 12.0, 1.2, 0.9, 32
+
+
+def variants(x: np.ndarray) -> dict[str, np.ndarray]:
+    """The deterministic disturbances of a query image."""
+    h, w = x.shape[:2]
+    ch, cw = max(SIDE, round(h * KEPT)), max(SIDE, round(w * KEPT))
+    return {
+        "original": x, "rotation": rotated(x, TURN), "brightness": blended(x, 0.0, BRIGHTER), "center_crop": cropped(x, ch, cw, max(0, (h - ch) // 2), max(0, (w - cw) // 2)),
+        "resize": resized(x, max(SIDE, h // 2), max(SIDE, w // 2)),
+    }
+
+
+@dataclass(frozen=True)
+class Augmentation:
+    """Training disturbances that keep an object what it is; amplitudes of 0 switch one off."""
+
+    flip: float = 0.5
+    degrees: float = 10.0
+    brightness: float = 0.1
+    contrast: float = 0.1
+    saturation: float = 0.05
+    crop: tuple[float, float] | None = None
+
+    def __post_init__(self) -> None:
+        if not 0 <= self.flip <= 1:
+            raise ValueError("flip must be a probability")
+        if not 0 <= self.degrees <= 45 or not all(0 <= a < 1 for a in (self.brightness, self.contrast, self.saturation)):
+            raise ValueError("an amplitude is out of range")
+        if self.crop is not None and not 0 < self.crop[0] <= self.crop[1] <= 1:
+            raise ValueError("crop must be two parts of the area, rising, up to 1")
+
+    def apply(self, x: np.ndarray, seed: int, key: str) -> np.ndarray:
+        """The disturbance of one image: a function of the seed and its key, whatever the partition."""
+        r = np.random.default_rng([seed, *hashlib.md5(key.encode()).digest()])
+        if self.crop is not None:
+            h, w = x.shape[:2]
+            side = float(np.sqrt(r.uniform(*self.crop)))
+            ch, cw = max(1, round(h * side)), max(1, round(w * side))
+            x = cropped(x, ch, cw, int(r.integers(0, h - ch + 1)), int(r.integers(0, w - cw + 1)))
+        if r.random() < self.flip:
+            x = x[:, ::-1]
+        if self.degrees:
+            x = rotated(x, r.uniform(-self.degrees, self.degrees), 255.0)
+        factor = lambda a: r.uniform(1 - a, 1 + a)
+        if self.brightness:
+            x = blended(x, 0.0, factor(self.brightness))
+        if self.contrast:
+            x = blended(x, float(luminance(x).mean()), factor(self.contrast))
+        if self.saturation:
+            x = blended(x, luminance(x)[:, :, None], factor(self.saturation))
+        return x
+
+
+def _encoded(images: DataFrame, make: Callable[[np.ndarray, str], list[tuple[str, np.ndarray]]], encoder, size: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch[(batch["width"] > 0) & (batch["height"] > 0)].itertuples(index=False):
+                made = make(rgb(bytes(r.data), r.width, r.height, r.channels), r.origin)
+                out = np.asarray(encoder(np.stack([preprocessed(x, size) for _, x in made])))
+                yield pd.DataFrame({"origin": r.origin, "variant": [n for n, _ in made], "embedding": [v.astype(float).tolist() for v in out]})
+
+    return images.select("origin", "width", "height", "channels", "data").mapInPandas(run, "origin string, variant string, embedding array<double>")
+
+
+def encode_variants(images: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], size: int = 224) -> DataFrame:
+    """origin, variant, embedding of each image and each of variants()."""
+    return _encoded(images, lambda x, _: list(variants(x).items()), encoder, size)
+
+
+def encode_augmented(images: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], augmentation: Augmentation, role: str = "train", seed: int = 2026, size: int = 224) -> DataFrame:
+    """origin, variant ('augmented'), embedding. Only training images may be disturbed: another role is an error."""
+    if role != "train":
+        raise ValueError(f"augmentation is for training, not for {role!r}")
+    return _encoded(images, lambda x, origin: [("augmented", augmentation.apply(x, seed, origin))], encoder, size)
 
 
 def encode(images: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], size: int = 224, dimension: int | None = None) -> DataFrame:
@@ -137,6 +245,48 @@ ERRORS = (("MISSING_FILE", 400), ("INVALID_IMAGE", 400), ("FILE_TOO_LARGE", 413)
 MOST_BYTES, LEAST_SIDE = 10 << 20, 32
 
 
+class QueryError(ValueError):
+    """A query that can't be answered, with its code and HTTP status."""
+
+    def __init__(self, code: str, detail: str = ""):
+        self.code, self.status = code, dict(ERRORS)[code]
+        super().__init__(f"{code}: {detail}" if detail else code)
+
+
+def search_images(images: DataFrame, gallery: DataFrame, encoder: Callable[[np.ndarray], np.ndarray] | None, k: int = 5, size: int = 224) -> DataFrame:
+    """From image files to products in one plan: decode, preprocess, encode, search, rank and score. images as of
+    read_images(); the answer has origin, product_id, category, similarity, rank, similarity_score and the matched images.
+    A missing encoder or gallery, and a query without results, are errors with their code."""
+    from .search import search
+
+    if encoder is None:
+        raise QueryError("MODEL_UNAVAILABLE")
+    if gallery is None or gallery.isEmpty():
+        raise QueryError("GALLERY_UNAVAILABLE")
+    encoded = encode(images, encoder, size)
+    queries = encoded.select((-1 - F.shiftrightunsigned(F.xxhash64("origin"), 1)).alias("query_id"), "origin", "embedding")
+    hits = search(queries.select("query_id", "embedding"), gallery, k)
+    return hits.join(queries.select("query_id", "origin"), "query_id").drop("query_id")
+
+
+def answer(images: DataFrame, gallery: DataFrame, encoder, k: int = 5, size: int = 224) -> list[dict]:
+    """search_images() of one query file, checked as a service would: its size, its sides, whether it decodes."""
+    rows = images.limit(2).collect()
+    if not rows:
+        raise QueryError("MISSING_FILE")
+    if len(rows) > 1:
+        raise QueryError("INVALID_IMAGE", "one image is asked for")
+    r = rows[0]
+    if r.width < 0 or not r.data:
+        raise QueryError("INVALID_IMAGE", "it can't be decoded")
+    if r.width < LEAST_SIDE or r.height < LEAST_SIDE:
+        raise QueryError("INVALID_IMAGE", f"a side is below {LEAST_SIDE}")
+    found = search_images(images, gallery, encoder, k, size).orderBy("rank").collect()
+    if not found:
+        raise QueryError("NO_RESULTS")
+    return [x.asDict() for x in found]
+
+
 def query_errors(queries: DataFrame) -> DataFrame:
     """Adds error_code to queries (length, width, height): null if they can be searched."""
     code = F.when(F.col("length").isNull() | (F.col("length") == 0), "MISSING_FILE").when(F.col("length") > MOST_BYTES, "FILE_TOO_LARGE").when((F.col("width") < LEAST_SIDE) | (F.col("height") < LEAST_SIDE), "INVALID_IMAGE")

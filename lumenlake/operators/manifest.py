@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CATEGORIES, SPLITS
+from .order import numbered
 
 
 def blank(c: str) -> Column:
@@ -77,14 +78,42 @@ def paths(relative: Column, root: str) -> Column:
     return F.when(relative.startswith("/"), relative).otherwise(F.concat_ws("/", F.lit(root.rstrip("/")), relative))
 
 
-def from_listing(listing: DataFrame) -> DataFrame:
-    """A manifest of files split/category/name: ids in order of split, category and path."""
+def _placed(listing: DataFrame) -> DataFrame:
     p = F.split("relative_path", "/")
-    rows = listing.select("relative_path", p[0].alias("split"), p[1].alias("category"), F.size(p).alias("depth")).where("depth = 3")
     known, splits = F.array(*map(F.lit, CATEGORIES)), F.array(*map(F.lit, SPLITS))
-    rows = rows.withColumn("category_id", (F.array_position(known, F.col("category")) - 1).cast("long")).withColumn("s", F.array_position(splits, F.col("split"))).where("category_id >= 0 and s > 0")
-    place = F.row_number().over(Window.orderBy("s", "category", "relative_path"))
-    return rows.select(F.format_string("DS1_IMG_%06d", place).alias("image_id"), F.col("relative_path").alias("image_path"), "category", "category_id", "split")
+    rows = listing.select("relative_path", p[0].alias("split"), p[1].alias("category"), F.size(p).alias("depth"))
+    rows = rows.withColumn("category_id", (F.array_position(known, F.col("category")) - 1).cast("long")).withColumn("s", F.array_position(splits, F.col("split")))
+    return rows.withColumn("fits", F.coalesce((F.col("depth") == 3) & (F.col("category_id") >= 0) & (F.col("s") > 0), F.lit(False)))
+
+
+def from_listing(listing: DataFrame) -> DataFrame:
+    """A manifest of files split/category/name: ids in order of split, category and path. Other files are those of
+    unexpected_paths()."""
+    rows = numbered(_placed(listing).where("fits"), [F.col("s"), F.col("category"), F.col("relative_path")], "place")
+    return rows.select(F.format_string("DS1_IMG_%06d", F.col("place") + 1).alias("image_id"), F.col("relative_path").alias("image_path"), "category", "category_id", "split")
+
+
+def unexpected_paths(listing: DataFrame) -> DataFrame:
+    """Files that don't stand at split/category/name, with the reason."""
+    reason = F.when(F.col("depth") != 3, "depth").when(F.coalesce(F.col("s"), F.lit(0)) == 0, "split").otherwise("category")
+    return _placed(listing).where("not fits").select("relative_path", reason.alias("reason"))
+
+
+def listing_counts(listing: DataFrame) -> DataFrame:
+    """Files by split and category, over each and over all, of those that stand where they belong."""
+    s, c = F.col("split"), F.col("category")
+    return _placed(listing).where("fits").groupingSets([[], [s], [s, c]], s, c).agg(F.count("*").alias("files"))
+
+
+def of_split(manifest: DataFrame, split: str, category: str | None = None) -> DataFrame:
+    """The rows of a split (and category); none is an error."""
+    if split not in SPLITS or category is not None and category not in CATEGORIES:
+        raise ValueError(f"unknown split or category: {split}, {category}")
+    rows = manifest.where(F.col("split") == split)
+    rows = rows if category is None else rows.where(F.col("category") == category)
+    if rows.isEmpty():
+        raise ValueError(f"the manifest has no rows of {split}" + (f", {category}" if category else ""))
+    return rows
 
 
 def gallery_violations(gallery: DataFrame, dimension: int, tolerance: float = 1e-3) -> DataFrame:

@@ -7,14 +7,20 @@ frequent whatever their sizes; drawn pairs are made canonical, repeats go, and t
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import SPLITS
+from .order import numbered
+
 
 def hash_int(seed: int, *parts: Column) -> Column:
-    """A number of 32 bits from MD5 of the seed and parts."""
+    """A number of 60 bits from MD5 of the seed and parts."""
     text = F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") for p in parts))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def pair_id(a: Column, b: Column) -> Column:
@@ -45,16 +51,19 @@ def _placed(manifest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return categories, groups, images
 
 
-def negatives(manifest: DataFrame, kind: str, n: int, seed: int = 2026, factor: int = 4) -> DataFrame:
-    """n negatives of one split's manifest; kind: same_category, cross_category or random. Raises if they can't be
-    drawn within factor * n + 64 draws, doubled six times."""
+def negatives(manifest: DataFrame, kind: str, n: int, seed: int = 2026, factor: int = 4, occupied: DataFrame | None = None) -> DataFrame:
+    """n negatives of one split's manifest; kind: same_category, cross_category or random. Pairs of occupied
+    (image_id_1, image_id_2) aren't drawn. Raises if they can't be drawn within factor * n + 64 draws, doubled six times."""
     if kind not in ("same_category", "cross_category", "random"):
         raise ValueError(f"unknown kind of negatives: {kind}")
-    rows = None
     for _ in range(7):
-        rows = _drawn(manifest, kind, factor * n + 64, seed).orderBy("draw").limit(n).persist()
+        rows = _drawn(manifest, kind, factor * n + 64, seed)
+        if occupied is not None:
+            rows = rows.join(occupied.select("image_id_1", "image_id_2"), ["image_id_1", "image_id_2"], "left_anti")
+        rows = rows.orderBy("draw").limit(n).persist()
         if rows.count() == n:
             return rows
+        rows.unpersist()
         factor *= 2
     raise ValueError(f"not enough {kind} negatives for {n}")
 
@@ -65,7 +74,7 @@ def _drawn(manifest: DataFrame, kind: str, draws: int, seed: int) -> DataFrame:
     h = lambda slot: hash_int(seed, F.col("draw"), F.lit(slot))
     rows = spark.range(draws).withColumnRenamed("id", "draw")
     if kind == "random":
-        total = manifest.select("image_id", "group_id", "category", (F.row_number().over(Window.orderBy("image_id")) - 1).alias("place"))
+        total = numbered(manifest.select("image_id", "group_id", "category"), [F.col("image_id")], "place")
         size = manifest.count()
         for k in (1, 2):
             side = total.select(F.col("place").alias(f"p{k}"), F.col("image_id").alias(f"i{k}"), F.col("group_id").alias(f"g{k}"), F.col("category").alias(f"c{k}"))
@@ -105,6 +114,73 @@ def hybrid(manifest: DataFrame, split: str, ratio: float = 1.0, same_ratio: floa
     return good.unionByName(bad)
 
 
+@dataclass(frozen=True)
+class Config:
+    """How a pair dataset is made: the splits, negatives for each positive, the part of them that is of one category,
+    and the most positives and negatives over all splits (None: all)."""
+
+    seed: int = 2026
+    ratio: float = 1.0
+    same_ratio: float = 0.5
+    max_positives: int | None = None
+    max_negatives: int | None = None
+    splits: tuple[str, ...] = SPLITS
+
+    def __post_init__(self) -> None:
+        whole = lambda x: isinstance(x, int) and not isinstance(x, bool)
+        number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+        if not whole(self.seed) or self.seed < 0:
+            raise ValueError("seed must be a whole number, 0 or more")
+        if not number(self.ratio) or self.ratio < 0:
+            raise ValueError("ratio must be finite, 0 or more")
+        if not number(self.same_ratio) or not 0 <= self.same_ratio <= 1:
+            raise ValueError("same_ratio must be between 0 and 1")
+        for name in ("max_positives", "max_negatives"):
+            if (x := getattr(self, name)) is not None and (not whole(x) or x < 1):
+                raise ValueError(f"{name} must be a whole number above 0, or None")
+        if not self.splits or not set(self.splits) <= set(SPLITS):
+            raise ValueError(f"splits must name some of {', '.join(SPLITS)}")
+
+
+def _most(rows: DataFrame, most: int | None, seed: int) -> DataFrame:
+    """The first rows by a hash of pair_id."""
+    return rows if most is None else rows.orderBy(hash_int(seed, F.col("pair_id")), "pair_id").limit(most)
+
+
+def dataset(manifest: DataFrame, config: Config = Config()) -> DataFrame:
+    """Pairs of every split of the config, which must be there: positives, and ratio times as many negatives of each
+    split, split by same_ratio (counts round half to even)."""
+    part = manifest.where(F.col("split").isin(*config.splits))
+    there = {r.split for r in part.select("split").distinct().collect()}
+    if gone := [s for s in config.splits if s not in there]:
+        raise ValueError(f"the manifest lacks the splits {', '.join(gone)}")
+    good = _most(positives(part), config.max_positives, config.seed).persist()
+    counts = {r.split: r["count"] for r in good.groupBy("split").count().collect()}
+    bad = None
+    for k, split in enumerate(s for s in SPLITS if s in config.splits):
+        n = round(counts.get(split, 0) * config.ratio)
+        same = round(n * config.same_ratio)
+        own = part.where(F.col("split") == split)
+        for kind, size, seed in (("same_category", same, config.seed + 2 * k), ("cross_category", n - same, config.seed + 2 * k + 1)):
+            if size:
+                rows = negatives(own, kind, size, seed).drop("draw").withColumn("split", F.lit(split))
+                bad = rows if bad is None else bad.unionByName(rows)
+    return good if bad is None else good.unionByName(_most(bad, config.max_negatives, config.seed))
+
+
+def dataset_report(pairs: DataFrame, manifest: DataFrame, config: Config = Config()) -> DataFrame:
+    """One row for each split of the config and one over all (split null): counts, what was available, and the ratio of
+    negatives to positives that came out (null without positives)."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    rows = pairs.groupingSets([[], [F.col("split")]], F.col("split")).agg(
+        F.count("*").alias("pairs"), n(F.col("label") == 1).alias("positives"), n(F.col("label") == 0).alias("negatives"), n(F.col("negative_type") == "same_category").alias("same_category"), n(F.col("negative_type") == "cross_category").alias("cross_category")
+    )
+    known = available_positives(manifest.where(F.col("split").isin(*config.splits)))
+    known = known.groupingSets([[], [F.col("split")]], F.col("split")).agg(F.sum("available").alias("available"))
+    rows = rows.join(known.withColumnRenamed("split", "_s"), F.col("split").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return rows.withColumn("realised_ratio", F.round(F.try_divide(F.col("negatives"), F.col("positives")), 6))
+
+
 def report_by_split(pairs: DataFrame) -> DataFrame:
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
     return pairs.groupBy("split").agg(F.count("*").alias("pairs"), count(F.col("label") == 1)("positives"), count(F.col("label") == 0)("negatives"), count(F.col("negative_type") == "same_category")("same_category"), count(F.col("negative_type") == "cross_category")("cross_category"))

@@ -141,6 +141,18 @@ def pool_hits(hits: DataFrame, k: int) -> DataFrame:
     return rank_products(rows).where(F.col("rank") <= k)
 
 
+def pooled(hits: DataFrame, how: str = "max", top: int = 3) -> DataFrame:
+    """query_id, product_id, similarity: products by the best of their image hits (max), by their mean, by the mean of
+    their best `top` (top), or by a mean weighted by 1 / place among them (weighted); ranked."""
+    w = Window.partitionBy("query_id", "product_id").orderBy(F.desc("similarity"), "image_id")
+    rows = hits.withColumn("_place", F.row_number().over(w))
+    s, weight = F.col("similarity"), 1.0 / F.col("_place")
+    value = {"max": F.max(s), "mean": F.avg(s), "top": F.avg(F.when(F.col("_place") <= top, s)), "weighted": F.sum(s * weight) / F.sum(weight)}
+    if how not in value:
+        raise ValueError(f"unknown pooling: {how}")
+    return rank_products(rows.groupBy("query_id", "product_id").agg(value[how].alias("similarity")))
+
+
 def representative_images(hits: DataFrame) -> DataFrame:
     """query_id, product_id, image_id: the image that stands for each found product, its best one (ties: smallest id)."""
     return hits.groupBy("query_id", "product_id").agg(F.min_by("image_id", F.struct((-F.col("similarity")).alias("s"), "image_id")).alias("image_id"))

@@ -31,6 +31,21 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("image_id", F.concat(F.lit("images/"), "split", F.lit("/"), F.lpad(F.col("image_id").cast("string"), 6, "0"), F.lit(".png")).alias("image_path"), F.col("product_id").alias("group_id"), "category", "category_id", "split", F.lit("dataset1").alias("source"))
 
 
+def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's images with made-up findings of an inspection, by their numbers: some can't be read, some aren't RGB,
+    some are flat."""
+    i = F.col("image_id")
+    readable = i % 37 != 5
+    reasons = F.array_compact(F.array(F.when(i % 13 == 0, "near_black"), F.when(i % 17 == 0, "near_white"), F.when((i % 19 == 0) & (i % 13 != 0) & (i % 17 != 0), "near_uniform")))
+    rows = manifest(spark, sf_dir).withColumn("readable", readable).withColumn("reasons", F.when(readable, reasons).otherwise(F.array().cast("array<string>")))
+    mode = F.when(i % 11 == 0, "RGBA").when(i % 11 == 1, "L").otherwise("RGB")
+    status = F.when(~F.col("readable"), "invalid").when(F.size("reasons") > 0, "warning").otherwise("valid")
+    return rows.select(
+        "image_id", "split", "category", status.alias("status"), "readable", F.when(readable, mode).alias("mode"), F.when(readable, i % 41 != 3).alias("rgb_convertible"),
+        F.when(readable, 200 + i % 7 * 10).alias("width"), F.when(readable, 180 + i % 5 * 20).alias("height"), "reasons", F.when(~readable, F.when(i % 74 == 5, "decode_error").otherwise("missing_file")).alias("reason"),
+    )
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, dataset (parity of the source number), exact_hash, bits (a string of 64) and fp (the same as a long): a
     bit is 1 where a token bucket's count is above the median of all buckets."""
