@@ -202,7 +202,7 @@ def segments(conversations: DataFrame) -> DataFrame:
     place, own = F.pmod(F.col("turn"), F.lit(SEGMENT)), F.floor(F.col("turn") / SEGMENT)
     # A row without a place is a segment of its own, named by a hash below 0 (turns are numbered from 0).
     single = -1 - F.shiftrightunsigned(F.xxhash64("turn", "role", "text"), 1)
-    near = F.array_compact(F.array(F.struct(own.alias("segment"), F.lit(True).alias("own")), F.when(place < CONTEXT, F.struct((own - 1).alias("segment"), F.lit(False).alias("own"))), F.when(place >= SEGMENT - CONTEXT, F.struct((own + 1).alias("segment"), F.lit(False).alias("own")))))
+    near = F.array_compact(F.array(F.struct(own.alias("segment"), F.lit(True).alias("own")), F.when((place < CONTEXT) & (own > 0), F.struct((own - 1).alias("segment"), F.lit(False).alias("own"))), F.when(place >= SEGMENT - CONTEXT, F.struct((own + 1).alias("segment"), F.lit(False).alias("own")))))
     where = F.when(alone, F.array(F.struct(single.alias("segment"), F.lit(True).alias("own")))).otherwise(near)
     dealt = once.select("conv_id", "turn", "role", "text", "copies", F.inline(where))
     # Many different rows of one segment: dealt by hash. There are few such segments, if any.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -52,11 +54,21 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     (Spark's own batches are bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch.)"""
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return function(b.slice(k, BATCH_ROWS) for b in batches for k in range(0, max(1, b.num_rows), BATCH_ROWS))
+        try:
+            yield from function(b.slice(k, BATCH_ROWS) for b in batches for k in range(0, max(1, b.num_rows), BATCH_ROWS))
+        finally:
+            give_back()
 
     return df.mapInArrow(sliced, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and each row's offsets; null has none."""
     if isinstance(column, pa.ChunkedArray):

@@ -229,9 +229,10 @@ class _Linker:
         name = lambda key, c: label.select(F.col("id").alias(key), F.col("component").alias(c))
         state = pairs.join(name("leader", "_g"), "leader", "left").join(name("id", "_c"), "id", "left")
         state = cut(state.select("leader", "id", F.coalesce("_g", "leader").alias("group"), F.coalesce("_c", "id").alias("c")))
-        # A group is settled if all of it is in the component of its leaders.
-        first = state.groupBy("group", "leader").agg(F.count("*").alias("n"), F.max((F.col("c") != F.col("group")).cast("int")).alias("open"))
-        first = cut(first.groupBy("group").agg(F.max(F.struct("n", "leader")).alias("m"), F.max("open").alias("open")).where("open = 1").select("group", F.col("m.leader").alias("a")))
+        # A group is settled if all that was compared with its leaders is in one component.
+        first = state.groupBy("group", "leader").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"))
+        first = first.groupBy("group").agg(F.max(F.struct("n", "leader")).alias("m"), F.min("low").alias("low"), F.max("high").alias("high"))
+        first = cut(first.where("low <> high").select("group", F.col("m.leader").alias("a")))
         rows = state.select("group", "id", "c").distinct().join(first, "group").where("id <> a")
         full = self.with_sets(cut(rows.select("a", F.col("id").alias("b"), "group", "c")))
         lacks, has = F.array_except("xa", "xb"), F.array_except("xb", "xa")
@@ -250,7 +251,7 @@ class _Linker:
         direct = rows.where(f"c <> group and {100 + p}L * (nl - lacks) >= {p}L * (nl + n)").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
         outside = rows.where("c <> group")
         often = cut(outside.select("group", F.explode("d").alias("e")).groupBy("group", "e").agg(F.count("*").alias("f")))
-        small = F.broadcast(often) if often.count() <= MOST_BROADCAST // 4 else often
+        small = F.broadcast(often) if often.count() <= MOST_BROADCAST // 16 else often
         common = rows.select("group", "id", F.explode("d").alias("e")).join(small, ["group", "e"]).groupBy("group", "id").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("common"))
         rows = cut(rows.drop("d", "a").join(common, ["group", "id"]))
         # A class's differences in order of rarity: those that no outsider has come first, and can't be shared with one.

@@ -11,7 +11,7 @@ are left out of training, not shortened); scoring covers every byte of every tex
 
 Defined results: null and empty texts have one chunk of padding and get the network's value for it. With no
 labels, or labels of one class, every score is 1 (nothing is rejected). Rows that repeat are scored one by one;
-labels that repeat count once, the largest first. Extra columns are ignored, or kept by keep_good().
+labels that repeat count once, the largest first; of a doc_id with several texts one trains. Extra columns are ignored, or kept by keep_good().
 """
 
 from __future__ import annotations
@@ -141,7 +141,9 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, steps: int = STEPS) -> Network | None:
     sample = label_sample(labels, "quality", most_labels, FOLDS, HELD_OUT)
     known = docs.select("doc_id", "text").where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(sample), "doc_id")
-    rows = known.select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    # One text for each doc_id, so that the sample's bound is one of rows.
+    known = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    rows = known.select("doc_id", "text", "label").toArrow().sort_by("doc_id")
     y = rows["label"].to_numpy().astype(np.float32)
     if len(np.unique(y)) < 2:
         return None
