@@ -394,9 +394,9 @@ def test_toxicity_models_are_kneser_ney(spark):
     spelt = pa.Table.from_batches(list(toxicity._count_words(iter([batch])))).to_pandas()
     names = lambda x: x.to_numpy(np.int64).view(np.uint64)
     known = toxicity.Vocabulary(names(pairs.v), names(pairs.w), [names(spelt[c]) for c in ("w", "w1", "w2")])
-    counts = word_counts = Counter(w for t, _ in texts for w in t.split())
+    word_counts = Counter(w for t, _ in texts for w in t.split())
     shared, total = toxicity._shared(toxicity.word_counts(spark.createDataFrame([(t,) for t, _ in texts], "text string")), known.levels)
-    assert total == sum(counts.values()) and sorted(shared[0]) == sorted(counts.values())
+    assert total == sum(word_counts.values()) and sorted(shared[0]) == sorted(word_counts.values())
 
     def name(w, n=99):
         data = np.frombuffer(w[:n].encode(), np.uint8)
@@ -418,7 +418,8 @@ def test_toxicity_models_are_kneser_ney(spark):
             for w, x in word_counts.items():
                 common[1][w[:6]] += x
                 common[2][w[:4]] += x
-            own = [dict(zip(known.levels[k].tolist(), discounted(np.array([0.0] * 0 + [dict((int(name(b)), x) for b, x in levels[k].items()).get(int(v), 0) for v in known.levels[k]])))) for k in range(3)]
+            of_name = [{int(name(b)): x for b, x in level.items()} for level in levels]
+            own = [dict(zip(known.levels[k].tolist(), discounted(np.array([float(of_name[k].get(int(b), 0)) for b in known.levels[k]])))) for k in range(3)]
 
             def p(w, k=0):
                 key, all_ = (prefix(w, k), k), sum(levels[k].values())
@@ -429,7 +430,7 @@ def test_toxicity_models_are_kneser_ney(spark):
                 return lower[key]
 
             for v in [None, "word1", "word2", "word7"]:
-                mass = [sum(f(x) for (a, _), x in c.items() if a == v) for f in (lambda x: x,)][0]
+                mass = sum(x for (a, _), x in c.items() if a == v)
                 keep = sum(left[k] for k in c if k[0] == v)
                 at = toxicity.place(known.contexts, np.array([toxicity.NONE if v is None else name(v)]))
                 total_p = 0.0
@@ -526,6 +527,40 @@ def test_quality(spark):
     assert quality.keep_good(docs, None).count() == docs.count()
 
 
+def test_quality_edges(spark):
+    docs, labels, _ = labelled(spark, 120, lambda w, r: " | ".join(x.upper() for x in w))
+    extra = documents(spark, [(3, "another text of one id"), (None, "no id"), (None, None)])
+    rows = docs.unionByName(docs.where("doc_id < 9")).unionByName(extra)
+    network = quality.fit(rows, labels.unionByName(spark.createDataFrame([(None, 1, 0), (4, None, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")), steps=40)
+    got = quality.score(rows, network).collect()
+    assert len(got) == 123 + 9 + 3
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(x) == 1 for i, x in by.items() if i not in (3, None))
+    assert quality.score(rows.where("false"), network).count() == 0 and quality.keep_good(rows.where("false"), network).count() == 0
+    assert {r.score for r in quality.score(rows, None).collect()} == {1.0} and quality.fit(rows, labels.where("false")) is None
+    assert quality.keep_good(docs, network).columns == docs.columns
+
+
+def test_quality_scores_are_those_of_the_plain_network():
+    """The table form of scoring against convolution, ReLU and pooling written out byte by byte."""
+    r = np.random.default_rng(4)
+    network = quality.Network(3)
+    network.p["bias"], network.p["out"] = r.normal(0, 0.2, quality.FILTERS).astype(np.float32), r.normal(0, 1, 2 * quality.FILTERS).astype(np.float32)
+    for text in ("", "a", "short text", "x" * 600, "longer ünïcode text " * 40):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        emb = np.vstack([network.p["embedding"][raw], np.zeros((quality.CHUNK + quality.WIDTH, quality.EMBEDDING), np.float32)])
+        tops = []
+        for start in range(0, max(1, len(raw)), quality.CHUNK):
+            answers = [sum((emb[p + k] @ network.p["filters"][k] if p + k < len(raw) else 0) for k in range(quality.WIDTH)) + np.zeros(quality.FILTERS) for p in range(start, start + quality.CHUNK)]
+            tops.append(np.maximum(np.max(answers, 0) + network.p["bias"], 0))
+        vector = np.concatenate([np.max(tops, 0), np.mean(tops, 0)])
+        want = 1 / (1 + np.exp(-(vector @ network.p["out"] + network.p["last"][0])))
+        got = network.score(raw, np.array([0, len(raw)]))[0]
+        assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_chunks_cover_every_byte():
     data = np.arange(600, dtype=np.int64).astype(np.uint8)
     codes, first = quality.chunks(data, np.array([0, 0, 251, 600]))
@@ -612,6 +647,99 @@ def test_chat_segments_overlap(spark):
     assert empty.count() == 0 and not any(x.trained for x in got)
 
 
+def brute_mix(rows):
+    """(doc, times) of rows (doc_id, text, source): water filling by rounds, then the documents below a threshold."""
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
+    sources = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(sources)}
+    total = {x: sum(n for n, r in zip(sizes, rows) if r[2] == x) for x in sources}
+    target, open_, budget = {}, set(sources), 1.5 * sum(sizes)
+    while open_:
+        level = budget / sum(weight[x] for x in open_)
+        full = {x for x in open_ if level * weight[x] > 2 * total[x]}
+        if not full:
+            target |= {x: level * weight[x] for x in open_}
+            break
+        for x in full:
+            target[x], budget = 2.0 * total[x], budget - 2 * total[x]
+        open_ -= full
+    digest = lambda i: hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15]
+    out = []
+    for x in sources:
+        mine = [(digest(r[0]), n, r) for n, r in zip(sizes, rows) if r[2] == x]
+        whole = int(target[x] // total[x]) if total[x] else 0
+        rest, below, chosen = target[x] - whole * total[x], 0, set()
+        for h in sorted({m[0] for m in mine if m[1]}):
+            n = sum(m[1] for m in mine if m[0] == h)
+            if below + n > rest:
+                if below + n - rest < rest - below:
+                    chosen.add(h)
+                break
+            chosen.add(h)
+            below += n
+        out += [(r, whole + (h in chosen)) for h, n, r in mine if n]
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage on what the one before kept, with null and empty texts, repeated rows and ids, ids and sources that
+    lack, and columns whose names clash."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(31)
+    docs, labels, truth = labelled(spark, 100, lambda w, r: " | ".join(x.upper() for x in w))
+    rows = [(x.doc_id, x.text, ("a", "b", None)[(x.doc_id or 0) % 3]) for x in docs.collect()]
+    base = words(120, 70).split()
+    for k in range(25):
+        w = list(base)
+        for p in r.choice(120, int(r.integers(0, 7)), replace=False):
+            w[p] = f"edit{k}x{p}"
+        rows.append((2000 + k, " ".join(w), "a"))
+    leak = " ".join(words(60, 71).split()[:30])
+    rows += [(3000 + k, words(80, 300 + k), "c") for k in range(20)] + [(3100, words(30, 72) + " " + leak, "b"), (3101, leak, None)]
+    rows += [rows[3], rows[3], (3000, words(90, 73), "c"), (None, words(40, 74), "a"), (None, words(40, 74), "a"), (None, None, None), (3002, words(80, 300).replace(" ", "  ") + " ", "b"), (3200, "", "a"), (3201, "  \n ", "b")]
+    schema = "doc_id long, text string, source string, row_id string, kept string, component string, _size long, digest string"
+    table = spark.createDataFrame([(*x, "r", "k", "c", 5, "d") for x in rows], schema)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*table.columns, "repeat"]
+
+    # Quality: the fitted network, a row at a time.
+    network = quality.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels)
+    raw = [np.frombuffer((t or "").encode(), np.uint8) for _, t, _ in rows]
+    rows = [x for x, b in zip(rows, raw) if network.score(b, np.array([0, len(b)]))[0] >= 0.3]
+    # Exact copies: the longest, then the smallest id; of rows alike one.
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    best = {}
+    for x in rows:
+        key = (-len(x[1] or ""), x[0] is None, x[0] or 0)
+        if norm(x[1]) not in best or key < best[norm(x[1])][0]:
+            best[norm(x[1])] = key, x
+    exact = [x for _, x in best.values()]
+    # Near copies: rows without id, or without words, stand alone.
+    sets = []
+    for i, t, _ in exact:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w and i is not None else set())
+    group = list(range(len(exact)))
+    for _ in exact:
+        for a in range(len(exact)):
+            for b in range(a):
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+    near = [x for k, x in enumerate(exact) if x[0] is None or not sets[k] or x[0] == min(exact[j][0] for j in range(len(exact)) if group[j] == group[k])]
+    # The benchmark's windows of ten words.
+    token = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    windows = {tuple(token(leak)[k : k + 10]) for k in range(len(token(leak)) - 9)}
+    clean = [x for x in near if not any(tuple(token(x[1])[k : k + 10]) in windows for k in range(len(token(x[1])) - 9))]
+    want = sorted(((*x, n + 1) for x, times in brute_mix(clean) for n in range(times)), key=str)
+    have = sorted(((x.doc_id, x.text, x.source, x.repeat) for x in got.collect()), key=str)
+    assert len(near) < len(exact) < len(rows) and len(clean) < len(near)
+    assert have == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
