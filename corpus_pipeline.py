@@ -3,16 +3,21 @@
 Stages: the quality network (documents it rejects go), exact dedup (one of each group of equal texts stays),
 near-duplicates (one of each group stays), benchmark decontamination (documents with a benchmark window go) and
 the mix to target weights (documents repeated as often as the mix takes them, with their repeat number).
+
+Defined results: null and empty texts pass or fail the network by its value for them, count as equal to each other, link
+with nothing, hold no window and have no words, so the mix leaves them out. Rows alike in doc_id and text count as one. A
+row without doc_id keeps its place in every stage but is no near copy of any. An empty table stays empty; without labels
+of both classes nothing is rejected. Extra columns are kept, whatever their names, but for `repeat`, which the mix sets.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenlake.llm import decontaminate, exactdup, mixing, neardup, quality
+from lumenlake.llm.common import delete_folder, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline's rows. Each stage's table goes to the shared folder, and is deleted once the next one is written;
+    the last stage is read from the one before it, which stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    folder = f"{root.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                delete_folder(spark, f"{folder}/{k - 1}")
     return docs
