@@ -111,8 +111,8 @@ def merge_runs(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     return runs.select(*KEY, "length", F.expr("if(no_id = 0, keep_id, null)").alias("keep_id"), "keep_text", "group_size")
 
 
-def _judged(docs: DataFrame, partitions: int | None) -> DataFrame:
-    rows = digests(docs).persist(StorageLevel.MEMORY_AND_DISK)
+def _judged(rows: DataFrame, partitions: int | None) -> DataFrame:
+    """rows of digests(), which are read twice, with keep_id, group_size and kept."""
     classes = merge_runs(rows, partitions).withColumnRenamed("length", "keep_length")
     joined = rows.join(classes, list(KEY))
     return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length")) & (F.col("row_text") == F.col("keep_text")))
@@ -120,9 +120,13 @@ def _judged(docs: DataFrame, partitions: int | None) -> DataFrame:
 
 def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return _judged(docs, partitions).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = digests(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    return _judged(rows, partitions).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The row of each group of equal texts that exact_groups() keeps, all columns of docs."""
-    return keep_rows(docs, lambda rows: _judged(rows, partitions).select(F.col("doc_id").alias("row_id"), "row_text", "kept"))
+    rows = digests(docs.select("doc_id", "text")).persist(StorageLevel.MEMORY_AND_DISK)
+    out = keep_rows(docs, lambda _: _judged(rows, partitions).select(F.col("doc_id").alias("row_id"), "row_text", "kept"))
+    rows.unpersist()
+    return out

@@ -169,6 +169,7 @@ class _Linker:
         self.rows = rows = map_arrow(self.docs, _signer(self.width), SIGNED).persist(StorageLevel.MEMORY_AND_DISK)
         known = rows.where("n > 0 and doc_id is not null")
         reps = known.groupBy("id").agg(F.min("doc_id").alias("rep")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.held = [rows, reps]
         # Signature and set of a class are those of the row with its smallest doc_id.
         signed = known.join(reps.select("id", F.col("rep").alias("doc_id")), ["id", "doc_id"], "left_semi")
         signed = signed.select("id", "doc_id", "n", "bands", "sketch").dropDuplicates(["id"]).persist(StorageLevel.MEMORY_AND_DISK)
@@ -269,10 +270,13 @@ class _Linker:
         return found.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).unionByName(direct).distinct()
 
 
-def _judged(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """(doc_id, row_text, n, root, component) of each row of docs (doc_id, text, row_text)."""
+def _judged(docs: DataFrame, percent: int, width: int, held: list[DataFrame] | None = None) -> DataFrame:
+    """(doc_id, row_text, n, root, component) of each row of docs (doc_id, text, row_text). held gets the
+    tables that are kept in memory for it."""
     linker = _Linker(docs.select("doc_id", "text", "row_text"), percent, width)
     found = linker.classes()
+    if held is not None:
+        held += linker.held
     rows = linker.rows.select("doc_id", "row_text", "n", "id").join(found, "id", "left")
     # An empty text, and a row without doc_id, is a component of its own.
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
@@ -290,10 +294,15 @@ def keep_representatives(docs: DataFrame, percent: int = 80, width: int = 5) ->
     alike count as one, and of the texts of a component's smallest doc_id the one with the smallest hash stays. A row
     without shingles, or without doc_id, is a component of its own."""
 
+    held: list[DataFrame] = []
+
     def state(rows: DataFrame) -> DataFrame:
-        found = _judged(rows, percent, width)
+        found = _judged(rows, percent, width, held)
         first = found.where("component = doc_id and n > 0").groupBy("root").agg(F.min("row_text").alias("first"))
         kept = F.col("component").isNull() | (F.col("n") == 0) | (F.col("component") == F.col("doc_id")) & (F.col("row_text") == F.col("first"))
         return found.join(cut(first), "root", "left").select(F.col("doc_id").alias("row_id"), "row_text", F.coalesce(kept, F.lit(False)).alias("kept"))
 
-    return keep_rows(docs, state)
+    out = keep_rows(docs, state)
+    for rows in held:
+        rows.unpersist()
+    return out

@@ -7,6 +7,9 @@ A key is then listed exactly if the first level that it fails is an odd one (or
 is an even one), with no error for any key of the universe and no join. Level 0 is sized so that about as many
 other keys pass it as there are listed keys, so the later levels are as small as the list, not as the corpus.
 
+Each verdict has a cascade of its own, which is all that goes to the executors: the first (longest) key of a URL that one
+of them lists is its rule, and says itself which rule that is.
+
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed, as is
 every URL that fits no rule (the method's verdict for keys that aren't listed). Rows that repeat are judged one
 by one; an empty table gives an empty result; extra columns are ignored.
@@ -20,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,40 +109,40 @@ def _key_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), column.offsets.to_numpy()
 
 
-def build_cascade(universe: DataFrame, rules: DataFrame | None = None, list_hashes: np.ndarray | None = None) -> list[Bloom]:
-    """universe: rows with hashes (array of the 64-bit hashes of a URL's keys). list_hashes: those of the listed keys."""
-    wanted = np.unique(list_hashes)
-    total = universe.select(F.sum(F.size("hashes"))).first()[0] or 0
-    levels = [Bloom.of(wanted, min(0.5, max(1e-12, max(1, len(wanted)) / (math.sqrt(2) * max(1, total)))), 0)]
+def build_cascades(universe: DataFrame, lists: list[np.ndarray]) -> list[list[Bloom]]:
+    """universe: rows with hashes (array of the 64-bit hashes of a URL's keys); lists: the hashes of listed keys. A
+    cascade for each list, from one pass over the universe's keys."""
+    lists = [np.unique(x) for x in lists]
+    total = max(1, universe.select(F.sum(F.size("hashes"))).first()[0] or 0)
+    first = [Bloom.of(x, min(0.5, max(1e-12, max(1, len(x)) / (math.sqrt(2) * total))), 0) for x in lists]
+    sent = universe.sparkSession.sparkContext.broadcast(first)
 
-    def astray(held: list[Bloom]) -> np.ndarray:
-        """Keys of the universe that aren't listed and pass all levels: about as many as listed ones at level 0, half
-        as many two levels on. Each partition drops repeats before they are shuffled."""
-        sent, names = universe.sparkSession.sparkContext.broadcast(held), universe.sparkSession.sparkContext.broadcast(wanted)
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.unique(_key_hashes(batch.column(0))[0])
+            found = [h[level.passes(h)] for level in sent.value]
+            which = np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.concatenate(found).view(np.int64))], ["which", "h"])
 
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = np.unique(_key_hashes(batch.column(0))[0])
-                h = h[~np.isin(h, names.value)]
-                for level in sent.value:
-                    h = h[level.passes(h)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+    # What passes level 0: listed keys, and about as many others. Each partition drops repeats before they are shuffled.
+    passed = map_arrow(universe.select("hashes"), pick, "which int, h long").distinct().toArrow()
+    sent.destroy()
+    which, h = passed["which"].to_numpy(), passed["h"].to_numpy().view(np.uint64)
+    return [_cascade(level, wanted, np.setdiff1d(h[which == k], wanted)) for k, (level, wanted) in enumerate(zip(first, lists))]
 
-        rows = map_arrow(universe.select("hashes"), pick, "h long").distinct()
-        return rows.toPandas()["h"].to_numpy(np.int64).view(np.uint64)
 
-    others, named = astray(levels), wanted
+def _cascade(first: Bloom, named: np.ndarray, others: np.ndarray) -> list[Bloom]:
+    """named: the listed keys; others: the keys of the universe that aren't listed and pass the first level."""
+    levels = [first]
     while len(levels) < LEVELS:
         # Odd levels hold the other keys that are still left, even ones the listed keys that pass those.
         fresh, against = (others, named) if len(levels) % 2 else (named, others)
         if not len(fresh):
-            break
+            return levels
         levels.append(Bloom.of(fresh, 0.5, len(levels)))
         left = against[levels[-1].passes(against)]
         others, named = (others, left) if len(levels) % 2 == 0 else (left, named)
-    else:
-        raise ValueError("the cascade doesn't end")
-    return levels
+    raise ValueError("the cascade doesn't end")
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -146,23 +150,27 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     spark = pages.sparkSession
     host, path = parts()
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("keys", keys_of(sorted({len(p) for _, _, p in rules}))).withColumn("hashes", F.expr("transform(keys, k -> xxhash64(k))"))
-    names = [h + p for _, h, p in rules]
-    table = spark.createDataFrame([(n, v, h, p) for n, (v, h, p) in zip(names, rules)], "k string, verdict string, h string, p string")
-    held = {r.x: (r.k, r.verdict) for r in table.select("k", "verdict", F.xxhash64("k").alias("x")).collect()}
-    levels = spark.sparkContext.broadcast(build_cascade(rows, list_hashes=np.array(list(held), np.int64).view(np.uint64)))
-    verdicts = spark.sparkContext.broadcast(held)
+    keys = keys_of(sorted({len(p) for _, _, p in rules}))
+    rows = rows.withColumn("hashes", F.transform(keys, lambda k: F.xxhash64(k)))
+    names = sorted({v for v, _, _ in rules})
+    table = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, k string")
+    held = table.select("verdict", F.xxhash64("k").alias("x")).toArrow()
+    lists = [held.filter(pa.compute.equal(held["verdict"], v))["x"].to_numpy().view(np.uint64) for v in names]
+    cascades = spark.sparkContext.broadcast(build_cascades(rows, lists))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, offsets = _key_hashes(batch.column("hashes"))
-            yes = np.flatnonzero(listed(levels.value, h))
+            base, h = offsets[0], h[offsets[0] : offsets[-1]]
+            found = np.stack([listed(levels, h) for levels in cascades.value])
+            yes = np.flatnonzero(found.any(0))
             # The first listed key of each row is its longest.
-            row = np.searchsorted(offsets, yes, "right") - 1
+            row = np.searchsorted(offsets - base, yes, "right") - 1
             row, first = np.unique(row, return_index=True)
-            rule, verdict = [None] * batch.num_rows, ["allow"] * batch.num_rows
-            for r, x in zip(row.tolist(), h[yes[first]].view(np.int64).tolist()):
-                rule[r], verdict[r] = verdicts.value[x]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            at, verdict = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, "allow", object)
+            at[row] = yes[first] - (offsets[row] - base) + 1
+            verdict[row] = np.array(names, object)[found[:, yes[first]].argmax(0)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path")), pa.array(at), pa.array(verdict, pa.string())], ["page_id", "host", "path", "at", "verdict"])
 
-    return map_arrow(rows.select("page_id", "host", "path", "hashes"), judge, rows.select("page_id", "host", "path").schema.add("rule", "string").add("verdict", "string"))
+    judged = map_arrow(rows.select("page_id", "host", "path", "hashes"), judge, rows.select("page_id", "host", "path").schema.add("at", "integer").add("verdict", "string"))
+    return judged.select("page_id", "host", "path", F.when(F.col("at") > 0, F.element_at(keys, F.col("at"))).alias("rule"), "verdict")

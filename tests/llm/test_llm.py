@@ -327,8 +327,17 @@ def test_cascade_is_exact_over_its_universe(spark):
     universe = r.integers(-(2**63), 2**63 - 1, 20000)
     wanted = universe[:300].view(np.uint64)
     rows = spark.createDataFrame([(universe[k : k + 50].tolist(),) for k in range(0, 20000, 50)], "hashes array<long>")
-    levels = urlfilter.build_cascade(rows, list_hashes=wanted)
-    assert urlfilter.listed(levels, universe.view(np.uint64)).tolist() == [True] * 300 + [False] * 19700
+    one, two = urlfilter.build_cascades(rows, [wanted, universe[5000:5100].view(np.uint64)])
+    assert urlfilter.listed(one, universe.view(np.uint64)).tolist() == [True] * 300 + [False] * 19700
+    assert np.flatnonzero(urlfilter.listed(two, universe.view(np.uint64))).tolist() == list(range(5000, 5100))
+
+
+def test_urls_of_any_length(spark):
+    """A very long host and path, empty parts and characters beyond ASCII."""
+    urls = ["http://" + "a." * 3000 + "com/en/" + "x" * 100_000, "https://b.ORG/es/" + "ñ" * 5000 + "?q=1", "http://..com/en/", "://com/en/", "http:///en/", "x://com", "http://com/EN/", "http://example.com/en/7?://net/de/"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(pages).collect()}
+    assert got == {0: ("com/en/", "block"), 1: ("org/es/", "block"), 2: ("com/en/", "block"), 3: ("com/en/", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: ("example.com/en/7", "allow")}
 
 
 PAGE = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header><h2>Site</h2></header><nav><a href="/">Home</a> <a href="/b">More</a></nav>
