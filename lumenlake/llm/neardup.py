@@ -213,7 +213,7 @@ class _Linker:
     def with_sets(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b, ...) with their sets xa and xb. The set of an a with many pairs goes out in several copies, one
         for each PART pairs, so no task gets more than PART pairs of one a."""
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        parts = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
         dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).drop("parts")
         one = self.sets.join(parts, self.sets.id == parts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("xa"))
         two = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))

@@ -749,6 +749,24 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert have == want
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    """An empty table, and one without labels or items, whose documents all stay."""
+    import corpus_pipeline
+
+    docs = documents(spark, [(k, words(40, 400 + k), "ab"[k % 2]) for k in range(8)]).drop("keep_id", "kept", "rule")
+    for name, rows in (("none", docs.where("false")), ("some", docs)):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    none = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert none.count() == 0 and none.columns == [*docs.columns, "repeat"]
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, f"{tmp_path}/some")
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/some").select("doc_id").distinct().count() > 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
