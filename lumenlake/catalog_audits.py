@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import ANNOTATIONS, CLASSES, DISTANCES, FP, G, IMAGES, LOO, MANIFEST, PRODUCTS, SEED, STEPS, _annotations, _distances, _first, _gallery, _images, _listing, _longs, _manifest, _negatives_sql, _pairs, _products, query
 from .functions import vectors
 from .operators import analysis, audit, dedup, evaluation, geometry, images, manifest, pairs, sampling, search
-from .plans import experiments
+from .plans import benchmark, experiments
 from .schemas import CATEGORIES
 from .sources import adapters
 
@@ -238,6 +238,16 @@ def cleaning_audit(spark, d):
     return audit.cleaning_audit(_faulty(spark, d), _listing(_manifest(spark, d)), adapters.inspections(spark, d), adapters.fingerprints(spark, d))
 
 
+@query(f"WITH {MANIFEST} SELECT image_id, image_path FROM mf WHERE split = 'valid' AND category = 'Pendant'")
+def split_rows(spark, d):
+    return manifest.of_split(_manifest(spark, d), "valid", "Pendant").select("image_id", "image_path")
+
+
+@query("SELECT unnest(['image_id', 'image_path', 'group_id', 'category', 'category_id', 'split', 'source']) AS field, unnest([true, true, true, true, true, false, false]) AS present")
+def metadata_policy(spark, d):
+    return audit.metadata_policy(_manifest(spark, d).drop("split", "source"))
+
+
 LISTED = f"{MANIFEST}, ls AS (SELECT CASE WHEN image_id % 25 = 1 THEN 'dev' ELSE split END || '/' || CASE WHEN image_id % 25 = 2 THEN 'Watch' ELSE category END || CASE WHEN image_id % 25 = 3 THEN '/more/' ELSE '/' END || image_id || '.png' AS p, split, category, image_id % 25 AS k FROM mf)"
 
 
@@ -273,6 +283,15 @@ def near_class_links(spark, d):
     return links.select("distance", F.least("b1", "b2").alias("bits_1"), F.greatest("b1", "b2").alias("bits_2"), (F.col("files_1") * F.col("files_2")).alias("pairs"))
 
 
+BANDED = f"{FP}, ba AS (SELECT doc_id, exact_hash, bits, [substr(bits, 1, 11), substr(bits, 12, 11), substr(bits, 23, 11), substr(bits, 34, 11), substr(bits, 45, 10), substr(bits, 55, 10)] AS b FROM f), ca AS (SELECT x.doc_id AS a, y.doc_id AS b, x.exact_hash <> y.exact_hash AS other, hamming(x.bits, y.bits) AS distance FROM ba x JOIN ba y ON x.doc_id < y.doc_id AND (x.b[1] = y.b[1] OR x.b[2] = y.b[2] OR x.b[3] = y.b[3] OR x.b[4] = y.b[4] OR x.b[5] = y.b[5] OR x.b[6] = y.b[6])), rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS place FROM ca), ke AS (SELECT * FROM rk WHERE place <= 3 ORDER BY a, b LIMIT 400)"
+
+
+@query(f"WITH {BANDED} SELECT (SELECT count(*) FROM ca) AS candidates, (SELECT count(*) FROM ke) AS compared, (SELECT count(*) FROM ca) - (SELECT count(*) FROM ke) AS skipped, CASE WHEN (SELECT count(*) FROM ca) > (SELECT count(*) FROM ke) THEN 'partial' ELSE 'complete' END AS status, (SELECT count(*) FROM ke WHERE other AND distance BETWEEN 1 AND 5) AS near_pairs")
+def near_dup_limits(spark, d):
+    near, stats = dedup.limited_pairs(adapters.fingerprints(spark, d), 5, 3, 400)
+    return stats.crossJoin(near.agg(F.count("*").alias("near_pairs")))
+
+
 # --- pairs ----------------------------------------------------------------------------------------------------------
 CONFIG = pairs.Config(seed=SEED, ratio=0.5, same_ratio=0.4, max_positives=300, max_negatives=100)
 
@@ -318,6 +337,15 @@ def gate_pairs_report(spark, d):
     return experiments.gate_report(experiments.gate_pairs(_manifest3(spark, d), SEED), _manifest3(spark, d))
 
 
+@query(f"WITH {DATASET} SELECT pair_id, row_number() OVER (ORDER BY list_position(['train', 'valid', 'test'], split), pair_id) - 1 AS place FROM ds")
+def pair_order(spark, d):
+    """The place of each pair in the order in which pairs are written."""
+    from .operators.order import numbered
+
+    rows = pairs.dataset(_manifest3(spark, d), CONFIG).select("pair_id", F.array_position(F.array(*map(F.lit, ("train", "valid", "test"))), F.col("split")).alias("s"))
+    return numbered(rows, [F.col("s"), F.col("pair_id")], "place").select("pair_id", "place")
+
+
 FAULTY_PAIRS = f"""{DATASET}, pm AS (
     SELECT CASE WHEN image_id_1 % 30 = 9 THEN 'x' || pair_id ELSE pair_id END AS pair_id, CASE WHEN image_id_1 % 30 = 2 THEN image_id_2 ELSE image_id_1 END AS image_id_1, CASE image_id_1 % 30 WHEN 1 THEN image_id_1 WHEN 2 THEN image_id_1 WHEN 3 THEN -1 ELSE image_id_2 END AS image_id_2, group_id_1, CASE WHEN image_id_1 % 30 = 10 THEN group_id_2 + 1 ELSE group_id_2 END AS group_id_2,
         CASE WHEN image_id_1 % 30 = 5 THEN 'Watch' ELSE category_1 END AS category_1, category_2, CASE WHEN image_id_1 % 30 = 4 THEN 'other' ELSE split END AS split, CASE WHEN image_id_1 % 30 = 0 THEN 1 - label ELSE label END AS label,
@@ -451,6 +479,14 @@ def early_stopping_rising(spark, d):
     return analysis.early_stopping_within(_runs(spark, d), 2, 2.5, "max").withColumn("best", F.round("best", 6))
 
 
+@query("WITH t AS (SELECT event_type AS setting, count(*) AS batches, avg(value) AS mean, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.95) AS p95, sum(value) AS total, sum(event_id % 32 + 1) AS images FROM events GROUP BY 1) SELECT setting, batches, round(mean, 6) AS mean, round(median, 6) AS median, round(p95, 6) AS p95, round(batches * 1000.0::DOUBLE / total, 4) AS batches_per_sec, round(images * 1000.0::DOUBLE / total, 4) AS images_per_sec FROM t")
+def throughput(spark, d):
+    """Events stand in for timed batches."""
+    rows = adapters.read(spark, d, "events").select(F.col("event_type").alias("setting"), "value", (F.col("event_id") % 32 + 1).alias("images"))
+    rows = benchmark.throughput(rows, "images")
+    return rows.select("setting", "batches", *(F.round(c, 6).alias(c) for c in ("mean", "median", "p95")), *(F.round(c, 4).alias(c) for c in ("batches_per_sec", "images_per_sec")))
+
+
 @query("WITH b AS (SELECT event_type, event_id, value, event_id % 7 + 1 AS samples, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) SELECT event_type, count(*) AS batches, CAST(sum(samples) AS BIGINT) AS samples, round(sum(value * samples) / sum(samples), 6) AS loss FROM b WHERE k <= 500 GROUP BY 1")
 def epoch_losses(spark, d):
     """Events stand in for batches."""

@@ -243,7 +243,9 @@ def group_holdout(manifest: DataFrame, fraction: float = 0.2, seed: int = 2026)
     return groups.select("category", "group_id", F.when(F.row_number().over(w) <= size, "holdout").otherwise("train").alias("fold"))
 
 
-def stratified_sample(rows: DataFrame, key: str, by: str, n: int, seed: int = 2026) -> DataFrame:
-    """The first n of each value of by, in order of a hash of key."""
+def stratified_sample(rows: DataFrame, key: str, by: str, n: int, seed: int = 2026, whole: bool = False) -> DataFrame:
+    """The first n of each value of by, in order of a hash of key. With whole, a value with fewer rows is an error."""
+    if whole and (few := rows.groupBy(by).count().where(F.col("count") < n).limit(5).collect()):
+        raise ValueError(f"fewer than {n} rows of {by}: {sorted((r[by], r['count']) for r in few)}")
     w = Window.partitionBy(by).orderBy(hash_int(seed, F.col(key)), key)
     return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.operators import analysis, audit, dedup, images, manifest, order, pairs, sampling, search
-from lumenlake.plans import experiments
+from lumenlake.plans import benchmark, experiments
 from lumenlake.sources import io
 
 from .test_operators import png
@@ -202,3 +202,19 @@ def test_files(spark, tmp_path):
         io.read_json(spark, str(tmp_path / "bad.json"), "model string").collect()
     page = io.html(spark.createDataFrame([("<b>", 1)], "name string, n int"), "a & b")
     assert "&lt;b&gt;" in page and "<th>name</th>" in page and "a &amp; b" in page
+    (tmp_path / "c.csv").write_text("image_id,image_path,group_id,category,category_id,split,source\ni1,x.png,g1,Ring,4,train,dataset1\ni2,y.png,g1,Ring,four,train,dataset1\n")
+    with pytest.raises(Exception, match="image_id i2: four"):
+        io.read_manifest(spark, str(tmp_path / "c.csv")).collect()
+
+
+def test_timing(spark):
+    assert benchmark.capped(100, 32, 2, 10) == (2, 2) and benchmark.capped(1000, 10, 5, 20) == (5, 20) and benchmark.capped(3, 10, 1, 1) == (0, 1)
+    with pytest.raises(ValueError):
+        benchmark.capped(0, 1, 0, 1)
+    times = benchmark.timed(spark, {"a": lambda: spark.range(10), "b": lambda: spark.range(20)}, 1, 3)
+    stats, best = benchmark.report(times)
+    assert times.count() == 6 and {r.setting: r.n for r in stats.collect()} == {"a": 3, "b": 3} and best.first().setting in ("a", "b")
+    rows = spark.createDataFrame([("Ring", k) for k in range(3)] + [("Pendant", 9)], "category string, k long")
+    assert pairs.stratified_sample(rows, "k", "category", 1, whole=True).count() == 2
+    with pytest.raises(ValueError, match="fewer than 2"):
+        pairs.stratified_sample(rows, "k", "category", 2, whole=True)
