@@ -23,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_arrow, shuffle_size
+from .common import cut, keep_rows, map_arrow, shuffle_size
 
 #: Bits of the digest that a round settles: 1 makes the rounds binomial.
 RADIX_BITS = 1
@@ -120,13 +119,9 @@ def _judged(rows: DataFrame, partitions: int | None) -> DataFrame:
 
 def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = digests(docs).persist(StorageLevel.MEMORY_AND_DISK)
-    return _judged(rows, partitions).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return _judged(cut(digests(docs)), partitions).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The row of each group of equal texts that exact_groups() keeps, all columns of docs."""
-    rows = digests(docs.select("doc_id", "text")).persist(StorageLevel.MEMORY_AND_DISK)
-    out = keep_rows(docs, lambda _: _judged(rows, partitions).select(F.col("doc_id").alias("row_id"), "row_text", "kept"))
-    rows.unpersist()
-    return out
+    return keep_rows(docs, lambda rows: _judged(cut(digests(rows)), partitions).select(F.col("doc_id").alias("row_id"), "row_text", "kept"))

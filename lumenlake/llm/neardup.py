@@ -31,7 +31,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,26 +162,26 @@ class _Linker:
     def __init__(self, docs: DataFrame, percent: int, width: int):
         self.docs, self.percent, self.width = docs, percent, width
 
-    def classes(self) -> DataFrame:
-        """(id, root, component) of each class of equal sets: a class that stands for all that its links reach, and the
-        smallest doc_id of those."""
-        self.rows = rows = map_arrow(self.docs, _signer(self.width), SIGNED).persist(StorageLevel.MEMORY_AND_DISK)
-        known = rows.where("n > 0 and doc_id is not null")
-        reps = known.groupBy("id").agg(F.min("doc_id").alias("rep")).persist(StorageLevel.MEMORY_AND_DISK)
-        self.held = [rows, reps]
-        # Signature and set of a class are those of the row with its smallest doc_id.
-        signed = known.join(reps.select("id", F.col("rep").alias("doc_id")), ["id", "doc_id"], "left_semi")
-        signed = signed.select("id", "doc_id", "n", "bands", "sketch").dropDuplicates(["id"]).persist(StorageLevel.MEMORY_AND_DISK)
-        spread = signed.select("id", F.explode("bands").alias("b"))
-        shared = cut(spread.join(spread.groupBy("b").agg(F.count("*").alias("c")).where("c > 1"), "b").select("b", "id", "c").distinct())
-        # A bucket's leader is the class that shares buckets with most others, so the one most of its group is near to.
-        weight = shared.groupBy("id").agg(F.sum("c").alias("weight"))
-        leaders = shared.join(weight, "id").groupBy("b").agg(F.max(F.struct("weight", "id")).alias("m")).select("b", F.col("m.id").alias("leader"))
-        pairs = cut(shared.join(leaders, "b").where("id <> leader").select("leader", "id").distinct())
-        # The sketches and sets of the classes that share a bucket with another.
-        inside = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
-        self.sketches = cut(signed.join(inside, "id", "left_semi").select("id", "doc_id", "n", "sketch"))
-        signed.unpersist()
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        """The rows (doc_id, row_text, n, id), and (id, root, component) of each class of equal sets: a class that stands
+        for all that its links reach, and the smallest doc_id of those."""
+        with SharedTable(map_arrow(self.docs, _signer(self.width), SIGNED)) as rows:
+            known = rows.where("n > 0 and doc_id is not null")
+            reps = cut(known.groupBy("id").agg(F.min("doc_id").alias("rep")))
+            # Signature and set of a class are those of the row with its smallest doc_id.
+            signed = known.join(reps.select("id", F.col("rep").alias("doc_id")), ["id", "doc_id"], "left_semi")
+            signed = SharedTable(signed.select("id", "doc_id", "n", "bands", "sketch").dropDuplicates(["id"]))
+            narrow = cut(rows.select("doc_id", "row_text", "n", "id"))
+        with signed as table:
+            spread = table.select("id", F.explode("bands").alias("b"))
+            shared = cut(spread.join(spread.groupBy("b").agg(F.count("*").alias("c")).where("c > 1"), "b").select("b", "id", "c").distinct())
+            # A bucket's leader is the class that shares buckets with most others, so the one most of its group is near to.
+            weight = shared.groupBy("id").agg(F.sum("c").alias("weight"))
+            leaders = shared.join(weight, "id").groupBy("b").agg(F.max(F.struct("weight", "id")).alias("m")).select("b", F.col("m.id").alias("leader"))
+            pairs = cut(shared.join(leaders, "b").where("id <> leader").select("leader", "id").distinct())
+            # The sketches and sets of the classes that share a bucket with another.
+            inside = pairs.select("id").unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
+            self.sketches = cut(table.join(inside, "id", "left_semi").select("id", "doc_id", "n", "sketch"))
         wanted = self.docs.sparkSession.sparkContext.broadcast(IdFilter.of(self.sketches.select("doc_id"), "doc_id"))
         sets = map_arrow(self.docs.select("doc_id", "text"), _set_maker(self.width, wanted), "doc_id long, id long, shingles array<long>")
         sets = sets.join(self.sketches.select("id", "doc_id"), ["id", "doc_id"], "left_semi").dropDuplicates(["id"]).select("id", "shingles")
@@ -199,7 +198,7 @@ class _Linker:
         least = joined.groupBy("component").agg(F.min("rep").alias("least"))
         label = joined.join(least, "component").select(F.col("id").alias("_id"), F.col("component").alias("root"), "least")
         found = reps.join(label, reps.id == F.col("_id"), "left")
-        return cut(found.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("least", "rep").alias("component")))
+        return narrow, cut(found.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("least", "rep").alias("component")))
 
     def linked(self) -> str:
         return f"100 * both >= {self.percent} * (na + nb - both)"
@@ -270,14 +269,10 @@ class _Linker:
         return found.select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).unionByName(direct).distinct()
 
 
-def _judged(docs: DataFrame, percent: int, width: int, held: list[DataFrame] | None = None) -> DataFrame:
-    """(doc_id, row_text, n, root, component) of each row of docs (doc_id, text, row_text). held gets the
-    tables that are kept in memory for it."""
-    linker = _Linker(docs.select("doc_id", "text", "row_text"), percent, width)
-    found = linker.classes()
-    if held is not None:
-        held += linker.held
-    rows = linker.rows.select("doc_id", "row_text", "n", "id").join(found, "id", "left")
+def _judged(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """(doc_id, row_text, n, root, component) of each row of docs (doc_id, text, row_text)."""
+    rows, found = _Linker(docs.select("doc_id", "text", "row_text"), percent, width).classes()
+    rows = rows.join(found, "id", "left")
     # An empty text, and a row without doc_id, is a component of its own.
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "row_text", "n", "root", F.when(F.col("doc_id").isNotNull(), component).alias("component"))
@@ -294,15 +289,10 @@ def keep_representatives(docs: DataFrame, percent: int = 80, width: int = 5) ->
     alike count as one, and of the texts of a component's smallest doc_id the one with the smallest hash stays. A row
     without shingles, or without doc_id, is a component of its own."""
 
-    held: list[DataFrame] = []
-
     def state(rows: DataFrame) -> DataFrame:
-        found = _judged(rows, percent, width, held)
+        found = _judged(rows, percent, width)
         first = found.where("component = doc_id and n > 0").groupBy("root").agg(F.min("row_text").alias("first"))
         kept = F.col("component").isNull() | (F.col("n") == 0) | (F.col("component") == F.col("doc_id")) & (F.col("row_text") == F.col("first"))
         return found.join(cut(first), "root", "left").select(F.col("doc_id").alias("row_id"), "row_text", F.coalesce(kept, F.lit(False)).alias("kept"))
 
-    out = keep_rows(docs, state)
-    for rows in held:
-        rows.unpersist()
-    return out
+    return keep_rows(docs, state)

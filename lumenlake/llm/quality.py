@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, label_sample, map_arrow, row_blocks, text_bytes
+from .common import crc_mod, give_back, label_sample, map_arrow, row_blocks, text_bytes
 
 CHUNK, WIDTH, FILTERS, EMBEDDING = 250, 6, 8, 8
 MOST_LABELS, MOST_BYTES = 4_000, 12_000
@@ -150,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, step
     data, offsets = text_bytes(rows["text"].combine_chunks())
     network = Network()
     network.train(data, offsets, y, steps)
+    give_back()
     return network
 
 

@@ -38,7 +38,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, crc_mod, cut, logistic, map_arrow, mixed, prefix_hash, row_blocks, span_hash, text_bytes, words
+from .common import LOWER, WORD, crc_mod, cut, give_back, logistic, map_arrow, mixed, prefix_hash, row_blocks, span_hash, text_bytes, words
 
 MOST_LABELS, MOST_BYTES = 6_000, 100_000
 #: Stands for no word before a row's first.
@@ -343,6 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS) -> M
     # The sample has more toxic rows than there are; the real odds belong in the constant.
     shift = np.log(odds[1] / odds[0]) - np.log(y.sum() / (1 - y).sum())
     model.curve = np.concatenate([w[:-1] / spread, [w[-1] - (w[:-1] * middle / spread).sum() + shift]])
+    give_back()
     return model
 
 
