@@ -132,9 +132,9 @@ def set_mismatches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 
 
 def upper_median(c: str) -> Column:
-    """The element at place len // 2 (from 0) of the sorted values."""
-    values = F.array_sort(F.collect_list(c))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    """The element at place len // 2 (from 0) of the sorted values: the least value that more than half of them don't
+    exceed. It is counted by value, so no group is held as a list."""
+    return F.expr(f"percentile_disc(0.500000000001D) within group (order by {c})").cast("long")
 
 
 def compare_models(baseline: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,8 @@ def candidates(rows: DataFrame, threshold: int, across: bool = False) -> DataFra
 def near_classes(rows: DataFrame, threshold: int = 5, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Links (fp_1, fp_2, distance, and files_1, files_2 and keys of both sides) of fingerprints at distance 1 to
     threshold, fp_1 before fp_2, and the classes (fp, keys, files). A file belongs to the class of its fp."""
-    classes = rows.groupBy("fp", *keys).agg(F.count("*").alias("files"))
+    # Read by the count, both sides of the join and both sides of the result.
+    classes = rows.groupBy("fp", *keys).agg(F.count("*").alias("files")).persist(StorageLevel.MEMORY_AND_DISK)
     points = classes.select("fp").distinct()
     n = points.count()
     equal = next((s for s in (1, 2, 3) if s * BITS // (threshold + s) >= max(1, n).bit_length()), 4)
@@ -114,8 +116,9 @@ def near_classes(rows: DataFrame, threshold: int = 5, keys: tuple[str, ...] = ()
 def near_pairs(rows: DataFrame, threshold: int = 5, across: bool = False) -> DataFrame:
     """Pairs of files at distance 1 to threshold, doc_id_1 before doc_id_2, written out from the links of their classes.
     Other fingerprints mean other contents."""
-    links, _ = near_classes(rows, threshold, ("dataset",) if across else ())
     keys = ("fp", "dataset") if across else ("fp",)
+    rows = rows.select("doc_id", *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    links, _ = near_classes(rows, threshold, keys[1:])
     if across:
         links = links.where("dataset_1 <> dataset_2")
     out = links.select("distance", *(f"{k}_{side}" for k in keys for side in (1, 2)))
@@ -145,6 +148,8 @@ def near_stats(rows: DataFrame, threshold: int = 5) -> DataFrame:
 
 
 def summary(rows: DataFrame, threshold: int = 5) -> DataFrame:
+    """Counts of files, groups and near pairs. The fingerprints are made once."""
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     count = lambda df, name: df.agg(F.count("*").alias(name))
     out = count(rows, "files").crossJoin(count(exact_classes(rows), "exact_groups")).crossJoin(count(perceptual_classes(rows), "perceptual_groups"))
     near = near_stats(rows, threshold).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("near_pairs"))

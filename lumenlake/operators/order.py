@@ -17,6 +17,18 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_id") - F.col("_first")).drop("_part", "_id", "_first", "_before")
 
 
+def numbered_within(rows: DataFrame, key: str, order: list[Column], name: str, size: str | None = None) -> DataFrame:
+    """Adds name: each row's place from 0 among those of its key, and size: how many those are. For few keys with many
+    rows each, which a window by key would put in as many tasks."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_size"))
+    # As many rows as keys.
+    before = F.coalesce(F.sum("_size").over(Window.orderBy(F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(key).alias("_key"), "_size", before.alias("_offset"))
+    placed = numbered(rows, [F.col(key).asc_nulls_first(), *order], name).join(F.broadcast(offsets), F.col(key).eqNullSafe(F.col("_key")))
+    placed = placed.withColumn(name, F.col(name) - F.col("_offset"))
+    return (placed.withColumn(size, F.col("_size")) if size else placed).drop("_key", "_size", "_offset")
+
+
 def running(rows: DataFrame, value: str, sums: list[str], step: float) -> DataFrame:
     """Adds upto_<c>, the sum of c over all rows up to each value, and all_<c>, the whole sum. Rows are dealt by
     value into bins of a width; a window runs in each bin, and one over the bins' totals."""

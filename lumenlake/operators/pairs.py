@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SPLITS
-from .order import numbered
+from .order import numbered, numbered_within
 
 
 def hash_int(seed: int, *parts: Column) -> Column:
@@ -44,7 +44,7 @@ def _placed(manifest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Categories, groups and images of a manifest with their places (from 0) and how many there are."""
     groups = manifest.groupBy("group_id").agg(F.min("category").alias("category"), F.count_distinct("category").alias("k"), F.count("*").alias("n_images")).where("k = 1")
     w = lambda *p: Window.partitionBy(*p)
-    groups = groups.select("category", "group_id", "n_images", (F.row_number().over(w("category").orderBy("group_id")) - 1).alias("g"), F.count("*").over(w("category")).alias("n_groups"))
+    groups = numbered_within(groups.select("category", "group_id", "n_images"), "category", [F.col("group_id")], "g", "n_groups")
     categories = groups.groupBy("category").agg(F.count("*").alias("n_groups"))
     categories = categories.select("category", "n_groups", (F.row_number().over(Window.orderBy("category")) - 1).alias("c"), F.count("*").over(Window.partitionBy()).alias("n_categories"))
     images = manifest.select("group_id", "image_id", "category", (F.row_number().over(w("group_id").orderBy("image_id")) - 1).alias("i"))
@@ -224,11 +224,9 @@ def assert_valid(pairs: DataFrame, manifest: DataFrame) -> None:
 
 def label_holdout(pairs: DataFrame, fraction: float = 0.2, seed: int = 2026) -> DataFrame:
     """Adds fold: for each label max(1, round(n * fraction)) pairs are valid, but never all of them."""
-    h = hash_int(seed, F.col("pair_id"))
-    w = Window.partitionBy("label").orderBy(h, "pair_id")
-    n = F.count("*").over(Window.partitionBy("label"))
-    size = F.least(F.greatest(F.lit(1), F.bround(n * F.lit(fraction), 0)), n - 1)
-    return pairs.withColumn("fold", F.when(F.row_number().over(w) <= size, "valid").otherwise("train"))
+    rows = numbered_within(pairs, "label", [hash_int(seed, F.col("pair_id")), F.col("pair_id")], "_place", "_n")
+    size = F.least(F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction), 0)), F.col("_n") - 1)
+    return rows.withColumn("fold", F.when(F.col("_place") < size, "valid").otherwise("train")).drop("_place", "_n")
 
 
 def group_holdout(manifest: DataFrame, fraction: float = 0.2, seed: int = 2026) -> DataFrame:
@@ -237,10 +235,9 @@ def group_holdout(manifest: DataFrame, fraction: float = 0.2, seed: int = 2026)
     groups = manifest.groupBy("group_id").agg(F.min("category").alias("category"), F.count("*").alias("n")).where("n >= 2")
     if groups.count() < 5:
         raise ValueError("a group hold-out needs 5 groups of 2 images or more")
-    w = Window.partitionBy("category").orderBy(hash_int(seed, F.col("group_id")), "group_id")
-    n = F.count("*").over(Window.partitionBy("category"))
-    size = F.when(n >= 2, F.greatest(F.lit(1), F.bround(n * F.lit(fraction), 0))).otherwise(0)
-    return groups.select("category", "group_id", F.when(F.row_number().over(w) <= size, "holdout").otherwise("train").alias("fold"))
+    rows = numbered_within(groups, "category", [hash_int(seed, F.col("group_id")), F.col("group_id")], "_place", "_n")
+    size = F.when(F.col("_n") >= 2, F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction), 0))).otherwise(0)
+    return rows.select("category", "group_id", F.when(F.col("_place") < size, "holdout").otherwise("train").alias("fold"))
 
 
 def stratified_sample(rows: DataFrame, key: str, by: str, n: int, seed: int = 2026, whole: bool = False) -> DataFrame:
