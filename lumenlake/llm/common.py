@@ -293,15 +293,24 @@ def keep_rows(docs: DataFrame, state: Callable[[DataFrame], DataFrame]) -> DataF
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for the ids in edges (a, b): the smallest id that links reach. Labels travel along links and
-    then jump to the label of the label, so the number of rounds grows with the logarithm of the longest path."""
+    then jump to the label of the label, so the number of rounds grows with the logarithm of the longest path.
+
+    Each round's table is written and read again. (A checkpoint would carry on the size that Spark expects of a table;
+    a join's is the product of its sides', so over the rounds it becomes a number of many thousand digits, which
+    fills the driver's memory. Of a written table the size is known.)"""
     edges = edges.where("a <> b")
-    both = cut(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
-    label = cut(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("component")))
-    while True:
-        told = both.join(label, both.src == label.id).groupBy("dst").agg(F.min("component").alias("m"))
-        step = label.join(told, label.id == told.dst, "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("near"))
-        far = step.select(F.col("id").alias("_id"), F.col("near").alias("_far"))
-        step = cut(step.join(far, step.near == far._id).select("id", "was", F.least("near", "_far").alias("component")))
-        label = step.select("id", "component")
-        if step.where("was <> component").isEmpty():
-            return label
+    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
+    with SharedTable(both) as both:
+        round_ = SharedTable(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.lit(True).alias("moved"), F.least("id", "m").alias("component")))
+        while not round_.df.where("moved").isEmpty():
+            label = round_.df.select("id", "component")
+            told = both.join(label, both.src == label.id).groupBy("dst").agg(F.min("component").alias("m"))
+            step = label.join(told, label.id == told.dst, "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("near"))
+            far = step.select(F.col("id").alias("_id"), F.col("near").alias("_far"))
+            step = step.join(far, step.near == far._id).select("id", (F.col("was") != F.least("near", "_far")).alias("moved"), F.least("near", "_far").alias("component"))
+            before, round_ = round_, SharedTable(step)
+            before.delete()
+    with round_ as table:
+        return cut(table.select("id", "component"))
+
+
