@@ -314,3 +314,12 @@ def components(edges: DataFrame) -> DataFrame:
         return cut(table.select("id", "component"))
 
 
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str) -> DataFrame:
+    """rows joined with a table that has one row for each key; rows is read three times. Of a key that holds more than
+    a thousandth of the rows there are less than a thousand; these are broadcast, so no task gets all rows of one."""
+    held = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = cut(held.where(F.col("_n") * 1000 > rows.count()).select(key))
+    often = rows.join(F.broadcast(cut(hot.join(unique, key))), key)
+    return often.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(unique, key))

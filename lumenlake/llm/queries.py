@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exactdup, htmltext, mixing, neardup, quality, substrings, toxicity, urlfilter
+from . import chat, collocations, decontaminate, exactdup, htmltext, merkle, mixing, neardup, quality, simhash, substrings, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,25 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_decontamination, op4_url_filter, op5_quality, op6_repeated_substrings, op7_exact_dedup, op8_near_dedup, op9_chat_format, op10_html_text)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents"), radius=4, width=4)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_mixing, op3_decontamination, op4_url_filter, op5_quality, op6_repeated_substrings, op7_exact_dedup, op8_near_dedup, op9_chat_format, op10_html_text,
+        op11_collocations, op12_merkle, op13_simhash,
+    )
+}
 
 ORACLE_SQL = {
     "op2_mixing": r"""
@@ -137,4 +155,75 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(other, doc_id)) AS kept
         FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON id = doc_id
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(CAST(lang AS VARCHAR), 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+        grams AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+        counted AS (SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+        cuts AS (
+            SELECT lang, phrase, f AS a, unnest(range(1, k)) AS c, string_split(phrase, ' ') AS w FROM counted WHERE k > 1),
+        parts AS (
+            SELECT x.lang, x.phrase, a, c, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+            FROM cuts x JOIN counted l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:c], ' ') JOIN counted r ON r.lang = x.lang AND r.phrase = array_to_string(w[c + 1:], ' ')),
+        worst AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        inside AS (
+            SELECT lang, f, array_to_string(w[i:i + n - 1], ' ') AS phrase
+            FROM (SELECT lang, f, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM (SELECT lang, f, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS n FROM counted WHERE k > 2))),
+        longer AS (SELECT lang, phrase, max(f) AS within FROM inside GROUP BY lang, phrase),
+        kept AS (
+            SELECT w.* FROM worst w LEFT JOIN longer s ON s.lang = w.lang AND s.phrase = w.phrase
+            WHERE coalesce(100::HUGEINT * within < 80::HUGEINT * a, true))
+        SELECT k.lang, CAST(row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score
+        FROM kept k JOIN total t ON t.lang = k.lang
+        QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) <= 2000
+    """,
+    "op12_merkle": r"""
+        WITH RECURSIVE bits AS (
+            SELECT b, 0 AS step, CAST(b AS BIGINT) AS c FROM range(256) t(b)
+            UNION ALL SELECT b, step + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8),
+        crc_table AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE step = 8),
+        docs AS (
+            SELECT doc_id, lang,
+                   [coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-'),
+                    coalesce(strlen(text) || ':' || text, '-')] AS ends,
+                   coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n0, coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS n1,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+                                   lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295) % 7 = 0 AS tampered
+            FROM documents, crc_table),
+        leaves AS (
+            SELECT *, sha256(ends[1] || n0 || ends[2]) AS leaf, CASE WHEN tampered THEN sha256(ends[1] || n1 || ends[2]) ELSE sha256(ends[1] || n0 || ends[2]) END AS start FROM docs),
+        numbered AS (
+            SELECT doc_id, lang, leaf, start, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+        nodes AS (
+            SELECT lang, 0 AS level, i, n, leaf AS h FROM numbered
+            UNION ALL SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, level, n, i // 2),
+        subroots AS (
+            SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        tops AS (
+            SELECT 0 AS level, tree AS i, n, subroot AS h FROM subroots
+            UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, n, i // 2),
+        steps AS (
+            SELECT d.lang, d.i, s.level, s.i < (d.i >> s.level) AS is_left, s.h FROM numbered d JOIN nodes s ON s.lang IS NOT DISTINCT FROM d.lang AND s.i = xor(d.i >> s.level, 1)
+            UNION ALL
+            SELECT d.lang, d.i, 1000 + s.level, s.i < (t.tree >> s.level), s.h
+            FROM numbered d JOIN subroots t ON t.lang IS NOT DISTINCT FROM d.lang JOIN tops s ON s.i = xor(t.tree >> s.level, 1)),
+        -- Levels without a sibling count too: their node is hashed alone.
+        heights AS (SELECT lang, i, unnest(range(0, CAST(ceil(log2(n)) AS BIGINT))) AS level FROM numbered
+                    UNION ALL SELECT d.lang, d.i, 1000 + unnest(range(0, CAST(ceil(log2((SELECT count(*) FROM subroots))) AS BIGINT))) FROM numbered d),
+        paths AS (
+            SELECT x.lang, x.i, list(struct_pack(b := CASE WHEN is_left THEN h ELSE '' END, a := CASE WHEN NOT is_left THEN h ELSE '' END) ORDER BY x.level) AS path, string_agg(coalesce(h, ''), '' ORDER BY x.level) AS proof
+            FROM heights x LEFT JOIN steps s ON s.lang IS NOT DISTINCT FROM x.lang AND s.i = x.i AND s.level = x.level GROUP BY x.lang, x.i),
+        folded AS (
+            SELECT doc_id, leaf, d.lang, sha256(coalesce(proof, '')) AS proof_sha256,
+                   list_reduce(list_prepend(struct_pack(b := start, a := ''), coalesce(path, [])), lambda h, x: struct_pack(b := sha256(coalesce(x.b, '') || h.b || coalesce(x.a, '')), a := '')).b AS folded_root
+            FROM numbered d LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM d.lang AND p.i = d.i)
+        SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT h FROM tops WHERE n = 1) AS verified
+        FROM folded f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang
+    """,
 }
