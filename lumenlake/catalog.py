@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors
-from .operators import analysis, dedup, evaluation, geometry, manifest, pairs, search
+from .operators import analysis, dedup, evaluation, geometry, manifest, order, pairs, search
 from .schemas import CATEGORIES, NEGATIVE_TYPES
 from .sources import adapters
 
@@ -77,7 +77,7 @@ def _negatives_sql(kind: str, draws: str, n: str, seed: int, name: str) -> str:
         {name} AS (SELECT * FROM {name}_o QUALIFY row_number() OVER (PARTITION BY image_id_1, image_id_2 ORDER BY draw) = 1 ORDER BY draw LIMIT {n})"""
 
 
-N_DRAWN = 60
+N_DRAWN = "(SELECT count(*) FROM part)"
 PART = "part AS (SELECT * FROM mf WHERE split = 'train')"
 
 
@@ -94,7 +94,21 @@ def _hybrid_sql() -> str:
 
 
 HYBRID = _hybrid_sql()
-DISTANCES = f"""{HYBRID}, di AS (SELECT hy.*, round(1 - list_cosine_similarity(a.v, b.v), 9) AS distance FROM hy JOIN g a ON a.image_id = image_id_1 JOIN g b ON b.image_id = image_id_2)"""
+#: Pairs to evaluate on: a draw names two groups of the train split by the triangular numbers, and an image of either.
+EVALUATION = f"""{POSITIVES}, {PART},
+    eg AS (SELECT group_id, count(*) AS n_images, row_number() OVER (ORDER BY group_id) - 1 AS place FROM part GROUP BY 1),
+    ei AS (SELECT group_id, image_id, category, row_number() OVER (PARTITION BY group_id ORDER BY image_id) - 1 AS i FROM part),
+    en AS (SELECT greatest(1, count(*)) AS n FROM pos WHERE split = 'train'),
+    eu AS (SELECT draw, {H("pair").format(seed=SEED)} % (SELECT count(*) * (count(*) - 1) // 2 FROM eg) AS r, {H("a").format(seed=SEED)} AS ha, {H("b").format(seed=SEED)} AS hb FROM (SELECT unnest(range(4 * (SELECT n FROM en) + 64)) AS draw)),
+    -- The largest high with high * (high - 1) / 2 <= r.
+    eh AS (SELECT *, (SELECT max(place) FROM eg WHERE place * (place - 1) // 2 <= r) AS high FROM eu),
+    es AS (SELECT draw, x.image_id AS i1, x.group_id AS g1, x.category AS c1, y.image_id AS i2, y.group_id AS g2, y.category AS c2
+           FROM eh JOIN eg a ON a.place = r - high * (high - 1) // 2 JOIN eg b ON b.place = high
+           JOIN ei x ON x.group_id = a.group_id AND x.i = ha % a.n_images JOIN ei y ON y.group_id = b.group_id AND y.i = hb % b.n_images),
+    eo AS (SELECT draw, least(i1, i2) AS image_id_1, greatest(i1, i2) AS image_id_2, c1 = c2 AS same FROM es QUALIFY row_number() OVER (PARTITION BY least(i1, i2), greatest(i1, i2) ORDER BY draw) = 1),
+    ev AS (SELECT pair_id, image_id_1, image_id_2, label, CAST(NULL AS VARCHAR) AS negative_type FROM pos WHERE split = 'train'
+           UNION ALL SELECT image_id_1 || '__' || image_id_2, image_id_1, image_id_2, 0, CASE WHEN same THEN 'same_category' ELSE 'cross_category' END FROM (FROM eo ORDER BY draw LIMIT (SELECT n FROM en)))"""
+DISTANCES = f"""{EVALUATION}, di AS (SELECT ev.*, round(1 - list_cosine_similarity(a.v, b.v), 9) AS distance FROM ev JOIN g a ON a.image_id = image_id_1 JOIN g b ON b.image_id = image_id_2)"""
 STEPS = f"""{DISTANCES}, st AS (SELECT distance, sum(label) AS p, sum(1 - label) AS n FROM di GROUP BY 1),
     th AS (SELECT *, sum(p) OVER (ORDER BY distance) AS tp, sum(n) OVER (ORDER BY distance) AS fp, sum(p) OVER () AS positives, sum(n) OVER () AS negatives FROM st)"""
 
@@ -152,7 +166,8 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _distances(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.with_distance(_pairs(spark, d), _gallery(spark, d))
+    rows = pairs.evaluation_pairs(_manifest(spark, d).where("split = 'train'"), seed=SEED)
+    return order.settled(geometry.with_distance(rows, _gallery(spark, d)))
 
 
 def _longs(df: DataFrame, *names: str) -> DataFrame:
@@ -373,21 +388,23 @@ NEGATIVE_COLUMNS = "image_id_1 || '__' || image_id_2 AS pair_id, image_id_1, ima
 
 
 def _negatives(spark, d, kind):
-    rows = pairs.negatives(_manifest(spark, d).where("split = 'train'"), kind, N_DRAWN, SEED)
+    """As many as the split has images."""
+    part = _manifest(spark, d).where("split = 'train'")
+    rows = pairs.negatives(part, kind, part.count(), SEED)
     return rows.select("pair_id", "image_id_1", "image_id_2", "category_1", "category_2")
 
 
-@query(f"WITH {MANIFEST}, {PART}, {_negatives_sql('random', str(4 * N_DRAWN + 64), str(N_DRAWN), SEED, 'ng')} SELECT {NEGATIVE_COLUMNS} FROM ng")
+@query(f"WITH {MANIFEST}, {PART}, {_negatives_sql('random', f'4 * {N_DRAWN} + 64', N_DRAWN, SEED, 'ng')} SELECT {NEGATIVE_COLUMNS} FROM ng")
 def negatives_random(spark, d):
     return _negatives(spark, d, "random")
 
 
-@query(f"WITH {MANIFEST}, {PART}, {_negatives_sql('same_category', str(4 * N_DRAWN + 64), str(N_DRAWN), SEED, 'ng')} SELECT {NEGATIVE_COLUMNS} FROM ng")
+@query(f"WITH {MANIFEST}, {PART}, {_negatives_sql('same_category', f'4 * {N_DRAWN} + 64', N_DRAWN, SEED, 'ng')} SELECT {NEGATIVE_COLUMNS} FROM ng")
 def negatives_same_category(spark, d):
     return _negatives(spark, d, "same_category")
 
 
-@query(f"WITH {MANIFEST}, {PART}, {_negatives_sql('cross_category', str(4 * N_DRAWN + 64), str(N_DRAWN), SEED, 'ng')} SELECT {NEGATIVE_COLUMNS} FROM ng")
+@query(f"WITH {MANIFEST}, {PART}, {_negatives_sql('cross_category', f'4 * {N_DRAWN} + 64', N_DRAWN, SEED, 'ng')} SELECT {NEGATIVE_COLUMNS} FROM ng")
 def negatives_cross_category(spark, d):
     return _negatives(spark, d, "cross_category")
 
@@ -432,9 +449,9 @@ def stratified_queries(spark, d):
 
 
 # --- geometry -------------------------------------------------------------------------------------------------------
-@query(f"WITH {DISTANCES} SELECT pair_id, label, round(distance, 6) AS distance FROM di")
+@query(f"WITH {DISTANCES} SELECT pair_id, label, negative_type, round(distance, 6) AS distance FROM di")
 def eval_pairs(spark, d):
-    return _distances(spark, d).select("pair_id", "label", F.round("distance", 6).alias("distance"))
+    return _distances(spark, d).select("pair_id", "label", "negative_type", F.round("distance", 6).alias("distance"))
 
 
 STATS = "count(*) AS n, round(avg(distance), 6) AS mean, round(stddev_pop(distance), 6) AS std, round(min(distance), 6) AS low, round(max(distance), 6) AS high, " + ", ".join(f"round(quantile_cont(distance, {q}), 6) AS p{int(100 * q)}" for q in geometry.POINTS)
@@ -485,22 +502,22 @@ def classification_metrics(spark, d):
 
 
 # --- duplicates -----------------------------------------------------------------------------------------------------
-@query(f"WITH {FP} SELECT exact_hash, count(*) AS files, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM f GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {FP} SELECT dataset, exact_hash, count(*) AS files, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM f GROUP BY 1, 2 HAVING count(*) > 1")
 def exact_dups(spark, d):
     return dedup.exact_groups(adapters.fingerprints(spark, d))
 
 
-@query(f"WITH {FP} SELECT bits, count(*) AS files, count(DISTINCT exact_hash) AS contents, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM f GROUP BY 1 HAVING count(DISTINCT exact_hash) > 1")
+@query(f"WITH {FP} SELECT dataset, bits, count(*) AS files, count(DISTINCT exact_hash) AS contents, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS members FROM f GROUP BY 1, 2 HAVING count(DISTINCT exact_hash) > 1")
 def perceptual_dups(spark, d):
     return dedup.perceptual_groups(adapters.fingerprints(spark, d))
 
 
-@query(f"WITH {NEAR} SELECT doc_id_1, doc_id_2, distance FROM np")
+@query(f"WITH {NEAR} SELECT doc_id_1, doc_id_2, distance FROM np WHERE d1 = d2")
 def near_dups(spark, d):
     return dedup.near_pairs(adapters.fingerprints(spark, d))
 
 
-@query(f"WITH {NEAR} SELECT distance, count(*) AS pairs FROM np GROUP BY 1")
+@query(f"WITH {NEAR} SELECT distance, count(*) AS pairs FROM np WHERE d1 = d2 GROUP BY 1")
 def near_dup_stats(spark, d):
     return dedup.near_stats(adapters.fingerprints(spark, d))
 
@@ -520,8 +537,10 @@ def cross_near_dups(spark, d):
     return dedup.near_pairs(adapters.fingerprints(spark, d), across=True)
 
 
-@query(f"""WITH {NEAR} SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY exact_hash HAVING count(*) > 1)) AS exact_groups, (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY bits HAVING count(DISTINCT exact_hash) > 1)) AS perceptual_groups,
-           (SELECT count(*) FROM np) AS near_pairs, (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY exact_hash HAVING count(DISTINCT dataset) = 2)) AS cross_exact_groups""")
+@query(f"""WITH {NEAR} SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM f WHERE dataset = 'a') AS files_a, (SELECT count(*) FROM f WHERE dataset = 'b') AS files_b, CAST(0 AS BIGINT) AS unreadable,
+           (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY dataset, exact_hash HAVING count(*) > 1)) AS exact_groups, (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY dataset, bits HAVING count(DISTINCT exact_hash) > 1)) AS perceptual_groups,
+           (SELECT count(*) FROM np WHERE d1 = d2) AS near_pairs, (SELECT count(*) FROM np WHERE d1 <> d2) AS cross_near_pairs,
+           (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY exact_hash HAVING count(DISTINCT dataset) = 2)) AS cross_exact_groups, (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY bits HAVING count(DISTINCT dataset) = 2)) AS cross_perceptual_groups""")
 def dedup_summary(spark, d):
     return dedup.summary(adapters.fingerprints(spark, d))
 

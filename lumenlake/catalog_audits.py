@@ -229,7 +229,7 @@ def format_policy(spark, d):
 @query(f"""WITH {FAULTY}, {INSPECTIONS.replace(MANIFEST + ', ', '', 1)}, {FP}, n AS (SELECT
         (SELECT count(*) FROM fv WHERE violations <> '') AS row_violations, (SELECT count(*) FROM fl) AS cross_split_groups, (SELECT count(*) FROM fm WHERE image_path NOT IN (SELECT image_path FROM li)) AS missing_files, (SELECT count(*) FROM li WHERE image_path NOT IN (SELECT image_path FROM fm)) AS orphan_files,
         (SELECT count(*) FROM ins WHERE reason = 'decode_error') AS corrupted, (SELECT count(*) FROM ins WHERE status = 'invalid') AS invalid, (SELECT count(*) FROM ins WHERE readable AND NOT rgb_convertible) AS not_convertible,
-        (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY exact_hash HAVING count(*) > 1)) AS exact_groups, (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY bits HAVING count(DISTINCT exact_hash) > 1)) AS perceptual_groups),
+        (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY dataset, exact_hash HAVING count(*) > 1)) AS exact_groups, (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY dataset, bits HAVING count(DISTINCT exact_hash) > 1)) AS perceptual_groups),
     r AS (SELECT unnest(['row_contract', 'one_split_for_a_group', 'no_missing_files', 'no_orphan_files', 'no_unexpected_paths', 'no_corrupted_images', 'no_invalid_images', 'no_exact_duplicates', 'no_perceptual_duplicates', 'source_formats', 'rgb_convertible', 'required_fields']) AS requirement,
         unnest(['manifest', 'groups', 'filesystem', 'filesystem', 'filesystem', 'quality', 'quality', 'duplicates', 'duplicates', 'format', 'format', 'metadata']) AS part,
         unnest([row_violations, cross_split_groups, missing_files, orphan_files, (SELECT count(*) FROM li), corrupted, invalid, exact_groups, perceptual_groups, (SELECT count(DISTINCT CASE WHEN trim(image_path) = '' THEN '' ELSE '.png' END) FROM fm), not_convertible, 0]) AS found FROM n)
@@ -268,22 +268,22 @@ def listing_counts(spark, d):
 
 
 # --- duplicates -----------------------------------------------------------------------------------------------------
-@query(f"WITH {FP} SELECT doc_id, count(*) OVER (PARTITION BY exact_hash) AS files, min(doc_id) OVER (PARTITION BY exact_hash) AS keep_id FROM f")
+@query(f"WITH {FP} SELECT doc_id, dataset, count(*) OVER (PARTITION BY dataset, exact_hash) AS files, min(doc_id) OVER (PARTITION BY dataset, exact_hash) AS keep_id FROM f")
 def exact_membership(spark, d):
     return dedup.exact_membership(adapters.fingerprints(spark, d)).drop("exact_hash")
 
 
-@query(f"WITH {FP}, c AS (SELECT bits, count(*) AS files FROM f GROUP BY 1) SELECT CAST(hamming(a.bits, b.bits) AS BIGINT) AS distance, least(a.bits, b.bits) AS bits_1, greatest(a.bits, b.bits) AS bits_2, a.files * b.files AS pairs FROM c a JOIN c b ON a.bits < b.bits AND hamming(a.bits, b.bits) BETWEEN 1 AND 5".replace("FROM c a", "FROM k a").replace("JOIN c b", "JOIN k b").replace(", c AS (SELECT bits", ", k AS (SELECT bits"))
+@query(f"WITH {FP}, k AS (SELECT dataset, bits, count(*) AS files FROM f GROUP BY 1, 2) SELECT a.dataset, CAST(hamming(a.bits, b.bits) AS BIGINT) AS distance, a.bits AS bits_1, b.bits AS bits_2, a.files * b.files AS pairs FROM k a JOIN k b ON a.dataset = b.dataset AND a.bits < b.bits AND hamming(a.bits, b.bits) BETWEEN 1 AND 5")
 def near_class_links(spark, d):
     rows = adapters.fingerprints(spark, d)
-    links, _ = dedup.near_classes(rows)
+    links = dedup.near_links(rows)
     bits = rows.select("fp", "bits").distinct()
     for side in (1, 2):
         links = links.join(bits.select(F.col("fp").alias(f"fp_{side}"), F.col("bits").alias(f"b{side}")), f"fp_{side}")
-    return links.select("distance", F.least("b1", "b2").alias("bits_1"), F.greatest("b1", "b2").alias("bits_2"), (F.col("files_1") * F.col("files_2")).alias("pairs"))
+    return links.select(F.col("dataset_1").alias("dataset"), "distance", F.least("b1", "b2").alias("bits_1"), F.greatest("b1", "b2").alias("bits_2"), (F.col("files_1") * F.col("files_2")).alias("pairs"))
 
 
-BANDED = f"{FP}, ba AS (SELECT doc_id, exact_hash, bits, [substr(bits, 1, 11), substr(bits, 12, 11), substr(bits, 23, 11), substr(bits, 34, 11), substr(bits, 45, 10), substr(bits, 55, 10)] AS b FROM f), ca AS (SELECT x.doc_id AS a, y.doc_id AS b, x.exact_hash <> y.exact_hash AS other, hamming(x.bits, y.bits) AS distance FROM ba x JOIN ba y ON x.doc_id < y.doc_id AND (x.b[1] = y.b[1] OR x.b[2] = y.b[2] OR x.b[3] = y.b[3] OR x.b[4] = y.b[4] OR x.b[5] = y.b[5] OR x.b[6] = y.b[6])), rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS place FROM ca), ke AS (SELECT * FROM rk WHERE place <= 3 ORDER BY a, b LIMIT 400)"
+BANDED = f"{FP}, ba AS (SELECT doc_id, dataset, exact_hash, bits, [substr(bits, 1, 11), substr(bits, 12, 11), substr(bits, 23, 11), substr(bits, 34, 11), substr(bits, 45, 10), substr(bits, 55, 10)] AS b FROM f), ca AS (SELECT x.doc_id AS a, y.doc_id AS b, x.exact_hash <> y.exact_hash AS other, hamming(x.bits, y.bits) AS distance FROM ba x JOIN ba y ON x.doc_id < y.doc_id AND x.dataset = y.dataset AND (x.b[1] = y.b[1] OR x.b[2] = y.b[2] OR x.b[3] = y.b[3] OR x.b[4] = y.b[4] OR x.b[5] = y.b[5] OR x.b[6] = y.b[6])), rk AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS place FROM ca), ke AS (SELECT * FROM rk WHERE place <= 3 ORDER BY a, b LIMIT 400)"
 
 
 @query(f"WITH {BANDED} SELECT (SELECT count(*) FROM ca) AS candidates, (SELECT count(*) FROM ke) AS compared, (SELECT count(*) FROM ca) - (SELECT count(*) FROM ke) AS skipped, CASE WHEN (SELECT count(*) FROM ca) > (SELECT count(*) FROM ke) THEN 'partial' ELSE 'complete' END AS status, (SELECT count(*) FROM ke WHERE other AND distance BETWEEN 1 AND 5) AS near_pairs")
@@ -416,7 +416,7 @@ def selection_faults(spark, d):
     SELECT (SELECT CAST(sum(label) AS BIGINT) FROM di) AS positives, (SELECT CAST(sum(1 - label) AS BIGINT) FROM di) AS negatives, (SELECT round(avg(distance), 6) FROM di WHERE label = 1) AS positive_mean, (SELECT round(avg(distance), 6) FROM di WHERE label = 0) AS negative_mean, round((SELECT avg(distance) FROM di WHERE label = 0) - (SELECT avg(distance) FROM di WHERE label = 1), 6) AS separation,
         (SELECT round(sum((tp - p / 2.0) * n) / any_value(positives * negatives), 6) FROM th) AS roc_auc, (SELECT round(sum(p / positives * tp / (tp + fp)), 6) FROM th) AS pr_auc, eer, eer_threshold, round(distance, 6) AS threshold, round(acc, 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / positives, 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / positives) / (tp / (tp + fp) + tp / positives), 6) AS f1 FROM b, e""")
 def geometry_report(spark, d):
-    return geometry.report(_distances(spark, d).persist())
+    return geometry.report(_distances(spark, d))
 
 
 @query(f"""WITH {CLASSES}, r AS (SELECT query_id, coalesce(string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) FILTER (relevance >= 2), '') AS ranks, {", ".join(f"count(*) FILTER (relevance = {k}) AS n{k}" for k in range(4))}, max(CASE WHEN rank = 1 THEN relevance END) AS top1, count(*) FILTER (relevance >= 2) AS in_top10 FROM an GROUP BY 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import with_quantiles
+
 NO_RANK = 1_000_000_000
 
 
@@ -155,8 +157,9 @@ def select_model(results: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    p = F.percentile(value, [0.5, 0.95, 0.99])
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), p.alias("p"), F.min(value).alias("low"), F.max(value).alias("high"))
+    """Of each value of keys: how many rows, and mean, exact percentiles and extremes of a value."""
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    out = with_quantiles(out, rows, value, [0.5, 0.95, 0.99], *keys)
     return out.select(*keys, "n", *(F.round(c, 6).alias(n) for n, c in (("mean", F.col("mean")), ("p50", F.col("p")[0]), ("p95", F.col("p")[1]), ("p99", F.col("p")[2]), ("low", F.col("low")), ("high", F.col("high")))))
 
 

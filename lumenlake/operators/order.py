@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, computed once and written to the folder of spark.checkpoint.dir, which all executors share; the files go once
+    nothing refers to them, where spark.cleaner.referenceTracking.cleanCheckpoints is set. Without a folder, a session
+    of one machine gets a temporary one and a cluster an error."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lumenlake-")
+        sc.setCheckpointDir(folder)
+    return rows.checkpoint()
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds name: each row's place from 0 in that order. A range-partitioned sort, the partitions' counts, and their
     offsets: the driver sees a number for each partition."""
-    placed = rows.sort(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = settled(rows.sort(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     # As many rows as partitions.
     offsets = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SPLITS
-from .order import numbered, numbered_within
+from .order import numbered, numbered_within, settled
+from .selection import first_by, first_n
 
 
 def hash_int(seed: int, *parts: Column) -> Column:
@@ -40,67 +42,155 @@ def available_positives(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("split", "group_id").agg(F.count("*").alias("n")).groupBy("split").agg(F.sum((n * (n - 1) / 2).cast("long")).alias("available"))
 
 
-def _placed(manifest: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Categories, groups and images of a manifest with their places (from 0) and how many there are."""
-    groups = manifest.groupBy("group_id").agg(F.min("category").alias("category"), F.count_distinct("category").alias("k"), F.count("*").alias("n_images")).where("k = 1")
-    w = lambda *p: Window.partitionBy(*p)
-    groups = numbered_within(groups.select("category", "group_id", "n_images"), "category", [F.col("group_id")], "g", "n_groups")
-    categories = groups.groupBy("category").agg(F.count("*").alias("n_groups"))
-    categories = categories.select("category", "n_groups", (F.row_number().over(Window.orderBy("category")) - 1).alias("c"), F.count("*").over(Window.partitionBy()).alias("n_categories"))
-    images = manifest.select("group_id", "image_id", "category", (F.row_number().over(w("group_id").orderBy("image_id")) - 1).alias("i"))
-    return categories, groups, images
+@dataclass(frozen=True)
+class Draw:
+    """How many negatives of a kind (same_category, cross_category or random) are drawn, and with which seed."""
+
+    kind: str
+    n: int
+    seed: int = 2026
+
+
+class _Places:
+    """Categories, groups and images of one split's manifest by their places from 0, made once for any number of draws."""
+
+    def __init__(self, manifest: DataFrame):
+        groups = manifest.groupBy("group_id").agg(F.min("category").alias("category"), F.count_distinct("category").alias("k"), F.count("*").alias("n_images")).where("k = 1")
+        self.groups = settled(numbered_within(groups.select("category", "group_id", "n_images"), "category", [F.col("group_id")], "g", "n_groups"))
+        place = F.row_number().over(Window.partitionBy("group_id").orderBy("image_id")) - 1
+        self.images = settled(manifest.select("group_id", "image_id", "category", place.alias("i")))
+        # As many rows as categories.
+        sizes = self.groups.groupBy("category").agg(F.first("n_groups").alias("n_groups")).orderBy("category").collect()
+        self.categories = {"same_category": [r for r in sizes if r.n_groups > 1], "cross_category": sizes}
+
+    def numbered_images(self) -> DataFrame:
+        return numbered(self.images.select("image_id", "group_id", "category"), [F.col("image_id")], "place")
 
 
 def negatives(manifest: DataFrame, kind: str, n: int, seed: int = 2026, factor: int = 4, occupied: DataFrame | None = None) -> DataFrame:
-    """n negatives of one split's manifest; kind: same_category, cross_category or random. Pairs of occupied
+    """n negatives of one split's manifest by their draw; kind: same_category, cross_category or random. Pairs of occupied
     (image_id_1, image_id_2) aren't drawn. Raises if they can't be drawn within factor * n + 64 draws, doubled six times."""
-    if kind not in ("same_category", "cross_category", "random"):
-        raise ValueError(f"unknown kind of negatives: {kind}")
+    return drawn_negatives(manifest, [Draw(kind, n, seed)], factor, occupied).drop("drawn")
+
+
+def drawn_negatives(manifest: DataFrame, draws: list[Draw], factor: int = 4, occupied: DataFrame | None = None) -> DataFrame:
+    """The negatives of several draws, with the place of the draw in the list as `drawn`. The places of the manifest are made
+    once, and of each draw the first n pairs are told by a threshold on the draw number."""
+    for d in draws:
+        if d.kind not in ("same_category", "cross_category", "random"):
+            raise ValueError(f"unknown kind of negatives: {d.kind}")
+    places, found = _Places(manifest), {}
+    size = {k: factor * d.n + 64 for k, d in enumerate(draws)}
     for _ in range(7):
-        rows = _drawn(manifest, kind, factor * n + 64, seed)
+        rows = _drawn(places, {k: (draws[k], n) for k, n in size.items()})
         if occupied is not None:
             rows = rows.join(occupied.select("image_id_1", "image_id_2"), ["image_id_1", "image_id_2"], "left_anti")
-        rows = rows.orderBy("draw").limit(n).persist()
-        if rows.count() == n:
-            return rows
-        rows.unpersist()
+        rows = settled(rows)
+        counts = {r.drawn: r["count"] for r in rows.groupBy("drawn").count().collect()}
+        enough = {k: draws[k].n for k in size if counts.get(k, 0) >= draws[k].n}
+        if enough:
+            found |= dict.fromkeys(enough, first_by(rows, F.col("draw"), enough, "drawn", bits=max(size.values()).bit_length()))
         factor *= 2
-    raise ValueError(f"not enough {kind} negatives for {n}")
-
-
-def _drawn(manifest: DataFrame, kind: str, draws: int, seed: int) -> DataFrame:
-    spark = manifest.sparkSession
-    categories, groups, images = _placed(manifest)
-    h = lambda slot: hash_int(seed, F.col("draw"), F.lit(slot))
-    rows = spark.range(draws).withColumnRenamed("id", "draw")
-    if kind == "random":
-        total = numbered(manifest.select("image_id", "group_id", "category"), [F.col("image_id")], "place")
-        size = manifest.count()
-        for k in (1, 2):
-            side = total.select(F.col("place").alias(f"p{k}"), F.col("image_id").alias(f"i{k}"), F.col("group_id").alias(f"g{k}"), F.col("category").alias(f"c{k}"))
-            rows = rows.withColumn(f"p{k}", h(f"i{k}") % size).join(side, f"p{k}")
-    else:
-        if kind == "same_category":
-            categories = categories.where("n_groups > 1").withColumn("c", F.row_number().over(Window.orderBy("category")) - 1)
-        size = categories.count()
-        if not size or kind == "cross_category" and size < 2:
-            raise ValueError(f"no {kind} negatives exist")
-        rows = rows.withColumn("k1", h("c1") % size)
-        rows = rows.withColumn("k2", F.col("k1") if kind == "same_category" else (F.col("k1") + 1 + h("c2") % (size - 1)) % size)
-        for k in (1, 2):
-            side = categories.select(F.col("c").alias(f"k{k}"), F.col("category").alias(f"c{k}"), F.col("n_groups").alias(f"n{k}"))
-            rows = rows.join(side, f"k{k}").withColumn(f"q{k}", h(f"g{k}") % F.col(f"n{k}"))
-            side = groups.select(F.col("category").alias(f"c{k}"), F.col("g").alias(f"q{k}"), F.col("group_id").alias(f"g{k}"), F.col("n_images").alias(f"m{k}"))
-            rows = rows.join(side, [f"c{k}", f"q{k}"]).withColumn(f"s{k}", h(f"i{k}") % F.col(f"m{k}"))
-            side = images.select(F.col("group_id").alias(f"g{k}"), F.col("i").alias(f"s{k}"), F.col("image_id").alias(f"i{k}"))
-            rows = rows.join(side, [f"g{k}", f"s{k}"])
-    rows = rows.where("g1 <> g2")
-    swap = F.col("i1") > F.col("i2")
-    pick = lambda x: (F.when(swap, F.col(f"{x}2")).otherwise(F.col(f"{x}1")), F.when(swap, F.col(f"{x}1")).otherwise(F.col(f"{x}2")))
-    (a, b), (ga, gb), (ca, cb) = pick("i"), pick("g"), pick("c")
-    rows = rows.select("draw", a.alias("image_id_1"), b.alias("image_id_2"), ga.alias("group_id_1"), gb.alias("group_id_2"), ca.alias("category_1"), cb.alias("category_2"))
-    first = rows.groupBy("image_id_1", "image_id_2").agg(F.min(F.struct("draw", "group_id_1", "group_id_2", "category_1", "category_2")).alias("f"))
-    return first.select("f.draw", pair_id(F.col("image_id_1"), F.col("image_id_2")).alias("pair_id"), "image_id_1", "image_id_2", "f.group_id_1", "f.group_id_2", "f.category_1", "f.category_2", F.lit(0).alias("label"), F.lit("negative").alias("pair_type"), F.lit(kind).alias("negative_type"))
+        size = {k: factor * draws[k].n + 64 for k in size if k not in enough}
+        if not size:
+            # A table may hold several draws.
+            return reduce(DataFrame.unionByName, dict.fromkeys(found.values()))
+    raise ValueError("not enough negatives: " + ", ".join(f"{draws[k].kind} {draws[k].n}" for k in size))
+
+
+def _drawn(places: _Places, draws: dict[int, tuple[Draw, int]]) -> DataFrame:
+    """What so many draws of each kind give: pairs of different groups, each by its first draw."""
+    typed, random = None, None
+    for k, (d, n) in draws.items():
+        h = lambda slot, d=d: hash_int(d.seed, F.col("draw"), F.lit(slot))
+        rows = places.groups.sparkSession.range(n).select(F.lit(k).alias("drawn"), F.col("id").alias("draw"))
+        if d.kind == "random":
+            rows = rows.select("*", F.posexplode(F.array(h("i1"), h("i2"))).alias("side", "hi"))
+            random = rows if random is None else random.unionByName(rows)
+            continue
+        categories = places.categories[d.kind]
+        size = len(categories)
+        if not size or d.kind == "cross_category" and size < 2:
+            raise ValueError(f"no {d.kind} negatives exist")
+        first = h("c1") % size
+        second = first if d.kind == "same_category" else (first + 1 + h("c2") % (size - 1)) % size
+        names = F.array(*(F.struct(F.lit(r.category).alias("category"), F.lit(r.n_groups).alias("n_groups")) for r in categories))
+        sides = F.array(*(F.struct(names[c.cast("int")].alias("c"), h(f"g{j}").alias("hg"), h(f"i{j}").alias("hi")) for j, c in ((1, first), (2, second))))
+        rows = rows.select("drawn", "draw", F.posexplode(sides).alias("side", "s"))
+        rows = rows.select("drawn", "draw", "side", F.col("s.c.category").alias("category"), (F.col("s.hg") % F.col("s.c.n_groups")).alias("g"), F.col("s.hi").alias("hi"))
+        typed = rows if typed is None else typed.unionByName(rows)
+    out = []
+    if typed is not None:
+        rows = typed.join(places.groups.drop("n_groups"), ["category", "g"]).withColumn("i", F.col("hi") % F.col("n_images"))
+        out.append(rows.join(places.images.drop("category"), ["group_id", "i"]))
+    if random is not None:
+        images = places.numbered_images()
+        out.append(random.withColumn("place", F.col("hi") % images.count()).join(images, "place"))
+    sided = [df.select("drawn", "draw", "side", "image_id", "group_id", "category") for df in out]
+    pairs = paired(reduce(DataFrame.unionByName, sided), "drawn")
+    kind = F.element_at(F.create_map(*(F.lit(x) for k, (d, _) in draws.items() for x in (k, d.kind))), F.col("drawn"))
+    return pairs.select("drawn", "draw", "pair_id", *SIDES, F.lit(0).alias("label"), F.lit("negative").alias("pair_type"), kind.alias("negative_type"))
+
+
+SIDES = [f"{c}_{k}" for c in ("image_id", "group_id", "category") for k in (1, 2)]
+
+
+def paired(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, draw, pair_id and both sides of pairs, from a row for each side of a draw: the smaller image_id first, pairs of
+    one group left out, and of draws that give the same pair the first."""
+    side = F.array_sort(F.collect_list(F.struct("image_id", "group_id", "category")))
+    both = rows.groupBy(*keys, "draw").agg(side.alias("s")).where("s[0].group_id <> s[1].group_id")
+    both = both.select(*keys, "draw", *(F.col("s")[k - 1][c].alias(f"{c}_{k}") for c in ("image_id", "group_id", "category") for k in (1, 2)))
+    rest = ("group_id_1", "group_id_2", "category_1", "category_2")
+    first = both.groupBy(*keys, "image_id_1", "image_id_2").agg(F.min(F.struct("draw", *rest)).alias("f"))
+    return first.select(*keys, "f.draw", pair_id(F.col("image_id_1"), F.col("image_id_2")).alias("pair_id"), "image_id_1", "image_id_2", *(f"f.{c}" for c in rest))
+
+
+def evaluation_pairs(samples: DataFrame, ratio: float = 1.0, seed: int = 2026) -> DataFrame:
+    """Pairs of one split to evaluate distances on, independent of any training pairs: all positives, and max(1, ratio
+    times as many, rounded half to even) negatives. A draw is a number below G * (G - 1) / 2, which names one of all unordered
+    pairs of the G groups (in order of group_id) by the inverse of the triangular numbers; an image of either group
+    follows by hash. What kind a negative is, is read off its images. Raises without positives, with fewer than two groups,
+    and if max(1000, 100 times the negatives) draws don't give enough pairs."""
+    if not ratio > 0 or math.isinf(ratio):
+        raise ValueError("ratio must be finite and above 0")
+    good = positives(samples.withColumn("split", F.lit("all"))).drop("split", "pair_type", "negative_type")
+    n = available_positives(samples.withColumn("split", F.lit("all"))).agg(F.sum("available")).first()[0] or 0
+    if not n:
+        raise ValueError("no positives to evaluate on")
+    wanted = max(1, round(n * ratio))
+    groups = settled(numbered(samples.groupBy("group_id").agg(F.count("*").alias("n_images")), [F.col("group_id")], "place"))
+    count = groups.count()
+    if count < 2:
+        raise ValueError("negatives need two groups")
+    images = settled(samples.select("group_id", "image_id", "category", (F.row_number().over(Window.partitionBy("group_id").orderBy("image_id")) - 1).alias("i")))
+    draws, most = 2 * wanted + 64, max(1000, 100 * wanted)
+    while True:
+        draws = min(draws, most)
+        h = lambda slot: hash_int(seed, F.col("draw"), F.lit(slot))
+        rows = samples.sparkSession.range(draws).select(F.col("id").alias("draw"), unranked(h("pair") % (count * (count - 1) // 2)).alias("u"), h("a").alias("ha"), h("b").alias("hb"))
+        sides = F.array(F.struct(F.col("u.low").alias("place"), F.col("ha").alias("h")), F.struct(F.col("u.high").alias("place"), F.col("hb").alias("h")))
+        rows = rows.select("draw", F.explode(sides).alias("s")).select("draw", "s.place", "s.h")
+        rows = rows.join(groups, "place").select("draw", "group_id", (F.col("h") % F.col("n_images")).alias("i")).join(images, ["group_id", "i"])
+        found = settled(paired(rows))
+        if found.count() >= wanted:
+            break
+        if draws == most:
+            raise ValueError(f"{draws} draws give fewer than {wanted} negatives")
+        draws *= 2
+    bad = first_n(found, F.col("draw"), wanted, bits=draws.bit_length())
+    kind = F.when(F.col("category_1") == F.col("category_2"), "same_category").otherwise("cross_category")
+    good = good.withColumn("negative_type", F.lit(None).cast("string"))
+    return good.unionByName(bad.drop("draw").withColumn("label", F.lit(0)).withColumn("negative_type", kind))
+
+
+def unranked(r: Column) -> Column:
+    """The r-th unordered pair of places, low < high, in order of high: r = high * (high - 1) / 2 + low."""
+    guess = F.floor((1 + F.sqrt(1 + 8.0 * r)) / 2).cast("long")
+    before = lambda x: F.shiftright(x * (x - 1), 1)
+    # The root of a large number may be off by one.
+    high = F.when(before(guess) > r, guess - 1).when(before(guess + 1) <= r, guess + 1).otherwise(guess)
+    return F.struct((r - before(high)).alias("low"), high.alias("high"))
 
 
 def hybrid(manifest: DataFrame, split: str, ratio: float = 1.0, same_ratio: float = 0.5, seed: int = 2026) -> DataFrame:
@@ -110,8 +200,8 @@ def hybrid(manifest: DataFrame, split: str, ratio: float = 1.0, same_ratio: floa
     good = positives(part)
     n = round((available_positives(part).agg(F.sum("available")).first()[0] or 0) * ratio)
     same = round(n * same_ratio)
-    bad = negatives(part, "same_category", same, seed).unionByName(negatives(part, "cross_category", n - same, seed + 1)).drop("draw").withColumn("split", F.lit(split))
-    return good.unionByName(bad)
+    bad = drawn_negatives(part, [Draw("same_category", same, seed), Draw("cross_category", n - same, seed + 1)]).drop("drawn", "draw")
+    return good.unionByName(bad.withColumn("split", F.lit(split)))
 
 
 @dataclass(frozen=True)
@@ -144,7 +234,7 @@ class Config:
 
 def _most(rows: DataFrame, most: int | None, seed: int) -> DataFrame:
     """The first rows by a hash of pair_id."""
-    return rows if most is None else rows.orderBy(hash_int(seed, F.col("pair_id")), "pair_id").limit(most)
+    return rows if most is None else first_n(settled(rows), hash_int(seed, F.col("pair_id")), most, [F.col("pair_id")])
 
 
 def dataset(manifest: DataFrame, config: Config = Config()) -> DataFrame:
@@ -154,17 +244,17 @@ def dataset(manifest: DataFrame, config: Config = Config()) -> DataFrame:
     there = {r.split for r in part.select("split").distinct().collect()}
     if gone := [s for s in config.splits if s not in there]:
         raise ValueError(f"the manifest lacks the splits {', '.join(gone)}")
-    good = _most(positives(part), config.max_positives, config.seed).persist()
+    good = _most(positives(part), config.max_positives, config.seed)
     counts = {r.split: r["count"] for r in good.groupBy("split").count().collect()}
     bad = None
     for k, split in enumerate(s for s in SPLITS if s in config.splits):
         n = round(counts.get(split, 0) * config.ratio)
         same = round(n * config.same_ratio)
         own = part.where(F.col("split") == split)
-        for kind, size, seed in (("same_category", same, config.seed + 2 * k), ("cross_category", n - same, config.seed + 2 * k + 1)):
-            if size:
-                rows = negatives(own, kind, size, seed).drop("draw").withColumn("split", F.lit(split))
-                bad = rows if bad is None else bad.unionByName(rows)
+        kinds = (("same_category", same, config.seed + 2 * k), ("cross_category", n - same, config.seed + 2 * k + 1))
+        if draws := [Draw(kind, size, seed) for kind, size, seed in kinds if size]:
+            rows = drawn_negatives(own, draws).drop("drawn", "draw").withColumn("split", F.lit(split))
+            bad = rows if bad is None else bad.unionByName(rows)
     return good if bad is None else good.unionByName(_most(bad, config.max_negatives, config.seed))
 
 

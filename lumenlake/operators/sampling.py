@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import hash_int
+from .selection import first_n
 
 
 def take(rows: DataFrame, key: str, count: int, seed: int) -> DataFrame:
     """The first rows by a hash of a key; all of them if there are no more."""
     if count < 0:
         raise ValueError("a sample can't have fewer than 0 rows")
-    return rows.orderBy(hash_int(seed, F.col(key)), key).limit(count)
+    return first_n(rows, hash_int(seed, F.col(key)), count, [F.col(key)])
 
 
 def split_images(manifest: DataFrame, split: str, count: int, seed: int = 2026) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.analysis import latency, recommend
+from ..operators.selection import with_quantiles
 
 
 def capped(rows: int, batch: int, warmups: int, batches: int) -> tuple[int, int]:
@@ -35,8 +36,8 @@ def timed(spark: SparkSession, settings: dict[str, Callable[[], DataFrame]], war
 def throughput(times: DataFrame, images: str) -> DataFrame:
     """times: setting, value (ms) and a column of images in each batch: mean, median and p95, batches and images a
     second."""
-    p = F.percentile("value", [0.5, 0.95])
-    rows = times.groupBy("setting").agg(F.count("*").alias("batches"), F.avg("value").alias("mean"), p.alias("p"), F.sum("value").alias("total"), F.sum(images).alias("images"))
+    rows = times.groupBy("setting").agg(F.count("*").alias("batches"), F.avg("value").alias("mean"), F.sum("value").alias("total"), F.sum(images).alias("images"))
+    rows = with_quantiles(rows, times, "value", [0.5, 0.95], "setting")
     second = lambda n: F.try_divide(F.col(n) * 1000.0, F.col("total"))
     return rows.select("setting", "batches", "mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"), second("batches").alias("batches_per_sec"), second("images").alias("images_per_sec"))
 
