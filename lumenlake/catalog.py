@@ -180,6 +180,24 @@ def search_topk_images(spark, d):
     return _longs(_images(spark, d), "rank").select("query_id", "image_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+#: Small blocks, so that a gallery of any size is more than one cluster.
+SMALL_BLOCK = 1 << 16
+
+
+@query(f"WITH {IMAGES} SELECT query_id, image_id, rank, round(sim, 6) AS similarity FROM i WHERE rank <= 3")
+def search_pruned_images(spark, d):
+    g = _gallery(spark, d)
+    hits = search.top_images(search.as_queries(g), g, 3, block_bytes=SMALL_BLOCK)
+    return _longs(hits, "rank").select("query_id", "image_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {PRODUCTS} SELECT query_id, product_id, rank, round(sim, 6) AS similarity FROM p WHERE rank <= 3")
+def search_pruned_products(spark, d):
+    g = _gallery(spark, d)
+    hits = search.top_products(search.as_queries(g), g, 3, block_bytes=SMALL_BLOCK)
+    return _longs(hits, "rank").select("query_id", "product_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""WITH {PRODUCTS} SELECT p.query_id, p.product_id, p.rank, round(p.sim, 6) AS similarity, p.category, (SELECT string_agg(CAST(s.image_id AS VARCHAR), ',' ORDER BY s.sim DESC, s.image_id) FROM s WHERE s.query_id = p.query_id AND s.product_id = p.product_id) AS matched
            FROM p WHERE rank <= 5""")
 def search_products(spark, d):

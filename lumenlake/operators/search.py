@@ -1,7 +1,8 @@
 """Exact nearest-neighbour search, product pooling, ranking and scoring.
 
-Queries and gallery are dealt into blocks of bounded size by a hash of their ids, and every pair of blocks meets in
-one task on the executors, as a dense product in numpy: tile by tile of the queries, keeping the best k of the block.
+Queries and gallery are dealt into blocks of bounded size, and a pair of blocks meets in one task on the executors, as
+a dense product in numpy: tile by tile of the queries, keeping the best k of the block. A gallery of more than one
+block is dealt by nearness to pivots, and queries meet only those clusters that may hold one of their best k.
 The blocks' answers merge by a window over k rows for each block. Top-k merges this way, and so do products ranked by
 their best image: a product of the global top k is in the top k of the block that holds its best image. No vectors
 come to the driver, and a task holds one block of either side and the scores of one tile.
@@ -15,10 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import EPS, cosine_similarity, score_from_similarity
+from .order import settled
 
 #: Bytes of one block of vectors as doubles, and queries of one tile.
 BLOCK_BYTES = 16 << 20
 TILE = 256
+#: Clusters of a gallery at most, and the angle that rounding may make of none.
+MOST_PIVOTS, SLACK = 1024, 1e-6
 HIT = "query_id long, product_id long, image_id long, similarity double"
 
 
@@ -70,20 +74,129 @@ def _meeting(k: int, pooled: bool, exclude_self: bool):
     return meet
 
 
-def _best(queries: DataFrame, gallery: DataFrame, k: int, pooled: bool, exclude_self: bool) -> DataFrame:
-    """The best k of each pair of blocks."""
+def _bytes(df: DataFrame) -> int:
+    return df.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0)).alias("b")).first().b
+
+
+def _best(queries: DataFrame, gallery: DataFrame, k: int, pooled: bool, exclude_self: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The best k of each pair of blocks that meets."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    size = lambda df: df.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0)).alias("b")).first().b
-    spark = queries.sparkSession
-    g = max(1, -(-size(gallery) // BLOCK_BYTES))
-    # At least as many meetings as tasks can run at once.
-    q = max(1, -(-size(queries) // BLOCK_BYTES), -(-spark.sparkContext.defaultParallelism // g))
+    g = max(1, -(-_bytes(gallery) // block_bytes))
+    if g > 1:
+        return Pruned(queries, gallery, k, pooled, exclude_self, g, block_bytes).best()
+    # One block of the gallery meets all queries; at least as many meetings as tasks can run at once.
+    q = max(1, -(-_bytes(queries) // block_bytes), queries.sparkSession.sparkContext.defaultParallelism)
     # New columns on both sides: queries may come from the gallery itself.
-    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(q)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("g"), (F.col("query_id") + 0).alias("query_id"), F.col("embedding").alias("asked"))
+    left = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(q)).cast("int").alias("q"), (F.col("query_id") + 0).alias("query_id"), F.col("embedding").alias("asked"))
     names = [(F.col(c) + 0).alias(c) for c in ("image_id", "product_id")]
-    right = gallery.select(F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("block_q"), F.pmod(F.xxhash64("image_id"), F.lit(g)).cast("int").alias("block_g"), *names, F.col("embedding").alias("vector"))
-    return left.groupBy("q", "g").cogroup(right.groupBy("block_q", "block_g")).applyInArrow(_meeting(k, pooled, exclude_self), HIT)
+    right = gallery.select(F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("block_q"), *names, F.col("embedding").alias("vector"))
+    return left.groupBy("q").cogroup(right.groupBy("block_q")).applyInArrow(_meeting(k, pooled, exclude_self), HIT)
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+def _with_pivot(pivots):
+    """Adds the nearest pivot of each vector and the angle to it."""
+
+    def add(batches):
+        for batch in batches:
+            if batch.num_rows:
+                angle = _angles(_matrix(pa.chunked_array([batch.column("vector")])), pivots.value)
+                nearest = angle.argmin(1)
+                columns = [*batch.columns, pa.array(nearest.astype(np.int32)), pa.array(angle[np.arange(len(nearest)), nearest])]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "pivot", "angle"])
+
+    return add
+
+
+def _visits(pivots, radii):
+    """For each query the clusters besides its own that may hold one of its best k."""
+
+    def visit(batches):
+        for batch in batches:
+            if batch.num_rows:
+                angle = _angles(_matrix(pa.chunked_array([batch.column("vector")])), pivots.value)
+                # By the triangle inequality no vector of a cluster is nearer than this, rounding aside.
+                least = np.maximum(angle - radii.value[None] - SLACK, 0)
+                worth = np.cos(least) >= batch.column("least").to_numpy()[:, None]
+                worth[:, np.isnan(radii.value)] = False
+                worth[np.arange(len(worth)), batch.column("pivot").to_numpy()] = False
+                row, cluster = np.nonzero(worth)
+                ends = np.searchsorted(row, np.arange(len(worth) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vector"), pa.ListArray.from_arrays(pa.array(ends), pa.array(cluster.astype(np.int32)))], ["query_id", "vector", "clusters"])
+
+    return visit
+
+
+class Pruned:
+    """A search in which queries meet only the parts of the gallery that may hold one of their best k.
+
+    The gallery is dealt into clusters by the nearest of some pivots, and a cluster's radius is its largest angle to the
+    pivot. A query meets its own cluster first. Its k-th best similarity there is a bound: it meets another cluster only if
+    the angle to its pivot less its radius allows as much. Angles between directions are a metric, so nothing is lost;
+    a vector without direction is at a right angle to all, which the bound covers. A cluster is as many blocks as its
+    size asks for, and meets its queries in as many parts."""
+
+    def __init__(self, queries: DataFrame, gallery: DataFrame, k: int, pooled: bool, exclude_self: bool, clusters: int, block_bytes: int):
+        spark = queries.sparkSession
+        self.k, self.pooled, self.exclude_self, self.block_bytes = k, pooled, exclude_self, block_bytes
+        chosen = gallery.orderBy(F.xxhash64("image_id"), "image_id").limit(min(MOST_PIVOTS, clusters)).select("embedding").toArrow()
+        self.pivots = spark.sparkContext.broadcast(_matrix(chosen["embedding"]))
+        rows = gallery.select("image_id", "product_id", F.col("embedding").alias("vector"))
+        kind = rows.schema["vector"].dataType.simpleString()
+        self.gallery = settled(rows.mapInArrow(_with_pivot(self.pivots), f"image_id long, product_id long, vector {kind}, pivot int, angle double"))
+        rows = queries.select("query_id", F.col("embedding").alias("vector"))
+        kind = rows.schema["vector"].dataType.simpleString()
+        self.queries = settled(rows.mapInArrow(_with_pivot(self.pivots), f"query_id long, vector {kind}, pivot int, angle double"))
+        # As many rows as pivots.
+        own = self.gallery.groupBy("pivot").agg(F.max("angle").alias("radius"), F.sum(F.size("vector") * 8).alias("bytes")).collect()
+        self.blocks = {r.pivot: -(-r.bytes // block_bytes) for r in own}
+        radii = np.full(len(self.pivots.value), np.nan)
+        for r in own:
+            radii[r.pivot] = r.radius
+        self.home = settled(self._met(self.queries.select("query_id", "vector", "pivot")))
+        bound = self._ranked(self.home).where(F.col("rank") == k).select("query_id", F.col("similarity").alias("least"))
+        # A query without k hits in its own cluster meets all others.
+        rows = self.queries.join(bound, "query_id", "left").select("query_id", "vector", "pivot", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        visits = rows.mapInArrow(_visits(self.pivots, spark.sparkContext.broadcast(radii)), f"query_id long, vector {kind}, clusters array<int>")
+        self.visits = settled(visits)
+
+    def _ranked(self, hits: DataFrame) -> DataFrame:
+        key = "product_id" if self.pooled else "image_id"
+        if self.pooled:
+            hits = hits.groupBy("query_id", "product_id").agg(F.max("similarity").alias("similarity"))
+        return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)))
+
+    def _met(self, queries: DataFrame) -> DataFrame:
+        """The hits of queries (query_id, vector, pivot) in the blocks of that cluster."""
+        # As many rows as pivots.
+        asked = queries.groupBy("pivot").agg(F.sum(F.size("vector") * 8).alias("bytes")).collect()
+        parts = {r.pivot: (max(1, -(-r.bytes // self.block_bytes)), self.blocks[r.pivot]) for r in asked if r.pivot in self.blocks}
+        dealt = queries.sparkSession.createDataFrame([(p, q, g) for p, (q, g) in parts.items()], "pivot int, parts int, blocks int")
+        left = queries.join(F.broadcast(dealt), "pivot")
+        left = left.select("pivot", F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", F.col("vector").alias("asked"))
+        right = self.gallery.join(F.broadcast(dealt), "pivot")
+        right = right.select(F.col("pivot").alias("g_pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("g_part"), F.pmod(F.xxhash64("image_id"), "blocks").cast("int").alias("g_block"), "image_id", "product_id", "vector")
+        return left.groupBy("pivot", "part", "block").cogroup(right.groupBy("g_pivot", "g_part", "g_block")).applyInArrow(_meeting(self.k, self.pooled, self.exclude_self), HIT)
+
+    def best(self) -> DataFrame:
+        return self.home.unionByName(self._met(self.visits.select("query_id", "vector", F.explode("clusters").alias("pivot"))))
+
+    def meetings(self) -> DataFrame:
+        """One row: meetings of a query and a cluster that there could be, those that took place, and those skipped."""
+        could = F.count("*") * len(self.blocks)
+        home = F.sum(F.col("pivot").isin(list(self.blocks)).cast("long"))
+        counts = self.queries.agg(could.alias("meetings"), F.coalesce(home, F.lit(0)).alias("home")).crossJoin(self.visits.agg(F.coalesce(F.sum(F.size("clusters")), F.lit(0)).alias("away")))
+        return counts.select("meetings", (F.col("home") + F.col("away")).alias("met"), (F.col("meetings") - F.col("home") - F.col("away")).alias("skipped"))
+
+
+def pruning(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """How many meetings top_images() skips over these tables: meetings, met, skipped."""
+    clusters = max(1, -(-_bytes(gallery) // block_bytes))
+    return Pruned(queries, gallery, k, False, exclude_self, clusters, block_bytes).meetings()
 
 
 def as_queries(gallery: DataFrame) -> DataFrame:
@@ -91,15 +204,15 @@ def as_queries(gallery: DataFrame) -> DataFrame:
     return gallery.select(F.col("image_id").alias("query_id"), "embedding")
 
 
-def top_images(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+def top_images(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, image_id, product_id, similarity, rank: similarity falls, then image_id rises."""
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "image_id")
-    return _best(queries, gallery, k, False, exclude_self).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _best(queries, gallery, k, False, exclude_self, block_bytes).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_products(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+def top_products(queries: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, product_id, similarity (of the product's best image), rank: similarity falls, then product_id rises."""
-    best = _best(queries, gallery, k, True, exclude_self).groupBy("query_id", "product_id").agg(F.max("similarity").alias("similarity"))
+    best = _best(queries, gallery, k, True, exclude_self, block_bytes).groupBy("query_id", "product_id").agg(F.max("similarity").alias("similarity"))
     return rank_products(best).where(F.col("rank") <= k)
 
 
