@@ -6,10 +6,10 @@ Bounded to a depth, this tree comes from sorting the words' places by their last
 its run in that order. A state gives its phrases (the longest, and how short they get) with one count; counts are summed
 over the shards.
 
-Only phrases whose every part is frequent can be frequent, so three passes over the texts widen the automata: words
-alone, pairs of frequent words, and all phrases up to the longest within runs of frequent pairs. What is frequent goes out as
-a bitmap of hashes, which never misses one; what it lets through beside is counted like the others and fails the
-threshold then. Phrases of the last pass go by their text, so all results are exact.
+Only phrases whose every part is frequent can be frequent, so passes over the texts widen the automata by a word each: words
+alone, pairs of frequent words, phrases of three whose pairs are frequent, and so on. What is frequent goes out as a bitmap
+of hashes, which never misses one; what it lets through beside is counted like the others and fails the threshold then.
+Phrases of the last pass go by their text, so all results are exact.
 
 A candidate is subsumed by a longer one that contains it and is about as frequent. Each longer candidate tells its count
 along its suffix links and along those of its prefixes, which together name every phrase in it.
@@ -39,16 +39,18 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shard:
-    """The words of some texts. word: number of each one (of one language) in `known`; linked: whether it goes on in the
-    piece of the word before it; name: a hash of each known word and its language."""
+    """The words of some texts. word: number of each one (of one language) in `known`; reach: how many words the longest
+    phrase of interest has that ends with it; name: a hash of each known word and its language."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: pa.Array):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: pa.Array, longest: int):
         data = LOWER[data]
         starts, ends = words(data, offsets, IN_WORD)
         row = np.searchsorted(offsets, starts, "right") - 1
         piece = np.cumsum(ENDS_PIECE[data])[starts] if len(data) else starts
-        self.linked = np.zeros(len(starts), bool)
-        self.linked[1:] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
+        first = np.ones(len(starts), bool)
+        first[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])
+        at = np.arange(len(starts))
+        self.longest, self.reach = longest, np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)) + 1, longest)
         body = np.ascontiguousarray(data[IN_WORD[data]])
         at = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
         found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(body)]).dictionary_encode()
@@ -62,25 +64,33 @@ class Shard:
         own = span_hash(prefix_hash(lang_raw), lang_at[:-1], lang_at[1:])
         self.name = mixed(span_hash(prefix_hash(raw), offsets[:-1], offsets[1:]) * STEP + own[self.lang]) if len(known) else np.zeros(0, np.uint64)
 
-    def keep(self, frequent: np.ndarray) -> None:
-        """Breaks the pieces at words that aren't frequent. frequent: for each known word."""
-        self.kept = frequent[self.word]
-        self.linked &= self.kept
-        self.linked[1:] &= self.kept[:-1]
-
-    def pairs(self) -> np.ndarray:
-        """A hash for each word and the one before it, where linked."""
-        last = np.flatnonzero(self.linked)
-        return mixed(self.name[self.word[last - 1]] * STEP + self.name[self.word[last]])
-
-    def states(self, depth: int, among: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """The states of the automaton over phrases of up to depth words that end at a place in `among`. For each length
-        of a state's longest phrase: that length, where one of them ends, how short its phrases get, and how often they come."""
+    def names(self, last: np.ndarray, length: int) -> np.ndarray:
+        """A hash of the phrase of that many words that ends at each place."""
+        out = self.name[self.word[last - length + 1]]
+        for k in range(length - 2, -1, -1):
+            out = mixed(out * STEP + self.name[self.word[last - k]])
+        return out
+
+    def keep(self, length: int, frequent: IdFilter) -> None:
+        """Ends the reach of what holds a phrase of that length that isn't frequent."""
+        last = np.flatnonzero(self.reach >= length)
+        if length == 1:
+            found = frequent.probably(pa.array(self.name.view(np.int64)))[self.word]
+        else:
+            found = frequent.probably(pa.array(self.names(last, length).view(np.int64)))
+        self.reach[last[~found]] = length - 1
+        for _ in range(self.longest - 1):
+            # A phrase reaches one word further back than what it is without its last word.
+            self.reach[1:] = np.minimum(self.reach[1:], self.reach[:-1] + 1)
+
+    def states(self, depth: int, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The states of the automaton over phrases of up to depth words within reach, that end where `least` words are. For
+        each length of a state's longest phrase: that length, where one of them ends, how short its phrases get, and how
+        often they come."""
         n = np.int64(len(self.name) + 1)
-        before, linked = [self.word[among] + 1], np.ones(len(among), bool)
-        for k in range(1, depth):
-            linked = linked & self.linked[among - k + 1] & (among >= k)
-            before.append(np.where(linked, self.word[among - k] + 1, 0))
+        among = np.flatnonzero(self.reach >= least)
+        reach = self.reach[among]
+        before = [np.where(reach > k, self.word[among - k] + 1, 0) for k in range(depth)]
         # Two words in one number.
         keys = [before[k] * n + (before[k + 1] if k + 1 < depth else 0) for k in range(0, depth, 2)]
         order = np.lexsort(keys[::-1])
@@ -109,7 +119,8 @@ class Shard:
             yield k + 1, among[order[at]], least, runs[k][at] - at
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+def _shards(batches: Iterator[pa.RecordBatch], longest: int, filters: list) -> Iterator[Shard]:
+    """Shards of the texts of a task, their reach ended by the filters of phrases of 1, 2, ... words."""
     held, size = [], 0
     for batch in batches:
         _, offsets = text_bytes(batch.column("text"))
@@ -117,51 +128,43 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             held.append(batch.slice(a, b - a))
             size += int(offsets[b] - offsets[a])
             if size >= SHARD_BYTES:
-                yield _shard(held)
+                yield _shard(held, longest, filters)
                 held, size = [], 0
     if held:
-        yield _shard(held)
+        yield _shard(held, longest, filters)
 
 
-def _shard(held: list[pa.RecordBatch]) -> Shard:
+def _shard(held: list[pa.RecordBatch], longest: int, filters: list) -> Shard:
     rows = pa.Table.from_batches(held)
-    return Shard(*text_bytes(rows["text"].cast(pa.large_string())), rows["lang"].combine_chunks())
-
-
-def _counts(keys: np.ndarray, lang: np.ndarray, langs: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([langs.take(pa.array(lang)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "key", "n"])
+    shard = Shard(*text_bytes(rows["text"].cast(pa.large_string())), rows["lang"].combine_chunks(), longest)
+    for length, known in enumerate(filters, 1):
+        shard.keep(length, known.value)
+    return shard
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard in _shards(batches):
-        for _, last, _, n in shard.states(1, np.arange(len(shard.word))):
+    for shard in _shards(batches, 1, []):
+        for _, last, _, n in shard.states(1):
             word = shard.word[last]
-            yield _counts(shard.name[word], shard.lang[word], shard.langs, n)
-
+            yield pa.RecordBatch.from_arrays([shard.langs.take(pa.array(shard.lang[word])), pa.array(shard.name[word].view(np.int64)), pa.array(n)], ["lang", "key", "n"])
 
-def _frequent(shard: Shard, words_: IdFilter) -> None:
-    shard.keep(words_.probably(pa.array(shard.name.view(np.int64))))
 
+def _counter(length: int, filters: list) -> Callable:
+    """Counts phrases of one length by their hash."""
 
-def _pair_counter(words_) -> Callable:
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            _frequent(shard, words_.value)
-            for length, last, _, n in shard.states(2, np.flatnonzero(shard.kept)):
-                if length == 2:
-                    word, pair = shard.word[last], mixed(shard.name[shard.word[last - 1]] * STEP + shard.name[shard.word[last]])
-                    yield _counts(pair, shard.lang[word], shard.langs, n)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, length, filters):
+            for k, last, _, n in shard.states(length, length):
+                if k == length:
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.names(last, length).view(np.int64)), pa.array(n)], ["key", "n"])
 
-    return count_pairs
+    return count
 
 
-def _phrase_counter(words_, pairs, longest: int) -> Callable:
+def _phrase_counter(longest: int, filters: list) -> Callable:
     def count_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            _frequent(shard, words_.value)
-            found = pairs.value.probably(pa.array(shard.pairs().view(np.int64)))
-            shard.linked[np.flatnonzero(shard.linked)[~found]] = False
-            for length, last, least, n in shard.states(longest, np.flatnonzero(shard.kept)):
+        for shard in _shards(batches, longest, filters):
+            for length, last, least, n in shard.states(longest):
                 phrase = shard.word[last[:, None] + np.arange(1 - length, 1)]
                 text = pa.ListArray.from_arrays(pa.array(np.arange(len(last) + 1, dtype=np.int32) * length), shard.text.take(pa.array(phrase.ravel())).cast(pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([shard.langs.take(pa.array(shard.lang[shard.word[last]])), text, pa.array(least.astype(np.int32)), pa.array(n)], ["lang", "words", "least", "n"])
@@ -174,13 +177,13 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tupl
     and (lang, n): how many words a language has."""
     spark = docs.sparkSession.sparkContext
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    count = lambda f: map_arrow(rows, f, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    known = cut(count(count_words))
+    known = cut(map_arrow(rows, count_words, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
     total = known.groupBy("lang").agg(F.sum("n").alias("n"))
-    often = spark.broadcast(IdFilter.of(known.where(F.col("n") >= least), "key"))
-    paired = cut(count(_pair_counter(often)).where(F.col("n") >= least).select("key"))
-    pairs = spark.broadcast(IdFilter.of(paired, "key"))
-    states = map_arrow(rows, _phrase_counter(often, pairs, longest), "lang string, words array<string>, least int, n long")
+    filters = [spark.broadcast(IdFilter.of(known.where(F.col("n") >= least), "key"))]
+    for length in range(2, longest):
+        counted = map_arrow(rows, _counter(length, list(filters)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        filters.append(spark.broadcast(IdFilter.of(cut(counted.where(F.col("n") >= least).select("key")), "key")))
+    states = map_arrow(rows, _phrase_counter(longest, filters), "lang string, words array<string>, least int, n long")
     phrase = F.expr("array_join(slice(words, size(words) - length + 1, length), ' ')")
     each = states.select("lang", "words", "n", F.explode(F.sequence("least", F.size("words"))).alias("length")).select("lang", phrase.alias("phrase"), "length", "n")
     return cut(each.groupBy("lang", "phrase", "length").agg(F.sum("n").alias("f")).where(F.col("f") >= least)), total

@@ -75,7 +75,7 @@ def test_states_are_the_classes_of_equal_places(spark):
 
     texts = ["a b c a b c", "b c, a b"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
-    shard = collocations.Shard(data, np.array([0, len(texts[0]), len(data)]), pa.array(["en", "en"]))
+    shard = collocations.Shard(data, np.array([0, len(texts[0]), len(data)]), pa.array(["en", "en"]), 3)
     names = shard.text.cast(pa.string()).to_pylist()
     places = collections.defaultdict(set)
     pieces = [(0, texts[0]), (6, "b c"), (8, "a b")]
@@ -89,7 +89,7 @@ def test_states_are_the_classes_of_equal_places(spark):
         want[p[-1], frozenset(ends)].append(p)
     want = {(max(v, key=len), min(len(p) for p in v), len(ends)) for (_, ends), v in want.items()}
     got = set()
-    for length, last, least, n in shard.states(3, np.arange(len(shard.word))):
+    for length, last, least, n in shard.states(3):
         for at, k, m in zip(last.tolist(), least.tolist(), n.tolist()):
             got.add((tuple(names[shard.word[at - j]] for j in range(length - 1, -1, -1)), k, m))
     assert got == want
