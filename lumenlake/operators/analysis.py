@@ -71,6 +71,32 @@ def representatives(records: DataFrame, n: int = 5, per_category: int = 3) -> Da
     return out
 
 
+def rank_stability(ranked: DataFrame, baseline: str) -> DataFrame:
+    """ranked: query_id, variant, product_id, category, rank. Of each query and variant, against the variant `baseline`: how
+    many products both lists have, whether the first is the same, how far shared products move on average (null without
+    any), the rank of the first product of the baseline's first category (null if there is none), and whether the first
+    product is of it. A variant without hits, of a query that the baseline has, counts with none shared; a query that the
+    baseline lacks is left out."""
+    base = ranked.where(F.col("variant") == baseline).select("query_id", F.col("product_id").alias("b_product"), F.col("category").alias("b_category"), F.col("rank").alias("b_rank"))
+    first = base.groupBy("query_id").agg(F.min_by(F.struct("b_product", "b_category"), "b_rank").alias("b"), F.count("*").alias("wanted"))
+    names = ranked.select("variant").distinct()
+    rows = ranked.join(base.select("query_id", F.col("b_product").alias("product_id"), "b_rank"), ["query_id", "product_id"], "left")
+    rows = first.crossJoin(F.broadcast(names)).join(rows, ["query_id", "variant"], "left")
+    of_category = F.col("category") == F.col("b.b_category")
+    return rows.groupBy("query_id", "variant").agg(
+        F.first("wanted").alias("wanted"), F.count("b_rank").alias("shared"),
+        F.coalesce(F.max((F.col("rank") == 1) & (F.col("product_id") == F.col("b.b_product"))), F.lit(False)).alias("same_first"),
+        F.avg(F.abs(F.col("rank") - F.col("b_rank"))).alias("moved"), F.min(F.when(of_category, F.col("rank"))).alias("first_of_category"),
+        F.coalesce(F.max((F.col("rank") == 1) & of_category), F.lit(False)).alias("passed"),
+    )
+
+
+def stability_report(rows: DataFrame) -> DataFrame:
+    """rank_stability() of each variant over all queries."""
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(c)
+    return rows.groupBy("variant").agg(F.count("*").alias("queries"), F.round(F.avg(F.try_divide("shared", "wanted")), 6).alias("overlap"), mean("same_first"), mean("moved"), mean("passed"))
+
+
 def confusion_matrix(hits: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     """(category, predicted, n) of first results, zeros included. A query with two first results is an error."""
     first = hits.where("rank = 1").withColumn("times", F.count("*").over(Window.partitionBy("query_id")))

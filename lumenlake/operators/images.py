@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .analysis import abnormal_reasons
+from .order import settled
 
 #: Fixed values of the preprocessing: means and deviations of RGB channels.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -138,6 +139,91 @@ def rotated(x: np.ndarray, degrees: float, fill: float = 0.0) -> np.ndarray:
     return ((1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x0 + 1)) + fy * ((1 - fx) * at(y0 + 1, x0) + fx * at(y0 + 1, x0 + 1))).astype(np.float32)
 
 
+#: Fixed value of bicubic sampling: the slope of its kernel at distance 1.
+CUBIC = -1.0
+
+
+def _taps(at: np.ndarray, cubic: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the first pixel that it takes from, and the weights of two or four."""
+    low = np.floor(at)
+    d = np.abs(at - low - np.arange(-1, 3)[:, None, None]) if cubic else np.abs(at - low - np.arange(2)[:, None, None])
+    if not cubic:
+        return low.astype(int), 1 - d
+    near = (CUBIC + 2) * d**3 - (CUBIC + 3) * d**2 + 1
+    far = CUBIC * (d**3 - 5 * d**2 + 8 * d - 4)
+    return low.astype(int) - 1, np.where(d <= 1, near, np.where(d < 2, far, 0.0))
+
+
+def turned(x: np.ndarray, degrees: float, cubic: bool = False, grow: bool = False, fill: float = 255.0) -> np.ndarray:
+    """Turned counter-clockwise about the centre, bilinear or bicubic. With grow, the canvas gets as large as the turned
+    picture needs; else it keeps its size. A pixel whose centre comes from outside is filled; near the edge the edge's
+    pixels are repeated."""
+    if degrees % 360 == 0:
+        return x
+    h, w = x.shape[:2]
+    a = np.deg2rad(degrees)
+    c, s = np.cos(a), np.sin(a)
+    out_h, out_w = h, w
+    if grow:
+        # Rounded, so that a quarter turn doesn't grow by what rounding makes of a zero.
+        corner_x, corner_y = (np.round([sx * w / 2 * u + sy * h / 2 * v for sx in (-1, 1) for sy in (-1, 1)], 9) for u, v in ((c, s), (-s, c)))
+        out_w, out_h = (int(np.ceil(p.max() + n / 2) - np.floor(p.min() + n / 2)) for p, n in ((corner_x, w), (corner_y, h)))
+    rows, columns = np.mgrid[0:out_h, 0:out_w].astype(np.float64)
+    dy, dx = rows + 0.5 - out_h / 2, columns + 0.5 - out_w / 2
+    from_x, from_y = c * dx - s * dy + w / 2, s * dx + c * dy + h / 2
+    outside = (from_x < 0) | (from_x >= w) | (from_y < 0) | (from_y >= h)
+    (x0, wx), (y0, wy) = _taps(from_x - 0.5, cubic), _taps(from_y - 0.5, cubic)
+    out = np.zeros((out_h, out_w, x.shape[2]))
+    for j in range(len(wy)):
+        row = np.clip(y0 + j, 0, h - 1)
+        line = sum(wx[i][..., None] * x[row, np.clip(x0 + i, 0, w - 1)] for i in range(len(wx)))
+        out += wy[j][..., None] * line
+    out[outside] = fill
+    return np.clip(out, 0, 255).astype(np.float32)
+
+
+#: Fixed values of the rotation diagnostic: name, degrees, bicubic, growing canvas.
+ROTATIONS = (
+    ("baseline_0deg", 0.0, False, False),
+    ("train_like_plus5deg", 5.0, False, False),
+    ("train_like_plus10deg", 10.0, False, False),
+    ("controlled_plus12deg", 12.0, False, False),
+    ("controlled_minus12deg", -12.0, False, False),
+    ("s48_original_plus12deg", 12.0, True, True),
+)
+
+
+def rotations(x: np.ndarray) -> dict[str, np.ndarray]:
+    """A picture in the positions of the rotation diagnostic, the unturned one first."""
+    return {name: turned(x, degrees, cubic, grow) for name, degrees, cubic, grow in ROTATIONS}
+
+
+def hsv(x: np.ndarray) -> np.ndarray:
+    """RGB from 0 to 255 as hue (in turns, 0 for grey), saturation and value, all from 0 to 1."""
+    x = x / 255.0
+    value, low = x.max(-1), x.min(-1)
+    spread = value - low
+    safe = np.where(spread > 0, spread, 1)
+    r, g, b = (x[..., k] for k in range(3))
+    hue = np.select([value == r, value == g], [(g - b) / safe, 2 + (b - r) / safe], 4 + (r - g) / safe) / 6 % 1
+    return np.stack([np.where(spread > 0, hue, 0), np.where(value > 0, spread / np.where(value > 0, value, 1), 0), value], -1)
+
+
+def from_hsv(y: np.ndarray) -> np.ndarray:
+    """The inverse of hsv()."""
+    hue, saturation, value = (y[..., k, None] for k in range(3))
+    # How far each channel's own hue is, in sixths of a turn.
+    away = np.abs((hue * 6 + np.array([0, 4, 2])) % 6 - 3)
+    return (255 * value * (1 - saturation * (1 - np.clip(away - 1, 0, 1)))).astype(np.float32)
+
+
+def hue_turned(x: np.ndarray, turn: float) -> np.ndarray:
+    """All hues turned by a part of the circle; saturation and value stay, so grey stays grey."""
+    y = hsv(x)
+    y[..., 0] = (y[..., 0] + turn) % 1
+    return from_hsv(y)
+
+
 def blended(x: np.ndarray, other: np.ndarray | float, factor: float) -> np.ndarray:
     return np.clip(other + factor * (x - other), 0, 255).astype(np.float32)
 
@@ -160,44 +246,60 @@ def variants(x: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+#: The largest amplitudes that keep an object what it is, the least part of the area that a crop keeps, and
+#: the sides' ratio that a crop may have.
+MOST_DEGREES, MOST_BRIGHTNESS, MOST_CONTRAST, MOST_SATURATION, MOST_HUE = 15.0, 0.25, 0.25, 0.15, 0.04
+LEAST_CROP, CROP_RATIO = 0.85, (0.90, 1.10)
+
+
+def _between(name: str, value: float, most: float) -> None:
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value <= most:
+        raise ValueError(f"{name} must be a number between 0 and {most}")
+
+
 @dataclass(frozen=True)
 class Augmentation:
-    """Training disturbances that keep an object what it is; amplitudes of 0 switch one off."""
+    """Training disturbances that keep an object what it is; amplitudes of 0 switch one off. In this order: crop (the part of
+    the area that it keeps), flip, rotation, brightness, contrast, saturation, hue (in turns)."""
 
     flip: float = 0.5
     degrees: float = 10.0
-    brightness: float = 0.1
-    contrast: float = 0.1
-    saturation: float = 0.05
+    brightness: float = 0.15
+    contrast: float = 0.15
+    saturation: float = 0.08
+    hue: float = 0.02
     crop: tuple[float, float] | None = None
+    ratio: tuple[float, float] = (0.95, 1.05)
 
     def __post_init__(self) -> None:
-        if not 0 <= self.flip <= 1:
-            raise ValueError("flip must be a probability")
-        if not 0 <= self.degrees <= 45 or not all(0 <= a < 1 for a in (self.brightness, self.contrast, self.saturation)):
-            raise ValueError("an amplitude is out of range")
-        if self.crop is not None and not 0 < self.crop[0] <= self.crop[1] <= 1:
-            raise ValueError("crop must be two parts of the area, rising, up to 1")
+        bounds = (("flip", 1.0), ("degrees", MOST_DEGREES), ("brightness", MOST_BRIGHTNESS), ("contrast", MOST_CONTRAST), ("saturation", MOST_SATURATION), ("hue", MOST_HUE))
+        for name, most in bounds:
+            _between(name, getattr(self, name), most)
+        for name, pair, low, high in (("crop", self.crop or (1, 1), LEAST_CROP, 1), ("ratio", self.ratio, *CROP_RATIO)):
+            if len(pair) != 2 or not low <= pair[0] <= pair[1] <= high:
+                raise ValueError(f"{name} must be two numbers, rising, between {low} and {high}")
 
     def apply(self, x: np.ndarray, seed: int, key: str) -> np.ndarray:
         """The disturbance of one image: a function of the seed and its key, whatever the partition."""
         r = np.random.default_rng([seed, *hashlib.md5(key.encode()).digest()])
         if self.crop is not None:
             h, w = x.shape[:2]
-            side = float(np.sqrt(r.uniform(*self.crop)))
-            ch, cw = max(1, round(h * side)), max(1, round(w * side))
+            area, ratio = r.uniform(*self.crop), np.exp(r.uniform(*np.log(self.ratio)))
+            ch, cw = min(h, max(1, round(h * np.sqrt(area / ratio)))), min(w, max(1, round(w * np.sqrt(area * ratio))))
             x = cropped(x, ch, cw, int(r.integers(0, h - ch + 1)), int(r.integers(0, w - cw + 1)))
         if r.random() < self.flip:
             x = x[:, ::-1]
         if self.degrees:
-            x = rotated(x, r.uniform(-self.degrees, self.degrees), 255.0)
+            x = turned(x, r.uniform(-self.degrees, self.degrees))
         factor = lambda a: r.uniform(1 - a, 1 + a)
         if self.brightness:
             x = blended(x, 0.0, factor(self.brightness))
         if self.contrast:
-            x = blended(x, float(luminance(x).mean()), factor(self.contrast))
+            x = blended(x, float(np.floor(luminance(x).mean() + 0.5)), factor(self.contrast))
         if self.saturation:
             x = blended(x, luminance(x)[:, :, None], factor(self.saturation))
+        if self.hue:
+            x = hue_turned(x, r.uniform(-self.hue, self.hue))
         return x
 
 
@@ -217,6 +319,26 @@ def encode_variants(images: DataFrame, encoder: Callable[[np.ndarray], np.ndarra
     return _encoded(images, lambda x, _: list(variants(x).items()), encoder, size)
 
 
+def encode_rotations(images: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], size: int = 224) -> DataFrame:
+    """origin, variant, embedding of each image in the positions of the rotation diagnostic, all in one plan."""
+    return _encoded(images, lambda x, _: list(rotations(x).items()), encoder, size)
+
+
+def rotation_diagnostic(images: DataFrame, gallery: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], k: int = 5, size: int = 224) -> DataFrame:
+    """rank_stability() of each image's products in each position against those of the image as it is: one search for all."""
+    from .analysis import rank_stability
+    from .search import top_products
+
+    if not 1 <= k <= 50:
+        raise ValueError("k must be between 1 and 50")
+    encoded = encode_rotations(images, encoder, size)
+    asked = settled(encoded.select("origin", "variant", F.shiftrightunsigned(F.xxhash64("origin", "variant"), 1).alias("query_id"), "embedding"))
+    hits = top_products(asked.select("query_id", "embedding"), gallery, k, False)
+    categories = gallery.groupBy("product_id").agg(F.min("category").alias("category"))
+    ranked = hits.join(asked.select("query_id", "origin", "variant"), "query_id").join(categories, "product_id")
+    return rank_stability(ranked.select(F.col("origin").alias("query_id"), "variant", "product_id", "category", "rank"), ROTATIONS[0][0])
+
+
 def encode_augmented(images: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], augmentation: Augmentation, role: str = "train", seed: int = 2026, size: int = 224) -> DataFrame:
     """origin, variant ('augmented'), embedding. Only training images may be disturbed: another role is an error."""
     if role != "train":
@@ -269,6 +391,17 @@ def search_images(images: DataFrame, gallery: DataFrame, encoder: Callable[[np.n
     return hits.join(queries.select("query_id", "origin"), "query_id").drop("query_id")
 
 
+def search_top_images(images: DataFrame, gallery: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], k: int = 5, size: int = 224, exclude: str | None = None) -> DataFrame:
+    """From image files to their k nearest gallery images in one plan: origin, image_id, product_id, similarity, rank. exclude
+    names a column of images that holds the image_id that a query must not find, its own, where it is in the gallery."""
+    from .search import top_images
+
+    own = F.col(exclude).cast("long") if exclude else F.lit(None).cast("long")
+    names = images.select("origin", F.coalesce(own, -1 - F.shiftrightunsigned(F.xxhash64("origin"), 1)).alias("query_id"))
+    queries = encode(images, encoder, size).join(names, "origin")
+    return top_images(queries.select("query_id", "embedding"), gallery, k, exclude is not None).join(names, "query_id").drop("query_id")
+
+
 def answer(images: DataFrame, gallery: DataFrame, encoder, k: int = 5, size: int = 224) -> list[dict]:
     """search_images() of one query file, checked as a service would: its size, its sides, whether it decodes."""
     rows = images.limit(2).collect()

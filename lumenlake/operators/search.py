@@ -245,13 +245,41 @@ def rank_valid_products(hits: DataFrame) -> DataFrame:
     return rank_products(hits.withColumn("similarity", F.when(fine, F.col("similarity")).otherwise(F.raise_error(F.lit("hits to rank need distinct products and finite similarities")))))
 
 
-def pool_hits(hits: DataFrame, k: int) -> DataFrame:
-    """Products from image hits that are scored already (query_id, image_id, product_id, similarity): each product by
-    its best image, with the ids of its hit images, best first."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "image_id")))
-    rows = hits.groupBy("query_id", "product_id").agg(F.max("similarity").alias("similarity"), order.alias("m"))
-    rows = rows.withColumn("matched_image_ids", F.transform("m", lambda x: x["image_id"])).drop("m")
-    return rank_products(rows).where(F.col("rank") <= k)
+def pool_hits(hits: DataFrame, k: int, most_matches: int | None = None) -> DataFrame:
+    """Products from image hits that are scored already (query_id, image_id, product_id, category, image_path, similarity):
+    each product by its best image, with that image's category, and ids and paths of its hit images, best first (ties by
+    image_id). category and image_path may be absent. With most_matches, so many of them at most. A similarity that isn't
+    finite is an error, raised where it is met. Ranked; the first k of each query stay."""
+    if not isinstance(k, int) or isinstance(k, bool) or k < 1:
+        raise ValueError("k must be a whole number above 0")
+    more = [c for c in ("category", "image_path") if c in hits.columns]
+    similarity = F.when(_finite(F.col("similarity")), F.col("similarity")).otherwise(F.raise_error(F.lit("hits need finite similarities")))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "image_id", *more)))
+    rows = hits.withColumn("similarity", similarity)
+    if most_matches is not None:
+        w = Window.partitionBy("query_id", "product_id").orderBy(F.desc("similarity"), "image_id")
+        rows = rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most_matches)
+    rows = rows.groupBy("query_id", "product_id").agg(F.max("similarity").alias("similarity"), order.alias("m"))
+    rows = rows.withColumn("matched_image_ids", F.transform("m", lambda x: x["image_id"]))
+    if "category" in more:
+        rows = rows.withColumn("category", F.col("m")[0]["category"].cast("string"))
+    if "image_path" in more:
+        rows = rows.withColumn("matched_image_paths", F.transform("m", lambda x: x["image_path"]))
+    return rank_products(rows.drop("m")).where(F.col("rank") <= k)
+
+
+#: Suffixes of files that can be shown.
+SHOWN = (".jpg", ".jpeg", ".png", ".webp", ".gif")
+
+
+def product_images(gallery: DataFrame, listing: DataFrame, order: str = "image_id") -> DataFrame:
+    """product_id, image_path: for each product of a gallery (product_id, image_path, and its order) the first image with a
+    suffix that can be shown and a file in the listing (path). Products without one, and blank ones, are left out. Each
+    product keeps one row while it is aggregated, however many images it has."""
+    suffix = F.lower(F.regexp_extract("image_path", r"(\.[^./]*)$", 1))
+    shown = gallery.where(suffix.isin(*SHOWN) & (F.trim(F.col("product_id").cast("string")) != ""))
+    there = shown.join(listing.select(F.col("path").alias("image_path")).distinct(), "image_path", "left_semi")
+    return there.groupBy("product_id").agg(F.min_by("image_path", F.struct(order, "image_path")).alias("image_path"))
 
 
 def pooled(hits: DataFrame, how: str = "max", top: int = 3) -> DataFrame:

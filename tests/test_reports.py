@@ -68,12 +68,14 @@ def test_near_classes_join_on_sets_of_bands(spark):
     far = lambda a, b: bin((a ^ b) & mask).count("1")
     want = {(i, j, far(a, b)) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and 1 <= far(a, b) <= 5}
     links, classes = dedup.near_classes(rows)
-    assert {(r.doc_id_1, r.doc_id_2, r.distance) for r in dedup.near_pairs(rows).collect()} == want
+    one = rows.withColumn("dataset", F.lit("a"))
+    assert {(r.doc_id_1, r.doc_id_2, r.distance) for r in dedup.near_pairs(one).collect()} == want
     assert links.agg(F.sum(F.col("files_1") * F.col("files_2"))).first()[0] == len(want) and classes.agg(F.sum("files")).first()[0] == len(values)
     for equal in (1, 2, 3, 4):
         assert sum(w for _, w in dedup.band_layout(5, 64, equal)) == 64
     across = {x for x in want if (x[0] - x[1]) % 2}
     assert {(r.doc_id_1, r.doc_id_2, r.distance) for r in dedup.near_pairs(rows, across=True).collect()} == across
+    assert {(r.doc_id_1, r.doc_id_2, r.distance) for r in dedup.near_pairs(rows).collect()} == want - across
 
 
 def test_pair_datasets(spark, table):
@@ -150,10 +152,10 @@ def test_pixels(spark, tmp_path):
     assert set(v) == {"original", "rotation", "brightness", "center_crop", "resize"} and v["center_crop"].shape == (54, 72, 3) and v["resize"].shape == (32, 40, 3)
     assert np.allclose(images.rotated(x, 0), x) and np.allclose(images.rotated(images.rotated(x, 90)[:60, 10:70], -90)[20:40, 20:40], x[20:40, 30:50], atol=1e-2)
     assert np.allclose(v["brightness"], np.minimum(x * 1.2, 255), atol=1e-3)
-    some = images.Augmentation(crop=(0.8, 1.0))
+    some = images.Augmentation(crop=(0.85, 1.0))
     assert np.array_equal(some.apply(x, 1, "a"), some.apply(x, 1, "a")) and not np.array_equal(some.apply(x, 1, "b")[:10, :10], some.apply(x, 1, "a")[:10, :10])
-    assert np.array_equal(images.Augmentation(0, 0, 0, 0, 0).apply(x, 1, "a"), x)
-    for bad in ({"flip": 2}, {"degrees": 90}, {"contrast": -0.1}, {"crop": (0.9, 0.5)}):
+    assert np.array_equal(images.Augmentation(0, 0, 0, 0, 0, 0).apply(x, 1, "a"), x)
+    for bad in ({"flip": 2}, {"degrees": 16}, {"contrast": -0.1}, {"crop": (0.9, 0.5)}, {"crop": (0.8, 1.0)}, {"ratio": (0.8, 1.0)}, {"hue": 0.05}, {"brightness": float("nan")}, {"saturation": True}):
         with pytest.raises(ValueError):
             images.Augmentation(**bad)
     folder = tmp_path / "q"
@@ -203,7 +205,7 @@ def test_files(spark, tmp_path):
     page = io.html(spark.createDataFrame([("<b>", 1)], "name string, n int"), "a & b")
     assert "&lt;b&gt;" in page and "<th>name</th>" in page and "a &amp; b" in page
     (tmp_path / "c.csv").write_text("image_id,image_path,group_id,category,category_id,split,source\ni1,x.png,g1,Ring,4,train,dataset1\ni2,y.png,g1,Ring,four,train,dataset1\n")
-    with pytest.raises(Exception, match="image_id i2: four"):
+    with pytest.raises(Exception, match="row 3 of .*c.csv, image_id i2: four"):
         io.read_manifest(spark, str(tmp_path / "c.csv")).collect()
 
 
