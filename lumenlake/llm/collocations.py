@@ -7,9 +7,9 @@ its run in that order. A state gives its phrases (the longest, and how short the
 over the shards.
 
 Only phrases whose every part is frequent can be frequent, so passes over the texts widen the automata by a word each: words
-alone, pairs of frequent words, phrases of three whose pairs are frequent, and so on. What is frequent goes out as a bitmap
-of hashes, which never misses one; what it lets through beside is counted like the others and fails the threshold then.
-Phrases of the last pass go by their text, so all results are exact.
+alone, pairs of frequent words, phrases of three whose pairs are frequent, and so on, all counted by hash. What is frequent
+goes out as a bitmap of hashes, which never misses one. A last pass counts the phrases that are left by their text, which is
+exact: what a bitmap lets through beside fails the threshold there.
 
 A candidate is subsumed by a longer one that contains it and is about as frequent. Each longer candidate tells its count
 along its suffix links and along those of its prefixes, which together name every phrase in it.
@@ -34,7 +34,7 @@ from .common import LOWER, IdFilter, cut, join_unique, map_arrow, mixed, prefix_
 #: Bytes that end a piece: `[.,;:!?\x0A-\x0D]`, and bytes of words: all but those, space and tab.
 ENDS_PIECE = table(lambda b: b in b".,;:!?\n\v\f\r")
 IN_WORD = table(lambda b: b not in b".,;:!?\n\v\f\r \t")
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,7 +46,7 @@ class Shard:
         data = LOWER[data]
         starts, ends = words(data, offsets, IN_WORD)
         row = np.searchsorted(offsets, starts, "right") - 1
-        piece = np.cumsum(ENDS_PIECE[data])[starts] if len(data) else starts
+        piece = np.cumsum(ENDS_PIECE[data], dtype=np.int32)[starts] if len(data) else starts
         first = np.ones(len(starts), bool)
         first[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])
         at = np.arange(len(starts))
@@ -180,7 +180,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tupl
     known = cut(map_arrow(rows, count_words, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
     total = known.groupBy("lang").agg(F.sum("n").alias("n"))
     filters = [spark.broadcast(IdFilter.of(known.where(F.col("n") >= least), "key"))]
-    for length in range(2, longest):
+    for length in range(2, longest + 1):
         counted = map_arrow(rows, _counter(length, list(filters)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         filters.append(spark.broadcast(IdFilter.of(cut(counted.where(F.col("n") >= least).select("key")), "key")))
     states = map_arrow(rows, _phrase_counter(longest, filters), "lang string, words array<string>, least int, n long")
