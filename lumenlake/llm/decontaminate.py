@@ -21,6 +21,7 @@ nothing is hit. Rows that repeat are judged one by one. Extra columns are ignore
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections.abc import Iterator
 
@@ -291,26 +292,30 @@ FOUND = "item_ids array<string>, longest long, longest_at long, longest_item str
 
 
 def _passes(items: DataFrame, window: int, most_words: int) -> Iterator:
-    """The benchmark as broadcasts of MOST_BLOCKS blocks; one at least."""
+    """The benchmark as broadcasts of MOST_BLOCKS blocks, and whether it is the last one; one at least. A pass is made when it
+    is asked for, so the driver holds one and a block."""
     sc, held = items.sparkSession.sparkContext, []
     for block in read_items(items, window, most_words):
-        held.append(block)
         if len(held) == MOST_BLOCKS:
-            yield sc.broadcast(pickle.dumps(held))
+            yield sc.broadcast(pickle.dumps(held)), False
             held = []
-    yield sc.broadcast(pickle.dumps(held))
+        held.append(block)
+    yield sc.broadcast(pickle.dumps(held)), True
 
 
 def _key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
-def _merged(docs: DataFrame, sent: list) -> DataFrame:
-    """row_key, n_hit, item_ids and the longest match of the documents that any pass hits."""
+def _merged(docs: DataFrame, first, rest: Iterator) -> DataFrame:
+    """row_key, n_hit, item_ids and the longest match of the documents that any pass hits. A pass's hits are written
+    and its broadcast destroyed before the next one is made."""
     rows = docs.select(_key().alias("row_key"), "text")
     found = None
-    for tests in sent:
-        part = map_arrow(rows, _hit_rows(tests), f"row_key long, spans array<struct<a:long,b:long>>, {FOUND}")
+    for tests in itertools.chain([first], (t for t, _ in rest)):
+        # Rows alike have one key and the same hits.
+        part = cut(map_arrow(rows, _hit_rows(tests), f"row_key long, spans array<struct<a:long,b:long>>, {FOUND}").dropDuplicates(["row_key"]))
+        tests.destroy()
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("longest", (-F.col("longest_at")).alias("m"), "longest_at", "longest_item", "longest_item_at")).alias("best")
     found = found.groupBy("row_key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), best)
@@ -325,10 +330,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_wor
     """For each row of docs: doc_id, n_words, n_hit, item_ids (sorted), and its longest verbatim match with an item:
     longest (words), longest_at, longest_item, longest_item_at (places count words from 0; null without any)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = list(_passes(items, window, most_words))
-    if len(sent) == 1:
-        return map_arrow(docs, _scanner(sent[0], False), f"doc_id long, n_words long, n_hit long, {FOUND}")
-    found = _merged(docs, sent)
+    passes = _passes(items, window, most_words)
+    first, only = next(passes)
+    if only:
+        return map_arrow(docs, _scanner(first, False), f"doc_id long, n_words long, n_hit long, {FOUND}")
+    found = _merged(docs, first, passes)
     rows = map_arrow(docs.withColumn("row_key", _key()), _count_words, "doc_id long, row_key long, n_words long")
     rows = rows.join(F.broadcast(found) if found.count() <= MOST_BROADCAST // 8 else found, "row_key", "left")
     return rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), *BEST)
@@ -344,10 +350,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
     """The rows of docs in which no window occurs, all their columns. One pass and no shuffle for a benchmark of
     MOST_BLOCKS blocks."""
-    sent = list(_passes(items, window, most_words))
-    if len(sent) == 1:
-        return map_arrow(docs, _scanner(sent[0], True), docs.schema)
-    found, key = _merged(docs, sent).select("row_key"), fresh(docs, "row_key")
+    passes = _passes(items, window, most_words)
+    first, only = next(passes)
+    if only:
+        return map_arrow(docs, _scanner(first, True), docs.schema)
+    found, key = _merged(docs, first, passes).select("row_key"), fresh(docs, "row_key")
     found = found.withColumnRenamed("row_key", key)
     kept = docs.withColumn(key, _key()).join(F.broadcast(found) if found.count() <= MOST_BROADCAST else found, key, "left_anti")
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -275,7 +275,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, li
     undecided = by_run.df.groupBy("g").agg(F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("alone")).where("alone > 0").select("g")
     active = cut(by_run.df.join(undecided, "g", "left_semi").select("r.*", (F.col("n") > 1).alias("known")))
     # Round 3: single windows.
-    spans = active.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "known")).alias("spans"))
+    # Sets: rows alike share a key, and each of them names the same places.
+    spans = active.groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "known")).alias("spans"))
     wanted = sc.broadcast(IdFilter.of(active.select("key"), "key"))
     texts = map_arrow(docs, _split_texts(wanted, False), "key long, text string")
     texts = texts.join(spans, "key")
@@ -289,7 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what is left."""
     found, tables = repeated_spans(docs, length)
     try:
-        spans = cut(found.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+        spans = cut(found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
     finally:
         for t in tables:
             t.delete()

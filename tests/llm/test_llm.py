@@ -788,3 +788,48 @@ def test_pipeline_stages(spark, tmp_path):
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in last.select("doc_id").collect()} <= kept[3]
     assert last.groupBy("doc_id").agg(F.max("repeat").alias("m")).where("m > 2").count() == 0
+
+
+def test_a_benchmark_of_many_passes_holds_one_at_a_time(spark, monkeypatch):
+    import os
+
+    item = [words(40, 100 + k) for k in range(4)]
+    docs = documents(spark, [(1, words(30, 1) + " " + item[0]), (2, item[1] + " " + item[3]), (3, words(60, 2)), (4, item[2][:100]), (None, item[2]), (None, item[2])])
+    table = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(item)], "item_id string, text string")
+    want = sorted(map(tuple, decontaminate.find_leaks(docs, table).collect()), key=str)
+    passes, seen = decontaminate._passes, []
+
+    def watched(*args):
+        for sent, last in passes(*args):
+            # What came before is gone when the next pass is made.
+            assert not any(os.path.exists(path) for path in seen)
+            seen.append(sent._path)
+            yield sent, last
+
+    monkeypatch.setattr(decontaminate, "MOST_BLOCKS", 1)
+    monkeypatch.setattr(decontaminate, "_passes", watched)
+    assert sorted(map(tuple, decontaminate.find_leaks(docs, table, most_words=20).collect()), key=str) == want
+    assert len(seen) >= 3
+    assert [r for r in want if r[0] is None][0][2] == 40
+
+
+def test_many_rows_alike_tell_their_repeats_once(spark, monkeypatch):
+    text = words(300, 7)
+    rows = [(None, text)] * 600 + [(5, text)] * 200 + [(6, words(300, 8))]
+    found, tables = substrings.repeated_spans(documents(spark, rows).repartition(3))
+    per_key = found.distinct().groupBy("key").count().agg(F.max("count")).first()[0]
+    for t in tables:
+        t.delete()
+    # How long the arrays are that the rows are joined with.
+    lengths, plain = [], substrings.map_arrow
+
+    def watched(df, function, schema):
+        if {"spans", "digest"} <= set(df.columns):
+            lengths.append(df.agg(F.max(F.size("spans"))).first()[0])
+        return plain(df, function, schema)
+
+    monkeypatch.setattr(substrings, "map_arrow", watched)
+    got = [tuple(r) for r in substrings.remove_repeats(documents(spark, rows).repartition(3)).collect()]
+    n = len(text.encode())
+    assert sum(r[1:4] == (n, n, 1) for r in got) == 800 and [r[2] for r in got if r[0] == 6] == [0]
+    assert len(lengths) == 1 and lengths[0] <= per_key
