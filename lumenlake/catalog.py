@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import vectors
@@ -228,9 +228,10 @@ def nn_loo(spark, d):
     return evaluation.nearest_neighbour_accuracy(_gallery(spark, d))
 
 
-@query(f"WITH {IMAGES} SELECT CAST(0 AS BIGINT) AS violations, count(*) AS hits FROM i WHERE rank <= 10")
+@query(f"WITH {IMAGES} SELECT count(*) FILTER (query_id % 5 = 0) AS violations, count(*) AS hits FROM i WHERE rank <= 10 AND (query_id % 5 <> 0 OR rank > 1)")
 def candidate_checks(spark, d):
-    hits = _images(spark, d)
+    """Every fifth query has lost its first hit, so its other ranks don't begin at 1."""
+    hits = _images(spark, d).where("query_id % 5 <> 0 or rank > 1")
     return search.candidate_violations(hits).agg(F.count("*").alias("violations")).crossJoin(hits.agg(F.count("*").alias("hits")))
 
 
@@ -353,9 +354,10 @@ def group_size_histogram(spark, d):
     return manifest.group_sizes(_manifest(spark, d))
 
 
-@query(f"WITH {MANIFEST}, x AS (SELECT group_id, CASE WHEN image_id % 25 = 0 THEN 'valid' ELSE split END AS split FROM mf) SELECT group_id, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM x GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query(f"WITH {MANIFEST}, x AS (SELECT group_id, CASE WHEN image_id % 7 = 0 THEN 'valid' ELSE split END AS split FROM mf) SELECT group_id, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM x GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def group_split_leakage(spark, d):
-    m = _manifest(spark, d).withColumn("split", F.when(F.col("image_id") % 25 == 0, F.lit("valid")).otherwise(F.col("split")))
+    """Every seventh image has strayed to the validation split."""
+    m = _manifest(spark, d).withColumn("split", F.when(F.col("image_id") % 7 == 0, F.lit("valid")).otherwise(F.col("split")))
     return manifest.split_leaks(m)
 
 
@@ -711,12 +713,14 @@ def recommendation(spark, d):
     SELECT run, epoch, round(best, 6) AS best, bad_epochs, bad_epochs >= 3 AS stop FROM y""")
 def early_stopping_trace(spark, d):
     """Each user's events stand in for a training run."""
-    from pyspark.sql import Window
-
     rows = adapters.read(spark, d, "events").select(F.col("user_id").alias("run"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("epoch"), F.col("value").alias("val_loss"))
     return analysis.early_stopping(rows, 3).select("run", "epoch", F.round("best", 6).alias("best"), "bad_epochs", "stop")
 
 
-@query("SELECT epoch, round(0.1 * (1 + cos(pi() * epoch / 50)) / 2, 9) AS rate FROM (SELECT unnest(range(50)) AS epoch)")
+@query("""SELECT user_id AS run, epoch, round(0.1::DOUBLE * (1 + cos(pi() * (epoch - 1) / n)) / 2, 9) AS rate
+           FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS epoch, count(*) OVER (PARTITION BY user_id) AS n FROM events)""")
 def cosine_annealing(spark, d):
-    return spark.range(50).select(F.col("id").alias("epoch"), F.round(vectors.annealed_rate(0.1, F.col("id"), 50), 9).alias("rate"))
+    """The learning rate of each epoch of each run; a user's events are a run's epochs."""
+    w = Window.partitionBy("user_id")
+    rows = adapters.read(spark, d, "events").select(F.col("user_id").alias("run"), F.row_number().over(w.orderBy("event_id")).cast("long").alias("epoch"), F.count("*").over(w).alias("n"))
+    return rows.select("run", "epoch", F.round(vectors.annealed_rate(0.1, F.col("epoch") - 1, F.col("n")), 9).alias("rate"))

@@ -71,7 +71,7 @@ def argmax(logits: str | Column) -> Column:
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")
 
 
-def annealed_rate(rate: float, epoch: Column, epochs: int) -> Column:
+def annealed_rate(rate: float, epoch: Column, epochs: int | Column) -> Column:
     """Cosine annealing to 0."""
     return rate * (1 + F.cos(F.lit(3.141592653589793) * epoch / epochs)) / 2
 

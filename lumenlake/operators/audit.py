@@ -69,8 +69,11 @@ def format_policy(rows: DataFrame, inspections: DataFrame | None = None) -> Data
 
 
 def metadata_policy(rows: DataFrame) -> DataFrame:
-    """field, present of each required column."""
-    return rows.sparkSession.createDataFrame([(f, f in rows.columns) for f in REQUIRED], "field string, present boolean")
+    """field, present, rows, filled of each required column: whether there is such a column, and how many rows have a value
+    in it that isn't blank."""
+    filled = [F.count(F.when(F.trim(F.col(f).cast("string")) != "", 1)) if f in rows.columns else F.lit(0).cast("long") for f in REQUIRED]
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(f in rows.columns).alias("present"), F.col("n").alias("rows"), F.col(f"_{f}").alias("filled")) for f in REQUIRED))
+    return rows.agg(F.count("*").alias("n"), *(c.alias(f"_{f}") for f, c in zip(REQUIRED, filled))).select(F.inline(fields))
 
 
 #: Requirements of the audit: name, part, and the finding that must be 0.

@@ -56,9 +56,9 @@ class _Places:
 
     def __init__(self, manifest: DataFrame):
         groups = manifest.groupBy("group_id").agg(F.min("category").alias("category"), F.count_distinct("category").alias("k"), F.count("*").alias("n_images")).where("k = 1")
-        self.groups = settled(numbered_within(groups.select("category", "group_id", "n_images"), "category", [F.col("group_id")], "g", "n_groups"))
+        self.groups = numbered_within(groups.select("category", "group_id", "n_images"), "category", [F.col("group_id")], "g", "n_groups")
         place = F.row_number().over(Window.partitionBy("group_id").orderBy("image_id")) - 1
-        self.images = settled(manifest.select("group_id", "image_id", "category", place.alias("i")))
+        self.images = manifest.select("group_id", "image_id", "category", place.alias("i"))
         # As many rows as categories.
         sizes = self.groups.groupBy("category").agg(F.first("n_groups").alias("n_groups")).orderBy("category").collect()
         self.categories = {"same_category": [r for r in sizes if r.n_groups > 1], "cross_category": sizes}
@@ -159,11 +159,11 @@ def evaluation_pairs(samples: DataFrame, ratio: float = 1.0, seed: int = 2026) -
     if not n:
         raise ValueError("no positives to evaluate on")
     wanted = max(1, round(n * ratio))
-    groups = settled(numbered(samples.groupBy("group_id").agg(F.count("*").alias("n_images")), [F.col("group_id")], "place"))
+    groups = numbered(samples.groupBy("group_id").agg(F.count("*").alias("n_images")), [F.col("group_id")], "place")
     count = groups.count()
     if count < 2:
         raise ValueError("negatives need two groups")
-    images = settled(samples.select("group_id", "image_id", "category", (F.row_number().over(Window.partitionBy("group_id").orderBy("image_id")) - 1).alias("i")))
+    images = samples.select("group_id", "image_id", "category", (F.row_number().over(Window.partitionBy("group_id").orderBy("image_id")) - 1).alias("i"))
     draws, most = 2 * wanted + 64, max(1000, 100 * wanted)
     while True:
         draws = min(draws, most)
