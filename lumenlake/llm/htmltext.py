@@ -9,13 +9,14 @@ text. Scripts, styles and comments of the markup are no blocks. Page after page
 nothing is dropped or capped beyond the tree's choice.
 
 Defined results: null or empty html gives an empty text, as does a page without text blocks; an unclosed tag at
-the end of a cut-off page is markup. Rows that repeat are judged one by one; extra columns are ignored.
+the end of a cut-off page is markup. The work follows a page's length, however deep its elements are. Rows that repeat are judged one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -136,6 +137,7 @@ def blocks(source: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, in an article, in chrome, loosely named) of each flat block of a page, in order."""
     out: list[tuple[str, int, int, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, article, chrome, skipped, loose
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack each name is open
     article = chrome = skipped = loose = False
     links, pieces, linked = 0, [], []
 
@@ -152,6 +154,12 @@ def blocks(source: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             if links:
                 linked.append(text)
 
+    def close_from(place: int) -> None:
+        nonlocal article, chrome, skipped, loose
+        while len(stack) > place:
+            places[stack.pop()[0]].pop()
+        article, chrome, skipped, loose = stack[-1][1:] if stack else (False, False, False, False)
+
     at, end = 0, len(source)
     while at < end:
         tag = TAG.search(source, at)
@@ -171,10 +179,8 @@ def blocks(source: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if close:
             if name == "a":
                 links = max(0, links - 1)
-            places = [k for k, x in enumerate(stack) if x[0] == name]
-            if places:
-                del stack[places[-1] :]
-                article, chrome, skipped, loose = stack[-1][1:] if stack else (False, False, False, False)
+            if places[name]:
+                close_from(places[name][-1])
             continue
         if name in RAW_TAGS:
             stop = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.IGNORECASE).search(source, at)
@@ -186,13 +192,13 @@ def blocks(source: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             continue
         if name in BLOCK_TAGS or name in SKIPPED_TAGS:
             if name == "p" and stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-                article, chrome, skipped, loose = stack[-1][1:] if stack else (False, False, False, False)
+                close_from(len(stack) - 1)
             if name == "body":
                 article = chrome = skipped = loose = False
             is_chrome, is_loose = (False, False) if name in ("html", "body", "article", "main") else _chrome(name, attributes)
             # A header or footer of the article itself belongs to what is around the text, too.
             article, chrome, skipped, loose = article or name in ("article", "main"), chrome or is_chrome, skipped or name in SKIPPED_TAGS, loose or is_loose
+            places[name].append(len(stack))
             stack.append((name, article, chrome, skipped, loose))
     flush()
     return out

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lumenlake.llm import collocations, merkle, simhash
+from lumenlake.llm import collocations, htmltext, merkle, simhash
 
 
 def low(text):
@@ -248,3 +248,98 @@ def test_a_family_costs_a_comparison_each_and_not_its_pairs():
         near.add(sum(1 << int(k) for k in r.choice(64, 4, replace=False)))
     forest = simhash.Forest(np.array(sorted(near), np.uint64), np.array([0]), 4)
     assert (forest.components() == 0).all() and forest.steps < 3000
+
+
+# --- blocks of web pages
+
+
+def random_tree(r, depth):
+    """(tag, attributes, children): elements and texts."""
+    tags = ["div", "p", "article", "nav", "section", "span", "b", "a", "footer", "ul", "style", "button"]
+    tag = tags[r.integers(0, len(tags))]
+    attributes = ["", ' class="sidebar"', " class='note wide'", ' id="main-comments"', ' data-x="a>b"', ' role="banner"', ' style="display: none"'][r.integers(0, 7)]
+    children = []
+    for _ in range(r.integers(0, 5)):
+        if depth and r.random() < 0.6:
+            children.append(random_tree(r, depth - 1))
+        else:
+            children.append(["one two", " ", "x &amp; y", "é\n z", "&lt;b&gt;", "3"][r.integers(0, 6)])
+    return tag, attributes, children
+
+
+def markup(tree):
+    if isinstance(tree, str):
+        return tree
+    tag, attributes, children = tree
+    return f"<{tag}{attributes}>{'plain' if tag == 'style' else ''.join(map(markup, children))}</{tag}>"
+
+
+def blocks_of(trees):
+    """The flat blocks of trees, by walking them."""
+    import html
+
+    out, pieces = [], []
+
+    def flush(flags):
+        text = " ".join(html.unescape("".join(t for t, _ in pieces)).split())
+        if text:
+            out.append((text, len(text.split()), len(html.unescape("".join(t for t, link in pieces if link)).split()), *flags))
+        pieces.clear()
+
+    def walk(tree, flags, skipped, link):
+        if isinstance(tree, str):
+            if not skipped:
+                pieces.append((tree, link))
+            return link
+        tag, attributes, children = tree
+        block = tag in htmltext.BLOCK_TAGS or tag in htmltext.SKIPPED_TAGS
+        if block:
+            flush(flags)
+        if tag == "style":
+            flush(flags)
+            return link
+        inner = flags
+        if block:
+            never = tag in ("nav", "footer") or any(x in attributes for x in ("sidebar", "comments", "banner", "none")) and tag != "article"
+            inner = (flags[0] or tag == "article", flags[1] or never, flags[2] or "note" in attributes and tag not in ("nav", "footer", "article"))
+        link = link or tag == "a"
+        for child in children:
+            link = walk(child, inner, skipped or tag == "button", link)
+        if block:
+            flush(inner)
+        return link and tag != "a"
+
+    link = False
+    for tree in trees:
+        link = walk(tree, (False, False, False), False, link)
+    flush((False, False, False))
+    return out
+
+
+def nested(trees, inside=()):
+    """Whether an element stands in one that its start or end would close: links in links, paragraphs in paragraphs."""
+    return any(not isinstance(t, str) and ((t[0] in ("a", "p") and t[0] in inside) or nested(t[2], (*inside, t[0]))) for t in trees)
+
+
+def test_blocks_of_random_pages():
+    r, seen = np.random.default_rng(11), 0
+    while seen < 300:
+        trees = [random_tree(r, 5) for _ in range(3)]
+        if not nested(trees):
+            assert htmltext.blocks("".join(map(markup, trees))) == blocks_of(trees)
+            seen += 1
+
+
+def test_deep_pages_take_time_by_their_length():
+    import time
+
+    n = 220_000
+    page = "<div>" * n + "deep text" + "</div><p>" * n
+    assert len(page) > 2_500_000
+    began = time.process_time()
+    assert [b[0] for b in htmltext.blocks(page)] == ["deep text"]
+    first = time.process_time() - began
+    crossed = "<div><ul>" * (n // 2) + "</div>" * n
+    began = time.process_time()
+    assert htmltext.blocks(crossed) == []
+    assert first < 20 and time.process_time() - began < 20
