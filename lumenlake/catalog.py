@@ -53,8 +53,8 @@ RECORDS = f"""{PRODUCTS}, h AS (SELECT * FROM p WHERE rank <= 10),
 H = lambda slot: f"CAST('0x' || substr(md5('{{seed}}|' || draw || '|{slot}'), 1, 15) AS BIGINT)"
 
 
-def _negatives_sql(kind: str, draws: str, n: str, seed: int, name: str) -> str:
-    """CTEs ending in `name`, over mf restricted to one split as part."""
+def _negatives_sql(kind: str, draws: str, n: str, seed: int, name: str, occupied: str = "") -> str:
+    """CTEs ending in `name`, over mf restricted to one split as part. occupied: a CTE of pairs that aren't drawn."""
     h = lambda slot: H(slot).format(seed=seed)
     if kind == "random":
         drawn = f"""{name}_d AS (SELECT draw, {h("i1")} % (SELECT count(*) FROM part) AS p1, {h("i2")} % (SELECT count(*) FROM part) AS p2 FROM (SELECT unnest(range({draws})) AS draw)),
@@ -74,7 +74,7 @@ def _negatives_sql(kind: str, draws: str, n: str, seed: int, name: str) -> str:
             JOIN {name}_i i1 ON i1.group_id = g1.group_id AND i1.i = {h("i1")} % g1.n_images JOIN {name}_i i2 ON i2.group_id = g2.group_id AND i2.i = {h("i2")} % g2.n_images)"""
     return f"""{drawn},
         {name}_o AS (SELECT draw, least(i1, i2) AS image_id_1, greatest(i1, i2) AS image_id_2, CASE WHEN i1 > i2 THEN g2 ELSE g1 END AS group_id_1, CASE WHEN i1 > i2 THEN g1 ELSE g2 END AS group_id_2, CASE WHEN i1 > i2 THEN c2 ELSE c1 END AS category_1, CASE WHEN i1 > i2 THEN c1 ELSE c2 END AS category_2 FROM {name}_x WHERE g1 <> g2),
-        {name} AS (SELECT * FROM {name}_o QUALIFY row_number() OVER (PARTITION BY image_id_1, image_id_2 ORDER BY draw) = 1 ORDER BY draw LIMIT {n})"""
+        {name} AS (SELECT * FROM {name}_o {f"ANTI JOIN {occupied} USING (image_id_1, image_id_2)" if occupied else ""} QUALIFY row_number() OVER (PARTITION BY image_id_1, image_id_2 ORDER BY draw) = 1 ORDER BY draw LIMIT {n})"""
 
 
 N_DRAWN = "(SELECT count(*) FROM part)"
@@ -429,6 +429,15 @@ def negatives_cross_category(spark, d):
     return _negatives(spark, d, "cross_category")
 
 
+@query(f"WITH {MANIFEST}, {PART}, {_negatives_sql('cross_category', f'4 * {N_DRAWN} + 64', N_DRAWN, SEED, 'oc')}, {_negatives_sql('random', f'4 * {N_DRAWN} + 64', N_DRAWN, SEED, 'ng', 'oc')} SELECT {NEGATIVE_COLUMNS} FROM ng")
+def negatives_unoccupied(spark, d):
+    """Random negatives, but for those that another draw has taken."""
+    part = _manifest(spark, d).where("split = 'train'")
+    n = part.count()
+    taken = order.settled(pairs.negatives(part, "cross_category", n, SEED))
+    return pairs.negatives(part, "random", n, SEED, occupied=taken).select("pair_id", "image_id_1", "image_id_2", "category_1", "category_2")
+
+
 @query(f"WITH {HYBRID} SELECT pair_id, image_id_1, image_id_2, label, negative_type FROM hy")
 def pairs_hybrid(spark, d):
     return _pairs(spark, d).select("pair_id", "image_id_1", "image_id_2", "label", "negative_type")

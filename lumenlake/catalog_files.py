@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import G, IMAGES, MANIFEST, _gallery, _images, _manifest, query
-from .operators import analysis, containers, encoders, evaluation, search
-from .sources import adapters
+from .catalog import ANNOTATIONS, POSITIVES, _annotations
+from .operators import analysis, containers, encoders, evaluation, images, order, pairs, search
+from .sources import adapters, io
 
 # --- files ------------------------------------------------------------------------------------------------------------
 #: The head of a file for each document: the format by doc_id, the sides from its lengths.
@@ -136,3 +139,134 @@ def head_search(spark, d):
     encoded = _head(spark).vectors(g, "image_id").join(g.select("image_id", "product_id"), "image_id")
     hits = search.top_images(search.as_queries(encoded), encoded, 3)
     return hits.select("query_id", "image_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+# --- writers and readers ------------------------------------------------------------------------------------------------------
+def _folder(spark) -> str:
+    return f"{order.shared_folder(spark)}/lumenlake-{uuid.uuid4().hex}"
+
+
+def _back(spark, path: str, rows: DataFrame) -> DataFrame:
+    """What was read from a folder, without the folder."""
+    out = order.settled(rows)
+    io.delete(spark, path)
+    return out
+
+
+def _written(rows: DataFrame) -> str:
+    path = _folder(rows.sparkSession)
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+NOTE = "'a \"note\",' || chr(10) || image_id"
+
+
+def _noted(spark, d) -> DataFrame:
+    """The manifest as it stands in files, with a column of notes with quotes and line breaks; every third is empty."""
+    i = F.col("image_id")
+    note = F.when(i % 3 != 0, F.concat(F.lit('a "note",\n'), i.cast("string")))
+    return _manifest(spark, d).select(i.cast("string").alias("image_id"), "image_path", F.col("group_id").cast("string").alias("group_id"), "category", "category_id", "split", F.lit("dataset1").alias("source"), note.alias("note"))
+
+
+@query(f"WITH {MANIFEST} SELECT CAST(image_id AS VARCHAR) AS image_id, '/data/' || image_path AS image_path, CAST(group_id AS VARCHAR) AS group_id, category, CAST(category_id AS BIGINT) AS category_id, split, CASE WHEN image_id % 3 <> 0 THEN {NOTE} END AS note FROM mf")
+def manifest_files(spark, d):
+    """The manifest written as CSV files and read again."""
+    path = _written(_noted(spark, d))
+    rows = _back(spark, path, io.read_manifest(spark, path, "/data"))
+    return rows.select("image_id", "image_path", "group_id", "category", F.col("category_id").cast("long").alias("category_id"), "split", F.col("metadata")["note"].alias("note"))
+
+
+@query(f"WITH {MANIFEST} SELECT CAST(image_id AS VARCHAR) AS image_id, category, split FROM mf")
+def evaluation_manifest_files(spark, d):
+    path = _written(_noted(spark, d).drop("source", "category_id"))
+    rows = _back(spark, path, io.read_evaluation_manifest(spark, path))
+    return rows.select("image_id", "category", "split")
+
+
+@query(f"WITH {POSITIVES} SELECT pair_id, CAST(image_id_1 AS VARCHAR) AS image_id_1, CAST(image_id_2 AS VARCHAR) AS image_id_2, split, CAST(label AS BIGINT) AS label, CASE WHEN image_id_1 % 2 = 0 THEN 'random' END AS negative_type FROM pos")
+def pair_files(spark, d):
+    """Pairs written and read: a null type is an empty field in the file and null again behind it."""
+    m = _manifest(spark, d)
+    ids = m.groupBy("category").agg(F.min("category_id").cast("int").alias("category_id"))
+    rows = pairs.positives(m).withColumn("negative_type", F.when(F.col("image_id_1") % 2 == 0, "random"))
+    for k in (1, 2):
+        rows = rows.join(ids.select(F.col("category").alias(f"category_{k}"), F.col("category_id").alias(f"category_id_{k}")), f"category_{k}")
+    path = _folder(spark)
+    io.write_pairs(rows, path)
+    return _back(spark, path, io.read_pairs(spark, path)).select("pair_id", "image_id_1", "image_id_2", "split", F.col("label").cast("long").alias("label"), "negative_type")
+
+
+@query(f"WITH {ANNOTATIONS} SELECT query_id || '-' || rank AS annotation_id, CAST(rank AS BIGINT) AS rank, CAST(relevance AS BIGINT) AS relevance, candidate_category FROM an")
+def annotation_files(spark, d):
+    """Annotations written and read, each query with its ranks 1 to 10 and labels of 0 to 3."""
+    q, image = F.col("query_id").cast("string"), F.col("image_id").cast("string")
+    image_path = lambda c: F.concat(F.lit("images/"), c, F.lit(".png"))
+    rows = _annotations(spark, d).select(
+        F.concat(q, F.lit("-"), F.col("rank").cast("string")).alias("annotation_id"), F.col("query_id").alias("query_index"), q.alias("query_image_id"), "query_category", image_path(q).alias("query_image_path"), "rank",
+        F.col("product_id").alias("product_id"), "candidate_category", F.lit(0.5).alias("similarity"), image.alias("candidate_image_id"), image_path(image).alias("candidate_image_path"), "relevance", F.lit("").alias("notes"),
+    )
+    path = _written(rows)
+    found = _back(spark, path, io.read_complete_annotations(spark, path))
+    return found.select("annotation_id", F.col("rank").cast("long").alias("rank"), F.col("relevance").cast("long").alias("relevance"), "candidate_category")
+
+
+@query(f"WITH {G} SELECT image_id, product_id, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM g")
+def gallery_files(spark, d):
+    path = _folder(spark)
+    io.write_gallery(_gallery(spark, d), path)
+    v = F.col("embedding").cast("array<double>")
+    return _back(spark, path, io.read_gallery(spark, path)).select("image_id", "product_id", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+@query(f"WITH {MANIFEST} SELECT category, split, count(*) AS images FROM mf GROUP BY 1, 2")
+def report_files(spark, d):
+    """A report of results as JSON lines, written and read."""
+    path = _folder(spark)
+    io.write_report(_manifest(spark, d).groupBy("category", "split").agg(F.count("*").alias("images")), path)
+    return _back(spark, path, io.read_json(spark, path, "category string, split string, images long", lines=True))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS relative_path, CASE WHEN doc_id % 10 = 1 THEN 'gone' WHEN doc_id % 10 = 2 THEN 'changed' ELSE 'new' END AS kind FROM documents WHERE doc_id % 10 IN (1, 2, 3)")
+def changed_files(spark, d):
+    """Of the documents as files a tenth is gone, a tenth has another content and a tenth is new."""
+    i = F.col("doc_id")
+    rows = adapters.read(spark, d, "documents").select("doc_id", i.cast("string").alias("relative_path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    before = io.content_hashes(rows.where(i % 10 != 3))
+    later = rows.where(i % 10 != 1).withColumn("content", F.when(i % 10 == 2, F.concat("content", F.lit(b"!"))).otherwise(F.col("content")))
+    return io.changed_files(before, io.content_hashes(later))
+
+
+# --- pixels ---------------------------------------------------------------------------------------------------------------------
+#: A grey picture of 8 x 8 pixels for each vector of the gallery.
+PIXELS = f"""{G}, px AS (SELECT image_id, list_transform(v[1:64], lambda x: CAST(greatest(0, least(255, floor((x + 0.5::DOUBLE) * 256))) AS DOUBLE)) AS p FROM g)"""
+
+
+def _pixels(spark, d) -> DataFrame:
+    byte = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x + 0.5) * 256))).cast("long")), 2, "0")
+    data = F.unhex(F.array_join(F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 64), byte), ""))
+    one = lambda n: F.lit(n).cast("int")
+    return _gallery(spark, d).select(F.col("image_id").cast("string").alias("origin"), one(8).alias("width"), one(8).alias("height"), one(1).alias("channels"), data.alias("data"))
+
+
+@query(f"WITH {PIXELS} SELECT CAST(image_id AS VARCHAR) AS origin, array_to_string(list_transform(p, lambda x: CASE WHEN x > list_avg(p) THEN '1' ELSE '0' END), '') AS bits FROM px")
+def average_hashes(spark, d):
+    rows = images.fingerprints(_pixels(spark, d), "ahash")
+    digit = F.expr("transform(sequence(1, 16), k -> lpad(conv(substring(perceptual_hash, k, 1), 16, 2), 4, '0'))")
+    return rows.select("origin", F.array_join(digit, "").alias("bits"))
+
+
+@query(f"""WITH {PIXELS}, s AS (SELECT image_id, list_avg(p) AS mean, sqrt(list_avg(list_transform(p, lambda x: (x - list_avg(p)) * (x - list_avg(p))))) AS std, list_min(p) AS low, list_max(p) AS high,
+               len(list_filter(p, lambda x: x <= 16)) / 64 AS dark, len(list_filter(p, lambda x: x >= 239)) / 64 AS bright FROM px)
+           SELECT CAST(image_id AS VARCHAR) AS origin, round_even(mean, 4) AS mean, round_even(std, 4) AS std, low, high, round(dark, 4) AS dark, round(bright, 4) AS bright, 'L' AS mode, CAST(64 AS BIGINT) AS total_pixels FROM s""")
+def pixel_quality(spark, d):
+    rows = images.quality(_pixels(spark, d))
+    return rows.select("origin", "mean", "std", "low", "high", "dark", "bright", "mode", "total_pixels")
+
+
+@query(f"WITH {PIXELS} SELECT CAST(image_id AS VARCHAR) AS origin, CAST(list_sum(p) AS BIGINT) AS red, CAST(list_sum(p) AS BIGINT) AS green, CAST(list_sum(p) AS BIGINT) AS blue FROM px")
+def encoded_pixels(spark, d):
+    """Decoded, normalised and encoded to the mean of each channel; undone, these are the sums of the 64 pixels."""
+    rows = images.encode(_pixels(spark, d), lambda x: x.astype(np.float64).mean((2, 3)), 8, 3)
+    undone = ((F.col("embedding")[k] * std + mean) * 255 * 64 for k, (mean, std) in enumerate(((0.485, 0.229), (0.456, 0.224), (0.406, 0.225))))
+    return rows.select("origin", *(F.round(x).cast("long").alias(c) for c, x in zip(("red", "green", "blue"), undone)))

@@ -109,7 +109,7 @@ def quality(images: DataFrame) -> DataFrame:
     """Luminance statistics, reasons and status (valid, warning or invalid) of each image."""
 
     def look(x: np.ndarray) -> dict:
-        y = luminance(x)
+        y = luminance(x).astype(np.float64)
         if not y.size:
             return {}
         return {"mean": float(y.mean()), "std": float(y.std()), "low": float(y.min()), "high": float(y.max()), "dark": float((y <= DARK).mean()), "bright": float((y >= BRIGHT).mean())}

@@ -5,23 +5,28 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """rows, computed once and written to the folder of spark.checkpoint.dir, which all executors share; the files go once
-    nothing refers to them, where spark.cleaner.referenceTracking.cleanCheckpoints is set. Without a folder, a session
-    of one machine gets a temporary one and a cluster an error."""
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Without one, a session of one machine gets a temporary
+    one and a cluster an error."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lumenlake-")
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not re.match(r"local(\[|$)", sc.master):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="lumenlake-")
         sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, computed once and written to the shared folder; the files go once nothing refers to them, where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
