@@ -343,3 +343,14 @@ def test_deep_pages_take_time_by_their_length():
     began = time.process_time()
     assert htmltext.blocks(crossed) == []
     assert first < 20 and time.process_time() - began < 20
+
+
+def test_join_by_hot_and_rare_keys(spark):
+    from lumenlake.llm.common import join_unique
+
+    keys = [None if k % 3 == 0 else "hot" if k % 3 == 1 else f"rare{k % 1999}" for k in range(9000)]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(keys)], "id long, lang string").select("id", F.struct("lang").alias("key"))
+    unique = spark.createDataFrame([(v, None if v is None else len(v)) for v in dict.fromkeys(keys) if v != "rare5"], "lang string, n long").select(F.struct("lang").alias("key"), "n")
+    got = sorted((r.id, r.n) for r in join_unique(rows.repartition(3), unique, "key").collect())
+    assert got == [(k, None if v is None else len(v)) for k, v in enumerate(keys) if v != "rare5"]
+    assert join_unique(rows.where("false"), unique, "key").count() == 0
