@@ -5,7 +5,7 @@ the line begins a turn. A line's features are its speaker marker (none, one of a
 known), whether the line before was blank, and whether it ends as a question. Viterbi decoding finds the likeliest
 states, and each run of lines from one beginning to the next becomes a turn, rendered as
 ``<|role|>`` newline, text, newline ``<|end|>``. The model's probabilities are counts with add-one smoothing over
-transcripts whose roles are known: at most MOST_TRAINING conversations, chosen by a hash.
+transcripts whose roles are known: half of the conversations, chosen by a hash, and at most MOST_TRAINING.
 
 A long conversation is cut into segments of SEGMENT turns, so no task ever holds a whole hot conversation. Segments
 overlap: each is decoded together with the CONTEXT turns before and after it, and keeps the turns that begin among its
@@ -15,8 +15,8 @@ and are given back afterwards; a segment of more than MOST_ROWS different rows (
 Defined results: null text is an empty turn; a null role, or one of no known name, is unknown and is recovered as one of
 ROLES; a row with a null conv_id or a null turn is a conversation of its own; rows that repeat a turn each get the
 turn's result. Roles, boundaries and texts are the parser's: a turn whose beginning it misses is part of the one before, and a
-line inside a text that looks like a marker opens a turn. Extra columns are ignored. The model is fitted on at most
-MOST_TRAINING conversations, which recover() marks (trained), so that others tell how well it does.
+line inside a text that looks like a marker opens a turn. Extra columns are ignored. recover() marks the conversations that
+the model was fitted on (trained), so that the others tell how well it does.
 """
 
 from __future__ import annotations
@@ -173,8 +173,9 @@ def without_marker(place: int, style: int) -> bool:
 
 
 def _training(conversations: DataFrame, most: int) -> DataFrame:
-    """conv_id of the conversations that the model is fitted on."""
-    return conversations.where("conv_id is not null and turn >= 0").select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(most)
+    """conv_id of the conversations that the model is fitted on: the first half by a hash, `most` of them at most."""
+    known = conversations.where("conv_id is not null and turn >= 0").select("conv_id").distinct()
+    return known.orderBy(F.xxhash64("conv_id"), "conv_id").limit(min(most, -(-known.count() // 2)) if most else 0)
 
 
 def fit(conversations: DataFrame, most: int = MOST_TRAINING) -> RoleModel:
