@@ -141,6 +141,7 @@ def _shared(counts: DataFrame, keys: list[np.ndarray]) -> tuple[list[np.ndarray]
         held = pickle.loads(sent.value)
         for batch in batches:
             n = batch.column("n").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int32()), *_longs(np.zeros(1, np.int64), n.sum(keepdims=True))], ["level", "at", "n"])
             for k, (mine, name) in enumerate(zip(held, ("w", "w1", "w2"))):
                 at = place(mine, batch.column(name).to_numpy().view(np.uint64))
                 some, back = np.unique(at, return_inverse=True)
@@ -156,7 +157,7 @@ def _shared(counts: DataFrame, keys: list[np.ndarray]) -> tuple[list[np.ndarray]
         sums = np.zeros(len(mine) + 1, np.int64)
         sums[at[level == k]] = n[level == k]
         out.append(sums)
-    return [x[:-1] for x in out], int(out[0].sum())
+    return [x[:-1] for x in out], int(n[level == len(keys)].sum())
 
 
 def discount(counts: np.ndarray) -> float:

@@ -406,6 +406,10 @@ def test_toxicity_models_are_kneser_ney(spark):
     word_counts = Counter(w for t, _ in texts for w in t.split())
     shared, total = toxicity._shared(toxicity.word_counts(spark.createDataFrame([(t,) for t, _ in texts], "text string")), known.levels)
     assert total == sum(word_counts.values()) and sorted(shared[0]) == sorted(word_counts.values())
+    # Words that the sample hasn't count in the corpus's total alone.
+    more = spark.createDataFrame([(t,) for t, _ in texts] + [("other words here",), ("other",), (None,)], "text string")
+    same, larger = toxicity._shared(toxicity.word_counts(more), known.levels)
+    assert larger == total + 4 and np.array_equal(same[0], shared[0])
 
     def name(w, n=99):
         data = np.frombuffer(w[:n].encode(), np.uint8)
@@ -590,6 +594,8 @@ def test_chat(spark):
     assert len(got) == len(rows)
     known = [x for x in got if x.role]
     assert np.mean([x.role == x.recovered for x in known]) > 0.95
+    unseen = [x for x in known if not x.trained]
+    assert 0.3 < len(unseen) / len(known) < 0.7 and np.mean([x.role == x.recovered for x in unseen]) > 0.95
     assert all(x.rendered == f"<|{x.recovered}|>\n{x.text}\n<|end|>" for x in got)
     model = chat.fit(table)
     plain = spark.createDataFrame([(1, "User: hello there\nmore\nAssistant: hi\n\nUser: bye?"), (2, None), (3, "")], "id long, transcript string")
@@ -639,6 +645,8 @@ def test_chat_segments_overlap(spark):
     """A conversation of many segments is read as one transcript would be; other roles, null places and crowds."""
     rows = [(c, t, ("user", "assistant")[t % 2], "say %d %d" % (c, t)) for c in range(40) for t in range(6)]
     r = np.random.default_rng(5)
+    # The model is fitted on half of the conversations: some with tools are among them.
+    rows += [(c, t, ("user", "assistant", "tool")[t % 3], "ask %d %d" % (c, t)) for c in range(910, 930) for t in range(6)]
     long = [(900, t, ("user", "assistant", "tool")[t % 3], "turn %d" % t + ("\nline two" if r.random() < 0.3 else "")) for t in range(200)]
     crowd = [(901, 0, "user", "text %d" % k) for k in range(600)]
     lost = [(None, 3, "user", "no conversation"), (902, None, "assistant", "no place"), (902, None, "assistant", "no place"), (903, 0, "narrator", "who says so")]
