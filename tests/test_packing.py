@@ -16,6 +16,31 @@ def test_md5_of_many_numbers():
         assert md5.hashes(2026, x, slot).tolist() == [int(hashlib.md5(f"2026|{v}|{slot}".encode()).hexdigest()[:15], 16) for v in x]
 
 
+def test_md5_of_many_pairs():
+    names = [b"7", b"12", b"100", b"99999", b"ring", "M\u00fcnze".encode(), b"x" * 23, b"y" * 30]
+    rank = np.array([3, 1, 2, 5, 4, 0, 6, 7])
+    key = lambda i, j: int(hashlib.md5(b"2026|" + names[i] + b"__" + names[j]).hexdigest()[:15], 16)
+    every = {(i, j): key(i, j) for i in range(8) for j in range(8) if rank[i] < rank[j]}
+    for bound in (0, sorted(every.values())[9], 1 << 60):
+        i, j = md5.pairs_below(2026, names, names, rank, rank, bound)
+        assert sorted(zip(i.tolist(), j.tolist())) == sorted(p for p, h in every.items() if h < bound)
+
+
+def test_first_pairs_are_made_without_the_others(spark):
+    for cast in ("long", "string"):
+        rows = spark.range(70).select(F.col("id").cast(cast).alias("image_id"), (F.col("id") % 3).alias("group_id"), F.when(F.col("id") % 5 > 0, "Ring").alias("category"), F.lit("train").alias("split"))
+        rows = rows.unionByName(rows.limit(1).withColumn("group_id", F.lit(None).cast("long"))).unionByName(rows.where("image_id = '8'"))
+        every = pairs.positives(rows)
+        want = sorted(map(str, every.where(pairs.hash_int(5, F.col("pair_id")) < 1 << 57).collect()))
+        below = pairs.hashed_below(rows, 5, 1 << 57, "split", "group_id", block=9)
+        assert want == sorted(map(str, pairs._positive(below).collect())) and len(want) > 40
+        first = pairs._first_positives(rows, 20, 5, every.count())
+        assert sorted(map(str, first.collect())) == sorted(map(str, every.orderBy(pairs.hash_int(5, F.col("pair_id")), "pair_id").limit(20).collect()))
+        # The pairs are hashed in blocks: no row of a join is made for each.
+        plan = below._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "image_id_1 <" not in plan
+
+
 def test_arrays_hold_all_rows_or_the_least(spark, monkeypatch):
     monkeypatch.setattr(packing, "PACK", 50)
     rows = spark.range(400).select((F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("v"), (1000 - F.col("id")).alias("draw"))
