@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import settled
 from .selection import with_quantiles
 
 NO_RANK = 1_000_000_000
@@ -43,6 +44,8 @@ def error_confusion(records: DataFrame) -> DataFrame:
 
 def representatives(records: DataFrame, n: int = 5, per_category: int = 3) -> DataFrame:
     """The first n records of each bucket, and the first per_category of each category of the stratified ones."""
+    # Each bucket reads them.
+    records = settled(records)
     rank, margin = F.coalesce("first_rank", F.lit(NO_RANK)), F.coalesce("margin", F.lit(float("inf")))
     buckets = {
         "top1_success": (F.col("top1_correct"), [F.desc("top_similarity")]),

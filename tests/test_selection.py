@@ -192,3 +192,34 @@ def test_limited_pairs(spark, most, limit):
     assert tuple(stats.first()) == (len(found), len(kept), len(found) - len(kept), "partial" if len(found) > len(kept) else "complete")
     want = {(a[0], b[0]) for a, b in kept if a[2] != b[2] and 1 <= bin(a[3] ^ b[3]).count("1") <= 5}
     assert {(x.doc_id_1, x.doc_id_2) for x in near.collect()} == want
+
+
+def test_visited_blocks_are_screened_by_the_bound(monkeypatch):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    v = rnd.normal(size=(400, 16))
+    ids, products, pivot = np.arange(400), np.arange(400) % 30, (np.arange(400) % 5).astype(np.int32)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    lists = lambda m: pa.array(m.tolist(), pa.list_(pa.float64()))
+    gallery = pa.table({"image_id": ids, "product_id": products, "pivot": pivot, "vector": lists(v)})
+    sims = np.einsum("ij,kj->ik", unit, unit)
+    np.fill_diagonal(sims, -2)
+    # Some queries don't visit all clusters.
+    clusters = [[c for c in range(5) if c != q % 7] for q in range(400)]
+    for q, own in enumerate(clusters):
+        sims[q, ~np.isin(pivot, own)] = -2
+    for pooled in (False, True):
+        best = np.stack([sims[:, products == p].max(1) for p in range(30)], 1) if pooled else sims
+        least = np.sort(best, axis=1)[:, -3]
+        asked = pa.table({"query_id": ids, "pivot": pivot, "least": least, "clusters": pa.array(clusters, pa.list_(pa.int32())), "asked": lists(v)})
+        want = {(q, j) for q in range(400) for j in np.lexsort((np.arange(best.shape[1]), -best[q]))[:3].tolist()}
+        key = "product_id" if pooled else "image_id"
+        pairs_of = lambda t, key=key: set(zip(t["query_id"].to_pylist(), t[key].to_pylist()))
+        # Left to double precision altogether, the same comes out.
+        with monkeypatch.context() as m:
+            m.setattr(search, "MOST_LEFT", -1, raising=False)
+            assert pairs_of(search._meeting(3, pooled, True)(asked, gallery)) == want
+        with monkeypatch.context() as m:
+            m.setattr(search, "_best_of_rows", None)
+            assert pairs_of(search._meeting(3, pooled, True)(asked, gallery)) == want
