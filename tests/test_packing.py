@@ -41,6 +41,20 @@ def test_first_pairs_are_made_without_the_others(spark):
         assert "FlatMapGroupsInArrow" in plan and "image_id_1 <" not in plan
 
 
+def test_checks_shuffle_hashes_of_pairs(spark):
+    m = spark.range(40).select(F.col("id").alias("image_id"), (F.col("id") % 4).alias("group_id"), F.lit("Ring").alias("category"), F.lit("train").alias("split"))
+    p = pairs.positives(m)
+    assert pairs.violations(p, m).count() == 0
+    # No row is moved for a pair that isn't there twice.
+    plan = pairs._with_times(p)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    twice = p.unionByName(p.where("image_id_1 = 1")).unionByName(p.where("image_id_1 = 2").withColumns({"image_id_1": F.col("image_id_2"), "image_id_2": F.lit(2).cast("long")}))
+    got = {(r.image_id_1, r.image_id_2): r.violations for r in pairs.violations(twice, m).collect()}
+    for x, y in ((1, 5), (2, 6)):
+        assert got[(x, y)] == "repeated"
+    assert got[(6, 2)] == "repeated,not_canonical" and len(got) == 27
+
+
 def test_arrays_hold_all_rows_or_the_least(spark, monkeypatch):
     monkeypatch.setattr(packing, "PACK", 50)
     rows = spark.range(400).select((F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("v"), (1000 - F.col("id")).alias("draw"))
