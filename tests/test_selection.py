@@ -1,13 +1,14 @@
 """Selection by histograms, evaluation pairs, pruned search and duplicates by dataset, against plain Python."""
 
+import hashlib
 import random
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.operators import dedup, geometry, pairs, search, selection
+from lumenlake.operators import cells, dedup, geometry, pairs, search, selection
 
 
 @pytest.mark.parametrize("small", [10, 100_000])
@@ -87,6 +88,34 @@ def test_evaluation_pairs(spark):
         pairs.evaluation_pairs(m, 50.0)
 
 
+def test_negatives_are_the_first_of_all_draws(spark, monkeypatch):
+    sizes = [40, 1, 40, 40] + [1] * 25 + [40, 40] + [1] * 4
+    rows, m = manifest_of(spark, [0] * 3 + sizes)
+    m = m.withColumn("image_id", 100 * F.col("group_id") + F.col("image_id") % 50).localCheckpoint()
+    groups = sorted((g, sorted(i for _, i in own)) for g, own in groupby(sorted((r.group_id, r.image_id) for r in m.collect()), key=lambda x: x[0]))
+    h = lambda k, slot: int(hashlib.md5(f"2026|{k}|{slot}".encode()).hexdigest()[:15], 16)
+    want, k = {}, 0
+    while len(want) < 3900:
+        r = h(k, "pair") % (len(groups) * (len(groups) - 1) // 2)
+        high = max(x for x in range(len(groups)) if x * (x - 1) // 2 <= r)
+        a, b = groups[r - high * (high - 1) // 2][1], groups[high][1]
+        want.setdefault(tuple(sorted((a[h(k, "a") % len(a)], b[h(k, "b") % len(b)]))), k)
+        k += 1
+    made = []
+    cells_of_draws = cells.drawn_cells
+    monkeypatch.setattr(cells, "drawn_cells", lambda *x: made.append(x) or cells_of_draws(*x))
+    monkeypatch.setattr(pairs, "KNOWN", 1)
+    got = pairs.evaluation_pairs(m).where("label = 0").select("image_id_1", "image_id_2").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    # Most draws are made without their numbers, and of lone groups only pairs that are new.
+    (_, _, low, first, *_), (_, _, second, last, *_, rest) = made
+    assert low == 0 and first == second < last < k and 0 < len(rest) < 435
+    # More groups than a task should hold are joined.
+    monkeypatch.setattr(pairs, "FEW", 1)
+    got = pairs.evaluation_pairs(m).where("label = 0").select("image_id_1", "image_id_2").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(made) == 2
+
+
 def test_unranking(spark):
     r = random.Random(1)
     ranks = list(range(60)) + [r.randrange(1 << 58) for _ in range(500)]
