@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from lumenlake.functions import md5
@@ -88,3 +90,57 @@ def test_thresholds_are_not_shuffled_pair_by_pair(spark):
         assert (r.positives, r.negatives) == (sum(x for x, _ in data), sum(1 - x for x, _ in data))
     plan = t._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(distance" not in plan
+
+
+def test_rising_numbers_take_a_byte_or_two():
+    rnd = np.random.default_rng(4)
+    for values in ([], [0], [5, 5, 127, 255, 1 << 14, (1 << 14) + 127, 1 << 40, 1 << 61]), np.sort(rnd.integers(0, 10**6, 5000)):
+        for one in values if isinstance(values, tuple) else [values]:
+            one = np.array(one, np.int64)
+            assert packing.from_gaps(packing.gaps(one)).tolist() == one.tolist()
+    assert len(packing.gaps(np.sort(rnd.integers(0, 10**6, 5000)))) < 2 * 5000
+    values = np.array([3, 9, 9, 2, 500, 0, 0, 7])
+    rows = packing.gaps_of(values, np.array([0, 3, 5]))
+    assert packing.from_gaps_of(rows.to_pylist(), np.array([3, 2, 3])).tolist() == values.tolist()
+    assert packing.from_gaps(rows[1].as_py()).tolist() == [2, 500]
+
+
+def test_hashes_of_a_run_are_those_of_its_numbers():
+    for which in (0, 1, 99, 12345678):
+        for slot in ("pair", "slot" * 20):
+            numbers = np.arange(which * md5.RUN, (which + 1) * md5.RUN)
+            assert (md5.run(2026, which, slot) == md5.hashes(2026, numbers, slot)).all()
+
+
+def test_distances_are_kept_in_a_byte_or_two(monkeypatch):
+    rnd = np.random.default_rng(6)
+    distance = np.concatenate([np.round(rnd.random(20000) / 100, 9), [np.nan, 0.5, 0.5, 1 / 3, 1 / 3, 1e300, np.inf, -0.25]])
+    label = rnd.integers(0, 2, len(distance))
+    coded = pa.Table.from_batches([geometry._code(label, distance)])
+    assert sum(len(x) for x in coded["distances"].to_pylist()) < 2.5 * len(distance)
+    want = {}
+    for d, x in zip(distance.tolist(), label.tolist()):
+        d = None if d != d else d
+        p, n = want.get(d, (0, 0))
+        want[d] = (p + x, n + 1 - x)
+    for most in (geometry.DENSE, 100):
+        monkeypatch.setattr(geometry, "DENSE", most)
+        got, tp = {}, 0
+        for at in sorted(set(coded["bin"].to_pylist()), key=lambda x: (x is None, x)):
+            t = coded.filter(pc.is_null(coded["bin"]) if at is None else pc.equal(coded["bin"], at))
+            for c, k in (("before_p", tp), ("before_n", 0), *((c, 0) for c in geometry.TOTALS)):
+                t = t.append_column(c, pa.array([k] * len(t)))
+            for r in geometry._counted(t).to_pylist():
+                got[r["distance"]] = (r["p"], r["n"])
+                tp += r["p"]
+                assert r["tp"] == tp
+        assert got == want
+
+
+def test_statistics_of_labels_are_those_of_their_distances(spark):
+    rnd = random.Random(8)
+    data = [(k % 2, round(rnd.random() * 1.5, rnd.choice((1, 9)))) for k in range(301)] + [(0, None), (1, 1 / 3), (0, 1 / 3)]
+    for some in (data, [x for x in data if x[0]], [(1, None)], [(0, 0.25)]):
+        df = spark.createDataFrame(some, "label int, distance double")
+        key = lambda rows: sorted((r.label, [None if x is None else round(x, 6) for x in r[1:]]) for r in rows)
+        assert key(geometry.label_stats(df).collect()) == key(geometry.distance_stats(df, "label").collect())
